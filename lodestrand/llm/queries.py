@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe
+from . import bpe, quality, secret_scan, sharding, toxicity, winnowing
 
 TOKENIZER = "byte_bpe_50k.json"
 TOKEN_LIMIT = 1024
@@ -44,8 +44,66 @@ def op7_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digests(table(spark, sf_dir, "documents"))
 
 
+def text_crc(column: str = "doc_id"):
+    return F.crc32(F.col(column).cast("string").cast("binary"))
+
+
+def scored(docs: DataFrame, labels: DataFrame, operator, held_out) -> DataFrame:
+    """Scores of every row by a model that learned labels only where ``held_out`` doesn't hold."""
+    model = operator.train(docs, labels, ~held_out)
+    scores = operator.score(docs, model)
+    return scores.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= operator.THRESHOLD).cast("int").alias("predicted"))
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), toxicity, text_crc() % 4 == 2)
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), quality, text_crc() % 5 == 0)
+
+
+def op4_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each text against itself with its last half put by the next document's first half, and against the next document."""
+    near = winnowing.with_next(table(spark, sf_dir, "documents"))
+    n = F.length("text")
+    half = F.floor(n / 2).cast("int")
+    edited = F.concat(F.substring("text", F.lit(1), n - half), F.substring("next_text", F.lit(1), half))
+    texts = near.select("doc_id", n.cast("long").alias("n_chars"), "text", edited.alias("edited"), "next_text")
+    texts = texts.withColumn("edited_sha256", F.sha2("edited", 256))
+    prints = winnowing.fingerprint(texts, ["text", "edited", "next_text"])
+    return prints.select(
+        "doc_id",
+        "n_chars",
+        "edited_sha256",
+        F.col("text_fingerprint").alias("fingerprint"),
+        F.col("edited_fingerprint"),
+        F.col("edited_likeness").alias("near_edited"),
+        F.col("next_text_likeness").alias("near_next"),
+    )
+
+
+def op9_flow_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From shards by source, where a hot source makes one shard large, to eight of equal bytes."""
+    docs = table(spark, sf_dir, "documents")
+    old = F.pmod(F.crc32(F.coalesce("source", F.lit("")).cast("binary")), F.lit(8)).cast("int")
+    return sharding.reshard(docs, old).withColumn("grown_shard", F.lit(None).cast("int"))
+
+
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.scan(table(spark, sf_dir, "documents"))
+    counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{secret_scan.KINDS[k]}") for k in range(3)]
+    spans = secret_scan.joined(secret_scan.all_spans(F.col("base"), F.col("owned")))
+    return found.select("doc_id", *counts, F.sha2(secret_scan.joined(F.col("base")), 256).alias("base_sha256"), spans.alias("spans"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": op1_toxicity,
+    "op4_winnowing": op4_winnowing,
     "op5_token_counts": op5_token_counts,
     "op7_bpe_round_trip": op7_bpe_round_trip,
+    "op8_quality": op8_quality,
+    "op9_flow_resharding": op9_flow_resharding,
+    "op10_secret_scan": op10_secret_scan,
 }
 ORACLE_SQL: dict[str, str] = {}
