@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from .lineage import cut
 
 #: Bounds of the training sample: rows of confirmed positives and of unlabelled text.
-MAX_POSITIVES, MAX_UNLABELLED = 12_000, 24_000
+MAX_POSITIVES, MAX_UNLABELLED = 6_000, 12_000
 
 
 @dataclass
@@ -35,12 +35,14 @@ def nonnegative_risk(zp: np.ndarray, zu: np.ndarray, prior: float) -> tuple[floa
     return prior * float(_softplus(-zp).mean()), float(_softplus(zu).mean() - prior * _softplus(zp).mean())
 
 
-def fit(positives: tuple[np.ndarray, np.ndarray, int], unlabelled: tuple[np.ndarray, np.ndarray, int], features: int, prior: float, epochs: int = 400, rate: float = 0.05, decay: float = 2e-3, seed: int = 7) -> Linear:
+def fit(positives: tuple[np.ndarray, np.ndarray, int], unlabelled: tuple[np.ndarray, np.ndarray, int], features: int, prior: float, epochs: int = 400, rate: float = 0.05, decay: float | None = None, seed: int = 7) -> Linear:
     """Minimises the non-negative risk by Adam over the whole sample. ``positives`` and ``unlabelled`` are (row, feature, rows).
 
-    Where the negative part of the risk falls below 0, the step climbs back out of it instead. ``decay`` is the L2 weight; the bias has none."""
+    Where the negative part of the risk falls below 0, the step climbs back out of it instead. ``decay`` is the L2 weight, by default less
+    the more positives there are; the bias has none."""
     rp, fp, n_p = positives
     ru, fu, n_u = unlabelled
+    decay = 1e-4 + 0.1 / n_p if decay is None else decay
     rng = np.random.default_rng(seed)
     w, b = rng.normal(0, 1e-3, features), float(np.log(prior / (1 - prior)))
     m, v = np.zeros(features + 1), np.zeros(features + 1)

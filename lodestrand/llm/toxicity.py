@@ -1,4 +1,4 @@
-"""Toxicity scores from non-negative positive-unlabelled classifiers over a word vocabulary."""
+"""Toxicity scores from non-negative positive-unlabelled classifiers over a vocabulary of words and word heads."""
 
 from __future__ import annotations
 
@@ -13,9 +13,11 @@ from pyspark.sql import functions as F
 
 from . import pu
 
-#: Words of the model at most, the least share of the positives that must hold a word, and the least gap between the shares in standard errors.
-VOCABULARY, LEAST_SHARE, LEAST_GAP = 512, 0.01, 6.0
+#: Terms of the model at most, the least share of the positives that must hold a term, and the least gap between the shares in standard errors.
+VOCABULARY, LEAST_SHARE, LEAST_GAP = 512, 0.01, 4.0
 THRESHOLD = 0.3
+#: Heads of so many letters stand for the longer words that begin with them.
+HEADS = (4, 5)
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -23,6 +25,17 @@ def words_of(text: Column) -> Column:
     return F.array_distinct(F.split(F.lower(text), r"[^\p{L}]+"))
 
 
+def terms_of(words: Column) -> Column:
+    """The words, and as head* their heads."""
+    heads = [F.transform(F.filter(words, lambda w, n=n: F.length(w) > n), lambda w, n=n: F.concat(F.substring(w, 1, n), F.lit("*"))) for n in HEADS]
+    return F.array_distinct(F.concat(words, *heads))
+
+
+def terms_in(text: str) -> set[str]:
+    words = set(_WORD.findall(text.lower()))
+    return words.union(*({w[:n] + "*" for w in words if len(w) > n} for n in HEADS))
+
+
 def family_of(words: Column) -> Column:
     """A min-hash of the words of eight letters and more (of all, if there are none): most near copies of a text share it."""
     long = F.filter(words, lambda w: F.length(w) >= 8)
@@ -30,13 +43,13 @@ def family_of(words: Column) -> Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, trainable: Column, label_col: str = "toxic", vocabulary: int = VOCABULARY) -> tuple[list[str], list[pu.Linear]]:
-    """(words, classifiers). Words are those whose presence differs most, in standard errors, between positives and unlabelled rows.
+    """(terms, classifiers). Terms are those whose presence differs most, in standard errors, between positives and unlabelled rows.
 
-    In choosing words, a family of near copies counts once, so that no word stands for one often copied text. Only ``vocabulary`` words and, for each sampled row, the numbers of its words reach the driver.
+    In choosing words, a family of near copies counts once, so that no word stands for one often copied text. Only ``vocabulary`` words and, for each sampled row, the numbers of its terms reach the driver.
     Without a positive row there are no classifiers."""
     sample, prior = pu.training_sample(docs, labels, label_col, trainable)
     sample = sample.select("doc_id", words_of(F.col("text")).alias("words"), "positive", "unlabelled").withColumn("same", family_of(F.col("words")))
-    held = sample.select("doc_id", "same", "positive", "unlabelled", F.explode("words").alias("word")).where("word <> ''")
+    held = sample.select("doc_id", "same", "positive", "unlabelled", F.explode(terms_of(F.col("words"))).alias("word")).where("word <> ''")
     distinct = sample.groupBy("same").agg(F.max("positive").alias("p"), F.max("unlabelled").alias("u"))
     n = distinct.agg(F.coalesce(F.sum(F.col("p").cast("int")), F.lit(0)).alias("p"), F.coalesce(F.sum(F.col("u").cast("int")), F.lit(0)).alias("u")).first()
     if not n["p"] or not n["u"]:
@@ -74,7 +87,7 @@ def score(docs: DataFrame, model: tuple[list[str], list[pu.Linear]], id_col: str
             row: list[int] = []
             feature: list[int] = []
             for k, text in enumerate(batch.column(1)):
-                hits = known & set(_WORD.findall((text.as_py() or "").lower()))
+                hits = known & terms_in(text.as_py() or "")
                 row += [k] * len(hits)
                 feature += [number[w] for w in hits]
             n = batch.num_rows
