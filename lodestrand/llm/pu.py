@@ -38,7 +38,7 @@ def nonnegative_risk(zp: np.ndarray, zu: np.ndarray, prior: float) -> tuple[floa
 def fit(positives: tuple[np.ndarray, np.ndarray, int], unlabelled: tuple[np.ndarray, np.ndarray, int], features: int, prior: float, epochs: int = 400, rate: float = 0.05, decay: float | None = None, seed: int = 7) -> Linear:
     """Minimises the non-negative risk by Adam over the whole sample. ``positives`` and ``unlabelled`` are (row, feature, rows).
 
-    Where the negative part of the risk falls below 0, the step climbs back out of it instead. ``decay`` is the L2 weight, by default less
+    Where the negative part of the risk falls below 0 by more than a standard error of its estimate, the step climbs back out of it instead. ``decay`` is the L2 weight, by default less
     the more positives there are; the bias has none."""
     rp, fp, n_p = positives
     ru, fu, n_u = unlabelled
@@ -51,8 +51,9 @@ def fit(positives: tuple[np.ndarray, np.ndarray, int], unlabelled: tuple[np.ndar
         zu = b + np.bincount(ru, w[fu], n_u)
         sp, su = 1 / (1 + np.exp(-np.clip(zp, -40, 40))), 1 / (1 + np.exp(-np.clip(zu, -40, 40)))
         _, negative = nonnegative_risk(zp, zu, prior)
+        slack = np.sqrt(_softplus(zu).var() / n_u + prior**2 * _softplus(zp).var() / n_p)
         gp, gu = -prior * sp / n_p, su / n_u
-        if negative >= 0:
+        if negative >= -slack:
             gp = gp + prior * (sp - 1) / n_p
         else:
             gp, gu = -gp, -gu

@@ -81,7 +81,7 @@ def train(docs: DataFrame, labels: DataFrame, trainable: Column, label_col: str
     shares = np.concatenate(([0.01, 0.03], np.linspace(0, 1, BINS + 1)[1:-1], [0.95, 0.97, 0.99]))
     edges = np.quantile(u, np.sort(shares), axis=0).T + 1e-12
     features = len(MEASURES) * (edges.shape[1] + 1)
-    return edges, pu.fit_bag((*active(p, edges), len(p)), (*active(u, edges), len(u)), features, prior)
+    return edges, pu.fit_bag((*active(p, edges), len(p)), (*active(u, edges), len(u)), features, prior, epochs=800, rate=0.3, decay=3e-6)
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, list[pu.Linear]], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
