@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, quality, secret_scan, sharding, toxicity, winnowing
+from . import bpe, decontamination, quality, secret_scan, sharding, toxicity, winnowing
 
 TOKENIZER = "byte_bpe_50k.json"
 TOKEN_LIMIT = 1024
@@ -63,6 +63,25 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), quality, text_crc() % 5 == 0)
 
 
+def contaminated_share(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """Phrase matches with the contamination rule: some word hit, and a twentieth of the words or more."""
+    found = decontamination.phrase_matches(docs, items)
+    rule = (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))
+    return found.withColumn("contaminated", rule)
+
+
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = contaminated_share(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("item_ids").cast("long").alias("n_items"),
+        F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"),
+        "contaminated",
+    )
+
+
 def op4_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each text against itself with its last half put by the next document's first half, and against the next document."""
     near = winnowing.with_next(table(spark, sf_dir, "documents"))
@@ -99,6 +118,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
+    "op3_decontamination": op3_decontamination,
     "op4_winnowing": op4_winnowing,
     "op5_token_counts": op5_token_counts,
     "op7_bpe_round_trip": op7_bpe_round_trip,
