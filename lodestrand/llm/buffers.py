@@ -63,3 +63,35 @@ def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
         reach *= 2
     rest = width - reach
     return np.minimum(out[:-rest], out[rest:]) if rest else out
+
+
+#: Each byte with A-Z lower-cased.
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[ord("A") : ord("Z") + 1] += 32
+_PLACES = powers(0x5851F42D4C957F2D, 4096)
+
+
+def words_in(flat: np.ndarray, ends: np.ndarray, in_word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(text number, first byte, end byte, 64-bit hash) of each word, A-Z lower-cased. ``in_word`` says of each byte value whether words hold it.
+
+    Words end with their text, whatever the next text begins with."""
+    inside = in_word[flat]
+    if not inside.any():
+        none = np.empty(0, np.int64)
+        return none, none, none, none
+    opens = inside.copy()
+    opens[1:] &= ~inside[:-1]
+    closes = inside.copy()
+    closes[:-1] &= ~inside[1:]
+    heads = ends[:-1][ends[:-1] < len(flat)]
+    opens[heads] |= inside[heads]
+    tails = ends[1:][ends[1:] > 0] - 1
+    closes[tails] |= inside[tails]
+    first, end = np.flatnonzero(opens), np.flatnonzero(closes) + 1
+    sizes = end - first
+    at = np.cumsum(sizes) - sizes
+    letters = LOWER[flat[inside]].astype(np.uint64) + np.uint64(1)
+    place = np.arange(len(letters)) - np.repeat(at, sizes)
+    hashes = mix(np.add.reduceat(letters * _PLACES[place & 4095], at) + sizes.astype(np.uint64)).view(np.int64)
+    text = np.searchsorted(ends, first, "right") - 1
+    return text, first, end, hashes

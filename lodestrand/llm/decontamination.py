@@ -9,42 +9,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .buffers import flat_utf8, mix, powers, slices
+from .buffers import LOWER, flat_utf8, slices
+from .buffers import words_in as words_by
 from .lineage import cut
 
 WORDS = 13
 #: Above so many terms or item positions, joins take the place of broadcasts.
 BROADCAST_TERMS, BROADCAST_ROWS = 1_000_000, 200_000
 LOWEST = -(1 << 63)
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[ord("A") : ord("Z") + 1] += 32
 _IN_WORD = np.zeros(256, bool)
 _IN_WORD[[*range(ord("0"), ord("9") + 1), *range(ord("A"), ord("Z") + 1), *range(ord("a"), ord("z") + 1), *range(0x80, 0x100)]] = True
-_PLACES = powers(0x5851F42D4C957F2D, 4096)
-
-
-def words_in(flat: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(text number, first byte, end byte, 64-bit hash) of each word, A-Z lower-cased; no word crosses texts."""
-    inside = _IN_WORD[flat]
-    if not inside.any():
-        none = np.empty(0, np.int64)
-        return none, none, none, none
-    opens = inside.copy()
-    opens[1:] &= ~inside[:-1]
-    closes = inside.copy()
-    closes[:-1] &= ~inside[1:]
-    heads = ends[:-1][ends[:-1] < len(flat)]
-    opens[heads] |= inside[heads]
-    tails = ends[1:][ends[1:] > 0] - 1
-    closes[tails] |= inside[tails]
-    first, end = np.flatnonzero(opens), np.flatnonzero(closes) + 1
-    sizes = end - first
-    at = np.cumsum(sizes) - sizes
-    letters = _LOWER[flat[inside]].astype(np.uint64) + np.uint64(1)
-    place = np.arange(len(letters)) - np.repeat(at, sizes)
-    hashes = mix(np.add.reduceat(letters * _PLACES[place & 4095], at) + sizes.astype(np.uint64)).view(np.int64)
-    text = np.searchsorted(ends, first, "right") - 1
-    return text, first, end, hashes
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -61,7 +35,7 @@ def term_counts(docs: DataFrame, terms: np.ndarray | None) -> DataFrame:
         total = np.zeros(0 if wanted is None else len(wanted), np.int64)
         for batch in batches:
             for _, _, flat, ends in slices(*flat_utf8(batch.column(0))):
-                hashes = words_in(flat, ends)[3]
+                hashes = words_by(flat, ends, _IN_WORD)[3]
                 if wanted is None:
                     found, n = np.unique(hashes, return_counts=True)
                     yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(n)], ["term", "n"])
@@ -83,7 +57,7 @@ def postings(docs: DataFrame, terms: np.ndarray | None) -> DataFrame:
         for batch in batches:
             keys = batch.column(0).to_numpy()
             for a, _, flat, ends in slices(*flat_utf8(batch.column(1))):
-                text, _, _, hashes = words_in(flat, ends)
+                text, _, _, hashes = words_by(flat, ends, _IN_WORD)
                 place = np.arange(len(text)) - np.searchsorted(text, text)
                 if wanted is not None:
                     at = np.minimum(np.searchsorted(wanted, hashes), len(wanted) - 1) if len(wanted) else np.zeros(len(hashes), np.int64)
@@ -100,8 +74,8 @@ def item_words(items: DataFrame, id_col: str = "item_id", text_col: str = "text"
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             flat, ends = flat_utf8(batch.column(1))
-            text, first, end, hashes = words_in(flat, ends)
-            low = _LOWER[flat].tobytes()
+            text, first, end, hashes = words_by(flat, ends, _IN_WORD)
+            low = LOWER[flat].tobytes()
             cuts = np.searchsorted(text, np.arange(batch.num_rows + 1))
             joined = [b" ".join(low[i:j] for i, j in zip(first[a:b].tolist(), end[a:b].tolist(), strict=True)).decode("utf-8", "replace") for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
             terms = pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(hashes))
@@ -171,13 +145,13 @@ def phrase_matches(docs: DataFrame, items: DataFrame, words: int = WORDS, id_col
         for batch in batches:
             n_words, n_hit, met = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64), [[] for _ in range(batch.num_rows)]
             for a, b, flat, ends in slices(*flat_utf8(batch.column(1))):
-                text, first, end, _ = words_in(flat, ends)
+                text, first, end, _ = words_by(flat, ends, _IN_WORD)
                 cuts = np.searchsorted(text, np.arange(b - a + 1))
                 n_words[a:b] = np.diff(cuts)
                 for k in range(b - a):
                     found = batch.column(2)[a + k].as_py()
                     if found:
-                        low = _LOWER[flat[ends[k] : ends[k + 1]]].tobytes()
+                        low = LOWER[flat[ends[k] : ends[k + 1]]].tobytes()
                         spans = list(zip((first[cuts[k] : cuts[k + 1]] - ends[k]).tolist(), (end[cuts[k] : cuts[k + 1]] - ends[k]).tolist(), strict=True))
                         n_hit[a + k], met[a + k] = _confirmed(low, spans, found, words)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_words), pa.array(n_hit), pa.array(met, pa.list_(pa.string()))], ["doc_id", "n_words", "n_hit", "item_ids"])

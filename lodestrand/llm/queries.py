@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontamination, quality, secret_scan, sharding, toxicity, winnowing
+from . import bpe, decontamination, near_duplicates, quality, secret_scan, sharding, toxicity, winnowing
 
 TOKENIZER = "byte_bpe_50k.json"
 TOKEN_LIMIT = 1024
@@ -102,6 +102,11 @@ def op4_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_bottom_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_duplicates.classes(table(spark, sf_dir, "documents"), words=3, percent=85)
+    return found.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
 def op9_flow_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """From shards by source, where a hot source makes one shard large, to eight of equal bytes."""
     docs = table(spark, sf_dir, "documents")
@@ -121,6 +126,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_decontamination": op3_decontamination,
     "op4_winnowing": op4_winnowing,
     "op5_token_counts": op5_token_counts,
+    "op6_bottom_k": op6_bottom_k,
     "op7_bpe_round_trip": op7_bpe_round_trip,
     "op8_quality": op8_quality,
     "op9_flow_resharding": op9_flow_resharding,
