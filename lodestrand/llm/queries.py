@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontamination, near_duplicates, quality, secret_scan, sharding, toxicity, winnowing
+from . import bpe, decontamination, near_duplicates, quality, repeats, secret_scan, sharding, toxicity, winnowing
 
 TOKENIZER = "byte_bpe_50k.json"
 TOKEN_LIMIT = 1024
@@ -63,6 +63,12 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), quality, text_crc() % 5 == 0)
 
 
+def op2_run_length_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repeats.remove_repeats(table(spark, sf_dir, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
+    return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def contaminated_share(docs: DataFrame, items: DataFrame) -> DataFrame:
     """Phrase matches with the contamination rule: some word hit, and a twentieth of the words or more."""
     found = decontamination.phrase_matches(docs, items)
@@ -123,6 +129,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
+    "op2_run_length_index": op2_run_length_index,
     "op3_decontamination": op3_decontamination,
     "op4_winnowing": op4_winnowing,
     "op5_token_counts": op5_token_counts,
