@@ -73,10 +73,10 @@ def train(docs: DataFrame, labels: DataFrame, trainable: Column, label_col: str
     return words, pu.fit_bag(flat("p", totals[0]), flat("u", totals[1]), len(words), prior)
 
 
-def score(docs: DataFrame, model: tuple[list[str], list[pu.Linear]], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, score) of each whole text, map-only. Null and empty texts hold no word and get the classifiers' base score; without classifiers 0.
+def score(docs: DataFrame, model: tuple[list[str], list[pu.Linear]], id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, score, and the columns ``carry``) of each whole text, map-only. Null and empty texts hold no word and get the classifiers' base score; without classifiers 0.
 
-    Repeated rows are scored each; other columns are left out. The broadcast model has ``VOCABULARY`` words at most."""
+    Repeated rows are scored each; columns that aren't carried are left out. The broadcast model has ``VOCABULARY`` words at most."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -92,6 +92,8 @@ def score(docs: DataFrame, model: tuple[list[str], list[pu.Linear]], id_col: str
                 feature += [number[w] for w in hits]
             n = batch.num_rows
             scores = pu.mean_scores(bag, np.array(row, np.int64), np.array(feature, np.int64), n) if bag else np.zeros(n)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], ["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), *batch.columns[2:]], ["doc_id", "score", *carry])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, score double")
+    kinds = dict(docs.dtypes)
+    rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text"), *carry)
+    return rows.mapInArrow(run, ", ".join(["doc_id long", "score double", *(f"`{c}` {kinds[c]}" for c in carry)]))
