@@ -1,0 +1,15 @@
+"""Intermediate tables that several later steps read."""
+
+from __future__ import annotations
+
+import tempfile
+
+from pyspark.sql import DataFrame
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """``df`` computed once and written to spark.checkpoint.dir, the folder that all executors share; a temporary one where the session names none."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="lodestrand-kept-"))
+    return df.checkpoint(eager=True)
