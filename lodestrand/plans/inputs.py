@@ -128,7 +128,10 @@ def source_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def feedback_log(spark: SparkSession, sf_dir: str, deletes: bool = False) -> DataFrame:
     """(id, owner, key, title, line2, line3, ts, op) from events: a type is an owner, a user a key."""
-    e = table(spark, sf_dir, "events")
+    return log_of(table(spark, sf_dir, "events"), deletes)
+
+
+def log_of(e: DataFrame, deletes: bool = False) -> DataFrame:
     op = F.when(F.lit(deletes) & (F.col("event_id") % 17 == 0), "delete").otherwise("add")
     key = F.concat(F.lit("u"), F.col("user_id").cast("string"))
     return e.select(F.lpad(F.col("event_id").cast("string"), 12, "0").alias("id"), F.col("event_type").alias("owner"), key.alias("key"), key.alias("title"), F.lit("a").alias("line2"), F.lit("").alias("line3"), "ts", op.alias("op"))

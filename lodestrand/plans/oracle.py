@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from ..functions.html import ATTRIBUTE, IMPLIED_ENDS, RAW, TOKEN, VOID_TAGS
 from ..functions.text import ENTITIES
 from ..profiles import BLOCK_TAGS, CHARSET_ALIASES, LATIN, NOISE_HINTS, NOISE_ROLES, NOISE_TAGS
@@ -118,6 +120,14 @@ uniq AS (SELECT * FROM usable WHERE match_key <> '' QUALIFY row_number() OVER (P
 candidates AS (SELECT {group}, row_number() OVER (PARTITION BY {group} ORDER BY source_no, sent_no, piece_no) - 1 AS pos, text, match_key FROM uniq QUALIFY pos < {P.limit})"""
 
 
+def renamed_steps(source: str, group: str) -> str:
+    """``sentence_steps`` for a statement that has them already: every name with 2 behind it."""
+    out = sentence_steps(source, group)
+    for name in ("cleanrows", "linerows", "sentraw", "sents", "affix", "bares", "longs", "pieces", "usable", "uniq", "candidates"):
+        out = re.sub(rf"\b{name}\b", name + "2", out)
+    return out
+
+
 def attribute(token: str, name: str) -> str:
     return f"regexp_extract({token}, {lit(ATTRIBUTE.format(name))}, 1)"
 

@@ -590,3 +590,41 @@ def match_label(s, d):
 @query("stage_timings", "SELECT event_type AS stage, count(*) AS n, round(avg(value), 6) AS avg_ms, max(value) AS max_ms FROM events GROUP BY event_type")
 def stage_timings(s, d):
     return R.stage_timings(N.table(s, d, "events").select(F.col("event_type").alias("stage"), F.col("value").alias("ms")))
+
+
+# Streams
+
+def scratch(s: SparkSession, name: str) -> str:
+    """A new folder where both the driver and the executors can write: under spark.checkpoint.dir, or a temporary one where the session names none."""
+    import tempfile
+    import uuid
+
+    base = s.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="lodestrand-stream-")
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def stream_of(s: SparkSession, d: str, name: str) -> tuple[str, str]:
+    """(folder, file pattern) to stream a table from, which is one file or a folder of files."""
+    one = N.table(s, d, name).inputFiles()[0]
+    return (d, f"{name}.parquet") if one.endswith(f"/{name}.parquet") else (f"{d}/{name}.parquet", "*.parquet")
+
+
+@query("stream_candidates", f"{_BODIES}, src2 AS (SELECT page_id, 0 AS source_no, body AS raw FROM chosen), {O.renamed_steps('src2', 'page_id')} SELECT page_id, pos, text, match_key FROM candidates2")
+def stream_candidates(s, d):
+    from ..streaming import jobs
+
+    out = scratch(s, "candidates")
+    folder, pattern = stream_of(s, d, "pages")
+    jobs.stream_candidates(s, folder, f"{out}/rows", f"{out}/state", pattern=pattern)
+    return s.read.parquet(f"{out}/rows").select("page_id", F.col("pos").cast("long").alias("pos"), "text", "match_key")
+
+
+@query("stream_feedback")
+def stream_feedback(s, d):
+    from ..streaming import jobs
+
+    out = scratch(s, "feedback")
+    folder, pattern = stream_of(s, d, "events")
+    events = s.readStream.schema(N.table(s, d, "events").schema).option("pathGlobFilter", pattern).parquet(folder)
+    jobs.stream_feedback(N.log_of(events, deletes=True), f"{out}/rows", f"{out}/state")
+    return jobs.present_rings(s, f"{out}/rows")
