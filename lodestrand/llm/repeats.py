@@ -6,11 +6,11 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .buffers import flat_utf8, mix, powers, sliding_min
-from .lineage import cut
+from .lineage import written
 from .run_length_index import RunLengthIndex
 
 #: Bytes of the repeats looked for, and of an anchor.
@@ -43,34 +43,42 @@ def fragments_of(data: np.ndarray, width: int = WIDTH, anchor: int = ANCHOR) ->
     return [np.concatenate(x) for x in zip(*parts, strict=True)] if parts else [np.empty(0, np.int64)] * 4
 
 
-def _anchored(rows: DataFrame, width: int, only_anchors: bool) -> DataFrame:
+def _anchored(rows: DataFrame, width: int) -> DataFrame:
+    """(anchor, whole, key, place, copy) of every fragment; place is start << 20 | windows.
+
+    Within an Arrow batch all but the first of equal fragments are known to be copies. They take a random anchor, so that what a third of the corpus
+    repeats is spread over all tasks, and only a row for each batch meets at the common anchor."""
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             flat, ends = flat_utf8(batch.column(1))
-            keys = batch.column(0).to_numpy()
-            for at in range(0, len(keys), 1024):
-                found = [fragments_of(flat[a:b], width) for a, b in zip(ends[at : at + 1024], ends[at + 1 : at + 1025], strict=False) if b - a >= width]
-                key = [keys[at + i] for i, (a, b) in enumerate(zip(ends[at : at + 1024], ends[at + 1 : at + 1025], strict=False)) if b - a >= width]
-                if not found:
-                    continue
-                anchor, whole, start, windows = (np.concatenate(x) for x in zip(*found, strict=True))
-                if only_anchors:
-                    anchor, n = np.unique(anchor, return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(n)], ["anchor", "n"])
-                else:
-                    key = np.repeat(np.array(key, np.int64), [len(x[0]) for x in found])
-                    yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(whole), pa.array(key), pa.array((start << 20) | windows)], ["anchor", "whole", "key", "place"])
+            long = np.flatnonzero(np.diff(ends) >= width)
+            if not len(long):
+                continue
+            found = [fragments_of(flat[ends[i] : ends[i + 1]], width) for i in long.tolist()]
+            anchor, whole, start, windows = (np.concatenate(x) for x in zip(*found, strict=True))
+            key = np.repeat(batch.column(0).to_numpy()[long], [len(x[0]) for x in found])
+            order = np.lexsort((start, key, whole, anchor))
+            anchor, whole, key, place = anchor[order], whole[order], key[order], ((start << 20) | windows)[order]
+            copy = np.concatenate(([False], (anchor[1:] == anchor[:-1]) & (whole[1:] == whole[:-1])))
+            anchor = np.where(copy, mix((key ^ (place << 8)).view(np.uint64)).view(np.int64), anchor)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (anchor, whole, key, place, copy)], ["anchor", "whole", "key", "place", "copy"])
 
-    return rows.mapInArrow(run, "anchor long, n long" if only_anchors else "anchor long, whole long, key long, place long")
+    return rows.mapInArrow(run, "anchor long, whole long, key long, place long, copy boolean")
 
 
 def _texts_cut(rows: DataFrame, places: DataFrame, width: int) -> DataFrame:
-    """(anchor, key, start, body): the bytes of the fragments in ``places`` (key, places array<struct<anchor, start, windows>>)."""
+    """(anchor, key, start, body): the bytes of the fragments in ``places`` (key, places array<struct<anchor, start, windows>>).
+
+    The join keeps texts without places, so that its shuffle of the texts is the very one that ``remove_repeats`` needs, and runs once."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
+                part = part.filter(part.column(2).is_valid())
+                if not part.num_rows:
+                    continue
                 flat, ends = flat_utf8(part.column(1))
                 found = part.column(2)
                 each = found.flatten()
@@ -81,7 +89,7 @@ def _texts_cut(rows: DataFrame, places: DataFrame, width: int) -> DataFrame:
                 bodies = [flat[a:b].tobytes() for a, b in zip(first.tolist(), last.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(part.column(0).to_numpy()[row]), pa.array(start), pa.array(bodies, pa.binary())], ["anchor", "key", "start", "body"])
 
-    return rows.join(places, "key").select("key", "text", "places").mapInArrow(run, "anchor long, key long, start long, body binary")
+    return rows.join(places.hint("merge"), "key", "left").select("key", "text", "places").mapInArrow(run, "anchor long, key long, start long, body binary")
 
 
 def _repeated_inside(bodies: list[bytes], keys: np.ndarray, starts: np.ndarray, width: int) -> Iterator[tuple[int, int, int]]:
@@ -146,22 +154,23 @@ def _by_window_hash(fragments: DataFrame, width: int) -> DataFrame:
 def repeated_windows(rows: DataFrame, width: int = WIDTH) -> DataFrame:
     """(key, start, windows): stretches of windows of ``width`` bytes of ``rows`` (key, text) that also start earlier, in a smaller key or further left.
 
-    1. Anchors are counted over all texts; only fragments whose anchor occurs again go on. 2. Of equal fragments all but the first are repeats as a
-    whole, found by partial minima, so thousands of copies meet as a few rows. 3. Different fragments of one anchor - the edges of what repeats -
-    go to run-length indexes, by anchor; an anchor with very many of them is compared window by window instead, in many tasks."""
-    again = _anchored(rows, width, True).groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1").select("anchor")
-    placed = cut(_anchored(rows, width, False).join(again, "anchor"))
-    first = placed.groupBy("anchor", "whole").agg(F.min(F.struct("key", F.shiftright("place", 20).alias("start"), F.col("place").bitwiseAND((1 << 20) - 1).alias("windows"))).alias("first"))
-    first = cut(first)
-    copies = placed.join(first, ["anchor", "whole"]).select("key", F.shiftright("place", 20).alias("start"), F.col("place").bitwiseAND((1 << 20) - 1).alias("windows"), "first")
-    copies = copies.where((F.col("key") != F.col("first.key")) | (F.col("start") != F.col("first.start"))).select("key", "start", "windows")
-    several = first.groupBy("anchor").agg(F.count("*").alias("fragments")).where("fragments > 1")
-    edges = first.join(several, "anchor").select("anchor", "fragments", "first.key", "first.start", "first.windows")
+    1. Fragments meet by anchor, in one shuffle; those of an anchor that nothing shares are dropped. 2. Of equal fragments all but the first are
+    repeats as a whole. 3. Different fragments of one anchor - the edges of what repeats - go to run-length indexes, by anchor; an anchor with very
+    many of them is compared window by window instead, in many tasks."""
+    equal, shared = Window.partitionBy("anchor", "whole"), Window.partitionBy("anchor")
+    here = F.struct("key", "place")
+    placed = _anchored(rows, width).withColumn("first", ~F.col("copy") & (F.min(here).over(equal) == here))
+    placed = placed.withColumn("fragments", F.sum(F.col("first").cast("int")).over(shared)).where("copy or not first or fragments > 1")
+    start, windows = F.shiftright("place", 20).alias("start"), F.col("place").bitwiseAND((1 << 20) - 1).alias("windows")
+    placed = written(placed.select("anchor", "key", start, windows, "first", "fragments"))
+    copies = placed.where("not first").select("key", "start", "windows")
+    edges = placed.where("first")
+    several = edges.select("anchor", "fragments").distinct()
     places = edges.groupBy("key").agg(F.collect_list(F.struct("anchor", "start", "windows")).alias("places"))
     hot = several.where(F.col("fragments") > HOT_FRAGMENTS)
     bodies = _texts_cut(rows, places, width)
     if hot.limit(1).count():
-        bodies = cut(bodies)
+        bodies = written(bodies)
         large = _by_window_hash(bodies.join(hot, "anchor", "left_semi"), width)
         bodies = bodies.join(hot, "anchor", "left_anti")
         copies = copies.unionByName(large)
@@ -202,5 +211,5 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id",
                     kept.append(data[~gone[1:-1]].tobytes())
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(ends)), pa.array(spans, pa.list_(span)), pa.array(kept, pa.binary())], ["key", "n_bytes", "spans", "kept"])
 
-    out = rows.join(marks, "key", "left").select("key", "text", "marks").mapInArrow(run, "key long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary")
+    out = rows.join(marks.hint("merge"), "key", "left").select("key", "text", "marks").mapInArrow(run, "key long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary")
     return out.select(F.when(F.col("key") != LOWEST, F.col("key")).alias("doc_id"), "n_bytes", "spans", "kept")
