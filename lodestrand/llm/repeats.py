@@ -44,7 +44,7 @@ def fragments_of(data: np.ndarray, width: int = WIDTH, anchor: int = ANCHOR) ->
 
 
 def _anchored(rows: DataFrame, width: int) -> DataFrame:
-    """(anchor, whole, key, place, copy) of every fragment; place is start << 20 | windows.
+    """(anchor, whole, key, place) of every fragment; place is start << 20 | windows << 1 | copy.
 
     Within an Arrow batch all but the first of equal fragments are known to be copies. They take a random anchor, so that what a third of the corpus
     repeats is spread over all tasks, and only a row for each batch meets at the common anchor."""
@@ -59,12 +59,14 @@ def _anchored(rows: DataFrame, width: int) -> DataFrame:
             anchor, whole, start, windows = (np.concatenate(x) for x in zip(*found, strict=True))
             key = np.repeat(batch.column(0).to_numpy()[long], [len(x[0]) for x in found])
             order = np.lexsort((start, key, whole, anchor))
-            anchor, whole, key, place = anchor[order], whole[order], key[order], ((start << 20) | windows)[order]
-            copy = np.concatenate(([False], (anchor[1:] == anchor[:-1]) & (whole[1:] == whole[:-1])))
-            anchor = np.where(copy, mix((key ^ (place << 8)).view(np.uint64)).view(np.int64), anchor)
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (anchor, whole, key, place, copy)], ["anchor", "whole", "key", "place", "copy"])
+            copy = np.zeros(len(anchor), bool)
+            a, w = anchor[order], whole[order]
+            copy[order[1:]] = (a[1:] == a[:-1]) & (w[1:] == w[:-1])
+            place = (start << 20) | (windows << 1) | copy  # rows stay in text order, in which keys compress well
+            anchor = np.where(copy, mix((key ^ (start << 28)).view(np.uint64)).view(np.int64), anchor)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (anchor, whole, key, place)], ["anchor", "whole", "key", "place"])
 
-    return rows.mapInArrow(run, "anchor long, whole long, key long, place long, copy boolean")
+    return rows.mapInArrow(run, "anchor long, whole long, key long, place long")
 
 
 def _texts_cut(rows: DataFrame, places: DataFrame, width: int) -> DataFrame:
@@ -146,9 +148,9 @@ def _by_window_hash(fragments: DataFrame, width: int) -> DataFrame:
                 windows = [body[i : i + width] for i in range(len(body) - width + 1)]
                 yield pa.RecordBatch.from_arrays([pa.array(windows, pa.binary()), pa.array([key] * len(windows), pa.int64()), pa.array(range(start, start + len(windows)), pa.int64())], ["window", "key", "start"])
 
-    rows = fragments.select("anchor", "key", "start", "body").mapInArrow(run, "window binary, key long, start long").select(F.sha2("window", 256).alias("window"), "key", "start")
-    first = rows.groupBy("window").agg(F.min(F.struct("key", "start")).alias("first"))
-    return rows.join(first, "window").where(F.struct("key", "start") != F.col("first")).select("key", "start", F.lit(1).cast("long").alias("windows"))
+    rows = fragments.select("anchor", "key", "start", "body").mapInArrow(run, "window binary, key long, start long").select(F.xxhash64("window").alias("a"), F.xxhash64(F.lit(1), "window").alias("b"), "key", "start")
+    first = rows.groupBy("a", "b").agg(F.min(F.struct("key", "start")).alias("first"))
+    return rows.join(first, ["a", "b"]).where(F.struct("key", "start") != F.col("first")).select("key", "start", F.lit(1).cast("long").alias("windows"))
 
 
 def repeated_windows(rows: DataFrame, width: int = WIDTH) -> DataFrame:
@@ -159,9 +161,10 @@ def repeated_windows(rows: DataFrame, width: int = WIDTH) -> DataFrame:
     many of them is compared window by window instead, in many tasks."""
     equal, shared = Window.partitionBy("anchor", "whole"), Window.partitionBy("anchor")
     here = F.struct("key", "place")
-    placed = _anchored(rows, width).withColumn("first", ~F.col("copy") & (F.min(here).over(equal) == here))
-    placed = placed.withColumn("fragments", F.sum(F.col("first").cast("int")).over(shared)).where("copy or not first or fragments > 1")
-    start, windows = F.shiftright("place", 20).alias("start"), F.col("place").bitwiseAND((1 << 20) - 1).alias("windows")
+    placed = _anchored(rows, width).repartition("anchor")  # serves both windows
+    placed = placed.withColumn("first", (F.col("place").bitwiseAND(1) == 0) & (F.min(here).over(equal) == here))
+    placed = placed.withColumn("fragments", F.sum(F.col("first").cast("int")).over(shared)).where("not first or fragments > 1")
+    start, windows = F.shiftright("place", 20).alias("start"), F.shiftright(F.col("place").bitwiseAND((1 << 20) - 1), 1).alias("windows")
     placed = written(placed.select("anchor", "key", start, windows, "first", "fragments"))
     copies = placed.where("not first").select("key", "start", "windows")
     edges = placed.where("first")
@@ -170,7 +173,6 @@ def repeated_windows(rows: DataFrame, width: int = WIDTH) -> DataFrame:
     hot = several.where(F.col("fragments") > HOT_FRAGMENTS)
     bodies = _texts_cut(rows, places, width)
     if hot.limit(1).count():
-        bodies = written(bodies)
         large = _by_window_hash(bodies.join(hot, "anchor", "left_semi"), width)
         bodies = bodies.join(hot, "anchor", "left_anti")
         copies = copies.unionByName(large)
