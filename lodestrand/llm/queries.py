@@ -139,4 +139,32 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_flow_resharding": op9_flow_resharding,
     "op10_secret_scan": op10_secret_scan,
 }
-ORACLE_SQL: dict[str, str] = {}
+def _words_sql(pattern: str, text: str = "text") -> str:
+    capitals = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    return f"regexp_extract_all(translate(ifnull({text}, ''), '{capitals}', '{capitals.lower()}'), '{pattern}')"
+
+
+_PHRASES_SQL = f"""
+WITH dw AS (SELECT doc_id, {_words_sql("[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+")} AS l FROM documents),
+bw AS (SELECT item_id::VARCHAR AS item_id, {_words_sql("[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+")} AS l FROM benchmark),
+bk AS (SELECT item_id, l, least(13, len(l)) AS n, unnest(range(1, greatest(len(l) - 12, 1) + 1)) AS k FROM bw WHERE len(l) > 0),
+bwin AS (SELECT DISTINCT item_id, n, array_to_string(l[k:k + n - 1], ' ') AS win FROM bk),
+dk AS (SELECT doc_id, l, n, unnest(range(1, len(l) - n + 2)) AS k FROM dw, (SELECT DISTINCT n FROM bwin) WHERE len(l) >= n),
+hits AS (SELECT doc_id, k, n, item_id FROM (SELECT doc_id, k, n, array_to_string(l[k:k + n - 1], ' ') AS win FROM dk) JOIN bwin USING (n, win)),
+nh AS (SELECT doc_id, count(*) AS n_hit FROM (SELECT DISTINCT doc_id, unnest(range(k, k + n)) AS p FROM hits) GROUP BY doc_id),
+it AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS items FROM (SELECT DISTINCT doc_id, item_id FROM hits) GROUP BY doc_id)
+SELECT doc_id, len(l) AS n_words, ifnull(n_hit, 0) AS n_hit, ifnull(n_items, 0) AS n_items, sha256(ifnull(items, '')) AS items_sha256,
+ ifnull(n_hit, 0) > 0 AND 20 * ifnull(n_hit, 0) >= len(l) AS contaminated
+FROM dw LEFT JOIN nh USING (doc_id) LEFT JOIN it USING (doc_id)"""
+
+_CLASSES_SQL = f"""
+WITH RECURSIVE w AS (SELECT doc_id, {_words_sql("[^\\x20\\x09-\\x0D]+")} AS l FROM documents),
+k AS (SELECT doc_id, l, unnest(range(1, greatest(len(l) - 2, 1) + 1)) AS k FROM w WHERE len(l) > 0),
+sh AS (SELECT DISTINCT doc_id, array_to_string(l[k:k + 2], ' ') AS s FROM k),
+n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+links AS (SELECT a.doc_id AS a, b.doc_id AS b FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id <> b.doc_id JOIN n x ON x.doc_id = a.doc_id JOIN n y ON y.doc_id = b.doc_id
+ GROUP BY a.doc_id, b.doc_id, x.n, y.n HAVING 100 * count(*) >= 85 * (x.n + y.n - count(*))),
+reach AS (SELECT doc_id, doc_id AS r FROM documents UNION SELECT reach.doc_id, links.b FROM reach JOIN links ON links.a = reach.r)
+SELECT doc_id, ifnull(any_value(n), 0) AS n_shingles, min(r) AS component_id, min(r) = doc_id AS kept FROM reach LEFT JOIN n USING (doc_id) GROUP BY doc_id"""
+
+ORACLE_SQL: dict[str, str] = {"op3_decontamination": _PHRASES_SQL, "op6_bottom_k": _CLASSES_SQL}
