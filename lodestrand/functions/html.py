@@ -23,7 +23,9 @@ ATTRIBUTE = "(?is)\\b{}\\s*=\\s*[\"']([^\"']*)[\"']"
 
 def html_tokens(pages: DataFrame) -> DataFrame:
     """(page_id, pos, kind, tag, token) in document order; kind is open, close, void or text."""
-    cut = pages.select("page_id", F.posexplode(F.regexp_extract_all(F.regexp_replace("html", RAW, " "), F.lit(TOKEN), F.lit(0))).alias("pos", "token"))
+    n = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = pages.select("page_id", "html").repartition(n, "page_id")  # the one shuffle: every window and grouping by page that follows stays in place
+    cut = dealt.select("page_id", F.posexplode(F.regexp_extract_all(F.regexp_replace("html", RAW, " "), F.lit(TOKEN), F.lit(0))).alias("pos", "token"))
     tag = F.lower(F.regexp_extract("token", "^</?([a-zA-Z][a-zA-Z0-9]*)", 1))
     kind = (
         F.when(F.col("token").rlike("^</[a-zA-Z]"), "close")
