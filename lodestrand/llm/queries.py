@@ -122,7 +122,12 @@ def op9_flow_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_scan.scan(table(spark, sf_dir, "documents"))
-    counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{secret_scan.KINDS[k]}") for k in range(3)]
+
+    def of_kind(k: int):
+        # The lambda must have one parameter: Spark passes an element's index as a second one.
+        return F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long").alias(f"n_{secret_scan.KINDS[k]}")
+
+    counts = [of_kind(k) for k in range(3)]
     spans = secret_scan.joined(secret_scan.all_spans(F.col("base"), F.col("owned")))
     return found.select("doc_id", *counts, F.sha2(secret_scan.joined(F.col("base")), 256).alias("base_sha256"), spans.alias("spans"))
 
@@ -139,6 +144,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_flow_resharding": op9_flow_resharding,
     "op10_secret_scan": op10_secret_scan,
 }
+
+
 def _words_sql(pattern: str, text: str = "text") -> str:
     capitals = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
     return f"regexp_extract_all(translate(ifnull({text}, ''), '{capitals}', '{capitals.lower()}'), '{pattern}')"
@@ -167,4 +174,57 @@ links AS (SELECT a.doc_id AS a, b.doc_id AS b FROM sh a JOIN sh b ON a.s = b.s A
 reach AS (SELECT doc_id, doc_id AS r FROM documents UNION SELECT reach.doc_id, links.b FROM reach JOIN links ON links.a = reach.r)
 SELECT doc_id, ifnull(any_value(n), 0) AS n_shingles, min(r) AS component_id, min(r) = doc_id AS kept FROM reach LEFT JOIN n USING (doc_id) GROUP BY doc_id"""
 
-ORACLE_SQL: dict[str, str] = {"op3_decontamination": _PHRASES_SQL, "op6_bottom_k": _CLASSES_SQL}
+_REPEATS_SQL = """
+WITH b AS (SELECT doc_id, hex(encode(ifnull(text, ''))) AS h FROM documents),
+seg AS (SELECT doc_id, k * 1000 AS base, substr(h, k * 2000 + 1, 2198) AS g FROM (SELECT doc_id, h, unnest(range(0, len(h) // 2000 + 1)) AS k FROM b)),
+win AS (SELECT doc_id, base + j AS p, md5_number(substr(g, 2 * j + 1, 200)) AS w FROM (SELECT doc_id, base, g, unnest(range(0, least(1000, len(g) // 2 - 99))) AS j FROM seg)),
+again AS (SELECT doc_id, p FROM (SELECT doc_id, p, row_number() OVER (PARTITION BY w ORDER BY doc_id, p) AS r FROM win) WHERE r > 1),
+runs AS (SELECT doc_id, p, sum(CASE WHEN p - before <= 100 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY p) AS run
+ FROM (SELECT doc_id, p, lag(p) OVER (PARTITION BY doc_id ORDER BY p) AS before FROM again)),
+spans AS (SELECT doc_id, min(p) AS s, max(p) + 100 AS e FROM runs GROUP BY doc_id, run),
+cuts AS (SELECT doc_id, s, e, lag(e, 1, 0) OVER (PARTITION BY doc_id ORDER BY s) AS f FROM spans),
+parts AS (SELECT doc_id, sum(e - s) AS n_removed, count(*) AS n_spans, max(e) AS last, string_agg(substr(h, 2 * f + 1, 2 * (s - f)), '' ORDER BY s) AS head
+ FROM cuts JOIN b USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, len(h) // 2 AS n_bytes, ifnull(n_removed, 0)::BIGINT AS n_removed, ifnull(n_spans, 0) AS n_spans,
+ sha256(unhex(ifnull(head, '') || substr(h, 2 * ifnull(last, 0) + 1))) AS kept_sha256
+FROM b LEFT JOIN parts USING (doc_id)"""
+
+
+def _secrets_sql() -> str:
+    def either_case(word: str) -> str:
+        return "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in word)
+
+    names = "|".join(either_case(w) for w in ("password", "passwd", "secret", "token", "api_?key"))
+    assign = f"""({names})["'']?\\x20*[:=]\\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
+    kinds = [(0, "assign", assign), (1, "access", "AKIA[A-Z0-9]+"), (2, "hex", "[0-9a-f]+")]
+    # A pattern or else one character: the pieces tile the text, so their lengths add up to positions.
+    tiles = " UNION ALL ".join(
+        f"SELECT doc_id, {k} AS k, '{name}' AS kind, unnest(regexp_extract_all(text, '(?s){pattern}|.')) AS x, generate_subscripts(regexp_extract_all(text, '(?s){pattern}|.'), 1) AS i"
+        f" FROM t WHERE regexp_matches(text, '{pattern}')"
+        for k, name, pattern in kinds
+    )
+    return f"""
+WITH t AS (SELECT doc_id, ifnull(source, '') AS owner, ifnull(text, '') AS text FROM documents),
+tiles AS ({tiles}),
+placed AS (SELECT doc_id, k, kind, x, sum(len(x)) OVER (PARTITION BY doc_id, k ORDER BY i)::BIGINT AS e FROM tiles),
+valued AS (SELECT doc_id, k, kind, e - len(x) AS s, e, CASE k WHEN 0 THEN regexp_extract(x, '{assign}', 2) ELSE x END AS v FROM placed),
+base AS (SELECT * FROM valued WHERE len(v) >= CASE k WHEN 0 THEN 6 WHEN 1 THEN 20 ELSE 24 END),
+rare AS (SELECT v FROM base JOIN t USING (doc_id) GROUP BY v HAVING count(DISTINCT owner) = 1 AND count(DISTINCT doc_id) <= 2),
+owned AS (SELECT DISTINCT doc_id, 3 AS k, 'owned' AS kind, e - len(v) AS s, e FROM base SEMI JOIN rare USING (v)
+ WHERE regexp_matches(v, '[0-9]') AND regexp_matches(v, '[A-Za-z]')
+ AND NOT regexp_matches(lower(v), 'example|sample|dummy|changeme|placeholder|your|test|xxxx|\\.\\.\\.')
+ AND len(list_filter(range(1, len(v) - 4), lambda i: substr(lower(v), i, 6) = repeat(substr(lower(v), i, 1), 6))) = 0),
+b AS (SELECT doc_id, count(*) FILTER (k = 0) AS n_assign, count(*) FILTER (k = 1) AS n_access, count(*) FILTER (k = 2) AS n_hex,
+ string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, k) AS base FROM base GROUP BY doc_id),
+a AS (SELECT doc_id, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, k, e) AS spans
+ FROM (SELECT doc_id, k, kind, s, e FROM base UNION ALL SELECT doc_id, k, kind, s, e FROM owned) GROUP BY doc_id)
+SELECT doc_id, ifnull(n_assign, 0) AS n_assign, ifnull(n_access, 0) AS n_access, ifnull(n_hex, 0) AS n_hex, sha256(ifnull(base, '')) AS base_sha256, ifnull(spans, '') AS spans
+FROM t LEFT JOIN b USING (doc_id) LEFT JOIN a USING (doc_id)"""
+
+
+ORACLE_SQL: dict[str, str] = {
+    "op2_run_length_index": _REPEATS_SQL,
+    "op3_decontamination": _PHRASES_SQL,
+    "op6_bottom_k": _CLASSES_SQL,
+    "op10_secret_scan": _secrets_sql(),
+}
