@@ -26,9 +26,13 @@ def words_of(text: Column) -> Column:
 
 
 def terms_of(words: Column) -> Column:
-    """The words, and as head* their heads."""
-    heads = [F.transform(F.filter(words, lambda w, n=n: F.length(w) > n), lambda w, n=n: F.concat(F.substring(w, 1, n), F.lit("*"))) for n in HEADS]
-    return F.array_distinct(F.concat(words, *heads))
+    """The words, and as head* their heads: the Column form of ``terms_in``."""
+
+    def heads(n: int) -> Column:
+        # The lambdas must have one parameter: Spark passes an element's index as a second one.
+        return F.transform(F.filter(words, lambda w: F.length(w) > n), lambda w: F.concat(F.substring(w, 1, n), F.lit("*")))
+
+    return F.array_distinct(F.concat(words, *(heads(n) for n in HEADS)))
 
 
 def terms_in(text: str) -> set[str]:
