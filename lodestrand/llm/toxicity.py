@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import pu
 
@@ -25,19 +28,20 @@ def words_of(text: Column) -> Column:
     return F.array_distinct(F.split(F.lower(text), r"[^\p{L}]+"))
 
 
-def terms_of(words: Column) -> Column:
-    """The words, and as head* their heads: the Column form of ``terms_in``."""
-
-    def heads(n: int) -> Column:
-        # The lambdas must have one parameter: Spark passes an element's index as a second one.
-        return F.transform(F.filter(words, lambda w: F.length(w) > n), lambda w: F.concat(F.substring(w, 1, n), F.lit("*")))
-
-    return F.array_distinct(F.concat(words, *(heads(n) for n in HEADS)))
-
-
 def terms_in(text: str) -> set[str]:
+    """The words; as head* the heads of longer words; as head** those that two or more different words begin with."""
     words = set(_WORD.findall(text.lower()))
-    return words.union(*({w[:n] + "*" for w in words if len(w) > n} for n in HEADS))
+    out = set(words)
+    for n in HEADS:
+        heads = Counter(w[:n] for w in words if len(w) > n)
+        out.update(h + "*" for h in heads)
+        out.update(h + "**" for h, k in heads.items() if k > 1)
+    return out
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def terms_of(text: pd.Series) -> pd.Series:
+    return text.map(lambda t: list(terms_in(t)))
 
 
 def family_of(words: Column) -> Column:
@@ -52,8 +56,8 @@ def train(docs: DataFrame, labels: DataFrame, trainable: Column, label_col: str
     In choosing words, a family of near copies counts once, so that no word stands for one often copied text. Only ``vocabulary`` words and, for each sampled row, the numbers of its terms reach the driver.
     Without a positive row there are no classifiers."""
     sample, prior = pu.training_sample(docs, labels, label_col, trainable)
-    sample = sample.select("doc_id", words_of(F.col("text")).alias("words"), "positive", "unlabelled").withColumn("same", family_of(F.col("words")))
-    held = sample.select("doc_id", "same", "positive", "unlabelled", F.explode(terms_of(F.col("words"))).alias("word")).where("word <> ''")
+    sample = sample.withColumn("same", family_of(words_of(F.col("text"))))
+    held = sample.select("doc_id", "same", "positive", "unlabelled", F.explode(terms_of("text")).alias("word"))
     distinct = sample.groupBy("same").agg(F.max("positive").alias("p"), F.max("unlabelled").alias("u"))
     n = distinct.agg(F.coalesce(F.sum(F.col("p").cast("int")), F.lit(0)).alias("p"), F.coalesce(F.sum(F.col("u").cast("int")), F.lit(0)).alias("u")).first()
     if not n["p"] or not n["u"]:
