@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from lodestrand.llm import bpe, components, decontamination, near_duplicates, pu, quality, queries, repeats, secret_scan, sharding, toxicity, winnowing
 from lodestrand.llm.run_length_index import RunLengthIndex
 
+from ..compare import difference
+
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, ids string, n_tokens string, score string, shard string, node string, key string"
 
 
@@ -37,6 +39,18 @@ def library():
     return Tokenizer.from_file(queries.tokenizer_path())
 
 
+@pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
+def test_same_as_sql(spark, name):
+    assert difference(spark, queries.QUERIES[name], queries.ORACLE_SQL[name], "/root/testdata/sf0.001") == ""
+
+
+def test_terms(spark):
+    texts = ["Trashy trashed trash", "abcde abcd", "", "12 _ été"]
+    got = [set(r[0]) for r in spark.createDataFrame(list(enumerate(texts)), "i int, text string").orderBy("i").select(toxicity.terms_of("text")).collect()]
+    assert got == [toxicity.terms_in(t) for t in texts]
+    assert got[:3] == [{"trashy", "trashed", "trash", "tras*", "tras**", "trash*", "trash**"}, {"abcde", "abcd", "abcd*"}, set()]
+
+
 def test_bpe_like_the_library(spark, mixed):
     t = library()
     rows = [*mixed, mixed[3], (None, "null id")]
