@@ -13,8 +13,10 @@ from .buffers import flat_utf8, mix, slices, words_in
 from .components import components
 from .lineage import cut
 
-#: Retained values of a sketch, the longest inverted list whose members are all paired, and the leaders and lists by which longer ones are met.
+#: Retained values of a sketch, the longest inverted list whose members are all paired at once, and the leaders and lists by which longer ones are met first.
 K, LIST, LEADERS, LISTS = 32, 16, 4, 4
+#: Members of a long list that one block holds when what the leaders left apart is paired.
+BLOCK = 1024
 #: A pair goes on to the exact comparison if its estimate is at most so far below the threshold (four standard errors at K = 32).
 SLACK = 0.25
 _IN_WORD = np.ones(256, bool)
@@ -70,28 +72,37 @@ def near_sizes(a: Column, b: Column, percent: int) -> Column:
     return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
 
-def candidate_pairs(reps: DataFrame, percent: int, k: int = K, longest: int = LIST) -> DataFrame:
-    """(a, b), a < b: nodes of ``reps`` (node, n, sketch) that an inverted list brings together, each pair once.
+def needed(size: Column, least: float) -> Column:
+    """How many values a sketch of ``size`` shares at least with any other for an estimate of ``least``: the union has no fewer values than either sketch's part."""
+    return F.greatest(F.lit(1), F.ceil(size * least - 1e-9)).cast("int")
 
-    A list holds the nodes that retain two values next to each other; a pair of similarity s has such neighbours with probability s * s each, so
-    of 31 lists at 0.85 it lacks all with a probability below 1e-10, and a shingle that half the corpus has makes no list by itself.
-    Lists of up to ``longest`` nodes give all their pairs. Of a longer list, which comes from a large group of near copies or from a passage that
-    many texts repeat, only nodes with at least half of their values in such lists take part - others meet through their other lists - and each
-    is paired with the list's leaders: the nodes that share the most long lists, which are the least edited of a group."""
-    pairs_of_values = F.transform(F.sequence(F.lit(1), F.size("sketch") - 1), lambda i: F.xxhash64(F.get("sketch", i - 1), F.get("sketch", i)))
-    lists = reps.where("size(sketch) > 1").select("node", "n", F.explode(pairs_of_values).alias("list"))
-    sizes = lists.groupBy("list").agg(F.count("*").alias("members")).where("members > 1")
-    listed = cut(lists.join(sizes, "list"))
+
+def rare_lists(reps: DataFrame, least: float) -> DataFrame:
+    """(node, n, list, members): inverted lists of retained values in which any two nodes of ``reps`` (node, n, sketch) whose estimate is ``least`` or more meet.
+
+    Two sketches that share c values share one among the (size - c + 1) first of each in any common order. The order is by how many sketches hold
+    a value, rarest first, so a passage that many texts repeat makes a list only for texts of which it is most. Values of one sketch come first and make no list."""
+    values = reps.select("node", "n", F.size("sketch").alias("size"), F.explode("sketch").alias("list"))
+    held = values.groupBy("list").agg(F.count("*").alias("held")).where("held > 1")
+    sorted_values = values.join(held, "list").groupBy("node", "n", "size").agg(F.array_sort(F.collect_list(F.struct("held", "list"))).alias("v"))
+    first = F.col("size") - needed(F.col("size"), least) + 1 - (F.col("size") - F.size("v"))
+    lists = cut(sorted_values.select("node", "n", F.explode(F.slice("v", F.lit(1), F.greatest(F.lit(0), first))).alias("x")).select("node", "n", F.col("x.list").alias("list")))
+    return cut(lists.join(lists.groupBy("list").agg(F.count("*").alias("members")).where("members > 1"), "list").select("node", "n", "list", "members"))
+
+
+def first_pairs(lists: DataFrame, percent: int) -> DataFrame:
+    """(a, b), a < b, each once: all pairs of the lists of up to LIST nodes, and members of longer ones with the list's leaders - the nodes in the most long lists.
+
+    The leaders join a large group of near copies by few pairs; ``rest_pairs`` gives all others."""
     member = F.struct("node", "n")
-    short = listed.where(F.col("members") <= longest).groupBy("list").agg(F.collect_list(member).alias("m"))
+    short = lists.where(F.col("members") <= LIST).groupBy("list").agg(F.collect_list(member).alias("m"))
 
     def partners(x: Column) -> Column:
         return F.transform(F.filter("m", lambda y: (y["node"] > x["node"]) & near_sizes(x["n"], y["n"], percent)), lambda y: F.struct(x["node"].alias("a"), y["node"].alias("b")))
 
     near = short.select(F.explode(F.flatten(F.transform("m", partners))).alias("p")).select("p.a", "p.b")
-    long = listed.where(F.col("members") > longest)
-    shares = long.groupBy("node").agg(F.count("*").alias("shared")).join(reps.select("node", "n"), "node").where(2 * F.col("shared") >= F.least("n", F.lit(k)) - 1)
-    taking = long.join(shares.select("node", "shared"), "node")
+    long = lists.where(F.col("members") > LIST)
+    taking = long.join(long.groupBy("node").agg(F.count("*").alias("shared")), "node")
     leaders = taking.withColumn("r", F.row_number().over(Window.partitionBy("list").orderBy(F.desc("shared"), "node"))).where(F.col("r") <= LEADERS)
     leaders = leaders.select("list", F.col("node").alias("leader"), F.col("n").alias("leader_n"))
     few = taking.withColumn("r", F.row_number().over(Window.partitionBy("node").orderBy("list"))).where(F.col("r") <= LISTS)
@@ -100,10 +111,23 @@ def candidate_pairs(reps: DataFrame, percent: int, k: int = K, longest: int = LI
     return near.unionByName(led).distinct()
 
 
-def estimated(pairs: DataFrame, reps: DataFrame, least: float, k: int = K) -> DataFrame:
-    """The pairs whose union sketch puts their similarity at ``least`` or more: of the values up to the lesser of both sketches' ends, the share in both."""
-    a = reps.select(F.col("node").alias("a"), F.col("sketch").alias("x"))
-    b = reps.select(F.col("node").alias("b"), F.col("sketch").alias("y"))
+def rest_pairs(lists: DataFrame, reps: DataFrame, found: DataFrame, tested: DataFrame, percent: int, least: float, k: int = K) -> DataFrame:
+    """(a, b), a < b: every pair of a long list that ``found`` (node, component) leaves apart, ``tested`` lacks and the estimate admits.
+
+    Members are dealt to blocks, and each meets all blocks of its list, so a long list is many tasks' work."""
+    long = lists.where(F.col("members") > LIST).select("node", "n", "list").join(found, "node", "left").withColumn("part", F.coalesce("component", "node"))
+    mixed = long.groupBy("list").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).where("lo <> hi")
+    apart = long.join(mixed.select("list", "blocks"), "list").join(reps.select("node", "sketch"), "node")
+    left = apart.select("list", F.pmod(F.xxhash64("node"), "blocks").cast("int").alias("block"), F.col("node").alias("a"), F.col("n").alias("a_n"), F.col("part").alias("a_part"), F.col("sketch").alias("x"))
+    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")
+    right = apart.select("list", every, F.col("node").alias("b"), F.col("n").alias("b_n"), F.col("part").alias("b_part"), F.col("sketch").alias("y"))
+    fits = (F.col("a") < F.col("b")) & (F.col("a_part") != F.col("b_part")) & near_sizes(F.col("a_n"), F.col("b_n"), percent)
+    met = left.join(right, ["list", "block"]).where(fits & alike(least, k)).select("a", "b").distinct()
+    return met.join(tested, ["a", "b"], "left_anti")
+
+
+def alike(least: float, k: int = K) -> Column:
+    """Whether the union sketch of x and y puts their similarity at ``least`` or more: of the values up to the lesser of both sketches' ends, the share in both."""
     far = F.lit((1 << 63) - 1)
     # Sketches are in the order of unsigned values.
     flip = F.lit(-(1 << 63))
@@ -111,11 +135,21 @@ def estimated(pairs: DataFrame, reps: DataFrame, least: float, k: int = K) -> Da
     def end(s: str) -> Column:
         return F.when(F.size(s) < k, far).otherwise(F.element_at(s, -1).bitwiseXOR(flip))
 
+    bound = F.least(end("x"), end("y"))
+
     def within(s: Column) -> Column:
-        return F.size(F.filter(s, lambda v: v.bitwiseXOR(flip) <= F.col("bound")))
+        return F.size(F.filter(s, lambda v: v.bitwiseXOR(flip) <= bound))
 
-    both = pairs.join(a, "a").join(b, "b").withColumn("bound", F.least(end("x"), end("y"))).withColumn("common", within(F.array_intersect("x", "y")))
-    return both.where(F.col("common") >= least * (within(F.col("x")) + within(F.col("y")) - F.col("common"))).select("a", "b")
+    both = F.array_intersect("x", "y")
+    # The first condition follows from the second and is cheap.
+    return (F.size(both) >= needed(F.greatest(F.size("x"), F.size("y")), least)) & (within(both) >= least * (within(F.col("x")) + within(F.col("y")) - within(both)))
+
+
+def estimated(pairs: DataFrame, reps: DataFrame, least: float, k: int = K) -> DataFrame:
+    """The pairs that are ``alike``."""
+    a = reps.select(F.col("node").alias("a"), F.col("sketch").alias("x"))
+    b = reps.select(F.col("node").alias("b"), F.col("sketch").alias("y"))
+    return pairs.join(a, "a").join(b, "b").where(alike(least, k)).select("a", "b")
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
@@ -147,12 +181,20 @@ def classes(docs: DataFrame, words: int = 5, percent: int = 80, k: int = K, id_c
     members = cut(linked.select("doc_id", "n", "set_a", "set_b").join(same, ["set_a", "set_b", "n"]).select("doc_id", "n", "node"))
     nodes = members.select("node").distinct()
     reps = linked.join(nodes, F.col("doc_id") == F.col("node"), "left_semi").select(F.col("doc_id").alias("node"), "n", "sketch").dropDuplicates(["node"])
-    pairs = cut(estimated(candidate_pairs(reps, percent, k), reps, percent / 100 - SLACK, k))
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    texts = docs.select(F.col(id_col).cast("long").alias("node"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    texts = cut(texts.join(wanted, "node", "left_semi").dropDuplicates(["node"]))
-    links = confirmed(pairs, texts, words, percent)
+    lowest = percent / 100 - SLACK
+    lists = rare_lists(reps, lowest)
+    pairs = cut(estimated(first_pairs(lists, percent), reps, lowest, k))
+
+    def linked_of(pairs: DataFrame) -> DataFrame:
+        wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        texts = docs.select(F.col(id_col).cast("long").alias("node"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+        return cut(confirmed(pairs, cut(texts.join(wanted, "node", "left_semi").dropDuplicates(["node"])), words, percent))
+
+    links = linked_of(pairs)
     found = components(links)
+    rest = cut(rest_pairs(lists, reps, found, pairs, percent, lowest, k))
+    if not rest.isEmpty():
+        found = components(links.unionByName(linked_of(rest)))
     least = members.join(found, "node", "left").groupBy("doc_id", "n").agg(F.min(F.coalesce("component", "node")).alias("component_id"))
     out = rows.select("doc_id", F.col("n").alias("n_shingles")).join(least.withColumnRenamed("n", "n_shingles"), ["doc_id", "n_shingles"], "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))

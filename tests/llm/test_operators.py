@@ -205,6 +205,22 @@ def test_near_duplicates(spark, mixed, monkeypatch):
         assert got == brute_classes(rows, n, percent)
 
 
+def test_near_copies_that_share_a_passage(spark):
+    """More members than a short list holds, and a passage of all groups that most lists come from."""
+    rng = random.Random(7)
+    passage = " ".join(f"p{i}" for i in range(160))
+    rows, groups = [], 60
+    for g in range(groups):
+        own = [f"g{g}w{i}" for i in range(80)]
+        for j in range(20):
+            words = list(own)
+            words[rng.randrange(80)] = f"x{g}y{j}"
+            rows.append((g * 20 + j, " ".join(words) + " " + passage))
+    rng.shuffle(rows)
+    found = near_duplicates.classes(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85)
+    assert {r.doc_id: r.component_id for r in found.collect()} == {i: i // 20 * 20 for i, _ in rows}
+
+
 def test_components(spark):
     links = [(1, 2), (2, 3), (3, 3), (7, 6), (6, 7), (9, 3), *((20 + k, 21 + k) for k in range(15))]
     got = {(r.node, r.component) for r in components.components(spark.createDataFrame(links, "a long, b long")).collect()}
