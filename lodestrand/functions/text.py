@@ -99,7 +99,8 @@ def contains_promo(text: Column, profile: TextProfile) -> Column:
 def strip_promo_affixes(text: Column, profile: TextProfile) -> Column:
     """Bracketed blocks with a promotional word go from both ends, one a round and the first pair that fits; with none left, decoration characters go.
 
-    Rounds beyond ``affix_rounds`` would change nothing in texts met so far. Only texts that begin or end with a bracket or decoration enter the loop."""
+    A round that changes a text takes at least one bracket or decoration character, so a text has as many rounds as it has of these, and stops at the
+    first that changes nothing. Only texts that begin or end with a bracket or decoration enter the loop."""
     q = re.escape
 
     def one(s: Column) -> Column:
@@ -112,7 +113,14 @@ def strip_promo_affixes(text: Column, profile: TextProfile) -> Column:
         return F.coalesce(*tries, trimmed(F.regexp_replace(s, f"\\A{edge}|{edge}\\z", "")))
 
     ends = "".join(q(c) for c in {*"".join(a + b for a, b in profile.brackets), *profile.decoration})
-    looped = F.aggregate(F.sequence(F.lit(1), F.lit(profile.affix_rounds)), trimmed(text), lambda s, _: one(s))
+    marks = "".join(q(c) for c in {*"".join(a + b for a, b in profile.brackets), *profile.decoration} if not c.isspace())
+    rounds = F.sequence(F.lit(1), F.greatest(F.lit(1), F.regexp_count(text, F.lit(f"[{marks}]"))))
+
+    def step(a: Column, _: Column) -> Column:
+        again = F.get(F.transform(F.array(one(a["s"])), lambda x: F.struct(x.alias("s"), (x == a["s"]).alias("done"))), F.lit(0))
+        return F.when(a["done"], a).otherwise(again)
+
+    looped = F.aggregate(rounds, F.struct(trimmed(text).alias("s"), F.lit(False).alias("done")), step, lambda a: a["s"])
     return F.when(trimmed(text).rlike(f"\\A[{ends}]|[{ends}]\\z"), looped).otherwise(trimmed(text))
 
 

@@ -204,6 +204,17 @@ def strip_promo_affixes(s, d):
     return doc(s, d).select("doc_id", X.strip_promo_affixes(x, LATIN).alias("bare"))
 
 
+@query("strip_promo_affixes_whole")
+def strip_promo_affixes_whole(s, d):
+    """As strip_promo_affixes, over whole texts: its SQL reads the first 200 characters."""
+    k, t = F.col("doc_id") % 6, F.col("text")
+    x = (
+        F.when(k == 0, F.concat(F.lit("[SALE today] (new) "), t)).when(k == 1, F.concat(t, F.lit(" (50% off) [free]"))).when(k == 2, F.concat(F.lit("(plain) "), t))
+        .when(k == 3, F.concat(F.lit("*** (deal) "), t, F.lit(" +++"))).when(k == 4, F.concat(F.lit("[free] "), t)).otherwise(t)
+    )
+    return doc(s, d).select("doc_id", X.strip_promo_affixes(x, LATIN).alias("bare"))
+
+
 _DOC_STEPS = f"WITH RECURSIVE src AS (SELECT doc_id, 0 AS source_no, text AS raw FROM documents), {O.sentence_steps('src', 'doc_id')}"
 
 

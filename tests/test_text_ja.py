@@ -24,6 +24,20 @@ def test_sentences(spark):
     assert got == [["「おいしい。」", "と評判です。"], ["一つ。", "二つ！", "三つ？", "残り"], [], None]
 
 
+def test_affixes_until_nothing_changes(spark):
+    cases = {"[free] " * 40 + "text" + " (sale)" * 25: "text", "*\n" * 30 + "text [new]": "text [new]", "[free]" * 20: "", "a (b) c": "a (b) c"}
+    assert over(spark, lambda c: X.strip_promo_affixes(c, LATIN), list(cases)) == list(cases.values())
+
+
+def test_affixes_of_whole_texts(spark, tmp_path):
+    from lodestrand.plans.queries import QUERIES
+
+    text = "word " * 100 + "end"
+    spark.createDataFrame([(i, text + " (sale)") for i in range(6)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r.bare for r in QUERIES["strip_promo_affixes_whole"](spark, str(tmp_path)).collect()}
+    assert got == {0: "(new) " + text, 1: text, 2: "(plain) " + text, 3: text, 4: text, 5: text}
+
+
 def test_affixes(spark):
     cases = {"【あす楽】【ポイント10倍】魚沼産の米": "魚沼産の米", "【新米】魚沼産の米": "【新米】魚沼産の米", "★ポイント10倍★米です。": "米です。", "米です。【送料無料】": "米です。", "【送料無料】": "", "米（新米）です。": "米（新米）です。"}
     assert over(spark, lambda c: X.strip_promo_affixes(c, JA), list(cases)) == list(cases.values())
