@@ -42,8 +42,8 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def put_out_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Credentials that one owner has are replaced in the text, and n_chars follows; widely copied examples stay."""
-    spans = cut(secret_scan.scan(docs).where("size(owned) > 0").select("doc_id", "owned")).groupBy("doc_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("owned")))).alias("owned"))
+    """Credentials that one owner has, in however many documents, are replaced in the text, and n_chars follows; what several owners share stays."""
+    spans = cut(secret_scan.scan(docs, max_repositories=None).where("size(owned) > 0").select("doc_id", "owned")).groupBy("doc_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("owned")))).alias("owned"))
     joined = docs.join(spans, "doc_id", "left")
     text = F.when(F.col("owned").isNotNull(), secret_scan.redacted(F.col("text"), F.col("owned"))).otherwise(F.col("text"))
     chars = F.when(F.col("owned").isNotNull(), F.length("clean").cast("long")).otherwise(F.col("n_chars"))

@@ -59,16 +59,17 @@ def ownership(candidates: DataFrame) -> DataFrame:
     )
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repository_col: str = "doc_id", owner_col: str = "source", max_repositories: int = 2) -> DataFrame:
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repository_col: str = "doc_id", owner_col: str = "source", max_repositories: int | None = 2) -> DataFrame:
     """(doc_id, base, owned): spans of each row; ``base`` by pattern, ``owned`` of values that live-looking secrets of one owner have.
 
     A candidate is owned if its value occurs with one owner only, in at most ``max_repositories`` repositories, holds a digit and a letter,
-    and doesn't look like a placeholder; values that several owners or many repositories share are widely copied examples and add nothing.
+    and doesn't look like a placeholder; with None for ``max_repositories`` the owner alone decides; values that several owners or many repositories share are widely copied examples and add nothing.
     Null and empty texts have no spans. Repeated rows keep a result each. An empty table gives an empty result. Spans hold code points."""
     found = cut(find(docs, id_col, text_col, repository_col, owner_col))
     spans = found.where("size(base) > 0").select("row", "repository", "owner", F.explode("base").alias("s"))
     spans = spans.select("row", "repository", "owner", (F.col("s.end") - F.length("s.value")).alias("start"), F.col("s.end").alias("end"), F.col("s.value").alias("value"), F.sha2("s.value", 256).alias("hash"))
-    rare = ownership(spans).where((F.col("n_owners") == 1) & (F.col("n_repositories") <= max_repositories)).select("hash")
+    few = F.lit(True) if max_repositories is None else F.col("n_repositories") <= max_repositories
+    rare = ownership(spans).where((F.col("n_owners") == 1) & few).select("hash")
     live = spans.where(F.col("value").rlike("[0-9]") & F.col("value").rlike("[A-Za-z]") & ~F.col("value").rlike(PLACEHOLDER))
     owned = live.join(rare, "hash").groupBy("row").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("owned"))
     return found.join(owned, "row", "left").select("doc_id", "base", F.coalesce("owned", F.array().cast("array<struct<start:int,end:int>>")).alias("owned"))

@@ -309,6 +309,14 @@ def test_secrets(spark, mixed):
     assert red == 'é api_key = "[SECRET]" end'
 
 
+def test_secrets_of_one_owner_in_many_documents(spark):
+    import corpus_pipeline
+
+    texts = [(i, f"text {i} token=q1w2e3r4t5y6 end") for i in range(5)] + [(i, f"text {i} token=z9x8c7v6b5n4 end") for i in range(5, 8)]
+    left = corpus_pipeline.put_out_secrets(spark, documents(spark, texts, ["a"] * 5 + ["a", "b", "b"]), "").collect()
+    assert {r.doc_id: r.text for r in left} == {i: f"text {i} token=[SECRET] end" if i < 5 else t for i, t in texts}
+
+
 def auc(y, s):
     order = np.argsort(s)
     rank = np.empty(len(s))
