@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import groupby
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,16 +41,30 @@ def fold(events: list[tuple[str, str, str]], kept: list[tuple[str, str]], keep:
 
 
 def feedback_ring(log: DataFrame, keep: int = KEEP) -> DataFrame:
-    """(owner, key, id, recency) of the ring buffer with deletions. Evicted entries must not come back, so an owner's events are folded in order;
-    only the owner's events are held, sorted by time and id."""
-    import pandas as pd
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["ts", "id"])
-        ring = fold(list(zip(rows["op"], rows["key"], rows["id"], strict=True)), [], keep)
-        return pd.DataFrame([(rows["owner"].iloc[0], k, i, n) for n, (k, i) in enumerate(reversed(ring), 1)], columns=["owner", "key", "id", "recency"])
-
-    return log.select("owner", "key", "id", "ts", "op").groupBy("owner").applyInPandas(run, "owner string, key string, id string, recency int")
+    """(owner, key, id, recency) of the ring buffer with deletions. Evicted entries must not come back, so an owner's events are folded in order:
+    Spark sorts them, with spill, and a task folds batch by batch, holding the ring of one owner."""
+    import pyarrow as pa
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def ring(owner: str | None, kept: list[tuple[str, str]]) -> pa.RecordBatch:
+            newest = kept[::-1]
+            rows = [pa.array([owner] * len(kept), pa.string()), pa.array([k for k, _ in newest], pa.string()), pa.array([i for _, i in newest], pa.string())]
+            return pa.RecordBatch.from_arrays([*rows, pa.array(range(1, len(kept) + 1), pa.int32())], ["owner", "key", "id", "recency"])
+
+        owner, kept, begun = None, [], False
+        for batch in batches:
+            owners, keys, ids, ops = (batch.column(n).to_pylist() for n in ("owner", "key", "id", "op"))
+            for o, rows in groupby(zip(owners, ops, keys, ids, strict=True), lambda r: r[0]):
+                if begun and o != owner:
+                    yield ring(owner, kept)
+                    kept = []
+                owner, begun = o, True
+                kept = fold([r[1:] for r in rows], kept, keep)
+        if begun:
+            yield ring(owner, kept)
+
+    ordered = log.select("owner", "key", "id", "ts", "op").repartition("owner").sortWithinPartitions("owner", F.asc_nulls_last("ts"), F.asc_nulls_last("id"))
+    return ordered.select("owner", "key", "id", "op").mapInArrow(run, "owner string, key string, id string, recency int")
 
 
 def feedback_list(recent: DataFrame, builtin: DataFrame) -> DataFrame:

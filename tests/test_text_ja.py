@@ -118,3 +118,19 @@ def test_candidates_do_not_depend_on_partitions(spark):
 def test_ring_forgets_evicted_entries():
     events = [("add", k, k) for k in "abcd"] + [("delete", "d", "x"), ("add", "b", "y")]
     assert B.fold(events, [], 3) == [("c", "c"), ("b", "y")]
+
+
+def test_ring_is_folded_in_batches(spark):
+    """An owner's events pass a task batch by batch, not as one group."""
+    rng = random.Random(3)
+    rows = [(f"{i:03}", rng.choice(["a", "b", None]), f"k{rng.randrange(14)}", i // 3, rng.choice(["add", "add", "delete"])) for i in range(200)]
+    log = spark.createDataFrame(rows, "id string, owner string, key string, ts long, op string").repartition(3)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        ring = B.feedback_ring(log, 4)
+        got = {tuple(r) for r in ring.collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    kept = {o: B.fold([(op, k, i) for i, w, k, _, op in rows if w == o], [], 4) for o in ("a", "b", None)}
+    assert got == {(o, k, i, n) for o, entries in kept.items() for n, (k, i) in enumerate(reversed(entries), 1)}
+    assert "FlatMapGroupsInPandas" not in ring._jdf.queryExecution().toString()
