@@ -367,9 +367,20 @@ def resolve_line(s, d):
     return V.resolve_line(q.where("slot = 'line2'"), c, t, c.select("page_id", "match_key").where("1 = 0"), fuzzy=False).select("page_id", "text", "method")
 
 
-def pairs(s, d):
+@query("resolve_line_fuzzy")
+def resolve_line_fuzzy(s, d):
     q, c, t = verified(s, d)
-    return V.resolve_pair(q, c, t, fuzzy=False)
+    return V.resolve_line(q.where("slot = 'line2'"), c, t, c.select("page_id", "match_key").where("1 = 0")).select("page_id", "text", "method")
+
+
+def pairs(s, d, fuzzy: bool = False):
+    q, c, t = verified(s, d)
+    return V.resolve_pair(q, c, t, fuzzy=fuzzy)
+
+
+@query("resolve_pair_fuzzy")
+def resolve_pair_fuzzy(s, d):
+    return pairs(s, d, True)
 
 
 @query("resolve_pair", f"{_PAIR} SELECT page_id, line2, method2, line3, method3 FROM second JOIN third USING (page_id)")
@@ -378,22 +389,37 @@ def resolve_pair(s, d):
 
 
 @query("resolve_title", f"{_RESOLVED} SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 'T' || page_id ELSE text END AS title FROM resolved WHERE slot = 'title'")
-def resolve_title(s, d):
+def resolve_title(s, d, fuzzy: bool = False):
     c = kept(found(s, d))
     titles = c.select("page_id").distinct().select("page_id", F.when(F.col("page_id") % 2 == 0, F.concat(F.lit("T"), F.col("page_id").cast("string"))).otherwise("").alias("title"))
-    return V.resolve_title(titles, N.proposals(c), c, N.source_texts(s, d), fuzzy=False)
+    return V.resolve_title(titles, N.proposals(c), c, N.source_texts(s, d), fuzzy=fuzzy)
+
+
+@query("resolve_title_fuzzy")
+def resolve_title_fuzzy(s, d):
+    return resolve_title(s, d, True)
 
 
 @query("verbatim_audit", f"{_PAIR} SELECT sum((line2 <> '')::INT + (line3 <> '')::INT)::BIGINT AS n_lines, 0 AS n_violations FROM second JOIN third USING (page_id)")
-def verbatim_audit(s, d):
-    p = kept(pairs(s, d))
+def verbatim_audit(s, d, fuzzy: bool = False):
+    p = kept(pairs(s, d, fuzzy))
     lines = p.select("page_id", F.explode(F.array("line2", "line3")).alias("text"))
     return V.verbatim_audit(lines, N.source_texts(s, d))
 
 
+@query("verbatim_audit_fuzzy")
+def verbatim_audit_fuzzy(s, d):
+    return verbatim_audit(s, d, True)
+
+
 @query("mark_chosen", f"{_PAIR} SELECT c.page_id, pos, {O.replaced('text', '\\s')} IN ({O.replaced('line2', '\\s')}, {O.replaced('line3', '\\s')}) AND text <> '' AS chosen FROM candidates c JOIN second USING (page_id) JOIN third USING (page_id)")
-def mark_chosen(s, d):
-    return V.mark_chosen(found(s, d), pairs(s, d).select("page_id", F.explode(F.array("line2", "line3")).alias("text")))
+def mark_chosen(s, d, fuzzy: bool = False):
+    return V.mark_chosen(found(s, d), pairs(s, d, fuzzy).select("page_id", F.explode(F.array("line2", "line3")).alias("text")))
+
+
+@query("mark_chosen_fuzzy")
+def mark_chosen_fuzzy(s, d):
+    return mark_chosen(s, d, True)
 
 
 # Interchange
@@ -569,8 +595,8 @@ def error_isolation(s, d):
     return outcomes(s, d).select("page_id", "n_candidates", "error_code")
 
 
-def assembled(s, d):
-    lines = pairs(s, d).select("page_id", "line2", "line3")
+def assembled(s, d, fuzzy: bool = False):
+    lines = pairs(s, d, fuzzy).select("page_id", "line2", "line3")
     done = outcomes(s, d).join(lines, "page_id", "left").select("url", F.concat(F.lit("T"), F.col("page_id").cast("string")).alias("title"), "line2", "line3", "error_code")
     return R.assemble_results(S.url_list_explode(N.requests(s, d)).withColumn("ordinal", F.col("ordinal").cast("long")), done)
 
@@ -583,6 +609,11 @@ def results(s, d):
     return assembled(s, d)
 
 
+@query("results_fuzzy")
+def results_fuzzy(s, d):
+    return assembled(s, d, True)
+
+
 @query("outcome_summary", f"{_OUTCOME} SELECT count(*) AS n_total, count(*) FILTER (error_code IS NULL) AS n_ok, count(error_code) AS n_failed FROM outcomes")
 def outcome_summary(s, d):
     return R.outcome_summary(outcomes(s, d))
@@ -593,11 +624,21 @@ def outcome_breakdown(s, d):
     return R.outcome_breakdown(pairs(s, d), "method2", "method3")
 
 
+@query("outcome_breakdown_fuzzy")
+def outcome_breakdown_fuzzy(s, d):
+    return R.outcome_breakdown(pairs(s, d, True), "method2", "method3")
+
+
 @query("match_label", f"{_RESOLVED} SELECT page_id, slot, CASE method WHEN 'none' THEN 'none' ELSE 'verbatim' END AS label FROM resolved")
 def match_label(s, d):
     return resolve(s, d).select("page_id", "slot", R.match_label(F.col("method")).alias("label"))
 
 
+@query("match_label_fuzzy")
+def match_label_fuzzy(s, d):
+    return resolve_fuzzy(s, d).select("page_id", "slot", R.match_label(F.col("method")).alias("label"))
+
+
 @query("stage_timings", "SELECT event_type AS stage, count(*) AS n, round(avg(value), 6) AS avg_ms, max(value) AS max_ms FROM events GROUP BY event_type")
 def stage_timings(s, d):
     return R.stage_timings(N.table(s, d, "events").select(F.col("event_type").alias("stage"), F.col("value").alias("ms")))

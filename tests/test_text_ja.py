@@ -134,3 +134,17 @@ def test_ring_is_folded_in_batches(spark):
     kept = {o: B.fold([(op, k, i) for i, w, k, _, op in rows if w == o], [], 4) for o in ("a", "b", None)}
     assert got == {(o, k, i, n) for o, entries in kept.items() for n, (k, i) in enumerate(reversed(entries), 1)}
     assert "FlatMapGroupsInPandas" not in ring._jdf.queryExecution().toString()
+
+
+def test_registered_queries_with_fuzzy_and_nearest(spark, monkeypatch):
+    from lodestrand.plans import queries as Q
+
+    texts = ["The river runs past the old stone mill at night.", "Fresh bread is baked in the village every day."]
+    c = spark.createDataFrame([(1, i, t) for i, t in enumerate(texts)], "page_id long, pos int, text string").withColumn("match_key", X.match_key(F.col("text")))
+    t = spark.createDataFrame([(1, " ".join(texts))], "page_id long, source_text string")
+    wanted = [(1, "line2", "Fresh bread is baked in a village each day."), (1, "line3", "A river flows by the new stone hill at noon.")]
+    q = V.keyed(spark.createDataFrame(wanted, "page_id long, slot string, text string"))
+    monkeypatch.setattr(Q, "verified", lambda s, d: (q, c, t))
+    assert [tuple(r) for r in Q.QUERIES["resolve_pair_fuzzy"](spark, "").select("line2", "method2", "line3", "method3").collect()] == [(texts[1], "fuzzy", texts[0], "nearest")]
+    assert [tuple(r) for r in Q.QUERIES["resolve_line_fuzzy"](spark, "").collect()] == [(1, texts[1], "fuzzy")]
+    assert {r.value for r in Q.QUERIES["outcome_breakdown_fuzzy"](spark, "").collect()} == {"fuzzy", "nearest"}
