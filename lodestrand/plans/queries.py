@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import html as H
@@ -450,16 +450,36 @@ def resolve_route(s, d):
 @query("system_prompt", f"""SELECT conv_id, {O.lit(I.BASE_PROMPT)} || CASE WHEN conv_id % 2 = 0 THEN chr(10) || chr(10) || 'Point of view:' || chr(10) || 'view ' || conv_id ELSE '' END
  || string_agg(chr(10) || chr(10) || 'Example ' || (turn + 1) || chr(10) || '1: ' || role || chr(10) || '2: t' || turn, '' ORDER BY turn) AS prompt FROM conversations WHERE turn < 3 GROUP BY conv_id""")
 def system_prompt(s, d):
-    c = N.table(s, d, "conversations").where("turn < 3")
+    return _prompts(N.table(s, d, "conversations").where("turn < 3"))
+
+
+def _prompts(c: DataFrame) -> DataFrame:
     shown = F.array_sort(F.collect_list(F.struct("turn", F.col("role").alias("title"), F.concat(F.lit("t"), F.col("turn").cast("string")).alias("line2"), F.lit("").alias("line3"))))
     persona = F.when(F.col("conv_id") % 2 == 0, F.concat(F.lit("view "), F.col("conv_id").cast("string")))
     return c.groupBy("conv_id").agg(shown.alias("examples")).select("conv_id", I.system_prompt(persona, F.col("examples")).alias("prompt"))
 
 
+@query("system_prompt_whole")
+def system_prompt_whole(s, d):
+    """As system_prompt, over all turns up to the feature's own number of examples: its SQL reads three."""
+    ranked = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn"))
+    return _prompts(N.table(s, d, "conversations").withColumn("place", ranked).where(F.col("place") <= B.PROMPT_EXAMPLES))
+
+
 @query("request_rows", f"{CHAIN}, ln AS (SELECT page_id, pos, (pos + 1) || '. ' || text AS line FROM candidates WHERE pos < 5), pk AS (SELECT page_id, string_agg(line, chr(10) ORDER BY pos) AS prompt FROM ln GROUP BY page_id) SELECT page_id, 'title:' || chr(10) || CASE WHEN page_id % 2 = 0 THEN url ELSE '(不明)' END || chr(10) || chr(10) || 'candidates:' || chr(10) || prompt AS message FROM pages JOIN pk USING (page_id)")
 def request_rows(s, d):
+    return _messages(s, d, C.pack_candidates(found(s, d).where("pos < 5"), 10_000_000))
+
+
+def _messages(s, d, packed: DataFrame) -> DataFrame:
     titles = N.pages(s, d).select("page_id", F.when(F.col("page_id") % 2 == 0, F.col("url")).otherwise("").alias("title"))
-    return I.request_rows(titles, C.pack_candidates(found(s, d).where("pos < 5"), 10_000_000))
+    return I.request_rows(titles, packed)
+
+
+@query("request_rows_whole")
+def request_rows_whole(s, d):
+    """As request_rows, over all candidates under the profile's budget: its SQL reads five."""
+    return _messages(s, d, C.pack_candidates(found(s, d), LATIN.prompt_chars))
 
 
 def _responses(s, d):

@@ -148,3 +148,18 @@ def test_registered_queries_with_fuzzy_and_nearest(spark, monkeypatch):
     assert [tuple(r) for r in Q.QUERIES["resolve_pair_fuzzy"](spark, "").select("line2", "method2", "line3", "method3").collect()] == [(texts[1], "fuzzy", texts[0], "nearest")]
     assert [tuple(r) for r in Q.QUERIES["resolve_line_fuzzy"](spark, "").collect()] == [(1, texts[1], "fuzzy")]
     assert {r.value for r in Q.QUERIES["outcome_breakdown_fuzzy"](spark, "").collect()} == {"fuzzy", "nearest"}
+
+
+def test_prompts_of_all_rows(spark, tmp_path, monkeypatch):
+    from lodestrand.plans import queries as Q
+
+    spark.createDataFrame([(1, i, "user", "x") for i in range(8)], "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    prompt = Q.QUERIES["system_prompt_whole"](spark, str(tmp_path)).first().prompt
+    assert "Example 6\n" in prompt
+    assert "Example 7" not in prompt
+    spark.createDataFrame([(1, "u", "h")], "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    rows = spark.createDataFrame([(1, i, "t" * 100) for i in range(120)], "page_id long, pos long, text string")
+    monkeypatch.setattr(Q, "found", lambda s, d: rows)
+    lines = Q.QUERIES["request_rows_whole"](spark, str(tmp_path)).first().message.split("candidates:\n")[1].split("\n")
+    fitting = [f"{i + 1}. " + "t" * 100 for i in range(120)]
+    assert lines == [x for i, x in enumerate(fitting) if sum(len(y) + 1 for y in fitting[: i + 1]) <= 6000]
