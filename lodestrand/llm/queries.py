@@ -30,9 +30,7 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def bpe_digests(docs: DataFrame) -> DataFrame:
     """doc_id, n_tokens, and digests of the ids and of the text decoded from them."""
-    path = tokenizer_path()
-    both = bpe.decode(bpe.encode(docs, path), path)
-    return both.select(
+    return bpe.round_trip(docs, tokenizer_path()).select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"),

@@ -7,10 +7,12 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from lodestrand.llm import bpe, components, decontamination, near_duplicates, pu, quality, queries, repeats, secret_scan, sharding, toxicity, winnowing
+from lodestrand.llm.buffers import flat_utf8
 from lodestrand.llm.run_length_index import RunLengthIndex
 
 from ..compare import difference
@@ -62,13 +64,42 @@ def test_bpe_like_the_library(spark, mixed):
     assert counts == sorted(((i, len((x or "").encode()), len(t.encode(x or "", add_special_tokens=False).ids)) for i, x in rows), key=repr)
 
 
+def test_one_very_long_word(spark):
+    t, path = library(), queries.tokenizer_path()
+    rng = random.Random(5)
+    word = "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=150_000))
+    docs = spark.createDataFrame([(1, word), (2, "a " + word)], "doc_id long, text string")
+    want = {i: len(t.encode(x, add_special_tokens=False).ids) for i, x in ((1, word), (2, "a " + word))}
+    assert {r.doc_id: r.n_tokens for r in bpe.count_tokens(docs, path).collect()} == want
+    assert {r.doc_id: r.text for r in bpe.round_trip(docs, path).collect()} == {1: word, 2: "a " + word}
+
+
+@pytest.mark.parametrize("name", ["op5_token_counts", "op7_bpe_round_trip"])
+def test_token_queries_like_the_library(spark, name):
+    t, path = library(), "/root/testdata/sf0.001"
+    got = {r.doc_id: r for r in queries.QUERIES[name](spark, path).collect()}
+    rows = queries.table(spark, path, "documents").collect()
+    assert len(got) == len(rows)
+    for r in rows:
+        ids, g = t.encode(r.text or "", add_special_tokens=False).ids, got[r.doc_id]
+        assert g.n_tokens == len(ids)
+        if name == "op5_token_counts":
+            assert (g.n_bytes, g.over_limit) == (len((r.text or "").encode()), len(ids) > 1024)
+        else:
+            text = t.decode(ids, skip_special_tokens=False)
+            assert (g.ids_sha256, g.decoded_sha256) == tuple(hashlib.sha256(x.encode()).hexdigest() for x in (",".join(map(str, ids)), text))
+
+
 def test_bpe_fuzz():
     t, v = library(), bpe.vocabulary(queries.tokenizer_path())
     rng = random.Random(2)
     alphabet = list("aab  \n\t'st1²³Ⅷé漢字かな😀.-<|>\x1c\x85\xa0　ß٣́")
     for _ in range(400):
         text = "".join(rng.choices(alphabet, k=rng.randint(0, 60)))
-        assert [i for w in v.encode_words(v.pieces(text)) for i in w] == t.encode(text, add_special_tokens=False).ids
+        flat, ends = flat_utf8(pa.array([text, text[::-1]]))
+        ids, cuts = bpe.encoded(flat, ends, bpe.WordCache(v))
+        assert ids[: cuts[1]].tolist() == t.encode(text, add_special_tokens=False).ids
+        assert ids[cuts[1] :].tolist() == t.encode(text[::-1], add_special_tokens=False).ids
 
 
 @pytest.mark.parametrize("table", ["documents"])
