@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -15,8 +16,9 @@ from .lineage import cut
 
 #: Retained values of a sketch, the longest inverted list whose members are all paired at once, and the leaders and lists by which longer ones are met first.
 K, LIST, LEADERS, LISTS = 32, 16, 4, 4
-#: Members of a long list that one block holds when what the leaders left apart is paired.
-BLOCK = 1024
+#: Members of a long list on each side of a cell when what the leaders left apart is paired, and values compared at once there.
+BLOCK, COLUMNS = 2048, 2048
+LOWEST = -(1 << 63)
 #: A pair goes on to the exact comparison if its estimate is at most so far below the threshold (four standard errors at K = 32).
 SLACK = 0.25
 _IN_WORD = np.ones(256, bool)
@@ -43,29 +45,39 @@ def shingle_sets(flat: np.ndarray, ends: np.ndarray, words: int) -> list[np.ndar
     return out
 
 
+def set_digest(values: np.ndarray) -> tuple[int, int]:
+    """The first 128 bits of the SHA-256 of a sorted set."""
+    return tuple(np.frombuffer(hashlib.sha256(values).digest(), np.int64)[:2].tolist())
+
+
+def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
+
+
 def sketches(docs: DataFrame, words: int, k: int = K, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n, set_a, set_b, sketch): size, two hashes and the ``k`` least values of each row's shingle set. Map-only."""
+    """(doc_id, text_hash, n, set_a, set_b, sketch): size, a digest in two halves and the ``k`` least values of each row's shingle set. Map-only."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b, flat, ends in slices(*flat_utf8(batch.column(1))):
+            for a, b, flat, ends in slices(*flat_utf8(batch.column(2))):
                 sets = shingle_sets(flat, ends, words)
                 low = [s[:k].view(np.int64) for s in sets]
                 at = np.concatenate(([0], np.cumsum([len(x) for x in low]))).astype(np.int32)
-                folded = [(int(s.sum(dtype=np.uint64).view(np.int64)), int(np.bitwise_xor.reduce(mix(s)).view(np.int64))) if len(s) else (0, 0) for s in sets]
+                digests = [set_digest(s) for s in sets]
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(a, b - a),
+                        batch.column(1).slice(a, b - a),
                         pa.array([len(s) for s in sets], pa.int64()),
-                        pa.array([x for x, _ in folded], pa.int64()),
-                        pa.array([y for _, y in folded], pa.int64()),
+                        pa.array([x for x, _ in digests], pa.int64()),
+                        pa.array([y for _, y in digests], pa.int64()),
                         pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(low) if low else np.empty(0, np.int64))),
                     ],
-                    ["doc_id", "n", "set_a", "set_b", "sketch"],
+                    ["doc_id", "text_hash", "n", "set_a", "set_b", "sketch"],
                 )
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n long, set_a long, set_b long, sketch array<long>")
+    return _keyed(docs, id_col, text_col).mapInArrow(run, "doc_id long, text_hash long, n long, set_a long, set_b long, sketch array<long>")
 
 
 def near_sizes(a: Column, b: Column, percent: int) -> Column:
@@ -91,9 +103,9 @@ def rare_lists(reps: DataFrame, least: float) -> DataFrame:
 
 
 def first_pairs(lists: DataFrame, percent: int) -> DataFrame:
-    """(a, b), a < b, each once: all pairs of the lists of up to LIST nodes, and members of longer ones with the list's leaders - the nodes in the most long lists.
+    """(a, b), a < b, each once: all pairs of the lists of up to LIST nodes, and members of longer ones with the list's leaders.
 
-    The leaders join a large group of near copies by few pairs; ``rest_pairs`` gives all others."""
+    A leader is the node in the most long lists among those of one hash class, so a list's leaders come from partial maxima. They join a large group of near copies by few pairs; ``rest_pairs`` gives all others."""
     member = F.struct("node", "n")
     short = lists.where(F.col("members") <= LIST).groupBy("list").agg(F.collect_list(member).alias("m"))
 
@@ -103,8 +115,9 @@ def first_pairs(lists: DataFrame, percent: int) -> DataFrame:
     near = short.select(F.explode(F.flatten(F.transform("m", partners))).alias("p")).select("p.a", "p.b")
     long = lists.where(F.col("members") > LIST)
     taking = long.join(long.groupBy("node").agg(F.count("*").alias("shared")), "node")
-    leaders = taking.withColumn("r", F.row_number().over(Window.partitionBy("list").orderBy(F.desc("shared"), "node"))).where(F.col("r") <= LEADERS)
-    leaders = leaders.select("list", F.col("node").alias("leader"), F.col("n").alias("leader_n"))
+    best = F.max(F.struct("shared", (-F.col("node")).alias("least"), "node", "n")).alias("best")
+    leaders = taking.groupBy("list", F.pmod(F.xxhash64("node"), F.lit(LEADERS)).alias("class")).agg(best)
+    leaders = leaders.select("list", F.col("best.node").alias("leader"), F.col("best.n").alias("leader_n"))
     few = taking.withColumn("r", F.row_number().over(Window.partitionBy("node").orderBy("list"))).where(F.col("r") <= LISTS)
     led = few.join(leaders, "list").where((F.col("node") != F.col("leader")) & near_sizes(F.col("n"), F.col("leader_n"), percent))
     led = led.select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b"))
@@ -114,16 +127,72 @@ def first_pairs(lists: DataFrame, percent: int) -> DataFrame:
 def rest_pairs(lists: DataFrame, reps: DataFrame, found: DataFrame, tested: DataFrame, percent: int, least: float, k: int = K) -> DataFrame:
     """(a, b), a < b: every pair of a long list that ``found`` (node, component) leaves apart, ``tested`` lacks and the estimate admits.
 
-    Members are dealt to blocks, and each meets all blocks of its list, so a long list is many tasks' work."""
+    Only members outside a list's largest part need partners. They and the list's members are dealt to blocks, and each block of the one
+    meets each of the other in a cell of its own, so a long list is many tasks' work and a cell's size is bounded."""
     long = lists.where(F.col("members") > LIST).select("node", "n", "list").join(found, "node", "left").withColumn("part", F.coalesce("component", "node"))
-    mixed = long.groupBy("list").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).where("lo <> hi")
-    apart = long.join(mixed.select("list", "blocks"), "list").join(reps.select("node", "sketch"), "node")
-    left = apart.select("list", F.pmod(F.xxhash64("node"), "blocks").cast("int").alias("block"), F.col("node").alias("a"), F.col("n").alias("a_n"), F.col("part").alias("a_part"), F.col("sketch").alias("x"))
-    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")
-    right = apart.select("list", every, F.col("node").alias("b"), F.col("n").alias("b_n"), F.col("part").alias("b_part"), F.col("sketch").alias("y"))
-    fits = (F.col("a") < F.col("b")) & (F.col("a_part") != F.col("b_part")) & near_sizes(F.col("a_n"), F.col("b_n"), percent)
-    met = left.join(right, ["list", "block"]).where(fits & alike(least, k)).select("a", "b").distinct()
-    return met.join(tested, ["a", "b"], "left_anti")
+    parts = long.groupBy("list", "part").agg(F.count("*").alias("held"))
+    mixed = parts.groupBy("list").agg(F.max_by("part", F.struct("held", "part")).alias("main"), F.sum("held").alias("all"), F.max("held").alias("most")).where("all > most")
+    blocks = mixed.select("list", "main", F.ceil((F.col("all") - F.col("most")) / BLOCK).cast("int").alias("rows"), F.ceil(F.col("all") / BLOCK).cast("int").alias("columns"))
+    apart = long.select("node", "n", "list", "part").join(blocks, "list").join(reps.select("node", "sketch"), "node")
+    outside = F.col("part") != F.col("main")
+
+    def dealt(rows: DataFrame, side: int, own: str, other: str) -> DataFrame:
+        here, every = F.pmod(F.xxhash64("node", F.lit(side)), own).cast("int"), F.explode(F.sequence(F.lit(0), F.col(other) - 1))
+        row, column = (here, every) if side == 0 else (every, here)
+        return rows.select("list", row.alias("row"), column.alias("column"), F.lit(side).alias("side"), "node", "n", "part", outside.alias("outside"), "sketch")
+
+    cells = dealt(apart.where(outside), 0, "rows", "columns").unionByName(dealt(apart, 1, "columns", "rows"))
+    parts_n = max(int(reps.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    cells = cells.repartition(parts_n, "list", "row", "column").sortWithinPartitions("list", "row", "column", "side")
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        name = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = np.column_stack([batch.column(i).to_numpy() for i in range(3)])
+            cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), len(keys)]
+            for x, y in zip(cuts[:-1], cuts[1:], strict=True):
+                if held and tuple(keys[x]) != name:
+                    yield cell_pairs(held, percent, least)
+                    held = []
+                name = tuple(keys[x])
+                held.append(batch.slice(x, y - x))
+        if held:
+            yield cell_pairs(held, percent, least)
+
+    met = cells.mapInArrow(run, "a long, b long").distinct().join(tested, ["a", "b"], "left_anti")
+    return estimated(met, reps, least, k)
+
+
+def cell_pairs(held: list[pa.RecordBatch], percent: int, least: float) -> pa.RecordBatch:
+    """(a, b) of a cell's pairs of different parts that share as many values as an estimate of ``least`` takes, counted by matrix products."""
+    rows = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+    side, node, n, part, outside = (rows.column(i).to_numpy(zero_copy_only=False) for i in range(3, 8))
+    sketch = rows.column(8)
+    size = sketch.value_lengths().to_numpy().astype(np.int64)
+    owner, values = np.repeat(np.arange(len(size)), size), sketch.flatten().to_numpy()
+    names, value = np.unique(values, return_inverse=True)
+    left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+    place = np.empty(len(side), np.int64)
+    place[left], place[right] = np.arange(len(left)), np.arange(len(right))
+    shared = np.zeros((len(left), len(right)), np.float32)
+    for low in range(0, len(names), COLUMNS):
+        here = np.flatnonzero((value >= low) & (value < low + COLUMNS))
+        tables = []
+        for which, count in ((0, len(left)), (1, len(right))):
+            mine = here[side[owner[here]] == which]
+            table = np.zeros((count, COLUMNS), np.float32)
+            table[place[owner[mine]], value[mine] - low] = 1
+            tables.append(table)
+        shared += tables[0] @ tables[1].T
+    wanted = np.maximum(1, np.ceil(np.maximum(size[left][:, None], size[right][None, :]) * least - 1e-9))
+    i, j = np.nonzero(shared >= wanted)
+    i, j = left[i], right[j]
+    fits = (part[i] != part[j]) & (100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j])) & (~outside[j].astype(bool) | (node[i] < node[j]))
+    a, b = np.minimum(node[i], node[j])[fits], np.maximum(node[i], node[j])[fits]
+    return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
 
 def alike(least: float, k: int = K) -> Column:
@@ -170,31 +239,38 @@ def confirmed(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> D
 
 
 def classes(docs: DataFrame, words: int = 5, percent: int = 80, k: int = K, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id): near-duplicate classes of whole texts over distinct shingles of ``words`` lower-cased words.
-
-    Rows with equal sets are one node, so copies make no pairs. component_id is the least doc_id reachable by links of ``percent`` or more.
-    Texts without words, null ones too, and rows with a null id are linked with nothing; a row that repeats is in its own class anyway;
-    equal ids with different texts join their classes; an empty table gives an empty result; other columns are left out."""
-    rows = cut(sketches(docs, words, k, id_col, text_col))
-    linked = rows.where("n > 0 and doc_id is not null")
-    same = linked.groupBy("set_a", "set_b", "n").agg(F.min("doc_id").alias("node"))
-    members = cut(linked.select("doc_id", "n", "set_a", "set_b").join(same, ["set_a", "set_b", "n"]).select("doc_id", "n", "node"))
-    nodes = members.select("node").distinct()
-    reps = linked.join(nodes, F.col("doc_id") == F.col("node"), "left_semi").select(F.col("doc_id").alias("node"), "n", "sketch").dropDuplicates(["node"])
+    """(doc_id, text_hash, n_shingles, component_id, leading): near-duplicate classes of whole texts over distinct shingles of ``words`` lower-cased words.
+
+    Rows with equal sets (by a SHA-256 of the whole set) are one node, so copies make no pairs. component_id is the least doc_id reachable by links of
+    ``percent`` or more. ``leading`` names one row of each class, of the least doc_id. Texts without words, null ones too, are linked with nothing and
+    lead. Rows are told apart by number, so equal ids with different texts are different rows, and rows with a null id take part: their
+    component_id is null where no row of the class has an id. An empty table gives an empty result; other columns are left out."""
+    rows = cut(sketches(docs, words, k, id_col, text_col).withColumn("row", F.monotonically_increasing_id()))
+    linked = rows.where("n > 0")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")).alias("lead")
+    same = linked.groupBy("set_a", "set_b", "n").agg(F.min("row").alias("node"), first)
+    members = cut(linked.select("row", "doc_id", "text_hash", "n", "set_a", "set_b").join(same, ["set_a", "set_b", "n"]).select("row", "doc_id", "text_hash", "n", "node", "lead"))
+    nodes = members.where("row = node").select("node", "doc_id", "text_hash", "lead")
+    reps = linked.join(nodes.select(F.col("node").alias("row")), "row", "left_semi").select(F.col("row").alias("node"), "n", "sketch")
     lowest = percent / 100 - SLACK
     lists = rare_lists(reps, lowest)
     pairs = cut(estimated(first_pairs(lists, percent), reps, lowest, k))
 
+    def key() -> Column:
+        return F.coalesce("doc_id", F.lit(LOWEST)).alias("key")
+
     def linked_of(pairs: DataFrame) -> DataFrame:
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        texts = docs.select(F.col(id_col).cast("long").alias("node"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-        return cut(confirmed(pairs, cut(texts.join(wanted, "node", "left_semi").dropDuplicates(["node"])), words, percent))
+        wanted = nodes.join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi").select("node", key(), "text_hash")
+        texts = _keyed(docs, id_col, text_col).select(key(), "text_hash", "text").join(wanted, ["key", "text_hash"]).select("node", "text")
+        return cut(confirmed(pairs, cut(texts.dropDuplicates(["node"])), words, percent))
 
     links = linked_of(pairs)
     found = components(links)
     rest = cut(rest_pairs(lists, reps, found, pairs, percent, lowest, k))
     if not rest.isEmpty():
         found = components(links.unionByName(linked_of(rest)))
-    least = members.join(found, "node", "left").groupBy("doc_id", "n").agg(F.min(F.coalesce("component", "node")).alias("component_id"))
-    out = rows.select("doc_id", F.col("n").alias("n_shingles")).join(least.withColumnRenamed("n", "n_shingles"), ["doc_id", "n_shingles"], "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    named = found.join(nodes.select("node", "lead"), "node")
+    moved = named.select("node", "component").join(named.groupBy("component").agg(F.min("lead").alias("class_lead")), "component").select("node", "class_lead")
+    lead = F.coalesce("class_lead", "lead")
+    out = members.join(moved, "node", "left").select("doc_id", "text_hash", F.col("n").alias("n_shingles"), lead["doc_id"].alias("component_id"), (lead["row"] == F.col("row")).alias("leading"))
+    return out.unionByName(rows.where("n = 0").select("doc_id", "text_hash", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(True).alias("leading")))

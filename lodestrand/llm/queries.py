@@ -108,7 +108,7 @@ def op4_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_bottom_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates.classes(table(spark, sf_dir, "documents"), words=3, percent=85)
-    return found.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    return found.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()).alias("kept"))
 
 
 def op9_flow_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -47,10 +47,11 @@ def test_same_as_sql(spark, name):
 
 
 def test_terms(spark):
-    texts = ["Trashy trashed trash", "abcde abcd", "", "12 _ été"]
-    got = [set(r[0]) for r in spark.createDataFrame(list(enumerate(texts)), "i int, text string").orderBy("i").select(toxicity.terms_of("text")).collect()]
+    texts = ["Nonsensed nonsenses nonsens", "abcdefghi abcdefg", "", "12 _ été"]
+    got = [set(r.terms) for r in toxicity.with_terms(spark.createDataFrame(list(enumerate(texts)), "i int, text string").orderBy("i")).orderBy("i").collect()]
     assert got == [toxicity.terms_in(t) for t in texts]
-    assert got[:3] == [{"trashy", "trashed", "trash", "tras*", "tras**", "trash*", "trash**"}, {"abcde", "abcd", "abcd*"}, set()]
+    assert got[:3] == [{"nonsensed", "nonsenses", "nonsens", "nonsens*", "nonsens**"}, {"abcdefghi", "abcdefg", "abcdefg*"}, set()]
+    assert toxicity.family_in("one two, three four") == toxicity.family_in("ONE two three four") and toxicity.family_in("") == 0
 
 
 def test_bpe_like_the_library(spark, mixed):
@@ -204,20 +205,22 @@ def shingles(text, n):
 
 def brute_classes(rows, n, percent):
     sets = [(i, shingles(t, n)) for i, t in rows]
-    ids = sorted({i for i, s in sets if i is not None})
-    parent = {i: i for i in ids}
+    parent = list(range(len(sets)))
 
     def root(x):
         while parent[x] != x:
             x = parent[x]
         return x
 
-    for a, x in sets:
-        for b, y in sets:
-            if a is not None and b is not None and a < b and x and y and 100 * len(x & y) >= percent * len(x | y):
+    for a, (_, x) in enumerate(sets):
+        for b, (_, y) in enumerate(sets[:a]):
+            if x and y and 100 * len(x & y) >= percent * len(x | y):
                 p, q = sorted((root(a), root(b)))
                 parent[q] = p
-    return sorted(((i, len(s), root(i) if i is not None else None) for i, s in sets), key=repr)
+    least = {}
+    for k, (i, _) in enumerate(sets):
+        least[root(k)] = min((x for x in (least.get(root(k)), i) if x is not None), default=None)
+    return sorted(((i, len(s), least[root(k)]) for k, (i, s) in enumerate(sets)), key=repr)
 
 
 def test_near_duplicates(spark, mixed, monkeypatch):
@@ -230,10 +233,30 @@ def test_near_duplicates(spark, mixed, monkeypatch):
         for _ in range(k % 5):
             words[rng.randrange(80)] = "edit%d" % rng.randrange(1000)
         rows.append((100 + k, " ".join(words)))
-    rows += [(500, "one"), (501, "One"), (502, "two words"), (None, "two words"), mixed[4]]
+    rows += [(500, "one"), (501, "One"), (502, "two words"), (None, "two words"), mixed[4], (7, "another text of id 7"), (8, rows[-1][1]), (None, "no id"), (None, "no id")]
     for n, percent in ((3, 85), (5, 80)):
-        got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in near_duplicates.classes(documents(spark, rows), n, percent).collect()), key=repr)
-        assert got == brute_classes(rows, n, percent)
+        found = near_duplicates.classes(documents(spark, rows), n, percent).collect()
+        assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in found), key=repr) == brute_classes(rows, n, percent)
+        assert sum(r.leading for r in found if r.n_shingles) == len(set(brute_roots(rows, n, percent)))
+
+
+def brute_roots(rows, n, percent):
+    """The number of the class of each text with words."""
+    numbered = brute_classes([(k, t) for k, (_, t) in enumerate(rows)], n, percent)
+    return [c for _, size, c in numbered if size]
+
+
+def test_cells_count_every_pair():
+    rng = np.random.default_rng(3)
+    base = np.sort(rng.choice(10_000, 32, replace=False))
+    sketches = [np.sort(np.concatenate((base[: rng.integers(10, 33)], rng.choice(10_000, 32) + 20_000))[:32]) for _ in range(60)]
+    rows = [(1, 0, 0, side, k, 32, k % 7, k % 7 != 0, x.tolist()) for side in (0, 1) for k, x in enumerate(sketches) if side or k % 7]
+    names = ["list", "row", "column", "side", "node", "n", "part", "outside", "sketch"]
+    batch = pa.RecordBatch.from_arrays([pa.array(list(x)) for x in zip(*rows, strict=True)], names)
+    out = near_duplicates.cell_pairs([batch.slice(0, 31), batch.slice(31)], 85, 0.6)
+    got = sorted(zip(out.column(0).to_pylist(), out.column(1).to_pylist(), strict=True))
+    want = [(a, b) for a in range(60) for b in range(a + 1, 60) if a % 7 != b % 7 and len({*sketches[a].tolist()} & {*sketches[b].tolist()}) >= 20]
+    assert got == want
 
 
 def test_near_copies_that_share_a_passage(spark):
