@@ -35,9 +35,9 @@ def terms_in(text: str) -> set[str]:
 
 
 def family_in(text: str) -> int:
-    """A min-hash of the pairs of neighbouring words: most near copies of a text share it, other texts don't."""
+    """A min-hash of the runs of four words (of all words, if there are fewer): most near copies of a text share it, other texts don't."""
     words = _WORD.findall(text.lower())
-    return min((zlib.crc32(f"{a} {b}".encode()) for a, b in zip(words, words[1:] or words, strict=False)), default=0)
+    return min(zlib.crc32(" ".join(words[k : k + 4]).encode()) for k in range(max(1, len(words) - 3)))
 
 
 def with_terms(rows: DataFrame, text_col: str = "text") -> DataFrame:
