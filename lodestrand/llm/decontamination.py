@@ -21,9 +21,11 @@ _IN_WORD = np.zeros(256, bool)
 _IN_WORD[[*range(ord("0"), ord("9") + 1), *range(ord("A"), ord("Z") + 1), *range(ord("a"), ord("z") + 1), *range(0x80, 0x100)]] = True
 
 
-def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _keyed(docs: DataFrame, id_col: str, text_col: str, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, key, text) and the columns ``carry`` under names of our own, c0, c1 and so on."""
     key = F.coalesce(F.col(id_col).cast("long"), F.lit(LOWEST))
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), key.alias("key"), F.col(text_col).cast("string").alias("text"))
+    carried = [F.col(c).alias(f"c{i}") for i, c in enumerate(carry)]
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), key.alias("key"), F.col(text_col).cast("string").alias("text"), *carried)
 
 
 def term_counts(docs: DataFrame, terms: np.ndarray | None) -> DataFrame:
@@ -131,12 +133,13 @@ def phrase_places(docs: DataFrame, items: DataFrame, words: int = WORDS) -> Data
     return met.join(_small(windows), "item").where(both).select("key", "item", "shift")
 
 
-def phrase_matches(docs: DataFrame, items: DataFrame, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """(doc_id, n_words, n_hit, item_ids): for each row its words, how many of them lie in an occurrence of a window of an item, and the items met.
+def phrase_matches(docs: DataFrame, items: DataFrame, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, n_words, n_hit, item_ids, and with ``carry`` the text and those columns): for each row its words, how many of them lie in an occurrence of a window of an item, and the items met.
 
     Words and windows are compared whole after the index has named the places. Texts without words (null and empty ones) have 0 and no items; rows that
-    repeat get a result each, by their own text even under one id; items of equal id count once; an empty table of either kind gives no hits."""
-    rows = _keyed(docs, id_col, text_col)
+    repeat get a result each, by their own text even under one id; items of equal id count once; an empty table of either kind gives no hits.
+    Rows with a null id share the places that the index names for any of them, and each is compared by its own text."""
+    rows = _keyed(docs, id_col, text_col, carry)
     known = cut(item_words(items, item_id_col, item_text_col))
     places = phrase_places(rows, known, words).join(_small(known.select("item", "item_id", "words")), "item")
     per_doc = places.groupBy("key").agg(F.collect_list(F.struct("item_id", "shift", "words")).alias("places"))
@@ -154,10 +157,15 @@ def phrase_matches(docs: DataFrame, items: DataFrame, words: int = WORDS, id_col
                         low = LOWER[flat[ends[k] : ends[k + 1]]].tobytes()
                         spans = list(zip((first[cuts[k] : cuts[k + 1]] - ends[k]).tolist(), (end[cuts[k] : cuts[k + 1]] - ends[k]).tolist(), strict=True))
                         n_hit[a + k], met[a + k] = _confirmed(low, spans, found, words)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_words), pa.array(n_hit), pa.array(met, pa.list_(pa.string()))], ["doc_id", "n_words", "n_hit", "item_ids"])
-
-    joined = rows.join(per_doc, "key", "left").select("doc_id", "text", "places")
-    return joined.mapInArrow(run, "doc_id long, n_words long, n_hit long, item_ids array<string>")
+            columns = [batch.column(0), pa.array(n_words), pa.array(n_hit), pa.array(met, pa.list_(pa.string()))]
+            if kept:
+                columns += [batch.column(1), *batch.columns[3:]]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_words", "n_hit", "item_ids", *(["text"] if kept else []), *kept])
+
+    kinds, kept = dict(rows.dtypes), [f"c{i}" for i in range(len(carry))]
+    joined = rows.join(per_doc, "key", "left").select("doc_id", "text", "places", *kept)
+    schema = ["doc_id long, n_words long, n_hit long, item_ids array<string>", *(["text string"] if kept else []), *(f"{c} {kinds[c]}" for c in kept)]
+    return joined.mapInArrow(run, ", ".join(schema)).withColumnsRenamed(dict(zip(kept, carry, strict=True)))
 
 
 def _confirmed(low: bytes, spans: list[tuple[int, int]], places: list[dict], words: int) -> tuple[int, list[str]]:

@@ -2,34 +2,32 @@
 
 from __future__ import annotations
 
-import gc
+import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` written to the session's checkpoint folder and read back: a lost executor costs no recomputation.
-
-    The folder is spark.checkpoint.dir; where the session has none (local tests), a temporary one is set."""
-    spark = df.sparkSession
+def folder(spark: SparkSession) -> str:
+    """The session's checkpoint folder: the one that is set, else spark.checkpoint.dir, else - in local mode, as in tests - a temporary one."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="lodestrand-checkpoint-"))
+        named = context.getConf().get("spark.checkpoint.dir")
+        if not named and not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="lodestrand-checkpoint-"))
+    return context.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` written to the checkpoint folder and read back: a lost executor costs no recomputation."""
+    folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
 def written(df: DataFrame) -> DataFrame:
-    """As ``cut``, as a Parquet table in the checkpoint folder: a fraction of a checkpoint's size for rows of numbers.
-
-    Shuffle files that only the written rows needed are let go: Spark's cleaner drops them once nothing in the driver refers to their plan."""
-    spark = df.sparkSession
-    context = spark.sparkContext
-    base = context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="lodestrand-written-")
-    path = f"{base.rstrip('/')}/table-{uuid.uuid4().hex}"
+    """As ``cut``, as a Parquet table in the checkpoint folder: a fraction of a checkpoint's size for rows of numbers."""
+    path = f"{folder(df.sparkSession).rstrip('/')}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    del df
-    gc.collect()
-    context._jvm.System.gc()
-    return spark.read.parquet(path)
+    return df.sparkSession.read.parquet(path)

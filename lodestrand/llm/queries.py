@@ -67,9 +67,9 @@ def op2_run_length_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
-def contaminated_share(docs: DataFrame, items: DataFrame) -> DataFrame:
+def contaminated_share(docs: DataFrame, items: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     """Phrase matches with the contamination rule: some word hit, and a twentieth of the words or more."""
-    found = decontamination.phrase_matches(docs, items)
+    found = decontamination.phrase_matches(docs, items, carry=carry)
     rule = (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))
     return found.withColumn("contaminated", rule)
 
@@ -207,7 +207,7 @@ tiles AS ({tiles}),
 placed AS (SELECT doc_id, k, kind, x, sum(len(x)) OVER (PARTITION BY doc_id, k ORDER BY i)::BIGINT AS e FROM tiles),
 valued AS (SELECT doc_id, k, kind, e - len(x) AS s, e, CASE k WHEN 0 THEN regexp_extract(x, '{assign}', 2) ELSE x END AS v FROM placed),
 base AS (SELECT * FROM valued WHERE len(v) >= CASE k WHEN 0 THEN 6 WHEN 1 THEN 20 ELSE 24 END),
-rare AS (SELECT v FROM base JOIN t USING (doc_id) GROUP BY v HAVING count(DISTINCT owner) = 1 AND count(DISTINCT doc_id) <= 2),
+rare AS (SELECT v FROM base JOIN t USING (doc_id) GROUP BY v HAVING count(DISTINCT owner) = 1),
 owned AS (SELECT DISTINCT doc_id, 3 AS k, 'owned' AS kind, e - len(v) AS s, e FROM base SEMI JOIN rare USING (v)
  WHERE regexp_matches(v, '[0-9]') AND regexp_matches(v, '[A-Za-z]')
  AND NOT regexp_matches(lower(v), 'example|sample|dummy|changeme|placeholder|your|test|xxxx|\\.\\.\\.')

@@ -13,6 +13,8 @@ ACCESS = r"(AKIA[A-Z0-9]{16,})"
 HEX = r"([0-9a-f]{24,})"
 KINDS = ("assign", "access", "hex", "owned")
 ASSIGN_LENGTH = 6
+#: Matches that one step of ``located`` puts together: arrays are copied as they grow, so long ones grow by so many at a time.
+STEP = 256
 #: Values that documentation shows in place of a secret.
 PLACEHOLDER = r"(?i)example|sample|dummy|changeme|placeholder|your|test|xxxx|(.)\1{5}|\.\.\."
 
@@ -34,18 +36,25 @@ def located(text: Column, pattern: str, value_group: int, kind: int) -> Column:
         span = F.struct(begin.alias("start"), end.alias("end"), F.lit(kind).alias("kind"), x["value"].alias("value"))
         return F.struct(end.alias("at"), F.concat(a["out"], F.array(span)).alias("out"))
 
-    return F.when(text.rlike(pattern), F.aggregate(zipped, start, step, lambda a: a["out"])).otherwise(empty)
+    def stretch(a: Column, k: Column) -> Column:
+        fresh = F.struct(a["at"].alias("at"), empty.alias("out"))
+        part = F.aggregate(F.slice(zipped, k * STEP + 1, F.lit(STEP)), fresh, step)
+        return F.struct(part["at"].alias("at"), F.concat(a["out"], part["out"]).alias("out"))
 
+    short = F.aggregate(zipped, start, step, lambda a: a["out"])
+    long = F.aggregate(F.sequence(F.lit(0), F.floor(F.size(whole) / STEP).cast("int")), start, stretch, lambda a: a["out"])
+    return F.when(text.rlike(pattern), F.when(F.size(whole) <= STEP, short).otherwise(long)).otherwise(empty)
 
-def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repository_col: str = "doc_id", owner_col: str = "source") -> DataFrame:
-    """(row, doc_id, repository, owner, base): base spans of each row by start, then kind."""
+
+def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repository_col: str = "doc_id", owner_col: str = "source", carry: tuple[str, ...] = ()) -> DataFrame:
+    """(row, doc_id, repository, owner, base, and the columns ``carry``): base spans of each row by start, then kind."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     narrow = docs.select(
-        F.col(id_col).cast("long").alias("doc_id"), F.col(repository_col).cast("string").alias("repository"), F.col(owner_col).cast("string").alias("owner"), text.alias("text")
+        F.col(id_col).cast("long").alias("doc_id"), F.col(repository_col).cast("string").alias("repository"), F.col(owner_col).cast("string").alias("owner"), text.alias("text"), *carry
     )
     long_enough = F.filter(located(F.col("text"), ASSIGN, 2, 0), lambda s: F.length(s["value"]) >= ASSIGN_LENGTH)
     base = F.array_sort(F.concat(long_enough, located(F.col("text"), ACCESS, 1, 1), located(F.col("text"), HEX, 1, 2)))
-    return narrow.select("doc_id", "repository", "owner", base.alias("base")).withColumn("row", F.monotonically_increasing_id())
+    return narrow.select("doc_id", "repository", "owner", base.alias("base"), *carry).withColumn("row", F.monotonically_increasing_id())
 
 
 def ownership(candidates: DataFrame) -> DataFrame:
@@ -59,20 +68,20 @@ def ownership(candidates: DataFrame) -> DataFrame:
     )
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repository_col: str = "doc_id", owner_col: str = "source", max_repositories: int | None = 2) -> DataFrame:
-    """(doc_id, base, owned): spans of each row; ``base`` by pattern, ``owned`` of values that live-looking secrets of one owner have.
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repository_col: str = "doc_id", owner_col: str = "source", max_repositories: int | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, base, owned, and the columns ``carry``): spans of each row; ``base`` by pattern, ``owned`` of values that live-looking secrets of one owner have.
 
-    A candidate is owned if its value occurs with one owner only, in at most ``max_repositories`` repositories, holds a digit and a letter,
-    and doesn't look like a placeholder; with None for ``max_repositories`` the owner alone decides; values that several owners or many repositories share are widely copied examples and add nothing.
+    A candidate is owned if its value occurs with one owner only, holds a digit and a letter, and doesn't look like a placeholder; values that
+    several owners share are widely copied examples and add nothing. ``max_repositories`` also counts values in more repositories as examples.
     Null and empty texts have no spans. Repeated rows keep a result each. An empty table gives an empty result. Spans hold code points."""
-    found = cut(find(docs, id_col, text_col, repository_col, owner_col))
+    found = cut(find(docs, id_col, text_col, repository_col, owner_col, carry))
     spans = found.where("size(base) > 0").select("row", "repository", "owner", F.explode("base").alias("s"))
     spans = spans.select("row", "repository", "owner", (F.col("s.end") - F.length("s.value")).alias("start"), F.col("s.end").alias("end"), F.col("s.value").alias("value"), F.sha2("s.value", 256).alias("hash"))
     few = F.lit(True) if max_repositories is None else F.col("n_repositories") <= max_repositories
     rare = ownership(spans).where((F.col("n_owners") == 1) & few).select("hash")
     live = spans.where(F.col("value").rlike("[0-9]") & F.col("value").rlike("[A-Za-z]") & ~F.col("value").rlike(PLACEHOLDER))
     owned = live.join(rare, "hash").groupBy("row").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("owned"))
-    return found.join(owned, "row", "left").select("doc_id", "base", F.coalesce("owned", F.array().cast("array<struct<start:int,end:int>>")).alias("owned"))
+    return found.join(owned, "row", "left").select("doc_id", "base", F.coalesce("owned", F.array().cast("array<struct<start:int,end:int>>")).alias("owned"), *carry)
 
 
 def joined(spans: Column) -> Column:

@@ -110,16 +110,20 @@ def score(docs: DataFrame, model: tuple[list[str], list[pu.Linear]], id_col: str
         number = {w: i for i, w in enumerate(words)}
         known = number.keys()
         for batch in batches:
-            row: list[int] = []
-            feature: list[int] = []
-            for k, text in enumerate(batch.column(1)):
-                hits = known & terms_in(text.as_py() or "")
-                row += [k] * len(hits)
-                feature += [number[w] for w in hits]
-            n = batch.num_rows
-            scores = pu.mean_scores(bag, np.array(row, np.int64), np.array(feature, np.int64), n) if bag else np.zeros(n)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), *batch.columns[2:]], ["doc_id", "score", *carry])
-
-    kinds = dict(docs.dtypes)
-    rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text"), *carry)
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
+                row: list[int] = []
+                feature: list[int] = []
+                for k, text in enumerate(part.column(1)):
+                    hits = known & terms_in(text.as_py() or "")
+                    row += [k] * len(hits)
+                    feature += [number[w] for w in hits]
+                n = part.num_rows
+                scores = pu.mean_scores(bag, np.array(row, np.int64), np.array(feature, np.int64), n) if bag else np.zeros(n)
+                columns = dict(zip(others, part.columns[2:], strict=True)) | {text_col: part.column(1)}
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(scores, pa.float64()), *(columns[c] for c in carry)], ["doc_id", "score", *carry])
+
+    kinds = dict(docs.dtypes) | {text_col: "string"}
+    others = [c for c in carry if c != text_col]
+    rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text"), *others)
     return rows.mapInArrow(run, ", ".join(["doc_id long", "score double", *(f"`{c}` {kinds[c]}" for c in carry)]))

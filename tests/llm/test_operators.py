@@ -445,3 +445,53 @@ def test_pipeline(spark, tmp_path):
     for i, r in left["bpe"].items():
         text = (left["secrets"][i].text or "").encode()
         assert r.decoded_sha256 == hashlib.sha256(text).hexdigest()
+
+
+def test_stages_judge_rows_by_their_text(spark, tmp_path):
+    """Null ids, an id that two texts have, repeated rows, null texts, extra columns and an empty table."""
+    import corpus_pipeline
+
+    rng = random.Random(14)
+    words = [f"w{k}" for k in range(500)]
+    long = [" ".join(rng.choices(words, k=60)) for _ in range(5)]
+    passage = " ".join(f"bench{k}" for k in range(20))
+    secret = long[3] + " password = q1w2e3r4t5y6u7"
+    rows = [(5, long[0]), (5, long[1]), (5, long[1]), (6, long[0] + " end"), (None, secret), (None, passage), (None, None), (None, None), (7, ""), (8, long[2]), (None, long[2]), (9, secret + " x")]
+    docs = documents(spark, rows).withColumn("n_chars", F.length("text").cast("long"))
+    spark.createDataFrame([("0", passage)], "item_id string, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+
+    def texts(df):
+        assert df.columns == list(corpus_pipeline.COLUMNS)
+        return sorted(((r.doc_id, r.text) for r in df.collect()), key=repr)
+
+    def wanted(*these):
+        return sorted(these, key=repr)
+
+    assert texts(corpus_pipeline.drop_toxic(spark, docs, str(tmp_path))) == wanted(*rows)
+    kept = wanted((5, long[0]), (5, long[1]), (9, secret + " x"), (None, passage), (None, None), (None, None), (7, ""), (8, long[2]))
+    assert texts(corpus_pipeline.drop_near_copies(spark, docs, str(tmp_path))) == kept
+    assert texts(corpus_pipeline.drop_contaminated(spark, docs, str(tmp_path))) == wanted(*(r for r in rows if r[1] != passage))
+    clean = [(i, t.replace("q1w2e3r4t5y6u7", "[SECRET]") if t else t) for i, t in rows]
+    got = corpus_pipeline.put_out_secrets(spark, docs, str(tmp_path))
+    assert texts(got) == wanted(*clean)
+    assert {r.n_chars for r in got.collect()} == {len(t) if t is not None else None for _, t in clean}
+    none = docs.where("1 = 0")
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, none, str(tmp_path)).count() == 0, name
+
+
+def test_run_is_its_stages(spark):
+    import corpus_pipeline
+
+    docs = queries.table(spark, "/root/testdata/sf0.001", "documents")
+    for _, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, "/root/testdata/sf0.001")
+    assert sorted(map(tuple, docs.collect())) == sorted(map(tuple, corpus_pipeline.run(spark, "/root/testdata/sf0.001").collect()))
+
+
+def test_a_text_of_many_secrets(spark):
+    text = " ".join(f"token=abc{k:04d}xyz" for k in range(3 * secret_scan.STEP + 5)) + " é " + "f" * 24
+    found = secret_scan.scan(spark.createDataFrame([(1, text, "s"), (2, "x" + text, None)], "doc_id long, text string, source string"))
+    got = {r.doc_id: [(s.start, s.kind, s.end) for s in r.base] for r in found.collect()}
+    assert got == {1: brute_spans(text), 2: brute_spans("x" + text)}
