@@ -16,11 +16,15 @@ from .lineage import cut
 
 #: Retained values of a sketch, the longest inverted list whose members are all paired at once, and the leaders and lists by which longer ones are met first.
 K, LIST, LEADERS, LISTS = 32, 16, 4, 4
-#: Members of a long list on each side of a cell when what the leaders left apart is paired, and values compared at once there.
-BLOCK, COLUMNS = 2048, 2048
+#: Members of a long list on each side of a cell when what the leaders left apart is paired, values compared at once there, and the most values a member brings.
+BLOCK, COLUMNS, WIDE = 1024, 2048, 1024
+#: Rows up to which the names of wanted texts are broadcast; above, the texts are shuffled.
+BROADCAST_ROWS = 200_000
 LOWEST = -(1 << 63)
 #: A pair goes on to the exact comparison if its estimate is at most so far below the threshold (four standard errors at K = 32).
 SLACK = 0.25
+#: The same for the wide sketches of sets of more than ``WIDE`` values.
+WIDE_SLACK = 0.05
 _IN_WORD = np.ones(256, bool)
 _IN_WORD[[0x20, *range(0x09, 0x0E)]] = False
 _ODD = np.array([0x9E3779B97F4A7C15 * (2 * i + 1) % (1 << 64) | 1 for i in range(64)], np.uint64)
@@ -80,6 +84,19 @@ def sketches(docs: DataFrame, words: int, k: int = K, id_col: str = "doc_id", te
     return _keyed(docs, id_col, text_col).mapInArrow(run, "doc_id long, text_hash long, n long, set_a long, set_b long, sketch array<long>")
 
 
+def wide_sets(texts: DataFrame, words: int) -> DataFrame:
+    """(node, values): the whole shingle set of each text, or its ``WIDE`` least values."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b, flat, ends in slices(*flat_utf8(batch.column(1))):
+                low = [s[:WIDE].view(np.int64) for s in shingle_sets(flat, ends, words)]
+                at = np.concatenate(([0], np.cumsum([len(x) for x in low]))).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(low)))], ["node", "values"])
+
+    return texts.select("node", "text").mapInArrow(run, "node long, values array<long>")
+
+
 def near_sizes(a: Column, b: Column, percent: int) -> Column:
     return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
@@ -124,29 +141,42 @@ def first_pairs(lists: DataFrame, percent: int) -> DataFrame:
     return near.unionByName(led).distinct()
 
 
-def rest_pairs(lists: DataFrame, reps: DataFrame, found: DataFrame, tested: DataFrame, percent: int, least: float, k: int = K) -> DataFrame:
-    """(a, b), a < b: every pair of a long list that ``found`` (node, component) leaves apart, ``tested`` lacks and the estimate admits.
+def mixed_lists(lists: DataFrame, found: DataFrame) -> DataFrame:
+    """(list, node, n, part): members of long lists of which ``found`` (node, component) leaves some apart, every pair of a long list in one of them.
+
+    Long lists with one centre - the member in most long lists, then the least - are taken together: the lists of a large group of near copies have
+    one centre, so its members come once, not once a list. A node is in a few lists only, so few lists have one centre."""
+    long = lists.where(F.col("members") > LIST).select("node", "n", "list")
+    taking = long.join(long.groupBy("node").agg(F.count("*").alias("shared")), "node")
+    centres = taking.groupBy("list").agg(F.max_by("node", F.struct("shared", -F.col("node"))).alias("centre"))
+    parts = long.join(centres, "list").select(F.col("centre").alias("list"), "node", "n").distinct().join(found, "node", "left")
+    parts = parts.select("list", "node", "n", F.coalesce("component", "node").alias("part"))
+    apart = parts.groupBy("list").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high").select("list")
+    return cut(parts.join(apart, "list"))
+
+
+def rest_links(mixed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b, sure): links between the parts of each list of ``mixed``, decided on the values in ``sets`` (node, values).
 
     Only members outside a list's largest part need partners. They and the list's members are dealt to blocks, and each block of the one
-    meets each of the other in a cell of its own, so a long list is many tasks' work and a cell's size is bounded."""
-    long = lists.where(F.col("members") > LIST).select("node", "n", "list").join(found, "node", "left").withColumn("part", F.coalesce("component", "node"))
-    parts = long.groupBy("list", "part").agg(F.count("*").alias("held"))
-    mixed = parts.groupBy("list").agg(F.max_by("part", F.struct("held", "part")).alias("main"), F.sum("held").alias("all"), F.max("held").alias("most")).where("all > most")
-    blocks = mixed.select("list", "main", F.ceil((F.col("all") - F.col("most")) / BLOCK).cast("int").alias("rows"), F.ceil(F.col("all") / BLOCK).cast("int").alias("columns"))
-    apart = long.select("node", "n", "list", "part").join(blocks, "list").join(reps.select("node", "sketch"), "node")
+    meets each of the other in a cell of its own, so a long list is many tasks' work and a cell's size is bounded. See ``cell_links``."""
+    held = mixed.groupBy("list", "part").agg(F.count("*").alias("held"))
+    main = held.groupBy("list").agg(F.max_by("part", F.struct("held", "part")).alias("main"), F.sum("held").alias("all"), F.max("held").alias("most"))
+    blocks = main.select("list", "main", F.ceil((F.col("all") - F.col("most")) / BLOCK).cast("int").alias("rows"), F.ceil(F.col("all") / BLOCK).cast("int").alias("columns"))
+    apart = mixed.join(blocks, "list").join(sets, "node")
     outside = F.col("part") != F.col("main")
 
     def dealt(rows: DataFrame, side: int, own: str, other: str) -> DataFrame:
         here, every = F.pmod(F.xxhash64("node", F.lit(side)), own).cast("int"), F.explode(F.sequence(F.lit(0), F.col(other) - 1))
         row, column = (here, every) if side == 0 else (every, here)
-        return rows.select("list", row.alias("row"), column.alias("column"), F.lit(side).alias("side"), "node", "n", "part", outside.alias("outside"), "sketch")
+        return rows.select("list", row.alias("row"), column.alias("column"), F.lit(side).alias("side"), "node", "n", "part", outside.alias("outside"), "values")
 
     cells = dealt(apart.where(outside), 0, "rows", "columns").unionByName(dealt(apart, 1, "columns", "rows"))
-    parts_n = max(int(reps.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-    cells = cells.repartition(parts_n, "list", "row", "column").sortWithinPartitions("list", "row", "column", "side")
+    tasks = int(mixed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cells = cells.repartition(tasks, "list", "row", "column").sortWithinPartitions("list", "row", "column", "side")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
+        cell: list[pa.RecordBatch] = []
         name = None
         for batch in batches:
             if not batch.num_rows:
@@ -154,45 +184,82 @@ def rest_pairs(lists: DataFrame, reps: DataFrame, found: DataFrame, tested: Data
             keys = np.column_stack([batch.column(i).to_numpy() for i in range(3)])
             cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), len(keys)]
             for x, y in zip(cuts[:-1], cuts[1:], strict=True):
-                if held and tuple(keys[x]) != name:
-                    yield cell_pairs(held, percent, least)
-                    held = []
+                if cell and tuple(keys[x]) != name:
+                    yield cell_links(cell, percent)
+                    cell = []
                 name = tuple(keys[x])
-                held.append(batch.slice(x, y - x))
-        if held:
-            yield cell_pairs(held, percent, least)
-
-    met = cells.mapInArrow(run, "a long, b long").distinct().join(tested, ["a", "b"], "left_anti")
-    return estimated(met, reps, least, k)
-
-
-def cell_pairs(held: list[pa.RecordBatch], percent: int, least: float) -> pa.RecordBatch:
-    """(a, b) of a cell's pairs of different parts that share as many values as an estimate of ``least`` takes, counted by matrix products."""
-    rows = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+                cell.append(batch.slice(x, y - x))
+        if cell:
+            yield cell_links(cell, percent)
+
+    return cells.mapInArrow(run, "a long, b long, sure boolean").distinct()
+
+
+def _joined_parts(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(parts, the least part that each reaches) by the links ``a`` - ``b``."""
+    names, both = np.unique(np.concatenate((a, b)), return_inverse=True)
+    x, y = both[: len(a)], both[len(a) :]
+    least = np.arange(len(names))
+    while True:
+        low = np.minimum(least[x], least[y])
+        now = least.copy()
+        np.minimum.at(now, x, low)
+        np.minimum.at(now, y, low)
+        now = now[now]
+        if (now == least).all():
+            return names, names[least]
+        least = now
+
+
+def cell_links(cell: list[pa.RecordBatch], percent: int) -> pa.RecordBatch:
+    """(a, b, sure) from the rows of a cell. Shared values of all pairs of different parts are counted by matrix products.
+
+    Pairs of whole sets are decided here, and of the parts that they link a tree is left (sure). A pair with a set of more than ``WIDE`` values
+    that may be a link by the estimate, and whose parts the tree doesn't join, is left for the exact comparison (not sure)."""
+    rows = pa.Table.from_batches(cell).combine_chunks().to_batches()[0]
     side, node, n, part, outside = (rows.column(i).to_numpy(zero_copy_only=False) for i in range(3, 8))
-    sketch = rows.column(8)
-    size = sketch.value_lengths().to_numpy().astype(np.int64)
-    owner, values = np.repeat(np.arange(len(size)), size), sketch.flatten().to_numpy()
-    names, value = np.unique(values, return_inverse=True)
+    listed = rows.column(8)
+    size = listed.value_lengths().to_numpy().astype(np.int64)
+    owner, values = np.repeat(np.arange(len(size)), size), listed.flatten().to_numpy()
     left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
     place = np.empty(len(side), np.int64)
     place[left], place[right] = np.arange(len(left)), np.arange(len(right))
+    common = np.intersect1d(values[side[owner] == 0], values[side[owner] == 1])
+    at = np.minimum(np.searchsorted(common, values), max(len(common) - 1, 0))
+    held = np.flatnonzero(common[at] == values) if len(common) else np.empty(0, np.int64)
+    owner, at = owner[held], at[held]
     shared = np.zeros((len(left), len(right)), np.float32)
-    for low in range(0, len(names), COLUMNS):
-        here = np.flatnonzero((value >= low) & (value < low + COLUMNS))
+    for low in range(0, len(common), COLUMNS):
+        here = (at >= low) & (at < low + COLUMNS)
         tables = []
         for which, count in ((0, len(left)), (1, len(right))):
-            mine = here[side[owner[here]] == which]
+            mine = here & (side[owner] == which)
             table = np.zeros((count, COLUMNS), np.float32)
-            table[place[owner[mine]], value[mine] - low] = 1
+            table[place[owner[mine]], at[mine] - low] = 1
             tables.append(table)
         shared += tables[0] @ tables[1].T
-    wanted = np.maximum(1, np.ceil(np.maximum(size[left][:, None], size[right][None, :]) * least - 1e-9))
-    i, j = np.nonzero(shared >= wanted)
+    least = percent / 100 - WIDE_SLACK
+    i, j = np.nonzero(shared >= least * np.maximum(size[left][:, None], size[right][None, :]))
+    both = shared[i, j].astype(np.int64)
     i, j = left[i], right[j]
-    fits = (part[i] != part[j]) & (100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j])) & (~outside[j].astype(bool) | (node[i] < node[j]))
-    a, b = np.minimum(node[i], node[j])[fits], np.maximum(node[i], node[j])[fits]
-    return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+    fits = (part[i] != part[j]) & (~outside[j].astype(bool) | (node[i] < node[j])) & (100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j]))
+    i, j, both = i[fits], j[fits], both[fits]
+    whole = (size[i] == n[i]) & (size[j] == n[j])
+    link = whole & (100 * both >= percent * (n[i] + n[j] - both))
+    parts, least_part = _joined_parts(part[i[link]], part[j[link]])
+    tree = parts != least_part
+
+    def class_of(x: np.ndarray) -> np.ndarray:
+        if not len(parts):
+            return x
+        found = np.minimum(np.searchsorted(parts, x), len(parts) - 1)
+        return np.where(parts[found] == x, least_part[found], x)
+
+    maybe = ~whole & (class_of(part[i]) != class_of(part[j]))
+    i, j = i[maybe], j[maybe]
+    a = np.concatenate((least_part[tree], np.minimum(node[i], node[j])))
+    b = np.concatenate((parts[tree], np.maximum(node[i], node[j])))
+    return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(np.arange(len(a)) < tree.sum())], ["a", "b", "sure"])
 
 
 def alike(least: float, k: int = K) -> Column:
@@ -259,16 +326,22 @@ def classes(docs: DataFrame, words: int = 5, percent: int = 80, k: int = K, id_c
     def key() -> Column:
         return F.coalesce("doc_id", F.lit(LOWEST)).alias("key")
 
-    def linked_of(pairs: DataFrame) -> DataFrame:
-        wanted = nodes.join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi").select("node", key(), "text_hash")
+    def texts_of(some: DataFrame) -> DataFrame:
+        """(node, text) of the nodes in ``some``."""
+        wanted = cut(nodes.join(some, "node", "left_semi").select("node", key(), "text_hash"))
+        if wanted.count() <= BROADCAST_ROWS:
+            wanted = F.broadcast(wanted)
         texts = _keyed(docs, id_col, text_col).select(key(), "text_hash", "text").join(wanted, ["key", "text_hash"]).select("node", "text")
-        return cut(confirmed(pairs, cut(texts.dropDuplicates(["node"])), words, percent))
+        return cut(texts.dropDuplicates(["node"]))
 
-    links = linked_of(pairs)
+    links = cut(confirmed(pairs, texts_of(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()), words, percent))
     found = components(links)
-    rest = cut(rest_pairs(lists, reps, found, pairs, percent, lowest, k))
-    if not rest.isEmpty():
-        found = components(links.unionByName(linked_of(rest)))
+    mixed = mixed_lists(lists, found)
+    if not mixed.isEmpty():
+        texts = texts_of(mixed.select("node").distinct())
+        rest = cut(rest_links(mixed, wide_sets(texts, words), percent))
+        maybe = rest.where("not sure").select("a", "b")
+        found = components(links.unionByName(rest.where("sure").select("a", "b")).unionByName(confirmed(maybe, texts, words, percent)))
     named = found.join(nodes.select("node", "lead"), "node")
     moved = named.select("node", "component").join(named.groupBy("component").agg(F.min("lead").alias("class_lead")), "component").select("node", "class_lead")
     lead = F.coalesce("class_lead", "lead")

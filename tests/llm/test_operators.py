@@ -246,17 +246,33 @@ def brute_roots(rows, n, percent):
     return [c for _, size, c in numbered if size]
 
 
-def test_cells_count_every_pair():
+@pytest.mark.parametrize("wide", [1024, 48])
+def test_cells_link_what_pairs_link(monkeypatch, wide):
+    """A cell's tree joins the parts that single pairs join; pairs of sets that don't come whole are left over, no link among them missing."""
+    monkeypatch.setattr(near_duplicates, "WIDE", wide)
+    monkeypatch.setattr(near_duplicates, "COLUMNS", 64)
     rng = np.random.default_rng(3)
-    base = np.sort(rng.choice(10_000, 32, replace=False))
-    sketches = [np.sort(np.concatenate((base[: rng.integers(10, 33)], rng.choice(10_000, 32) + 20_000))[:32]) for _ in range(60)]
-    rows = [(1, 0, 0, side, k, 32, k % 7, k % 7 != 0, x.tolist()) for side in (0, 1) for k, x in enumerate(sketches) if side or k % 7]
-    names = ["list", "row", "column", "side", "node", "n", "part", "outside", "sketch"]
+    base = rng.choice(10_000, 60, replace=False)
+    sets = [np.unique(np.concatenate((base[: 60 - rng.integers(0, 12)], rng.choice(10_000, rng.integers(0, 4)) + 20_000))) for _ in range(60)]
+    part = [k % 7 if k % 3 == 0 else k for k in range(60)]
+    rows = [(1, 0, 0, side, k, len(x), part[k], part[k] != 0, x[:wide].tolist()) for side in (0, 1) for k, x in enumerate(sets) if side or part[k]]
+    names = ["list", "row", "column", "side", "node", "n", "part", "outside", "values"]
     batch = pa.RecordBatch.from_arrays([pa.array(list(x)) for x in zip(*rows, strict=True)], names)
-    out = near_duplicates.cell_pairs([batch.slice(0, 31), batch.slice(31)], 85, 0.6)
-    got = sorted(zip(out.column(0).to_pylist(), out.column(1).to_pylist(), strict=True))
-    want = [(a, b) for a in range(60) for b in range(a + 1, 60) if a % 7 != b % 7 and len({*sketches[a].tolist()} & {*sketches[b].tolist()}) >= 20]
-    assert got == want
+    out = near_duplicates.cell_links([batch.slice(0, 31), batch.slice(31)], 85).to_pylist()
+    links = {(a, b) for a in range(60) for b in range(a + 1, 60) if part[a] != part[b] and 100 * len({*sets[a]} & {*sets[b]}) >= 85 * len({*sets[a]} | {*sets[b]})}
+    whole = {(a, b) for a, b in links if max(len(sets[a]), len(sets[b])) <= wide}
+
+    def classes(pairs):
+        names, least = near_duplicates._joined_parts(*(np.array([p[i] for p in pairs], np.int64) for i in (0, 1)))
+        return dict(zip(names.tolist(), least.tolist(), strict=True))
+
+    tree = {(r["a"], r["b"]) for r in out if r["sure"]}
+    assert classes(tree) == classes({(part[a], part[b]) for a, b in whole})
+    assert len(tree) < 60
+    left = {(r["a"], r["b"]) for r in out if not r["sure"]}
+    joined = classes(tree)
+    assert {(a, b) for a, b in links - whole if joined.get(part[a], part[a]) != joined.get(part[b], part[b])} <= left
+    assert bool(left) == (wide == 48)
 
 
 def test_near_copies_that_share_a_passage(spark):
