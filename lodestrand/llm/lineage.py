@@ -27,7 +27,15 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def written(df: DataFrame) -> DataFrame:
-    """As ``cut``, as a Parquet table in the checkpoint folder: a fraction of a checkpoint's size for rows of numbers."""
-    path = f"{folder(df.sparkSession).rstrip('/')}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    """As ``cut``, as a Parquet table in the checkpoint folder: a fraction of a checkpoint's size for rows of numbers.
+
+    Spark removes the write's shuffle files when it ends: nothing else reads them."""
+    spark = df.sparkSession
+    path, setting = f"{folder(spark).rstrip('/')}/table-{uuid.uuid4().hex}", "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(setting, None)
+    spark.conf.set(setting, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(setting) if before is None else spark.conf.set(setting, before)
+    return spark.read.parquet(path)

@@ -6,11 +6,11 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .buffers import flat_utf8, mix, powers, sliding_min
-from .lineage import written
+from .lineage import cut, written
 from .run_length_index import RunLengthIndex
 
 #: Bytes of the repeats looked for, and of an anchor.
@@ -18,59 +18,76 @@ WIDTH, ANCHOR = 100, 20
 #: Bytes of fragments in one index, and fragments of one anchor beyond which their windows are compared by hash instead.
 BLOCK_BYTES, HOT_FRAGMENTS = 1 << 20, 20_000
 PIECE = 1 << 16
+#: Keys with several texts up to which they are broadcast.
+BROADCAST_ROWS = 200_000
 BASE = 0x27D4EB2F165667C5
 _RISE, _FALL = powers(BASE, PIECE + 4096), powers(pow(BASE, -1, 1 << 64), PIECE + 4096)
 LOWEST = -(1 << 63)
 
 
 def fragments_of(data: np.ndarray, width: int = WIDTH, anchor: int = ANCHOR) -> list[np.ndarray]:
-    """[anchor hash, fragment hash, start, windows] arrays that cover every window of ``width`` bytes of a text once.
+    """[anchor hash, fragment hash, start, windows, left, right] arrays that cover every window of ``width`` bytes of a text once.
 
     A window's anchor is the k-gram of least hash in it, the rightmost of equal ones: equal windows have equal anchors wherever they stand.
-    Neighbouring windows with one anchor make a fragment, of windows + ``width`` - 1 bytes."""
+    Neighbouring windows with one anchor make a fragment, of windows + ``width`` - 1 bytes. A window holds at least half of its other bytes on one
+    side of its anchor, so fragments that share one agree in their ``left`` or in their ``right``: ten bits of a hash of the anchor with so many
+    bytes on that side."""
+    half = (width - anchor) // 2
     parts: list[list[np.ndarray]] = []
     for a in range(0, len(data) - width + 1, PIECE):
-        piece = data[a : a + PIECE + width - 1].astype(np.uint64) + np.uint64(1)
+        low, end = max(0, a - half), min(len(data), a + PIECE + width - 1)
+        piece = data[low : end + half].astype(np.uint64) + np.uint64(1)
         total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(piece * _RISE[: len(piece)], dtype=np.uint64)))
-        grams = mix((total[anchor:] - total[:-anchor]) * _FALL[: len(piece) - anchor + 1])
+        shift, stop = a - low, end - low
+        grams = mix((total[shift + anchor : stop + 1] - total[shift : stop + 1 - anchor]) * _FALL[shift : stop + 1 - anchor])
         keys = (grams & np.uint64(0xFFFFFFFF00000000)) | (np.uint64(0xFFFFFFFF) - np.arange(len(grams), dtype=np.uint64))
         least = sliding_min(keys, width - anchor + 1)
         start = np.flatnonzero(np.concatenate(([True], least[1:] != least[:-1])))
         windows = np.diff(np.concatenate((start, [len(least)])))
         at = (np.uint64(0xFFFFFFFF) - (least[start] & np.uint64(0xFFFFFFFF))).astype(np.int64)
-        whole = mix((total[start + windows + width - 1] - total[start]) * _FALL[start] + windows.astype(np.uint64))
-        parts.append([grams[at].view(np.int64), whole.view(np.int64), start + a, windows])
-    return [np.concatenate(x) for x in zip(*parts, strict=True)] if parts else [np.empty(0, np.int64)] * 4
+        whole = mix((total[start + shift + windows + width - 1] - total[start + shift]) * _FALL[start + shift] + windows.astype(np.uint64))
+
+        def side(first: np.ndarray, last: np.ndarray, held: np.ndarray, total=total, whole=whole) -> np.ndarray:
+            first, last = np.where(held, first, 0), np.where(held, last, 0)
+            own = mix((total[last] - total[first]) * _FALL[first] + np.uint64(1))
+            return (np.where(held, own, mix(whole)) >> np.uint64(54)).astype(np.int64)  # what no window asks for agrees with nothing
+
+        here = at + shift
+        left = side(here - half, here + anchor, at - start >= half)
+        right = side(here, here + anchor + half, at - (start + windows - 1) < half)
+        parts.append([grams[at].view(np.int64), whole.view(np.int64), start + a, windows, left, right])
+    return [np.concatenate(x) for x in zip(*parts, strict=True)] if parts else [np.empty(0, np.int64)] * 6
 
 
 def _anchored(rows: DataFrame, width: int) -> DataFrame:
-    """(anchor, whole, key, place) of every fragment; place is start << 20 | windows << 1 | copy.
+    """(anchor, whole, key, tie, place) of every fragment; place is start << 32 | left << 22 | right << 12 | windows << 1 | copy.
 
     Within an Arrow batch all but the first of equal fragments are known to be copies. They take a random anchor, so that what a third of the corpus
     repeats is spread over all tasks, and only a row for each batch meets at the common anchor."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            flat, ends = flat_utf8(batch.column(1))
+            flat, ends = flat_utf8(batch.column(2))
             long = np.flatnonzero(np.diff(ends) >= width)
             if not len(long):
                 continue
             found = [fragments_of(flat[ends[i] : ends[i + 1]], width) for i in long.tolist()]
-            anchor, whole, start, windows = (np.concatenate(x) for x in zip(*found, strict=True))
-            key = np.repeat(batch.column(0).to_numpy()[long], [len(x[0]) for x in found])
-            order = np.lexsort((start, key, whole, anchor))
+            anchor, whole, start, windows, left, right = (np.concatenate(x) for x in zip(*found, strict=True))
+            counts = [len(x[0]) for x in found]
+            key, tie = (np.repeat(batch.column(i).to_numpy()[long], counts) for i in range(2))
+            order = np.lexsort((start, tie, key, whole, anchor))
             copy = np.zeros(len(anchor), bool)
             a, w = anchor[order], whole[order]
             copy[order[1:]] = (a[1:] == a[:-1]) & (w[1:] == w[:-1])
-            place = (start << 20) | (windows << 1) | copy  # rows stay in text order, in which keys compress well
+            place = (start << 32) | (left << 22) | (right << 12) | (windows << 1) | copy  # rows stay in text order, in which keys compress well
             anchor = np.where(copy, mix((key ^ (start << 28)).view(np.uint64)).view(np.int64), anchor)
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (anchor, whole, key, place)], ["anchor", "whole", "key", "place"])
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (anchor, whole, key, tie, place)], ["anchor", "whole", "key", "tie", "place"])
 
-    return rows.mapInArrow(run, "anchor long, whole long, key long, place long")
+    return rows.select("key", "tie", "text").mapInArrow(run, "anchor long, whole long, key long, tie long, place long")
 
 
 def _texts_cut(rows: DataFrame, places: DataFrame, width: int) -> DataFrame:
-    """(anchor, key, start, body): the bytes of the fragments in ``places`` (key, places array<struct<anchor, start, windows>>).
+    """(anchor, key, tie, start, body): the bytes of the fragments in ``places`` (key, tie, places array<struct<anchor, start, windows>>).
 
     The join keeps texts without places, so that its shuffle of the texts is the very one that ``remove_repeats`` needs, and runs once."""
 
@@ -78,20 +95,22 @@ def _texts_cut(rows: DataFrame, places: DataFrame, width: int) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                part = part.filter(part.column(2).is_valid())
+                part = part.filter(part.column(3).is_valid())
                 if not part.num_rows:
                     continue
-                flat, ends = flat_utf8(part.column(1))
-                found = part.column(2)
+                flat, ends = flat_utf8(part.column(2))
+                found = part.column(3)
                 each = found.flatten()
                 row = np.repeat(np.arange(part.num_rows), found.value_lengths().to_numpy())
                 anchor, start, windows = (each.field(i).to_numpy() for i in range(3))
                 first = ends[row] + start
                 last = np.minimum(first + windows + width - 1, ends[row + 1])
                 bodies = [flat[a:b].tobytes() for a, b in zip(first.tolist(), last.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(part.column(0).to_numpy()[row]), pa.array(start), pa.array(bodies, pa.binary())], ["anchor", "key", "start", "body"])
+                key, tie = (pa.array(part.column(i).to_numpy()[row]) for i in range(2))
+                yield pa.RecordBatch.from_arrays([pa.array(anchor), key, tie, pa.array(start), pa.array(bodies, pa.binary())], ["anchor", "key", "tie", "start", "body"])
 
-    return rows.join(places.hint("merge"), "key", "left").select("key", "text", "places").mapInArrow(run, "anchor long, key long, start long, body binary")
+    joined = rows.join(places.hint("merge"), ["key", "tie"], "left").select("key", "tie", "text", "places")
+    return joined.mapInArrow(run, "anchor long, key long, tie long, start long, body binary")
 
 
 def _repeated_inside(bodies: list[bytes], keys: np.ndarray, starts: np.ndarray, width: int) -> Iterator[tuple[int, int, int]]:
@@ -111,7 +130,7 @@ def _repeated_inside(bodies: list[bytes], keys: np.ndarray, starts: np.ndarray,
 
 
 def _indexed(fragments: DataFrame, width: int) -> DataFrame:
-    """(key, start, windows) of repeated windows among ``fragments`` (anchor, key, start, body), which lie sorted by anchor, key and start.
+    """(key, tie, start, windows) of repeated windows among ``fragments`` (anchor, key, tie, start, body), which lie sorted by anchor.
 
     Whole anchors go into one index until it has ``BLOCK_BYTES``: equal windows never part, and memory is bounded by a block and its last anchor."""
 
@@ -120,23 +139,24 @@ def _indexed(fragments: DataFrame, width: int) -> DataFrame:
         size = 0
 
         def marks() -> pa.RecordBatch:
-            rows = sorted(held, key=lambda r: (r[1], r[2]))
-            keys, starts = np.array([r[1] for r in rows], np.int64), np.array([r[2] for r in rows], np.int64)
-            found = list(_repeated_inside([r[3] for r in rows], keys, starts, width))
+            rows = sorted(held, key=lambda r: r[1:4])
+            key, tie, start = (np.array([r[i] for r in rows], np.int64) for i in (1, 2, 3))
+            text = np.cumsum(np.concatenate(([0], (key[1:] != key[:-1]) | (tie[1:] != tie[:-1]))))  # texts in their order
+            found = list(_repeated_inside([r[4] for r in rows], text, start, width))
             who, first, windows = (np.array(x, np.int64) for x in zip(*found, strict=True)) if found else (np.empty(0, np.int64),) * 3
-            return pa.RecordBatch.from_arrays([pa.array(keys[who]), pa.array(starts[who] + first), pa.array(windows)], ["key", "start", "windows"])
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in (key[who], tie[who], start[who] + first, windows)], ["key", "tie", "start", "windows"])
 
         for batch in batches:
-            for row in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+            for row in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
                 if size >= BLOCK_BYTES and row[0] != held[-1][0]:
                     yield marks()
                     held, size = [], 0
                 held.append(row)
-                size += len(row[3]) + 1
+                size += len(row[4]) + 1
         if held:
             yield marks()
 
-    return fragments.mapInArrow(run, "key long, start long, windows long")
+    return fragments.mapInArrow(run, "key long, tie long, start long, windows long")
 
 
 def _by_window_hash(fragments: DataFrame, width: int) -> DataFrame:
@@ -144,32 +164,43 @@ def _by_window_hash(fragments: DataFrame, width: int) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for key, start, body in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
-                windows = [body[i : i + width] for i in range(len(body) - width + 1)]
-                yield pa.RecordBatch.from_arrays([pa.array(windows, pa.binary()), pa.array([key] * len(windows), pa.int64()), pa.array(range(start, start + len(windows)), pa.int64())], ["window", "key", "start"])
+            for key, tie, start, body in zip(*(batch.column(i).to_pylist() for i in range(1, 5)), strict=True):
+                n = len(body) - width + 1
+                windows = [body[i : i + width] for i in range(n)]
+                columns = [pa.array(windows, pa.binary()), pa.array([key] * n, pa.int64()), pa.array([tie] * n, pa.int64()), pa.array(range(start, start + n), pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, ["window", "key", "tie", "start"])
 
-    rows = fragments.select("anchor", "key", "start", "body").mapInArrow(run, "window binary, key long, start long").select(F.xxhash64("window").alias("a"), F.xxhash64(F.lit(1), "window").alias("b"), "key", "start")
-    first = rows.groupBy("a", "b").agg(F.min(F.struct("key", "start")).alias("first"))
-    return rows.join(first, ["a", "b"]).where(F.struct("key", "start") != F.col("first")).select("key", "start", F.lit(1).cast("long").alias("windows"))
+    rows = fragments.select("anchor", "key", "tie", "start", "body").mapInArrow(run, "window binary, key long, tie long, start long")
+    rows = rows.select(F.xxhash64("window").alias("a"), F.xxhash64(F.lit(1), "window").alias("b"), "key", "tie", "start")
+    here = F.struct("key", "tie", "start")
+    first = rows.groupBy("a", "b").agg(F.min(here).alias("first"))
+    return rows.join(first, ["a", "b"]).where(here != F.col("first")).select("key", "tie", "start", F.lit(1).cast("long").alias("windows"))
 
 
 def repeated_windows(rows: DataFrame, width: int = WIDTH) -> DataFrame:
-    """(key, start, windows): stretches of windows of ``width`` bytes of ``rows`` (key, text) that also start earlier, in a smaller key or further left.
-
-    1. Fragments meet by anchor, in one shuffle; those of an anchor that nothing shares are dropped. 2. Of equal fragments all but the first are
-    repeats as a whole. 3. Different fragments of one anchor - the edges of what repeats - go to run-length indexes, by anchor; an anchor with very
-    many of them is compared window by window instead, in many tasks."""
-    equal, shared = Window.partitionBy("anchor", "whole"), Window.partitionBy("anchor")
-    here = F.struct("key", "place")
-    placed = _anchored(rows, width).repartition("anchor")  # serves both windows
-    placed = placed.withColumn("first", (F.col("place").bitwiseAND(1) == 0) & (F.min(here).over(equal) == here))
-    placed = placed.withColumn("fragments", F.sum(F.col("first").cast("int")).over(shared)).where("not first or fragments > 1")
-    start, windows = F.shiftright("place", 20).alias("start"), F.shiftright(F.col("place").bitwiseAND((1 << 20) - 1), 1).alias("windows")
-    placed = written(placed.select("anchor", "key", start, windows, "first", "fragments"))
-    copies = placed.where("not first").select("key", "start", "windows")
+    """(key, tie, start, windows): stretches of windows of ``width`` bytes of ``rows`` (key, tie, text) that also start earlier, in a smaller (key, tie) or further left.
+
+    1. Fragments meet by anchor, in one shuffle; those whose anchor has no other fragment that agrees on a side are dropped. 2. Of equal fragments all
+    but the first are repeats as a whole. 3. Different fragments of one anchor - the edges of what repeats - go to run-length indexes, by anchor; an
+    anchor with very many of them is compared window by window instead, in many tasks."""
+    if width - ANCHOR + 1 >= 1 << 11:
+        raise ValueError("too wide for a place")
+    here, first = F.struct("key", "tie", "place"), F.col("first").cast("int")
+
+    def bits(low: int, n: int) -> Column:
+        return F.shiftright("place", low).bitwiseAND((1 << n) - 1)
+
+    placed = _anchored(rows, width).repartition("anchor")  # serves all windows
+    placed = placed.withColumn("first", (bits(0, 1) == 0) & (F.min(here).over(Window.partitionBy("anchor", "whole")) == here))
+    placed = placed.withColumn("fragments", F.sum(first).over(Window.partitionBy("anchor"))).where("not first or fragments > 1")
+    placed = placed.withColumn("left", bits(22, 10)).withColumn("right", bits(12, 10))
+    agreeing = F.greatest(*(F.sum(first).over(Window.partitionBy("anchor", side)) for side in ("left", "right")))
+    placed = placed.withColumn("agreeing", agreeing).where("not first or agreeing > 1")
+    placed = written(placed.select("anchor", "key", "tie", bits(32, 31).alias("start"), bits(1, 11).alias("windows"), "first", "fragments"))
+    copies = placed.where("not first").select("key", "tie", "start", "windows")
     edges = placed.where("first")
     several = edges.select("anchor", "fragments").distinct()
-    places = edges.groupBy("key").agg(F.collect_list(F.struct("anchor", "start", "windows")).alias("places"))
+    places = edges.groupBy("key", "tie").agg(F.collect_list(F.struct("anchor", "start", "windows")).alias("places"))
     hot = several.where(F.col("fragments") > HOT_FRAGMENTS)
     bodies = _texts_cut(rows, places, width)
     if hot.limit(1).count():
@@ -181,24 +212,36 @@ def repeated_windows(rows: DataFrame, width: int = WIDTH) -> DataFrame:
     return copies.unionByName(_indexed(dealt, width))
 
 
+def with_ties(rows: DataFrame) -> DataFrame:
+    """``rows`` (key, text) with a ``tie``: 0, but for a key that different texts have a hash of the text, which tells them apart."""
+    hashed = F.xxhash64("text")
+    several = cut(rows.groupBy("key").agg(F.min(hashed).alias("low"), F.max(hashed).alias("high")).where("low <> high").select("key", F.lit(True).alias("several")))
+    n = several.limit(BROADCAST_ROWS + 1).count()
+    if not n:
+        return rows.select("key", F.lit(0).cast("long").alias("tie"), "text")
+    joined = rows.join(F.broadcast(several) if n <= BROADCAST_ROWS else several, "key", "left")
+    return joined.select("key", F.when(F.col("several"), hashed).otherwise(F.lit(0)).alias("tie"), "text")
+
+
 def remove_repeats(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_bytes, spans array<struct<start, end>>, kept binary): UTF-8 bytes that a repeated string of ``width`` bytes covers, removed.
 
     A string repeats if it also starts earlier: in a text of smaller doc_id (a null id is smallest), or further left in the same text; all are judged
-    on the input. Spans are the maximal removed stretches. Null texts are empty; texts under ``width`` bytes stay whole; rows of one id count as
-    one document given twice, so what they have in the same place is no repeat; other columns are left out; an empty table gives an empty result."""
+    on the input. Spans are the maximal removed stretches. Null texts are empty; texts under ``width`` bytes stay whole; different texts of one id
+    are different documents, in the order of a hash; rows with the same id and text count as one document given twice, so what they have in the
+    same place is no repeat; other columns are left out; an empty table gives an empty result."""
     key = F.coalesce(F.col(id_col).cast("long"), F.lit(LOWEST))
-    rows = docs.select(key.alias("key"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    marks = repeated_windows(rows, width).groupBy("key").agg(F.collect_list(F.struct("start", "windows")).alias("marks"))
+    rows = with_ties(docs.select(key.alias("key"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")))
+    marks = repeated_windows(rows, width).groupBy("key", "tie").agg(F.collect_list(F.struct("start", "windows")).alias("marks"))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         span = pa.struct([("start", pa.int64()), ("end", pa.int64())])
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                flat, ends = flat_utf8(part.column(1))
+                flat, ends = flat_utf8(part.column(2))
                 spans, kept = [], []
-                for k, found in enumerate(part.column(2)):
+                for k, found in enumerate(part.column(3)):
                     data = flat[ends[k] : ends[k + 1]]
                     if not found.is_valid:
                         spans.append([])
@@ -213,5 +256,6 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id",
                     kept.append(data[~gone[1:-1]].tobytes())
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(ends)), pa.array(spans, pa.list_(span)), pa.array(kept, pa.binary())], ["key", "n_bytes", "spans", "kept"])
 
-    out = rows.join(marks.hint("merge"), "key", "left").select("key", "text", "marks").mapInArrow(run, "key long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary")
+    joined = rows.join(marks.hint("merge"), ["key", "tie"], "left").select("key", "tie", "text", "marks")
+    out = joined.mapInArrow(run, "key long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary")
     return out.select(F.when(F.col("key") != LOWEST, F.col("key")).alias("doc_id"), "n_bytes", "spans", "kept")

@@ -143,6 +143,32 @@ def test_repeats(spark, mixed, monkeypatch, hot):
     assert got == brute_repeats(rows, 100)
     again = repeats.remove_repeats(documents(spark, [(1, line), (1, line), (2, line)])).collect()
     assert sorted((r.doc_id, len(r.kept)) for r in again) == [(1, 150), (1, 150), (2, 0)]
+    other = "".join(rng.choices("ijklmnop ", k=150))
+    two = repeats.remove_repeats(documents(spark, [(1, line), (5, line), (5, other), (6, other), (None, "zz"), (None, other + "zz")])).collect()
+    assert sorted((r.doc_id or 0, r.n_bytes, len(r.kept)) for r in two) == [(0, 2, 2), (0, 152, 152), (1, 150, 150), (5, 150, 0), (5, 150, 0), (6, 150, 0)]
+
+
+def test_fragments_that_share_a_window_agree_on_a_side():
+    rng = random.Random(8)
+    shared = "".join(rng.choices("abcd ", k=400))
+    texts = []
+    for _ in range(40):
+        a, k = rng.randrange(300), rng.randint(100, 140)
+        texts.append(("".join(rng.choices("efgh ", k=rng.randint(0, 200))) + shared[a : a + k] + "".join(rng.choices("ijkl ", k=rng.randint(0, 200)))).encode())
+    texts.append(shared.encode() * 400)
+    groups = defaultdict(list)
+    for t in texts:
+        data = np.frombuffer(t, np.uint8)
+        for anchor, _, start, windows, left, right in zip(*(x.tolist() for x in repeats.fragments_of(data)), strict=True):
+            groups[anchor].append(({t[s : s + 100] for s in range(start, start + windows)}, left, right))
+    met = 0
+    for group in groups.values():
+        for k, (x, left, right) in enumerate(group[:60]):
+            for y, other_left, other_right in group[:k]:
+                if x & y:
+                    met += 1
+                    assert left == other_left or right == other_right
+    assert met > 100
 
 
 def test_run_length_index():
