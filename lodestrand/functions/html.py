@@ -18,7 +18,12 @@ TOKEN = "<[^>]*>|[^<]+"
 VOID_TAGS = ("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr")
 #: An opening one of these ends a line too, for pages that leave out the end tags.
 IMPLIED_ENDS = ("p", "li", "tr", "td", "th", "dt", "dd")
-ATTRIBUTE = "(?is)\\b{}\\s*=\\s*[\"']([^\"']*)[\"']"
+#: An attribute of a tag: white space or a slash, a name, and a value in either kind of quotes or bare.
+ATTRIBUTE = "[\\s/]+[^\\s\"'<>/=]+(?:\\s*=\\s*(?:\"[^\"]*\"|'[^']*'|[^\\s\"'>][^\\s>]*))?"
+ATTRIBUTE_NAME = "[^\\s\"'<>/=]+"
+ATTRIBUTE_VALUE = "(?s)=\\s*(?:\"(.*)\"|'(.*)'|([^\"'].*))\\z"
+#: Stands between texts whose entities are resolved together; no entity stands for it.
+BETWEEN = "\x1e\x1e"
 
 
 def html_tokens(pages: DataFrame) -> DataFrame:
@@ -37,7 +42,10 @@ def html_tokens(pages: DataFrame) -> DataFrame:
 
 
 def attribute(token: Column, name: str) -> Column:
-    return F.regexp_extract(token, ATTRIBUTE.format(name), 1)
+    """The value of the first attribute of that name, empty without one."""
+    named = F.filter(F.regexp_extract_all(token, F.lit(ATTRIBUTE), F.lit(0)), lambda a: F.lower(F.regexp_extract(a, ATTRIBUTE_NAME, 0)) == name)
+    first = F.coalesce(F.get(named, 0), F.lit(""))
+    return F.when(F.contains(F.lower(token), F.lit(name)), F.concat(*(F.regexp_extract(first, ATTRIBUTE_VALUE, k) for k in (1, 2, 3)))).otherwise("")
 
 
 def by_tag(token: Column, tag: Column) -> Column:
@@ -52,39 +60,53 @@ def by_hint(token: Column, tag: Column) -> Column:
     return contains_any(F.lower(F.concat_ws(" ", attribute(token, "class"), attribute(token, "id"))), NOISE_HINTS)
 
 
-def subtrees(tokens: DataFrame, start: Column) -> DataFrame:
-    """``tokens`` with ``depth``: how many elements whose open tag fulfils ``start`` hold the token. An element ends with the close tag of its own
-    depth among equal tags; one that is never closed ends with the page. Windows stay within a page, on one shuffle by page_id."""
-    rows = tokens.withColumn("starts", start & F.col("kind").isin("open", "void"))
+def depths(tokens: DataFrame, **starts: Column) -> DataFrame:
+    """``tokens`` with a column for each of ``starts``: how many elements whose open tag fulfils it hold the token. An element ends with the close tag of
+    its own depth among equal tags; one that is never closed ends with the page. All are counted in one pass: windows stay within a page, on one shuffle by page_id."""
+    names = list(starts)
+    begun = [F.when(F.coalesce(starts[k], F.lit(False)) & F.col("kind").isin("open", "void"), 1).otherwise(0).alias(k) for k in names]
+    rows = tokens.select("page_id", "pos", "kind", "tag", "token", *begun)
     same = Window.partitionBy("page_id", "tag").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     level = F.sum(F.when(F.col("kind") == "open", 1).when(F.col("kind") == "close", -1).otherwise(0)).over(same) + F.when(F.col("kind") == "close", 1).otherwise(0)
     rows = rows.withColumn("level", level)
     paired = Window.partitionBy("page_id", "tag", "level", F.col("kind").isin("open", "close")).orderBy("pos")
     ending = F.when(F.col("kind") == "void", F.col("pos")).otherwise(F.coalesce(F.lead("pos").over(paired), F.lit(1 << 30)))
-    rows = rows.withColumn("ending", F.when(F.col("starts"), ending))
-    moves = F.array(
-        F.struct(F.col("pos").alias("at"), F.lit(1).alias("step"), F.lit(0).alias("change"), F.lit(True).alias("token_row")),
-        F.struct(F.when(F.col("starts"), F.col("pos")).alias("at"), F.lit(0).alias("step"), F.lit(1).alias("change"), F.lit(False).alias("token_row")),
-        F.struct(F.col("ending").alias("at"), F.lit(2).alias("step"), F.lit(-1).alias("change"), F.lit(False).alias("token_row")),
-    )
-    moved = rows.select("page_id", "pos", "kind", "tag", "token", F.explode(F.filter(moves, lambda m: m["at"].isNotNull())).alias("m"))
+    rows = rows.withColumn("ending", ending)
+
+    def move(at: Column, step: int, sign: int) -> Column:
+        return F.struct(at.alias("at"), F.lit(step).alias("step"), *((sign * F.col(k)).alias(k) for k in names))
+
+    starting = sum((F.col(k) for k in names), F.lit(0)) > 0
+    # Of equal positions a start comes first, then the token, then the end.
+    moves = F.when(starting, F.array(move(F.col("pos"), 0, 1), move(F.col("pos"), 1, 0), move(F.col("ending"), 2, -1))).otherwise(F.array(move(F.col("pos"), 1, 0)))
+    moved = rows.select("page_id", "pos", "kind", "tag", "token", F.explode(moves).alias("m"))
     running = Window.partitionBy("page_id").orderBy("m.at", "m.step").rowsBetween(Window.unboundedPreceding, 0)
-    return moved.withColumn("depth", F.sum("m.change").over(running)).where("m.token_row").select("page_id", "pos", "kind", "tag", "token", "depth")
+    summed = moved.select("page_id", "pos", "kind", "tag", "token", F.col("m.step").alias("step"), *(F.sum(f"m.{k}").over(running).alias(k) for k in names))
+    return summed.where("step = 1").drop("step")
 
 
-def without(tokens: DataFrame, *rules) -> DataFrame:
-    """``tokens`` outside every element that one of the rules names."""
+def subtrees(tokens: DataFrame, start: Column) -> DataFrame:
+    """``tokens`` with ``depth``: how many elements whose open tag fulfils ``start`` hold the token."""
+    return depths(tokens, depth=start)
+
+
+def any_rule(*rules) -> Column:
     start = F.lit(False)
     for rule in rules:
         start = start | F.coalesce(rule(F.col("token"), F.col("tag")), F.lit(False))
-    return subtrees(tokens, start).where("depth = 0").drop("depth")
+    return start
+
+
+def without(tokens: DataFrame, *rules) -> DataFrame:
+    """``tokens`` outside every element that one of the rules names."""
+    return subtrees(tokens, any_rule(*rules)).where("depth = 0").drop("depth")
 
 
 def text_pieces(tokens: DataFrame) -> DataFrame:
-    """(page_id, pos, piece): text nodes with entities resolved, and a line feed for each br, block end and implied end."""
+    """``tokens`` with their ``piece`` in place of kind, tag and token: text nodes with entities resolved, and a line feed for each br, block end and implied end."""
     feed = (F.col("tag") == "br") | (F.col("kind") == "close") & F.col("tag").isin(*BLOCK_TAGS) | (F.col("kind") == "open") & F.col("tag").isin(*IMPLIED_ENDS)
     piece = F.when(F.col("kind") == "text", unescape(F.when(F.col("kind") == "text", F.col("token")))).when(feed, F.lit("\n"))
-    return tokens.select("page_id", "pos", piece.alias("piece")).where("piece is not null")
+    return tokens.where((F.col("kind") == "text") | feed).withColumn("piece", piece).drop("kind", "tag", "token")
 
 
 def joined_text(pieces: DataFrame) -> DataFrame:
@@ -101,19 +123,16 @@ def _collapsed(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, "(?U)\\s+", " "))
 
 
-def meta_contents(html: Column, attribute_name: str, value: str) -> Column:
-    """The content of each meta tag whose attribute has the value, white space collapsed, empty ones left out."""
-    tags = F.filter(F.regexp_extract_all(html, F.lit("(?is)<meta\\b[^>]*>"), F.lit(0)), lambda t: F.lower(attribute(t, attribute_name)) == value)
-    return F.filter(F.transform(tags, lambda t: _collapsed(_entities(attribute(t, "content")))), lambda c: c != "")
-
+def each_unescaped(texts: Column) -> Column:
+    """An array of texts with their entities resolved, all of them in one call."""
+    return F.when(F.size(texts) == 0, texts).otherwise(F.split(unescape(F.array_join(texts, BETWEEN)), BETWEEN))
 
-def _entities(text: Column) -> Column:
-    """The common entities, natively; for use within lambdas."""
-    from .text import ENTITIES
 
-    for name, value in ENTITIES:
-        text = F.replace(text, F.lit(name), F.lit(value))
-    return text
+def meta_contents(html: Column, attribute_name: str, value: str) -> Column:
+    """The content of each meta tag whose attribute has the value, white space collapsed, empty ones left out."""
+    tags = F.filter(F.regexp_extract_all(html, F.lit("(?is)<meta\\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>"), F.lit(0)), lambda t: F.lower(attribute(t, attribute_name)) == value)
+    contents = each_unescaped(F.transform(tags, lambda t: attribute(t, "content")))
+    return F.filter(F.transform(contents, _collapsed), lambda c: c != "")
 
 
 def meta_descriptions(html: Column) -> Column:
@@ -165,7 +184,7 @@ def jsonld_product_name(html: Column) -> Column:
 def page_title(html: Column) -> Column:
     """struct<title, source>: JSON-LD product, og:title by property, by name, the title element, the first h1; empty ones fall to the next."""
     bare = F.regexp_replace(html, RAW, " ")
-    tagless = lambda t: _collapsed(_entities(F.regexp_replace(t, "<[^>]*>", " ")))
+    tagless = lambda t: _collapsed(unescape(F.regexp_replace(t, "<[^>]*>", " ")))
     found = [
         (jsonld_product_name(html), "json-ld"),
         (F.get(meta_contents(html, "property", "og:title"), 0), "og:title"),

@@ -45,9 +45,13 @@ def unescape(text: Column) -> Column:
     return F.coalesce(unescape_any(F.when(rare, text)), known)
 
 
+def without_tags(text: Column) -> Column:
+    return F.regexp_replace(text, "<[^>]{0,4000}?>", " ")
+
+
 def strip_html(text: Column) -> Column:
     """Left-over tags become blanks, then entities are resolved; a tag spelled in entities goes with the next cleaning."""
-    return unescape(F.regexp_replace(text, "<[^>]{0,4000}?>", " "))
+    return unescape(without_tags(text))
 
 
 def normalize_ws(text: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import html as H
@@ -28,7 +28,7 @@ def build_candidates(texts: DataFrame, profile: TextProfile = LATIN, group: str
     sources = texts.select(group, F.posexplode(parts).alias("source_no", "raw")).where("raw is not null")
     cleaned = sources.select(group, "source_no", X.clean_text(F.col("raw")).alias("clean"))
     sentences = cleaned.select(group, "source_no", F.posexplode(X.split_sentences(F.col("clean"), profile)).alias("sent_no", "sentence"))
-    bare = sentences.withColumn("bare", X.strip_promo_affixes(F.col("sentence"), profile)).where("bare <> ''")
+    bare = sentences.withColumn("bare", X.strip_promo_affixes(F.col("sentence"), profile))  # empty ones fall to the least length
     pieces = bare.select(group, "source_no", "sent_no", F.posexplode(X.split_long(F.col("bare"), profile)).alias("piece_no", "text"))
     usable = pieces.where((F.length("text") >= profile.min_chars) & ~X.is_noise(F.col("text"), profile)).withColumn("at", F.struct("source_no", "sent_no", "piece_no"))
     unique = dedupe_sentences(usable, group, "text", "at")
@@ -37,37 +37,56 @@ def build_candidates(texts: DataFrame, profile: TextProfile = LATIN, group: str
 
 
 def bodies(pages: DataFrame) -> DataFrame:
-    """(page_id, extractor, prio, text) of three extractors: article and main elements; blocks that are long and hold few links; all text."""
-    tokens = H.without(H.html_tokens(pages), H.by_tag, H.by_role, H.by_hint)
-    within = H.subtrees(tokens, F.col("tag").isin("article", "main"))
-    container = H.joined_text(H.text_pieces(within.where("depth > 0")))
-    linked = H.subtrees(tokens, F.col("tag") == "a").select("page_id", "pos", (F.col("depth") > 0).alias("in_link"))
-    pieces = H.text_pieces(tokens)
+    """(page_id, container, density, full) of three extractors: article and main elements; blocks that are long and hold few links; all text.
+
+    One pass over the tokens and one grouping by page, in the partitions that the tokens are dealt to."""
+    marked = H.depths(
+        H.html_tokens(pages), noise=H.any_rule(H.by_tag, H.by_role, H.by_hint), main=F.col("tag").isin("article", "main"), link=F.col("tag") == "a",
+    ).where("noise = 0").drop("noise")
     running = Window.partitionBy("page_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    blocks = pieces.join(linked, ["page_id", "pos"]).withColumn("block", F.sum(F.when(F.col("piece") == "\n", 1).otherwise(0)).over(running))
+    pieces = H.text_pieces(marked).withColumn("block", F.sum(F.when(F.col("piece") == "\n", 1).otherwise(0)).over(running))
     size = F.length(F.trim("piece"))
-    kept = blocks.groupBy("page_id", "block").agg(F.sum(size).alias("chars"), F.sum(F.when(F.col("in_link"), size).otherwise(0)).alias("link_chars")).where("chars >= 25 and 2 * link_chars <= chars")
-    density = H.joined_text(blocks.join(kept, ["page_id", "block"], "left_semi").select("page_id", "pos", "piece"))
-    full = H.joined_text(pieces)
-    named = [(container, "container"), (density, "density"), (full, "full")]
-    out = [df.select("page_id", F.lit(name).alias("extractor"), F.lit(prio).alias("prio"), X.trimmed(F.col("text")).alias("text")) for prio, (df, name) in enumerate(named)]
-    return out[0].unionByName(out[1]).unionByName(out[2])
-
-
-def body_extract(pages: DataFrame, profile: TextProfile = LATIN) -> DataFrame:
-    """(page_id, extractor, n_candidates, body): the first extractor with three usable candidates, else the most candidates, then the longest text."""
-    found = bodies(pages).where("text <> ''")
-    counted = build_candidates(found.select(F.concat_ws(":", "page_id", "prio").alias("of"), F.col("text").alias("body")), profile, "of").groupBy("of").agg(F.count("*").alias("n"))
-    rated = found.withColumn("of", F.concat_ws(":", "page_id", "prio")).join(counted, "of", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    listed = F.array_sort(F.collect_list(F.struct("pos", "piece", (F.col("main") > 0).alias("inside"))))
+    blocks = pieces.groupBy("page_id", "block").agg(listed.alias("pieces"), F.sum(size).alias("chars"), F.sum(F.when(F.col("link") > 0, size).otherwise(0)).alias("link_chars"))
+    kept = (F.col("chars") >= 25) & (2 * F.col("link_chars") <= F.col("chars"))
+    paged = blocks.groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("block", kept.alias("kept"), "pieces"))).alias("blocks"))
+
+    def text(chosen: Column, inside: bool = False) -> Column:
+        parts = F.flatten(F.transform(chosen, lambda b: b["pieces"]))
+        parts = F.filter(parts, lambda p: p["inside"]) if inside else parts
+        return X.trimmed(F.array_join(F.transform(parts, lambda p: p["piece"]), " "))
+
+    every = F.col("blocks")
+    return paged.select("page_id", text(every, True).alias("container"), text(F.filter(every, lambda b: b["kept"])).alias("density"), text(every).alias("full"))
+
+
+EXTRACTORS = ("container", "density", "full")
+
+
+def body_extract(pages: DataFrame, profile: TextProfile = LATIN, keep=lambda df: df) -> DataFrame:
+    """(page_id, extractor, n_candidates, body): the first extractor with three usable candidates, else the most candidates, then the longest text.
+
+    Candidates of the other extractors are counted only where the first has fewer than three. ``keep`` may write the bodies, which both steps read."""
+    found = keep(bodies(pages))
+
+    def counted(names: tuple[str, ...], of: DataFrame) -> DataFrame:
+        texts = F.array(*(F.struct(F.lit(EXTRACTORS.index(k)).alias("prio"), F.lit(k).alias("extractor"), F.col(k).alias("text")) for k in names))
+        rows = of.select("page_id", F.explode(F.filter(texts, lambda t: t["text"] != "")).alias("t")).select("page_id", "t.*", F.concat_ws(":", "page_id", "t.prio").alias("of"))
+        n = build_candidates(rows.select("of", F.col("text").alias("body")), profile, "of").groupBy("of").agg(F.count("*").alias("n"))
+        return rows.join(n, "of", "left").select("page_id", "prio", "extractor", "text", F.coalesce("n", F.lit(0)).alias("n"))
+
+    first = keep(counted(EXTRACTORS[:1], found))
+    settled = first.where(F.col("n") >= ENOUGH)
+    others = counted(EXTRACTORS[1:], found.join(settled.select("page_id"), "page_id", "left_anti"))
     enough = F.col("n") >= ENOUGH
-    best = first_by(rated, ["page_id"], F.desc(enough), F.when(enough, F.col("prio")), F.desc("n"), F.desc(F.length("text")), F.col("prio"))
+    best = first_by(first.unionByName(others), ["page_id"], F.desc(enough), F.when(enough, F.col("prio")), F.desc("n"), F.desc(F.length("text")), F.col("prio"))
     return best.select("page_id", "extractor", F.col("n").alias("n_candidates"), F.col("text").alias("body"))
 
 
-def parse_page(pages: DataFrame, profile: TextProfile = LATIN) -> DataFrame:
+def parse_page(pages: DataFrame, profile: TextProfile = LATIN, keep=lambda df: df) -> DataFrame:
     """(page_id, title, title_source, extractor, body, descriptions, error_code): a page without a body is in error unless it has a description."""
     head = pages.select("page_id", H.page_title(F.col("html")).alias("t"), H.meta_descriptions(F.col("html")).alias("descriptions"))
-    joined = head.join(body_extract(pages, profile), "page_id", "left")
+    joined = head.join(body_extract(pages, profile, keep), "page_id", "left")
     failed = F.col("body").isNull() & (F.size("descriptions") == 0)
     return joined.select(
         "page_id", F.col("t.title").alias("title"), F.col("t.source").alias("title_source"), F.coalesce("extractor", F.lit("none")).alias("extractor"),
@@ -77,8 +96,8 @@ def parse_page(pages: DataFrame, profile: TextProfile = LATIN) -> DataFrame:
 
 def source_text(parsed: DataFrame) -> DataFrame:
     """(page_id, source_text): cleaned descriptions and body, once cleaned, joined by line feeds."""
-    cleaned = F.transform(F.concat("descriptions", F.array("body")), lambda t: X.normalize_ws(H._entities(F.regexp_replace(t, "<[^>]{0,4000}?>", " "))))
-    return parsed.select("page_id", F.array_join(cleaned, "\n").alias("source_text"))
+    stripped = F.transform(F.concat("descriptions", F.array("body")), X.without_tags)
+    return parsed.select("page_id", F.array_join(F.transform(H.each_unescaped(stripped), X.normalize_ws), "\n").alias("source_text"))
 
 
 def rank_candidates(candidates: DataFrame, profile: TextProfile = LATIN, top: int | None = None) -> DataFrame:

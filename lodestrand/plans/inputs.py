@@ -65,29 +65,29 @@ CRAWL_ERROR = """CASE WHEN page_id % 17 = 2 THEN 'fetch_timeout' WHEN page_id %
 
 
 def rich_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages with a role, a hint, descriptions and titles of each source put in behind <head> and <body>, by page_id."""
+    """Pages with a role, hints in and without quotes, an attribute that is none, an apostrophe in quotes, descriptions and titles of each source put in behind <head> and <body>, by page_id."""
     n = F.col("page_id")
     name = F.concat(F.lit("Item "), n.cast("string"))
     block = lambda body: F.concat(F.lit('<script type="application/ld+json">'), body, F.lit("</script>"))
     title = (
-        F.when(n % 4 == 1, F.concat(F.lit('<meta property="og:title" content=" Shop '), n.cast("string"), F.lit(' &amp; more ">')))
+        F.when(n % 4 == 1, F.concat(F.lit('<meta property="og:title" content=" Shop '), n.cast("string"), F.lit(' &amp; more caf&eacute; ">')))
         .when(n % 4 == 2, block(F.concat(F.lit('{"@graph":[{"@type":"Brand","name":"No"},{"@type":["Thing","http://schema.org/Product"],"brand":{"@type":"Brand","name":"B"},"name":"'), name, F.lit('"}]}'))))
         .when(n % 4 == 3, block(F.lit('{"@type":"Product","name":')))
         .otherwise("")
     )
-    second = F.when(n % 2 == 0, F.lit("First text here, of it.")).otherwise(F.concat(F.lit("Other text "), n.cast("string"), F.lit(" of the page.")))
+    second = F.when(n % 2 == 0, F.lit("First text here, of it.")).otherwise(F.concat(F.lit("Bob's other text "), n.cast("string"), F.lit(" of the page.")))
     about = F.concat(F.lit('<meta property="og:description" content="First  text here, of it."><meta name="description" content="'), second, F.lit('">'))
     head = F.concat(F.lit("<head>"), title, about)
-    body = F.lit('<body><div role="banner"><div><p>Role text stands here.</p></div></div><div class="x ad-box"><div>Hint text.</div></div>')
+    body = F.lit('<body><div role="banner"><div><p>Role text stands here.</p></div></div><div class="x ad-box"><div>Hint text.</div></div><div class=sidebar>Bare hint.</div><div data-id="header"><p>No hint at all.</p></div>')
     html = F.regexp_replace(F.regexp_replace("html", "<head>", ""), "(?i)<body[^>]*>", "")
     return pages(spark, sf_dir).select("page_id", "url", F.concat(F.lit("<html>"), head, F.lit("</head>"), body, html).alias("html"))
 
 
-RICH = """rich AS (SELECT page_id, url, '<html><head>' || CASE page_id % 4 WHEN 1 THEN '<meta property="og:title" content=" Shop ' || page_id || ' &amp; more ">'
+RICH = """rich AS (SELECT page_id, url, '<html><head>' || CASE page_id % 4 WHEN 1 THEN '<meta property="og:title" content=" Shop ' || page_id || ' &amp; more caf&eacute; ">'
  WHEN 2 THEN '<script type="application/ld+json">{"@graph":[{"@type":"Brand","name":"No"},{"@type":["Thing","http://schema.org/Product"],"brand":{"@type":"Brand","name":"B"},"name":"Item ' || page_id || '"}]}</script>'
  WHEN 3 THEN '<script type="application/ld+json">{"@type":"Product","name":</script>' ELSE '' END
- || '<meta property="og:description" content="First  text here, of it."><meta name="description" content="' || CASE WHEN page_id % 2 = 0 THEN 'First text here, of it.' ELSE 'Other text ' || page_id || ' of the page.' END || '"></head>'
- || '<body><div role="banner"><div><p>Role text stands here.</p></div></div><div class="x ad-box"><div>Hint text.</div></div>'
+ || '<meta property="og:description" content="First  text here, of it."><meta name="description" content="' || CASE WHEN page_id % 2 = 0 THEN 'First text here, of it.' ELSE 'Bob''s other text ' || page_id || ' of the page.' END || '"></head>'
+ || '<body><div role="banner"><div><p>Role text stands here.</p></div></div><div class="x ad-box"><div>Hint text.</div></div><div class=sidebar>Bare hint.</div><div data-id="header"><p>No hint at all.</p></div>'
  || regexp_replace(regexp_replace(html, '<head>', '', 'g'), '(?i)<body[^>]*>', '', 'g') AS html FROM pages)"""
 RICH_TOKENS = f"{RICH}, {O.TOKENS.replace('FROM pages', 'FROM rich')}"
 

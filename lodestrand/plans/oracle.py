@@ -4,12 +4,18 @@ from __future__ import annotations
 
 import re
 
-from ..functions.html import ATTRIBUTE, IMPLIED_ENDS, RAW, TOKEN, VOID_TAGS
-from ..functions.text import ENTITIES
 from ..profiles import BLOCK_TAGS, CHARSET_ALIASES, LATIN, NOISE_HINTS, NOISE_ROLES, NOISE_TAGS
 from ..sources.crawl import BLOCKED_V4, HTML_TYPES, _v4
 
 P = LATIN
+# The SQL has its own patterns, so that a wrong one in the operators shows.
+RAW = "(?is)<!--.*?-->" + "".join(f"|<(?:{t})\\b.*?</{t}\\s*>" for t in ("script", "style", "noscript", "template", "textarea"))
+TOKEN = "<[^>]*>|[^<]+"
+VOID_TAGS = ("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr")
+IMPLIED_ENDS = ("p", "li", "tr", "td", "th", "dt", "dd")
+ENTITIES = {"nbsp": " ", "lt": "<", "gt": ">", "quot": '"', "#39": "'", "apos": "'", "middot": "·", "copy": "©", "eacute": "é", "#233": "é", "amp": "&"}
+META = """(?is)<meta\\b(?:[^>"']|"[^"]*"|'[^']*')*>"""
+ATTRIBUTE = """[\\s/]+[^\\s"'<>/=]+(?:\\s*=\\s*(?:"[^"]*"|'[^']*'|[^\\s"'>][^\\s>]*))?"""
 
 
 def lit(s: str) -> str:
@@ -21,8 +27,8 @@ def among(words: tuple[str, ...]) -> str:
 
 
 def unescaped(x: str) -> str:
-    for name, value in ENTITIES:
-        x = f"replace({x}, {lit(name)}, {lit(value)})"
+    for name, value in ENTITIES.items():
+        x = f"replace({x}, {lit(f'&{name};')}, {lit(value)})"
     return x
 
 
@@ -129,7 +135,11 @@ def renamed_steps(source: str, group: str) -> str:
 
 
 def attribute(token: str, name: str) -> str:
-    return f"regexp_extract({token}, {lit(ATTRIBUTE.format(name))}, 1)"
+    """From all attributes of the tag the first of that name, without its name and quotes."""
+    blanks = "' /' || chr(9) || chr(10) || chr(13)"
+    named = f"list_filter(regexp_extract_all({token}, {lit(ATTRIBUTE)}), lambda a: lower(trim(regexp_replace(a, '(?s)=.*$', ''), {blanks})) = {lit(name)})[1]"
+    value = f"regexp_extract(ifnull({named}, ''), {lit('(?s)=\\s*(.*)$')}, 1)"
+    return f"regexp_replace({value}, {lit('(?s)^"(.*)"$|^' + chr(39) + '(.*)' + chr(39) + '$')}, {lit('\\1\\2')})"
 
 
 TOKENS = f"""
@@ -175,7 +185,7 @@ def score(text: str, pos: str) -> str:
 
 
 def meta(attr: str, value: str, html: str = "html") -> str:
-    tags = f"list_filter(regexp_extract_all({html}, '(?is)<meta\\b[^>]*>'), lambda t: lower({attribute('t', attr)}) = {lit(value)})"
+    tags = f"list_filter(regexp_extract_all({html}, {lit(META)}), lambda t: lower({attribute('t', attr)}) = {lit(value)})"
     content = replaced(unescaped(attribute("t", "content")), "\\s+", " ")
     return f"list_filter(list_transform({tags}, lambda t: trim({content})), lambda c: c <> '')"
 

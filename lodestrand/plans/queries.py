@@ -149,7 +149,7 @@ def jsonld_product_name(s, d):
     return N.rich_pages(s, d).select("page_id", H.jsonld_product_name(F.col("html")).alias("product"))
 
 
-@query("meta_descriptions", "SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 'First text here, of it.' ELSE 'First text here, of it.|Other text ' || page_id || ' of the page.' END AS descriptions FROM pages")
+@query("meta_descriptions", "SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 'First text here, of it.' ELSE 'First text here, of it.|Bob''s other text ' || page_id || ' of the page.' END AS descriptions FROM pages")
 def meta_descriptions(s, d):
     return N.rich_pages(s, d).select("page_id", F.array_join(H.meta_descriptions(F.col("html")), "|").alias("descriptions"))
 
@@ -170,12 +170,12 @@ chosen AS (SELECT page_id, extractor, n AS n_candidates, text AS body FROM rated
 
 @query("body_extract", f"{_BODIES} SELECT page_id, extractor, n_candidates, md5(body) AS body_md5 FROM chosen")
 def body_extract(s, d):
-    return C.body_extract(N.pages(s, d)).select("page_id", "extractor", "n_candidates", F.md5("body").alias("body_md5"))
+    return C.body_extract(N.pages(s, d), keep=kept).select("page_id", "extractor", "n_candidates", F.md5("body").alias("body_md5"))
 
 
 @query("parse_page", f"{_BODIES.replace('FROM pages', 'FROM rich').replace('WITH RECURSIVE', f'WITH RECURSIVE {N.RICH}, ', 1)}, {_TITLE} SELECT page_id, title, title_source, ifnull(extractor, 'none') AS extractor, CASE WHEN page_id % 2 = 0 THEN 1 ELSE 2 END AS n_descriptions FROM titles LEFT JOIN chosen USING (page_id)")
 def parse_page(s, d):
-    return C.parse_page(N.rich_pages(s, d)).select("page_id", "title", "title_source", "extractor", F.size("descriptions").cast("long").alias("n_descriptions"))
+    return C.parse_page(N.rich_pages(s, d), keep=kept).select("page_id", "title", "title_source", "extractor", F.size("descriptions").cast("long").alias("n_descriptions"))
 
 
 # Text
@@ -252,7 +252,7 @@ def candidates_or_error(s, d):
     return C.candidates_or_error(N.pages(s, d), found(s, d))
 
 
-@query("source_text", f"WITH {O.FULL}, dsc AS (SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 'First text here, of it.' ELSE 'First text here, of it.' || chr(10) || 'Other text ' || page_id || ' of the page.' END AS x FROM pages) SELECT page_id, x || chr(10) || {O.cleaned('text')} AS source_text FROM fulltext JOIN dsc USING (page_id)")
+@query("source_text", f"WITH {O.FULL}, dsc AS (SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 'First text here, of it.' ELSE 'First text here, of it.' || chr(10) || 'Bob''s other text ' || page_id || ' of the page.' END AS x FROM pages) SELECT page_id, x || chr(10) || {O.cleaned('text')} AS source_text FROM fulltext JOIN dsc USING (page_id)")
 def source_text(s, d):
     about = N.rich_pages(s, d).select("page_id", H.meta_descriptions(F.col("html")).alias("descriptions"))
     return C.source_text(about.join(N.full_texts(s, d).withColumnRenamed("text", "body"), "page_id"))
