@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 UNKNOWN_TITLE = "(不明)"
 FIELDS = ("title", "line2", "line3")
@@ -85,14 +89,29 @@ def parse_response(responses: DataFrame) -> DataFrame:
     return rows.select("page_id", picked.alias("json"), F.when(picked.isNull(), "llm_parse_error").alias("error_code"))
 
 
+def _as_text(value: object) -> str:
+    if isinstance(value, list):
+        return " ".join(map(_as_text, value)).strip()
+    return "" if value is None else str(value).strip()
+
+
+@F.pandas_udf(T.StringType())
+def _nested_text(lists: pd.Series) -> pd.Series:
+    return lists.map(lambda x: _as_text(json.loads(x)), na_action="ignore")
+
+
 def coerce_fields(parsed: DataFrame, fields: tuple[str, ...] = FIELDS) -> DataFrame:
-    """(page_id, fields): null is empty, strings are trimmed, lists joined by blanks, other values written out."""
+    """(page_id, fields): null is empty, strings are trimmed, lists joined by blanks, lists in them too, other values written out.
+
+    Only lists that hold more than plain values reach the Arrow function."""
     value = F.try_parse_json("json")
 
     def one(name: str) -> Column:
         path = f"$.{name}"
         kind = F.schema_of_variant(F.try_variant_get(value, path, "variant"))
-        items = F.array_join(F.transform(F.try_variant_get(value, path, "array<string>"), lambda x: F.trim(x)), " ")
-        return F.trim(F.coalesce(F.when(kind.startswith("ARRAY"), items), F.try_variant_get(value, path, "string"), F.lit(""))).alias(name)
+        nested = kind.rlike("^ARRAY<(ARRAY|OBJECT|VARIANT)")
+        items = F.array_join(F.transform(F.try_variant_get(value, path, "array<string>"), lambda x: F.trim(F.coalesce(x, F.lit("")))), " ")
+        inner = _nested_text(F.when(nested, F.to_json(F.try_variant_get(value, path, "variant"))))
+        return F.trim(F.coalesce(inner, F.when(kind.startswith("ARRAY"), items), F.try_variant_get(value, path, "string"), F.lit(""))).alias(name)
 
     return parsed.select("page_id", *(one(f) for f in fields))

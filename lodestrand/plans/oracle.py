@@ -111,7 +111,7 @@ cleanrows AS (SELECT {group}, source_no, {cleaned('raw')} AS clean FROM {source}
 linerows AS (SELECT {group}, source_no, unnest(l) AS line, generate_subscripts(l, 1) AS line_no FROM (SELECT *, string_split(clean, chr(10)) AS l FROM cleanrows)),
 sentraw AS (SELECT {group}, source_no, line_no, unnest(l) AS s, generate_subscripts(l, 1) AS k FROM (SELECT *, regexp_extract_all(line, {lit(SENTENCE)}) AS l FROM linerows)),
 sents AS (SELECT {group}, source_no, {trimmed('s')} AS sentence, row_number() OVER (PARTITION BY {group}, source_no ORDER BY line_no, k) - 1 AS sent_no FROM sentraw WHERE {trimmed('s')} <> ''),
-affix AS (SELECT {group}, source_no, sent_no, sentence AS s, 0 AS round FROM sents UNION ALL SELECT {group}, source_no, sent_no, {affix_step('s')}, round + 1 FROM affix WHERE round < {P.affix_rounds} AND {affix_step('s')} <> s),
+affix AS (SELECT {group}, source_no, sent_no, sentence AS s, 0 AS round FROM sents UNION ALL SELECT {group}, source_no, sent_no, n, round + 1 FROM (SELECT *, {affix_step('s')} AS n FROM affix) WHERE n <> s),
 bares AS (SELECT {group}, source_no, sent_no, arg_max(s, round) AS sentence FROM affix GROUP BY ALL HAVING arg_max(s, round) <> ''),
 longs AS (
   SELECT {group}, source_no, sent_no, 0 AS piece_no, CASE WHEN length(sentence) <= {P.max_chars} THEN sentence END AS text, CASE WHEN length(sentence) > {P.max_chars} THEN sentence ELSE '' END AS rest FROM bares

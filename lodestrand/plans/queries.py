@@ -191,26 +191,15 @@ _doc_text("is_promotional", lambda c: X.is_promotional(c, LATIN), O.promotional(
 _doc_text("is_noise", lambda c: X.is_noise(c, LATIN), O.noise("text"), "noise")
 _doc_text("match_key", lambda c: F.md5(X.match_key(c)), f"md5({O.key('text')})", "key_md5")
 _doc_text("script_ratio", lambda c: F.round(X.script_ratio(c, LATIN), 6), f"round(CASE WHEN length({O.bare('text')}) = 0 THEN 0 ELSE {O.script(O.bare('text'))} / length({O.bare('text')}) END, 6)", "ratio")
-_AFFIXED = "CASE doc_id % 6 WHEN 0 THEN '[SALE today] (new) ' || text[1:200] WHEN 1 THEN text[1:200] || ' (50% off) [free]' WHEN 2 THEN '(plain) ' || text[1:200] WHEN 3 THEN '*** (deal) ' || text[1:200] || ' +++' WHEN 4 THEN '[free]' ELSE text[1:200] END"
+_AFFIXED = "CASE doc_id % 6 WHEN 0 THEN '[SALE today] (new) ' || text WHEN 1 THEN text || ' (50% off) [free]' WHEN 2 THEN '(plain) ' || text WHEN 3 THEN '*** (deal) ' || text || ' +++' WHEN 4 THEN repeat('[free] ', doc_id % 40) || text ELSE text END"
 
 
-@query("strip_promo_affixes", f"WITH RECURSIVE a AS (SELECT doc_id, {O.trimmed('x')} AS s, 0 AS round FROM (SELECT doc_id, {_AFFIXED} AS x FROM documents) UNION ALL SELECT doc_id, {O.affix_step('s')}, round + 1 FROM a WHERE round < 16 AND {O.affix_step('s')} <> s) SELECT doc_id, arg_max(s, round) AS bare FROM a GROUP BY doc_id")
+@query("strip_promo_affixes", f"WITH RECURSIVE a AS (SELECT doc_id, {O.trimmed('x')} AS s, 0 AS round FROM (SELECT doc_id, {_AFFIXED} AS x FROM documents) UNION ALL SELECT doc_id, n, round + 1 FROM (SELECT *, {O.affix_step('s')} AS n FROM a) WHERE n <> s) SELECT doc_id, arg_max(s, round) AS bare FROM a GROUP BY doc_id")
 def strip_promo_affixes(s, d):
-    k, t = F.col("doc_id") % 6, F.substring("text", 1, 200)
-    x = (
-        F.when(k == 0, F.concat(F.lit("[SALE today] (new) "), t)).when(k == 1, F.concat(t, F.lit(" (50% off) [free]"))).when(k == 2, F.concat(F.lit("(plain) "), t))
-        .when(k == 3, F.concat(F.lit("*** (deal) "), t, F.lit(" +++"))).when(k == 4, F.lit("[free]")).otherwise(t)
-    )
-    return doc(s, d).select("doc_id", X.strip_promo_affixes(x, LATIN).alias("bare"))
-
-
-@query("strip_promo_affixes_whole")
-def strip_promo_affixes_whole(s, d):
-    """As strip_promo_affixes, over whole texts: its SQL reads the first 200 characters."""
     k, t = F.col("doc_id") % 6, F.col("text")
     x = (
         F.when(k == 0, F.concat(F.lit("[SALE today] (new) "), t)).when(k == 1, F.concat(t, F.lit(" (50% off) [free]"))).when(k == 2, F.concat(F.lit("(plain) "), t))
-        .when(k == 3, F.concat(F.lit("*** (deal) "), t, F.lit(" +++"))).when(k == 4, F.concat(F.lit("[free] "), t)).otherwise(t)
+        .when(k == 3, F.concat(F.lit("*** (deal) "), t, F.lit(" +++"))).when(k == 4, F.concat(F.repeat(F.lit("[free] "), (F.col("doc_id") % 40).cast("int")), t)).otherwise(t)
     )
     return doc(s, d).select("doc_id", X.strip_promo_affixes(x, LATIN).alias("bare"))
 
@@ -226,8 +215,8 @@ def split_sentences(s, d):
 @query("split_long", f"{_DOC_STEPS} SELECT doc_id, sent_no, piece_no, text FROM pieces")
 def split_long(s, d):
     sents = doc(s, d).select("doc_id", F.posexplode(X.split_sentences(X.clean_text(F.col("text")), LATIN)).alias("sent_no", "sentence"))
-    bare = sents.withColumn("bare", X.strip_promo_affixes(F.col("sentence"), LATIN)).where("bare <> ''")
-    out = bare.select("doc_id", F.col("sent_no").cast("long").alias("sent_no"), F.posexplode(X.split_long(F.col("bare"), LATIN)).alias("piece_no", "text"))
+    bare = sents.withColumn("bare", X.strip_promo_affixes(F.col("sentence"), LATIN))
+    out = bare.select("doc_id", F.col("sent_no").cast("long").alias("sent_no"), F.posexplode(X.split_long(F.col("bare"), LATIN)).alias("piece_no", "text")).where("text <> ''")
     return out.withColumn("piece_no", F.col("piece_no").cast("long"))
 
 
@@ -448,9 +437,12 @@ def resolve_route(s, d):
 
 
 @query("system_prompt", f"""SELECT conv_id, {O.lit(I.BASE_PROMPT)} || CASE WHEN conv_id % 2 = 0 THEN chr(10) || chr(10) || 'Point of view:' || chr(10) || 'view ' || conv_id ELSE '' END
- || string_agg(chr(10) || chr(10) || 'Example ' || (turn + 1) || chr(10) || '1: ' || role || chr(10) || '2: t' || turn, '' ORDER BY turn) AS prompt FROM conversations WHERE turn < 3 GROUP BY conv_id""")
+ || string_agg(chr(10) || chr(10) || 'Example ' || place || chr(10) || '1: ' || role || chr(10) || '2: t' || turn, '' ORDER BY turn) AS prompt
+ FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS place FROM conversations) WHERE place <= {B.PROMPT_EXAMPLES} GROUP BY conv_id""")
 def system_prompt(s, d):
-    return _prompts(N.table(s, d, "conversations").where("turn < 3"))
+    """All turns, up to the feature's own number of examples."""
+    ranked = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn"))
+    return _prompts(N.table(s, d, "conversations").withColumn("place", ranked).where(F.col("place") <= B.PROMPT_EXAMPLES))
 
 
 def _prompts(c: DataFrame) -> DataFrame:
@@ -459,16 +451,10 @@ def _prompts(c: DataFrame) -> DataFrame:
     return c.groupBy("conv_id").agg(shown.alias("examples")).select("conv_id", I.system_prompt(persona, F.col("examples")).alias("prompt"))
 
 
-@query("system_prompt_whole")
-def system_prompt_whole(s, d):
-    """As system_prompt, over all turns up to the feature's own number of examples: its SQL reads three."""
-    ranked = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn"))
-    return _prompts(N.table(s, d, "conversations").withColumn("place", ranked).where(F.col("place") <= B.PROMPT_EXAMPLES))
-
-
-@query("request_rows", f"{CHAIN}, ln AS (SELECT page_id, pos, (pos + 1) || '. ' || text AS line FROM candidates WHERE pos < 5), pk AS (SELECT page_id, string_agg(line, chr(10) ORDER BY pos) AS prompt FROM ln GROUP BY page_id) SELECT page_id, 'title:' || chr(10) || CASE WHEN page_id % 2 = 0 THEN url ELSE '(不明)' END || chr(10) || chr(10) || 'candidates:' || chr(10) || prompt AS message FROM pages JOIN pk USING (page_id)")
+@query("request_rows", f"{CHAIN}, ln AS (SELECT page_id, pos, (pos + 1) || '. ' || text AS line FROM candidates), tot AS (SELECT *, sum(length(line) + 1) OVER (PARTITION BY page_id ORDER BY pos) AS total FROM ln), pk AS (SELECT page_id, string_agg(line, chr(10) ORDER BY pos) AS prompt FROM tot WHERE total <= {LATIN.prompt_chars} GROUP BY page_id) SELECT page_id, 'title:' || chr(10) || CASE WHEN page_id % 2 = 0 THEN url ELSE '(不明)' END || chr(10) || chr(10) || 'candidates:' || chr(10) || prompt AS message FROM pages JOIN pk USING (page_id)")
 def request_rows(s, d):
-    return _messages(s, d, C.pack_candidates(found(s, d).where("pos < 5"), 10_000_000))
+    """All candidates under the profile's budget."""
+    return _messages(s, d, C.pack_candidates(found(s, d), LATIN.prompt_chars))
 
 
 def _messages(s, d, packed: DataFrame) -> DataFrame:
@@ -476,12 +462,6 @@ def _messages(s, d, packed: DataFrame) -> DataFrame:
     return I.request_rows(titles, packed)
 
 
-@query("request_rows_whole")
-def request_rows_whole(s, d):
-    """As request_rows, over all candidates under the profile's budget: its SQL reads five."""
-    return _messages(s, d, C.pack_candidates(found(s, d), LATIN.prompt_chars))
-
-
 def _responses(s, d):
     p, k = N.pages(s, d), F.col("page_id") % 6
     body = F.concat(F.lit('{"title":"t {'), F.col("page_id").cast("string"), F.lit('","line2":[" a ","b"],"line3":null}'))
@@ -659,9 +639,11 @@ def match_label_fuzzy(s, d):
     return resolve_fuzzy(s, d).select("page_id", "slot", R.match_label(F.col("method")).alias("label"))
 
 
-@query("stage_timings", "SELECT event_type AS stage, count(*) AS n, round(avg(value), 6) AS avg_ms, max(value) AS max_ms FROM events GROUP BY event_type")
+@query("stage_timings", """SELECT event_type AS stage, count(*) AS n, round(avg(value), 6) AS avg_ms, max(value) AS max_ms, quantile_disc(value, 0.5) AS median_ms, quantile_disc(value, 0.95) AS p95_ms,
+ round(avg(value * (event_id % 5) / 10), 6) AS avg_wait_ms, round(avg(value - value * (event_id % 5) / 10), 6) AS avg_work_ms FROM events GROUP BY event_type""")
 def stage_timings(s, d):
-    return R.stage_timings(N.table(s, d, "events").select(F.col("event_type").alias("stage"), F.col("value").alias("ms")))
+    wait = F.col("value") * (F.col("event_id") % 5) / 10
+    return R.stage_timings(N.table(s, d, "events").select(F.col("event_type").alias("stage"), F.col("value").alias("ms"), wait.alias("wait_ms")))
 
 
 # Streams

@@ -76,7 +76,6 @@ class TextProfile:
     min_ratio: float = 0.75
     fallback_ratio: float = 0.5
     min_fuzzy_chars: int = 6
-    affix_rounds: int = 16
 
 
 JA = TextProfile(

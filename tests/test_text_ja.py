@@ -34,7 +34,7 @@ def test_affixes_of_whole_texts(spark, tmp_path):
 
     text = "word " * 100 + "end"
     spark.createDataFrame([(i, text + " (sale)") for i in range(6)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
-    got = {r.doc_id: r.bare for r in QUERIES["strip_promo_affixes_whole"](spark, str(tmp_path)).collect()}
+    got = {r.doc_id: r.bare for r in QUERIES["strip_promo_affixes"](spark, str(tmp_path)).collect()}
     assert got == {0: "(new) " + text, 1: text, 2: "(plain) " + text, 3: text, 4: text, 5: text}
 
 
@@ -154,12 +154,12 @@ def test_prompts_of_all_rows(spark, tmp_path, monkeypatch):
     from lodestrand.plans import queries as Q
 
     spark.createDataFrame([(1, i, "user", "x") for i in range(8)], "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
-    prompt = Q.QUERIES["system_prompt_whole"](spark, str(tmp_path)).first().prompt
+    prompt = Q.QUERIES["system_prompt"](spark, str(tmp_path)).first().prompt
     assert "Example 6\n" in prompt
     assert "Example 7" not in prompt
     spark.createDataFrame([(1, "u", "h")], "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
     rows = spark.createDataFrame([(1, i, "t" * 100) for i in range(120)], "page_id long, pos long, text string")
     monkeypatch.setattr(Q, "found", lambda s, d: rows)
-    lines = Q.QUERIES["request_rows_whole"](spark, str(tmp_path)).first().message.split("candidates:\n")[1].split("\n")
+    lines = Q.QUERIES["request_rows"](spark, str(tmp_path)).first().message.split("candidates:\n")[1].split("\n")
     fitting = [f"{i + 1}. " + "t" * 100 for i in range(120)]
     assert lines == [x for i, x in enumerate(fitting) if sum(len(y) + 1 for y in fitting[: i + 1]) <= 6000]
