@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import text as X
-from ..plans.lineage import kept
+from ..lineage import kept
 from ..profiles import LATIN, TextProfile
 from ..sources.crawl import first_by
 from .candidates import rank_candidates
@@ -52,9 +52,14 @@ def _span(source: pd.Series, query: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["start", "size"]).astype("Int32")
 
 
+def with_keys(sources: DataFrame) -> DataFrame:
+    """``sources`` with source_key, once a page, before proposals multiply it."""
+    return sources if "source_key" in sources.columns else sources.withColumn("source_key", X.match_key(F.col("source_text")))
+
+
 def match_contained_slice(queries: DataFrame, sources: DataFrame) -> DataFrame:
     """The stretch of the page's source text that has the proposal's key; only pages whose key holds it reach the Arrow function."""
-    met = queries.where("query <> ''").join(sources, "page_id").where(F.contains(X.match_key(F.col("source_text")), F.col("query")))
+    met = queries.where("query <> ''").join(with_keys(sources), "page_id").where(F.contains("source_key", F.col("query")))
     found = met.withColumn("span", _span("source_text", "query")).where("span.start is not null")
     text = X.trimmed(F.substring(F.col("source_text"), F.col("span.start") + 1, F.col("span.size")))
     return _result(found.withColumn("slice", text).where("slice <> ''"), F.col("slice"), "contained", 1.0)
@@ -71,12 +76,15 @@ def length_bound(a: Column, b: Column) -> Column:
     return F.try_divide(2.0 * F.least(a, b), a + b)
 
 
-def _letters_bound(a: Column, b: Column) -> Column:
+def letters(key: Column) -> Column:
+    """The characters of a key, each with how often it has occurred so far: as a set they are its histogram."""
+    chars = F.array_sort(F.filter(F.split(key, ""), lambda c: c != ""))
+    return F.transform(chars, lambda c, i: F.concat(c, (i - F.array_position(chars, c)).cast("string")))
+
+
+def _letters_bound(a: Column, b: Column, lengths: Column) -> Column:
     """The ratio if every character that both have were matched."""
-    left, right = F.filter(F.split(a, ""), lambda c: c != ""), F.filter(F.split(b, ""), lambda c: c != "")
-    count = lambda xs, c: F.size(F.filter(xs, lambda y: y == c))
-    common = F.aggregate(F.array_intersect(left, right), F.lit(0), lambda n, c: n + F.least(count(left, c), count(right, c)))
-    return 2.0 * common / (F.length(a) + F.length(b))
+    return 2.0 * F.size(F.array_intersect(a, b)) / lengths
 
 
 def fuzzy_prune(queries: DataFrame, candidates: DataFrame, least: float, profile: TextProfile = LATIN) -> DataFrame:
@@ -98,8 +106,10 @@ def _ratio(candidate: pd.Series, query: pd.Series) -> pd.Series:
 
 
 def most_alike(queries: DataFrame, candidates: DataFrame, least: float, method: str, profile: TextProfile = LATIN) -> DataFrame:
-    """The candidate of the highest ratio of ``least`` or more, the first of equal ones. Both bounds are applied in the engine before the Arrow function."""
-    pairs = fuzzy_prune(queries, candidates, least, profile).where(_letters_bound(F.col("query"), F.col("match_key")) >= least)
+    """The candidate of the highest ratio of ``least`` or more, the first of equal ones. Both bounds are applied in the engine before the Arrow function;
+    histograms of characters are made once a query and once a candidate."""
+    pairs = fuzzy_prune(queries.withColumn("query_letters", letters(F.col("query"))), candidates.withColumn("key_letters", letters(F.col("match_key"))), least, profile)
+    pairs = pairs.where(_letters_bound(F.col("query_letters"), F.col("key_letters"), F.length("query") + F.length("match_key")) >= least)
     rated = pairs.withColumn("ratio", _ratio("match_key", "query")).where(F.col("ratio") >= least)
     return _result(first_by(rated, ID, F.desc("ratio"), F.col("pos")), F.col("text"), method, F.col("ratio"))
 
@@ -158,8 +168,8 @@ def resolve_title(titles: DataFrame, proposals: DataFrame, candidates: DataFrame
 
 def verbatim_audit(lines: DataFrame, sources: DataFrame) -> DataFrame:
     """(n_lines, n_violations): non-empty lines that the page's source text, compared by key, doesn't hold."""
-    checked = lines.where("text <> ''").join(sources, "page_id")
-    absent = ~F.contains(X.match_key(F.col("source_text")), X.match_key(F.col("text")))
+    checked = lines.where("text <> ''").join(with_keys(sources), "page_id")
+    absent = ~F.contains("source_key", X.match_key(F.col("text")))
     return checked.agg(F.count("*").alias("n_lines"), F.coalesce(F.sum(absent.cast("long")), F.lit(0)).alias("n_violations"))
 
 

@@ -19,13 +19,13 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(request_id, urls): thirteen lists, with a blank line and blanks around every url."""
+    """(request_id, urls): lists of twenty pages' urls, with a blank line and blanks around every url. More pages make more lists, not longer ones."""
     ordered = F.array_sort(F.collect_list(F.struct("page_id", "url")))
     lines = F.array_join(F.transform(ordered, lambda x: F.concat(F.lit(" "), x["url"], F.lit(" \n"))), "\n")
-    return pages(spark, sf_dir).groupBy((F.col("page_id") % 13).alias("request_id")).agg(lines.alias("urls"))
+    return pages(spark, sf_dir).groupBy(F.floor(F.col("page_id") / 20).alias("request_id")).agg(lines.alias("urls"))
 
 
-REQUEST_URLS = "SELECT page_id % 13 AS request_id, row_number() OVER (PARTITION BY page_id % 13 ORDER BY page_id) - 1 AS ordinal, trim(url) AS url FROM pages"
+REQUEST_URLS = "SELECT page_id // 20 AS request_id, row_number() OVER (PARTITION BY page_id // 20 ORDER BY page_id) - 1 AS ordinal, trim(url) AS url FROM pages"
 
 
 def odd_urls(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,11 +14,11 @@ from ..operators import feedback as B
 from ..operators import interchange as I
 from ..operators import results as R
 from ..operators import verify as V
+from ..lineage import folder, kept
 from ..profiles import LATIN
 from ..sources import crawl as S
 from . import inputs as N
 from . import oracle as O
-from .lineage import kept
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -283,7 +283,7 @@ def pick_best(s, d):
 
 def verified(s, d):
     c = kept(found(s, d))
-    return kept(V.keyed(N.proposals(c))), c, kept(N.source_texts(s, d))
+    return kept(V.keyed(N.proposals(c))), c, kept(V.with_keys(N.source_texts(s, d)))
 
 
 _EXACT = "exact AS (SELECT q.page_id, slot, arg_min(text, pos) AS text FROM queries q JOIN candidates c ON q.page_id = c.page_id AND query = match_key GROUP BY ALL)"
@@ -649,12 +649,10 @@ def stage_timings(s, d):
 # Streams
 
 def scratch(s: SparkSession, name: str) -> str:
-    """A new folder where both the driver and the executors can write: under spark.checkpoint.dir, or a temporary one where the session names none."""
-    import tempfile
+    """A new folder where both the driver and the executors can write."""
     import uuid
 
-    base = s.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="lodestrand-stream-")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{folder(s).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 def stream_of(s: SparkSession, d: str, name: str) -> tuple[str, str]:
