@@ -15,7 +15,7 @@ from .lineage import cut
 
 WORDS = 13
 #: Above so many terms or item positions, joins take the place of broadcasts.
-BROADCAST_TERMS, BROADCAST_ROWS = 1_000_000, 200_000
+BROADCAST_TERMS, BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 200_000, 32 << 20
 LOWEST = -(1 << 63)
 _IN_WORD = np.zeros(256, bool)
 _IN_WORD[[*range(ord("0"), ord("9") + 1), *range(ord("A"), ord("Z") + 1), *range(ord("a"), ord("z") + 1), *range(0x80, 0x100)]] = True
@@ -141,10 +141,17 @@ def phrase_matches(docs: DataFrame, items: DataFrame, words: int = WORDS, id_col
     Rows with a null id share the places that the index names for any of them, and each is compared by its own text."""
     rows = _keyed(docs, id_col, text_col, carry)
     known = cut(item_words(items, item_id_col, item_text_col))
-    places = phrase_places(rows, known, words).join(_small(known.select("item", "item_id", "words")), "item")
-    per_doc = places.groupBy("key").agg(F.collect_list(F.struct("item_id", "shift", "words")).alias("places"))
+    places = phrase_places(rows, known, words)
+    table = _item_table(known)
+    if table is None:
+        places = places.join(known.select("item", "item_id", "words"), "item")
+    else:
+        places = places.select("key", "item", "shift", F.lit(None).cast("string").alias("item_id"), F.lit(None).cast("string").alias("words"))
+    sent = docs.sparkSession.sparkContext.broadcast(table)
+    per_doc = places.groupBy("key").agg(F.collect_list(F.struct("item", "shift", "item_id", "words")).alias("places"))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        items_sent = sent.value
         for batch in batches:
             n_words, n_hit, met = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64), [[] for _ in range(batch.num_rows)]
             for a, b, flat, ends in slices(*flat_utf8(batch.column(1))):
@@ -156,7 +163,7 @@ def phrase_matches(docs: DataFrame, items: DataFrame, words: int = WORDS, id_col
                     if found:
                         low = LOWER[flat[ends[k] : ends[k + 1]]].tobytes()
                         spans = list(zip((first[cuts[k] : cuts[k + 1]] - ends[k]).tolist(), (end[cuts[k] : cuts[k + 1]] - ends[k]).tolist(), strict=True))
-                        n_hit[a + k], met[a + k] = _confirmed(low, spans, found, words)
+                        n_hit[a + k], met[a + k] = _confirmed(low, spans, found, words, items_sent)
             columns = [batch.column(0), pa.array(n_words), pa.array(n_hit), pa.array(met, pa.list_(pa.string()))]
             if kept:
                 columns += [batch.column(1), *batch.columns[3:]]
@@ -168,12 +175,21 @@ def phrase_matches(docs: DataFrame, items: DataFrame, words: int = WORDS, id_col
     return joined.mapInArrow(run, ", ".join(schema)).withColumnsRenamed(dict(zip(kept, carry, strict=True)))
 
 
-def _confirmed(low: bytes, spans: list[tuple[int, int]], places: list[dict], words: int) -> tuple[int, list[str]]:
-    """(words hit, sorted ids of items met) among the places named for one text."""
+def _item_table(known: DataFrame) -> dict[int, tuple[str | None, str]] | None:
+    """{item: (item_id, words)} to send to every worker, so that places name items by number; None if the words are too many, and are joined to the places."""
+    n = known.agg(F.count("*").alias("rows"), F.coalesce(F.sum(F.octet_length("words")), F.lit(0)).alias("bytes")).first()
+    if n["rows"] > BROADCAST_ROWS or n["bytes"] > BROADCAST_BYTES:
+        return None
+    return {x["item"]: (x["item_id"], x["words"]) for x in known.select("item", "item_id", "words").collect()}
+
+
+def _confirmed(low: bytes, spans: list[tuple[int, int]], places: list[dict], words: int, table: dict[int, tuple[str | None, str]] | None) -> tuple[int, list[str]]:
+    """(words hit, sorted ids of items met) among the places named for one text. Words of items come from ``table``, else with the places."""
     hit = np.zeros(len(spans), bool)
     met = set()
     for p in places:
-        item = p["words"].encode().split(b" ")
+        item_id, joined = (p["item_id"], p["words"]) if table is None else table[p["item"]]
+        item = joined.encode().split(b" ")
         width = min(words, len(item))
         start = max(0, p["shift"])
         stop = min(len(spans), p["shift"] + len(item))
@@ -183,7 +199,7 @@ def _confirmed(low: bytes, spans: list[tuple[int, int]], places: list[dict], wor
         run = np.concatenate(([0], np.cumsum(same)))
         whole = np.flatnonzero(run[width:] - run[:-width] == width)
         if len(whole):
-            met.add(p["item_id"] or "")
+            met.add(item_id or "")
             for w in whole.tolist():
                 hit[start + w : start + w + width] = True
     return int(hit.sum()), sorted(met)

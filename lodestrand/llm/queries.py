@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, decontamination, near_duplicates, quality, repeats, secret_scan, sharding, toxicity, winnowing
+from .lineage import cut, folder
 
 TOKENIZER = "byte_bpe_50k.json"
 TOKEN_LIMIT = 1024
@@ -112,10 +114,19 @@ def op6_bottom_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_flow_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """From shards by source, where a hot source makes one shard large, to eight of equal bytes."""
+    """From shards by source, where a hot source makes one shard large, to eight of equal bytes. Rows of rewritten shards are read from their new files."""
     docs = table(spark, sf_dir, "documents")
     old = F.pmod(F.crc32(F.coalesce("source", F.lit("")).cast("binary")), F.lit(8)).cast("int")
-    return sharding.reshard(docs, old).withColumn("grown_shard", F.lit(None).cast("int"))
+    law = "bytes"
+    placed = cut(sharding.reshard(docs, old, law=law))
+    path = f"{folder(spark).rstrip('/')}/shards-{uuid.uuid4().hex}"
+    affected = sharding.rewrite_affected(docs, placed, path)
+    out = placed.where(~F.col("shard").isin(affected)).select("doc_id", "size", "text_crc32", "shard", "slot")
+    if affected and placed.where(F.col("shard").isin(affected)).limit(1).count():
+        text = F.coalesce("text", F.lit(""))
+        files = spark.read.parquet(path).select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.col("shard").cast("int").alias("shard"), "slot")
+        out = out.unionByName(files)
+    return out.select("doc_id", "size", "text_crc32", F.lit(law).alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

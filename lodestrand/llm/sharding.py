@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from .lineage import cut
 
-#: Blocks that each old shard is dealt into; block sums, not documents, meet in the running totals.
-BLOCKS = 1024
+#: Blocks that each old shard is dealt into at least, and rows of a block aimed at; block sums, not documents, meet in the running totals.
+BLOCKS, BLOCK_ROWS = 1024, 100_000
+
+LOWEST = -(1 << 63)
 
 
 def min_cost_flow(supply: list[int], capacity: list[int], cost: list[list[int]]) -> list[list[int]]:
@@ -56,11 +58,11 @@ def equal_capacities(total: int, shards: int) -> list[int]:
     return [total // shards + (j < total % shards) for j in range(shards)]
 
 
-def reshard(docs: DataFrame, old_shard: Column, shards: int = 8, law: str = "bytes", capacities: list[int] | None = None, id_col: str = "doc_id", text_col: str = "text", blocks: int = BLOCKS) -> DataFrame:
+def reshard(docs: DataFrame, old_shard: Column, shards: int = 8, law: str = "bytes", capacities: list[int] | None = None, id_col: str = "doc_id", text_col: str = "text", blocks: int | None = None) -> DataFrame:
     """(doc_id, size, text_crc32, law, old_shard, shard, slot): where each row goes and its place there.
 
-    ``old_shard`` gives the present shard, 0 to ``shards`` - 1 (null: 0). ``law`` says what is evened out: ``bytes`` (UTF-8 bytes
-    of the text plus 1) or ``rows``. Flows between shards come from ``min_cost_flow`` with cost 1 for what moves and 0 for what stays.
+    ``old_shard`` gives the present shard, any number (null: 0); the new ones are 0 to ``shards`` - 1, be they more or fewer than the old. ``law`` says what
+    is evened out: ``bytes`` (UTF-8 bytes of the text plus 1) or ``rows``. Flows between shards come from ``min_cost_flow`` with cost 1 for what moves and 0 for what stays.
     Each old shard is laid out in a fixed order (block, id); a row goes to the flow in whose stretch its middle lies, so a shard is off its
     capacity by a row's size for each stretch at most (by ``rows``: exactly as planned). Null texts have size 1; repeated rows are placed each;
     an empty table gives an empty plan; other columns are ignored. Only ids, sizes and checksums are shuffled."""
@@ -73,22 +75,23 @@ def reshard(docs: DataFrame, old_shard: Column, shards: int = 8, law: str = "byt
             F.crc32(text.cast("binary")).alias("text_crc32"),
             (size if law == "bytes" else F.lit(1).cast("long")).alias("weight"),
             F.coalesce(old_shard.cast("int"), F.lit(0)).alias("old_shard"),
-            F.pmod(F.xxhash64(F.col(id_col), text), F.lit(blocks)).cast("int").alias("block"),
+            F.xxhash64(F.col(id_col), text).alias("hash"),
         )
     )
+    totals = rows.groupBy("old_shard").agg(F.sum("weight").alias("weight"), F.count("*").alias("n")).orderBy("old_shard").collect()  # a row for each shard
+    blocks = blocks or max(BLOCKS, max((x["n"] for x in totals), default=0) // BLOCK_ROWS + 1)
+    rows = rows.withColumn("block", F.pmod("hash", F.lit(blocks)).cast("int")).drop("hash")
     sums = rows.groupBy("old_shard", "block").agg(F.sum("weight").alias("weight"))
-    supply = [0] * shards
-    for x in sums.groupBy("old_shard").agg(F.sum("weight").alias("n")).collect():  # a row for each shard
-        supply[x["old_shard"]] = x["n"]
+    olds, supply = [x["old_shard"] for x in totals], [x["weight"] for x in totals]
     capacities = capacities or equal_capacities(sum(supply), shards)
-    flow = min_cost_flow(supply, capacities, [[int(i != j) for j in range(shards)] for i in range(shards)])
+    flow = min_cost_flow(supply, capacities, [[int(i != j) for j in range(len(capacities))] for i in olds])
     stretches = []
-    for i in range(shards):
+    for old, sent in zip(olds, flow, strict=True):
         at = 0
-        for j in sorted(range(shards), key=lambda j: (j != i, j)):
-            if flow[i][j]:
-                stretches.append((i, 2 * at, 2 * (at + flow[i][j]), j))
-                at += flow[i][j]
+        for j in sorted(range(len(sent)), key=lambda j: (j != old, j)):
+            if sent[j]:
+                stretches.append((old, 2 * at, 2 * (at + sent[j]), j))
+                at += sent[j]
     plan = docs.sparkSession.createDataFrame(stretches or [(0, 0, 1, 0)], "old_shard int, low long, high long, shard int")
     first = Window.partitionBy("old_shard").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     starts = sums.select("old_shard", "block", F.coalesce(F.sum("weight").over(first), F.lit(0)).alias("start"))
@@ -96,7 +99,7 @@ def reshard(docs: DataFrame, old_shard: Column, shards: int = 8, law: str = "byt
     placed = (
         rows.join(starts, ["old_shard", "block"])
         .withColumn("middle", 2 * (F.col("start") + F.coalesce(F.sum("weight").over(inside), F.lit(0))) + F.col("weight"))
-        .join(F.broadcast(plan), "old_shard")  # at most shards**2 stretches
+        .join(F.broadcast(plan), "old_shard")  # a stretch for each pair of shards at most
         .where("middle >= low and middle < high")
     )
     placed = cut(placed.select("doc_id", "size", "text_crc32", "old_shard", "block", "shard"))
@@ -109,12 +112,23 @@ def reshard(docs: DataFrame, old_shard: Column, shards: int = 8, law: str = "byt
     )
 
 
-def rewrite_affected(docs: DataFrame, placed: DataFrame, path: str, id_col: str = "doc_id") -> list[int]:
+def rewrite_affected(docs: DataFrame, placed: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> list[int]:
     """Writes the shards that gain or lose rows under ``path`` as shard=N folders, and returns their numbers; others keep their files.
 
-    Ids must be unique. ``placed`` is what ``reshard`` returned. The write replaces only the folders that it makes."""
+    ``placed`` is what ``reshard`` returned for ``docs``. A row finds its place by id (null ids too), checksum and size; rows that agree in all
+    three take their places in any order, each its own. Columns of ``docs`` named shard or slot are written as shard_before and slot_before. Old
+    shards that the new ones lack are among the numbers and have no rows. The write replaces only the folders that it makes."""
     moved = placed.where("shard <> old_shard")
     affected = sorted({x[0] for x in moved.select(F.explode(F.array("shard", "old_shard"))).distinct().collect()})  # shards, not rows
-    rows = docs.join(placed.where(F.col("shard").isin(affected)).select(F.col("doc_id").alias("_id"), "shard", "slot"), F.col(id_col) == F.col("_id")).drop("_id")
+    if not affected:
+        return []
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    key = [F.coalesce(F.col(id_col).cast("long"), F.lit(LOWEST)).alias("_id"), (F.octet_length(text).cast("long") + 1).alias("_size"), F.crc32(text.cast("binary")).alias("_crc")]
+    names = ["_id", "_size", "_crc"]
+    twin = F.row_number().over(Window.partitionBy(*names).orderBy(F.lit(0))).alias("_twin")
+    kept = [F.col(c).alias(f"{c}_before" if c in ("shard", "slot") else c) for c in docs.columns]
+    rows = docs.select(*kept, *key).select("*", twin)
+    place = placed.select(F.coalesce("doc_id", F.lit(LOWEST)).alias("_id"), F.col("size").alias("_size"), F.col("text_crc32").alias("_crc"), "shard", "slot").select("*", twin)
+    rows = rows.join(place.where(F.col("shard").isin(affected)), [*names, "_twin"]).drop(*names, "_twin")
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("shard").parquet(path)
     return affected

@@ -19,6 +19,8 @@ INVERSE = pow(BASE, -1, 1 << 64)
 K, WINDOW = 20, 40
 #: A k-gram's rolling hash is taken in stretches of so many bytes, to bound a long text's arrays.
 STRETCH = 1 << 18
+#: Bytes of text in a range of ids that ``with_next`` aims at, ranges for each shuffle partition at least, and ranges at most.
+RANGE_BYTES, RANGES_EACH, MOST_RANGES = 16 << 20, 4, 20_000
 _RISE, _FALL = powers(BASE, STRETCH + 4096), powers(INVERSE, STRETCH + 4096)
 
 
@@ -96,11 +98,14 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", p
     """(doc_id, text, next_text): each row with the text that follows in ascending id (null first, then text), the first after the last.
 
     Ids are cut into ranges at quantiles that are ids themselves; each range also gets the row that starts the next range, so no range waits
-    for another and one shuffle of the texts does. The broadcast list has ``parts`` ids, the session's shuffle partitions by default."""
+    for another and one shuffle of the texts does. The broadcast list has ``parts`` ids; by default there are as many ranges as the texts' bytes ask for,
+    ``RANGES_EACH`` a shuffle partition at least, so that tasks are even. A range's rows are sorted with spill and read as a stream."""
     spark = docs.sparkSession
-    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     lowest = -(1 << 63)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(id_col).cast("long"), F.lit(lowest)).alias("key"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    if parts is None:
+        size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        parts = min(MOST_RANGES, max(RANGES_EACH * int(spark.conf.get("spark.sql.shuffle.partitions")), size // RANGE_BYTES + 1))
     shares = ", ".join(repr(i / parts) for i in range(1, parts)) or "0.5"
     found = rows.agg(F.min("key").alias("low"), F.expr(f"percentile_approx(key, array({shares}), {max(10000, 20 * parts)})").alias("cuts")).first()
     starts = sorted({found["low"], *(found["cuts"] or [])}) if found["low"] is not None else [lowest]

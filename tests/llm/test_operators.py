@@ -375,11 +375,65 @@ def test_least_flow():
 
 
 def test_rewrite_affected(spark, tmp_path):
-    docs = documents(spark, [(i, "x" * (5 + i)) for i in range(30)])
-    placed = sharding.reshard(docs, F.lit(0), 3)
-    sharding.rewrite_affected(docs.select("doc_id", "text"), placed, str(tmp_path / "out"))
-    back = {(r.doc_id, r.shard) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
-    assert back == {(r.doc_id, r.shard) for r in placed.collect()}
+    """Null ids, repeated rows and ids, columns named as ours, and old shards that the new ones lack."""
+    rows = [(i, "x" * (5 + i)) for i in range(30)] + [(None, "no id"), (None, "no id"), (None, None), (3, "other text"), (4, "x" * 9)]
+    docs = documents(spark, rows)
+    for k, (old, shards) in enumerate(((F.lit(0), 3), (F.pmod(F.length("text"), F.lit(16)) + 100, 4), (F.coalesce("doc_id", F.lit(7)) % 2, 5))):
+        placed = sharding.reshard(docs, old, shards)
+        path = str(tmp_path / f"out{k}")
+        affected = sharding.rewrite_affected(docs, placed, path)
+        back = spark.read.parquet(path)
+        assert {"shard_before", "node"} <= set(back.columns)
+        want = sorted(((r.doc_id, r.size, r.shard, r.slot) for r in placed.collect() if r.shard in affected), key=repr)
+        assert sorted(((r.doc_id, len(r.text or "") + 1, r.shard, r.slot) for r in back.collect()), key=repr) == want
+        assert len({(x[2], x[3]) for x in want}) == len(want)
+        if k < 2:
+            assert len(want) == len(rows)
+    assert sharding.rewrite_affected(docs, sharding.reshard(docs, F.lit(0), 1), str(tmp_path / "none")) == []
+
+
+def test_resharding_query(spark):
+    path = "/root/testdata/sf0.001"
+    docs = {r.doc_id: r.text or "" for r in queries.table(spark, path, "documents").collect()}
+    got = queries.op9_flow_resharding(spark, path).collect()
+    assert {r.doc_id: (r.size, r.text_crc32) for r in got} == {i: (len(t.encode()) + 1, zlib.crc32(t.encode())) for i, t in docs.items()}
+    sizes = [sum(r.size for r in got if r.shard == k) for k in range(8)]
+    assert max(sizes) - min(sizes) <= 2 * max(r.size for r in got)
+    assert all(sorted(r.slot for r in got if r.shard == k) == list(range(sum(r.shard == k for r in got))) for k in range(8))
+    assert {(r.law, r.grown_shard) for r in got} == {("bytes", None)}
+
+
+def test_winnowing_query(spark):
+    path = "/root/testdata/sf0.001"
+    docs = sorted((r.doc_id, r.text or "") for r in queries.table(spark, path, "documents").collect())
+    got = {r.doc_id: r for r in queries.op4_winnowing(spark, path).collect()}
+    assert len(got) == len(docs)
+
+    def chosen(text):
+        return winnowing.winnow(np.frombuffer(text.encode(), np.uint8))
+
+    def likeness(a, b):
+        x, y = (set(chosen(t)[0].tolist()) for t in (a, b))
+        return len(x & y) / len(x | y) if x | y else 1.0
+
+    for k, (i, text) in enumerate(docs):
+        after = docs[(k + 1) % len(docs)][1]
+        half = len(text) // 2
+        edited = text[: len(text) - half] + after[:half]
+        r = got[i]
+        assert (r.n_chars, r.edited_sha256) == (len(text), hashlib.sha256(edited.encode()).hexdigest())
+        assert (r.fingerprint, r.edited_fingerprint) == (winnowing.pack(*chosen(text)), winnowing.pack(*chosen(edited)))
+        assert (r.near_edited, r.near_next) == (likeness(text, edited), likeness(text, after))
+
+
+@pytest.mark.parametrize(("name", "mod", "held"), [("op1_toxicity", 4, 2), ("op8_quality", 5, 0)])
+def test_score_queries(spark, name, mod, held):
+    path = "/root/testdata/sf0.001"
+    got = queries.QUERIES[name](spark, path).collect()
+    assert len(got) == queries.table(spark, path, "documents").count()
+    for r in got:
+        assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % mod == held)
+        assert 0 <= r.score <= 1 and r.predicted == int(r.score >= 0.3)
 
 
 def brute_spans(text):
