@@ -86,6 +86,33 @@ def fit_bag(positives: tuple[np.ndarray, np.ndarray, int], unlabelled: tuple[np.
     return out
 
 
+def _chosen(sample: tuple[np.ndarray, np.ndarray, int], mask: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+    """The rows of a sample where ``mask`` holds."""
+    row, feature, _ = sample
+    held = mask[row]
+    return (np.cumsum(mask) - 1)[row[held]], feature[held], int(mask.sum())
+
+
+def estimated_prior(positives: tuple[np.ndarray, np.ndarray, int], unlabelled: tuple[np.ndarray, np.ndarray, int], features: int, seed: int = 1) -> float:
+    """The share of positives among the unlabelled rows, from positive and unlabelled rows alone.
+
+    Above any score the unlabelled rows are at least the prior times as dense as the positive ones, and just so where no negative scores as high: the
+    estimate is the least ratio of the two shares, over scores that half of the positives or more reach. A half of the rows trains the classifier that
+    scores the other half, and the other way round; the mean of both counts. Kept within 1/1000 of 0 and 1; 0.5 where a half is empty."""
+    rng = np.random.default_rng(seed)
+    halves = [rng.random(x[2]) < 0.5 for x in (positives, unlabelled)]
+    least = []
+    for side in (True, False):
+        train = [_chosen(x, h == side) for x, h in zip((positives, unlabelled), halves, strict=True)]
+        test = [_chosen(x, h != side) for x, h in zip((positives, unlabelled), halves, strict=True)]
+        if not all(x[2] for x in (*train, *test)):
+            return 0.5
+        bag = fit_bag(*train, features, 0.5, members=1, epochs=300, rate=0.3, decay=1e-4)
+        p, u = (mean_scores(bag, *x) for x in test)
+        least.append(min(float((u >= t).mean() / (p >= t).mean()) for t in np.quantile(p, np.linspace(0, 0.5, 26))))
+    return min(max(float(np.mean(least)), 1e-3), 1 - 1e-3)
+
+
 def mean_scores(bag: list[Linear], row: np.ndarray, feature: np.ndarray, rows: int) -> np.ndarray:
     return np.mean([m.scores(row, feature, rows) for m in bag], axis=0)
 

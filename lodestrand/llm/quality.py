@@ -68,10 +68,10 @@ def _measured(docs: DataFrame, kept: list[str]) -> DataFrame:
 
 
 def train(docs: DataFrame, labels: DataFrame, trainable: Column, label_col: str = "quality") -> tuple[np.ndarray, list[pu.Linear]]:
-    """(bin edges, classifiers). Edges are quantiles of the unlabelled sample; an edge that repeats leaves a bin empty.
+    """(bin edges, classifiers). Only labels of 1 are used: the class prior is estimated from positive and unlabelled rows. Edges are quantiles of the unlabelled sample; an edge that repeats leaves a bin empty.
 
     What reaches the driver is ``len(MEASURES)`` numbers for each sampled row. Without a positive row there are no classifiers."""
-    sample, prior = pu.training_sample(docs, labels, label_col, trainable)
+    sample, _ = pu.training_sample(docs, labels, label_col, trainable)
     rows = _measured(sample, ["positive", "unlabelled"]).toPandas()  # within the sample's bound
     values = np.stack(rows["measures"].to_numpy()) if len(rows) else np.zeros((0, len(MEASURES)))
     p, u = values[rows["positive"].to_numpy(bool)], values[rows["unlabelled"].to_numpy(bool)]
@@ -81,7 +81,9 @@ def train(docs: DataFrame, labels: DataFrame, trainable: Column, label_col: str
     shares = np.concatenate(([0.01, 0.03], np.linspace(0, 1, BINS + 1)[1:-1], [0.95, 0.97, 0.99]))
     edges = np.quantile(u, np.sort(shares), axis=0).T + 1e-12
     features = len(MEASURES) * (edges.shape[1] + 1)
-    return edges, pu.fit_bag((*active(p, edges), len(p)), (*active(u, edges), len(u)), features, prior, epochs=800, rate=0.3, decay=3e-6)
+    positives, unlabelled = (*active(p, edges), len(p)), (*active(u, edges), len(u))
+    prior = pu.estimated_prior(positives, unlabelled, features)
+    return edges, pu.fit_bag(positives, unlabelled, features, prior, epochs=800, rate=0.3, decay=3e-6)
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, list[pu.Linear]], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -500,6 +500,19 @@ def test_learned_scores(spark):
         assert {r.held_out for r in out if r.doc_id in held_ids} == {True}
 
 
+@pytest.mark.parametrize("share", [0.2, 0.5, 0.85])
+def test_estimated_prior(share):
+    rng = np.random.default_rng(2)
+
+    def sample(good):
+        n = len(good)
+        feature = np.where(rng.random((n, 5)) < np.where(good, 0.7, 0.2)[:, None], 0, 1) + 2 * np.arange(5)
+        return np.repeat(np.arange(n), 5), feature.ravel(), n
+
+    prior = pu.estimated_prior(sample(np.ones(3000, bool)), sample(rng.random(6000) < share), 10)
+    assert share - 0.05 < prior < share + 0.1
+
+
 def test_nonnegative_risk():
     zp, zu = np.array([2.0, -1.0]), np.array([0.5, -3.0, 1.0])
     soft = lambda z: np.log1p(np.exp(z))
