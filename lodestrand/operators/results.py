@@ -2,11 +2,52 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..lineage import kept
+from ..profiles import LATIN, TextProfile
+from . import candidates as C
+from . import verify as V
+
 LABELS = {"exact": "verbatim", "contained": "verbatim", "fuzzy": "rewritten", "nearest": "nearest", "unverified": "chosen by score", "none": "none"}
 
+#: What a result says of how it came about. Fields that a caller doesn't measure are null.
+META = {
+    "fetch_ms": "double", "extract_ms": "double", "llm_ms": "double", "total_ms": "double", "http_status": "int", "extractor": "string", "candidate_count": "int",
+    "candidates": "array<string>", "title_source": "string", "line2_match": "string", "line3_match": "string", "persona_applied": "boolean", "example_count": "int",
+    "llm_model": "string", "llm_model_id": "string", "llm_model_label": "string",
+}
+
+
+def meta_of(df: DataFrame) -> Column:
+    """A struct of the ``META`` fields, from the columns of ``df`` that have their names."""
+    return F.struct(*((F.col(k) if k in df.columns else F.lit(None)).cast(kind).alias(k) for k, kind in META.items())).alias("meta")
+
+
+def page_results(pages: DataFrame, propose: Callable[[DataFrame], DataFrame], profile: TextProfile = LATIN) -> DataFrame:
+    """(page_id, title, line2, line3, error_code, meta) of fetched ``pages`` (page_id, html, and any columns named as fields of ``META``).
+
+    Each page is parsed, its candidates are built, descriptions first, ``propose`` gives lines for them (page_id, slot, text), as an external chooser
+    does, and what it gives is resolved to text that stands on the page. A page that can't be parsed or has no candidates is a row with an error."""
+    parsed = kept(C.parse_page(pages, profile, kept))
+    found = kept(C.build_candidates(parsed, profile, descriptions="descriptions"))
+    sources = kept(V.with_keys(C.source_text(parsed)))
+    proposals = kept(propose(found))
+    lines = V.resolve_pair(V.keyed(proposals), found, sources, profile)
+    titles = V.resolve_title(parsed.select("page_id", "title"), proposals, found, sources, profile)
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"])
+    counts = found.groupBy("page_id").agg(F.count("*").alias("candidate_count"), listed.alias("candidates"))
+    given = pages.select("page_id", *(c for c in pages.columns if c in META))
+    rows = parsed.select("page_id", F.nullif("title_source", F.lit("")).alias("title_source"), "extractor", F.col("error_code").alias("_parse")).join(given, "page_id")
+    rows = rows.join(titles, "page_id", "left").join(counts, "page_id", "left").join(lines, "page_id", "left").withColumnsRenamed({"method2": "line2_match", "method3": "line3_match"})
+    rows = rows.withColumn("candidate_count", F.coalesce("candidate_count", F.lit(0)))
+    error = F.coalesce("_parse", F.when(F.col("candidate_count") == 0, "content_extraction_error"))
+    text = lambda c: F.when(error.isNull(), F.coalesce(c, F.lit(""))).otherwise("").alias(c)
+    return rows.select("page_id", *map(text, ("title", "line2", "line3")), error.alias("error_code"), meta_of(rows))
+
 
 def error_isolation(pages: DataFrame, *errors: str) -> DataFrame:
     """``pages`` with error_code: the first error column that is set. Stages record errors, they don't raise, so other rows are untouched."""
@@ -14,11 +55,12 @@ def error_isolation(pages: DataFrame, *errors: str) -> DataFrame:
 
 
 def assemble_results(request_urls: DataFrame, results: DataFrame) -> DataFrame:
-    """A row for each (request_id, ordinal), duplicates too; what was computed once for a url is joined back, and lines of failed rows are empty."""
+    """A row for each (request_id, ordinal), duplicates too; what was computed once for a url is joined back, its meta too, and lines of failed rows are empty."""
     joined = request_urls.join(results, "url", "left")
     error = F.coalesce("error_code", F.when(F.col("title").isNull() & F.col("line2").isNull(), "internal_error"))
     line = lambda c: F.when(error.isNull(), F.coalesce(c, F.lit(""))).otherwise("")
-    return joined.select("request_id", "ordinal", "url", *(line(F.col(c)).alias(c) for c in ("title", "line2", "line3")), error.alias("error_code"))
+    meta = ["meta"] if "meta" in results.columns else []
+    return joined.select("request_id", "ordinal", "url", *(line(F.col(c)).alias(c) for c in ("title", "line2", "line3")), error.alias("error_code"), *meta)
 
 
 def outcome_summary(results: DataFrame) -> DataFrame:

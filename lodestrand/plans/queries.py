@@ -614,6 +614,37 @@ def results_fuzzy(s, d):
     return assembled(s, d, True)
 
 
+def whole_results(s, d) -> DataFrame:
+    """Results of fetched pages end to end, and errors of those that weren't fetched."""
+    crawl = N.crawl(s, d)
+    problem = S.crawl_error(F.col("status"), F.col("content_type"), F.col("html"), F.col("timed_out"))
+    crawl = crawl.select("page_id", "url", F.col("status").alias("http_status"), problem.alias("crawl_error"))
+    fetched = crawl.where("crawl_error is null").select("page_id", "http_status").join(N.rich_pages(s, d).select("page_id", "html"), "page_id")
+    done = R.page_results(fetched, N.proposals)
+    return crawl.select("page_id", "url", "crawl_error").join(done, "page_id", "left").withColumn("error_code", F.coalesce("crawl_error", "error_code")).drop("crawl_error")
+
+
+@query("assemble_results")
+def assemble_results(s, d):
+    urls = S.url_list_explode(N.requests(s, d)).withColumn("ordinal", F.col("ordinal").cast("long"))
+    return R.assemble_results(urls, whole_results(s, d).drop("page_id"))
+
+
+@query("result_breakdown")
+def result_breakdown(s, d):
+    """Counts of results by error, extractor, source of the title and how each line was found."""
+    rows = whole_results(s, d).select("error_code", "meta.extractor", "meta.title_source", "meta.line2_match", "meta.line3_match")
+    return R.outcome_breakdown(rows, *rows.columns)
+
+
+@query("write_results")
+def write_results(s, d):
+    """What the sink holds: results, failures in their own folder."""
+    path = scratch(s, "results")
+    S.write_results(assemble_results(s, d), path)
+    return s.read.parquet(path).select(F.col("failed").cast("boolean").alias("failed"), "request_id", "ordinal", "url", "title", "line2", "line3", "error_code")
+
+
 @query("outcome_summary", f"{_OUTCOME} SELECT count(*) AS n_total, count(*) FILTER (error_code IS NULL) AS n_ok, count(error_code) AS n_failed FROM outcomes")
 def outcome_summary(s, d):
     return R.outcome_summary(outcomes(s, d))
