@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .buffers import LOWER, flat_utf8, slices
 from .buffers import words_in as words_by
-from .lineage import cut
+from .lineage import cut, written
 
 WORDS = 13
 #: Above so many terms or item positions, joins take the place of broadcasts.
@@ -120,28 +120,49 @@ def index(docs: DataFrame, items: DataFrame, words: int = WORDS) -> tuple[DataFr
     return postings(docs, sorted_terms(chosen, "term")), chosen
 
 
-def phrase_places(docs: DataFrame, items: DataFrame, words: int = WORDS) -> DataFrame:
-    """(key, item, shift): where an item, laid ``shift`` words into a text, meets both rarest terms of one of its windows.
-
-    Lists of one term are adjusted by the term's place in the item, so equal shifts mean the same laying; what both lists share is kept."""
+def laid_places(docs: DataFrame, items: DataFrame, words: int = WORDS) -> tuple[DataFrame, DataFrame]:
+    """((key, item, place, shift), the windows' places): every meeting of a posting with a place of its term in an item, the list adjusted by that
+    place, so equal shifts mean the same laying of the item on the text. Written once; phrases and proximity are read from it."""
     index_rows, chosen = index(docs, items, words)
     places = chosen.select("term", "item", "place").distinct()
-    met = index_rows.join(_small(places), "term").select("key", "item", (F.col("position") - F.col("place")).alias("shift"), "place")
-    met = met.groupBy("key", "item", "shift").agg(F.collect_set("place").alias("places"))
+    return written(index_rows.join(_small(places), "term").select("key", "item", "place", (F.col("position") - F.col("place")).alias("shift"))), chosen
+
+
+def phrase_places(laid: DataFrame, chosen: DataFrame) -> DataFrame:
+    """(key, item, shift): where both rarest terms of one of the item's windows meet in one laying."""
+    met = laid.groupBy("key", "item", "shift").agg(F.collect_set("place").alias("places"))
     windows = chosen.groupBy("item", "window").agg(F.collect_set("place").alias("needed")).groupBy("item").agg(F.collect_set("needed").alias("windows"))
     both = F.exists("windows", lambda w: F.size(F.array_except(w, F.col("places"))) == 0)
     return met.join(_small(windows), "item").where(both).select("key", "item", "shift")
 
 
-def phrase_matches(docs: DataFrame, items: DataFrame, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
-    """(doc_id, n_words, n_hit, item_ids, and with ``carry`` the text and those columns): for each row its words, how many of them lie in an occurrence of a window of an item, and the items met.
+def near_places(laid: DataFrame, chosen: DataFrame, slop: int) -> DataFrame:
+    """(key, item, window) where both rarest terms of a window stand at most ``slop`` words off the distance that they have in the item.
+
+    Layings meet by stretches of 2 * slop + 1 words, so a term that a long text repeats isn't paired with all its other places."""
+    stretch = 2 * slop + 1
+
+    def side(rank: int) -> DataFrame:
+        return laid.join(_small(chosen.where(F.col("rank") == rank).select("item", "place", "window")), ["item", "place"])
+
+    low, high = F.floor((F.col("shift") - slop) / stretch), F.floor((F.col("shift") + slop) / stretch)
+    first = side(1).select("key", "item", "window", F.col("shift").alias("at"), F.explode(F.sequence(low, high)).alias("stretch"))
+    second = side(2).select("key", "item", "window", F.col("shift").alias("other"), F.floor(F.col("shift") / stretch).alias("stretch"))
+    met = first.join(second, ["key", "item", "window", "stretch"]).where(F.abs(F.col("at") - F.col("other")) <= slop)
+    return met.select("key", "item", "window").distinct()
+
+
+def phrase_matches(docs: DataFrame, items: DataFrame, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", carry: tuple[str, ...] = (), slop: int | None = None) -> DataFrame:
+    """(doc_id, n_words, n_hit, item_ids, with ``slop`` near_ids, and with ``carry`` the text and those columns): for each row its words, how many of them lie in an occurrence of a window of an item, and the items met.
 
     Words and windows are compared whole after the index has named the places. Texts without words (null and empty ones) have 0 and no items; rows that
     repeat get a result each, by their own text even under one id; items of equal id count once; an empty table of either kind gives no hits.
-    Rows with a null id share the places that the index names for any of them, and each is compared by its own text."""
+    Rows with a null id share the places that the index names for any of them, and each is compared by its own text. near_ids are the items with a
+    window whose two rarest terms stand in the text (any text of that id) at most ``slop`` words off their distance in the item, other words whatever they are."""
     rows = _keyed(docs, id_col, text_col, carry)
     known = cut(item_words(items, item_id_col, item_text_col))
-    places = phrase_places(rows, known, words)
+    laid, chosen = laid_places(rows, known, words)
+    places = phrase_places(laid, chosen)
     table = _item_table(known)
     if table is None:
         places = places.join(known.select("item", "item_id", "words"), "item")
@@ -150,6 +171,13 @@ def phrase_matches(docs: DataFrame, items: DataFrame, words: int = WORDS, id_col
     sent = docs.sparkSession.sparkContext.broadcast(table)
     per_doc = places.groupBy("key").agg(F.collect_list(F.struct("item", "shift", "item_id", "words")).alias("places"))
 
+    kept = [f"c{i}" for i in range(len(carry))]
+    if slop is not None:
+        near = near_places(laid, chosen, slop).select("key", "item").distinct().join(_small(known.select("item", "item_id")), "item")
+        near = near.groupBy("key").agg(F.array_sort(F.collect_set(F.coalesce("item_id", F.lit("")))).alias("near_ids"))
+        per_doc = per_doc.join(near, "key", "full")
+    near_ids = F.coalesce("near_ids", F.array().cast("array<string>")) if slop is not None else F.lit(None).cast("array<string>")
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items_sent = sent.value
         for batch in batches:
@@ -164,15 +192,16 @@ def phrase_matches(docs: DataFrame, items: DataFrame, words: int = WORDS, id_col
                         low = LOWER[flat[ends[k] : ends[k + 1]]].tobytes()
                         spans = list(zip((first[cuts[k] : cuts[k + 1]] - ends[k]).tolist(), (end[cuts[k] : cuts[k + 1]] - ends[k]).tolist(), strict=True))
                         n_hit[a + k], met[a + k] = _confirmed(low, spans, found, words, items_sent)
-            columns = [batch.column(0), pa.array(n_words), pa.array(n_hit), pa.array(met, pa.list_(pa.string()))]
+            columns = [batch.column(0), pa.array(n_words), pa.array(n_hit), pa.array(met, pa.list_(pa.string())), batch.column(3)]
             if kept:
-                columns += [batch.column(1), *batch.columns[3:]]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_words", "n_hit", "item_ids", *(["text"] if kept else []), *kept])
+                columns += [batch.column(1), *batch.columns[4:]]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_words", "n_hit", "item_ids", "near_ids", *(["text"] if kept else []), *kept])
 
-    kinds, kept = dict(rows.dtypes), [f"c{i}" for i in range(len(carry))]
-    joined = rows.join(per_doc, "key", "left").select("doc_id", "text", "places", *kept)
-    schema = ["doc_id long, n_words long, n_hit long, item_ids array<string>", *(["text string"] if kept else []), *(f"{c} {kinds[c]}" for c in kept)]
-    return joined.mapInArrow(run, ", ".join(schema)).withColumnsRenamed(dict(zip(kept, carry, strict=True)))
+    kinds = dict(rows.dtypes)
+    joined = rows.join(per_doc, "key", "left").select("doc_id", "text", "places", near_ids.alias("near_ids"), *kept)
+    schema = ["doc_id long, n_words long, n_hit long, item_ids array<string>, near_ids array<string>", *(["text string"] if kept else []), *(f"{c} {kinds[c]}" for c in kept)]
+    out = joined.mapInArrow(run, ", ".join(schema)).withColumnsRenamed(dict(zip(kept, carry, strict=True)))
+    return out if slop is not None else out.drop("near_ids")
 
 
 def _item_table(known: DataFrame) -> dict[int, tuple[str | None, str]] | None:
@@ -208,16 +237,8 @@ def _confirmed(low: bytes, spans: list[tuple[int, int]], places: list[dict], wor
 def proximity_matches(docs: DataFrame, items: DataFrame, slop: int, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """(doc_id, item_id, window) where both rarest terms of a window stand at most ``slop`` words off the distance that they have in the item.
 
-    Positions meet by stretches of 2 * slop + 1 words, so a term that a long text repeats isn't paired with all its other places."""
+    Texts and items without words, null ones too, match nothing; rows of one id, and items that repeat, give a row once an item; empty tables give none."""
     rows = _keyed(docs, id_col, text_col)
     known = cut(item_words(items, item_id_col, item_text_col))
-    index_rows, chosen = index(rows, known, words)
-    stretch = 2 * slop + 1
-    first = index_rows.join(_small(chosen.where("rank = 1").drop("rank")), "term").select("key", "item", "window", (F.col("position") - F.col("place")).alias("at"))
-    second = index_rows.join(_small(chosen.where("rank = 2").drop("rank")), "term").select("key", "item", "window", (F.col("position") - F.col("place")).alias("other"))
-    low, high = F.floor((F.col("at") - slop) / stretch), F.floor((F.col("at") + slop) / stretch)
-    first = first.withColumn("stretch", F.explode(F.sequence(low, high)))
-    second = second.withColumn("stretch", F.floor(F.col("other") / stretch))
-    met = first.join(second, ["key", "item", "window", "stretch"]).where(F.abs(F.col("at") - F.col("other")) <= slop)
-    met = met.select("key", "item", "window").distinct().join(_small(known.select("item", "item_id")), "item")
+    met = near_places(*laid_places(rows, known, words), slop).join(_small(known.select("item", "item_id")), "item")
     return met.select(F.when(F.col("key") != LOWEST, F.col("key")).alias("doc_id"), "item_id", "window")

@@ -69,15 +69,19 @@ def op2_run_length_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
-def contaminated_share(docs: DataFrame, items: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+#: Words that the two rarest terms of a window may stand off their distance to count as near.
+NEAR_SLOP = 3
+
+
+def contaminated_share(docs: DataFrame, items: DataFrame, carry: tuple[str, ...] = (), slop: int | None = None) -> DataFrame:
     """Phrase matches with the contamination rule: some word hit, and a twentieth of the words or more."""
-    found = decontamination.phrase_matches(docs, items, carry=carry)
+    found = decontamination.phrase_matches(docs, items, carry=carry, slop=slop)
     rule = (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))
     return found.withColumn("contaminated", rule)
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = contaminated_share(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    found = contaminated_share(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), slop=NEAR_SLOP)
     return found.select(
         "doc_id",
         "n_words",
@@ -85,6 +89,7 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.size("item_ids").cast("long").alias("n_items"),
         F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"),
         "contaminated",
+        F.size("near_ids").cast("long").alias("n_near"),
     )
 
 
@@ -168,10 +173,19 @@ bwin AS (SELECT DISTINCT item_id, n, array_to_string(l[k:k + n - 1], ' ') AS win
 dk AS (SELECT doc_id, l, n, unnest(range(1, len(l) - n + 2)) AS k FROM dw, (SELECT DISTINCT n FROM bwin) WHERE len(l) >= n),
 hits AS (SELECT doc_id, k, n, item_id FROM (SELECT doc_id, k, n, array_to_string(l[k:k + n - 1], ' ') AS win FROM dk) JOIN bwin USING (n, win)),
 nh AS (SELECT doc_id, count(*) AS n_hit FROM (SELECT DISTINCT doc_id, unnest(range(k, k + n)) AS p FROM hits) GROUP BY doc_id),
-it AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS items FROM (SELECT DISTINCT doc_id, item_id FROM hits) GROUP BY doc_id)
+it AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS items FROM (SELECT DISTINCT doc_id, item_id FROM hits) GROUP BY doc_id),
+dp AS (SELECT doc_id, unnest(l) AS w, generate_subscripts(l, 1) AS pos FROM dw),
+cw AS (SELECT w, count(*) AS c FROM dp GROUP BY w),
+iw AS (SELECT row_number() OVER () AS item, item_id, l FROM bw WHERE len(l) > 0),
+ip AS (SELECT item, item_id, len(l) AS n, unnest(l) AS w, generate_subscripts(l, 1) AS place FROM iw),
+sp AS (SELECT ip.*, c, unnest(range(greatest(1, place - 12), least(place, greatest(1, n - 12)) + 1)) AS k FROM ip LEFT JOIN cw USING (w)),
+rk AS (SELECT *, row_number() OVER (PARTITION BY item, k ORDER BY c, place) AS r, min(ifnull(c, 0)) OVER (PARTITION BY item, k) AS rarest FROM sp),
+pr AS (SELECT DISTINCT a.item_id, a.w AS v, a.place AS p, b.w, b.place AS q FROM rk a JOIN rk b ON a.item = b.item AND a.k = b.k AND a.r = 1 AND b.r = 2 WHERE a.rarest > 0),
+ne AS (SELECT doc_id, count(DISTINCT item_id) AS n_near FROM pr JOIN dp x ON x.w = pr.v JOIN dp y USING (doc_id)
+ WHERE y.w = pr.w AND abs((x.pos - p) - (y.pos - q)) <= {NEAR_SLOP} GROUP BY doc_id)
 SELECT doc_id, len(l) AS n_words, ifnull(n_hit, 0) AS n_hit, ifnull(n_items, 0) AS n_items, sha256(ifnull(items, '')) AS items_sha256,
- ifnull(n_hit, 0) > 0 AND 20 * ifnull(n_hit, 0) >= len(l) AS contaminated
-FROM dw LEFT JOIN nh USING (doc_id) LEFT JOIN it USING (doc_id)"""
+ ifnull(n_hit, 0) > 0 AND 20 * ifnull(n_hit, 0) >= len(l) AS contaminated, ifnull(n_near, 0) AS n_near
+FROM dw LEFT JOIN nh USING (doc_id) LEFT JOIN it USING (doc_id) LEFT JOIN ne USING (doc_id)"""
 
 _CLASSES_SQL = f"""
 WITH RECURSIVE w AS (SELECT doc_id, {_words_sql("[^\\x20\\x09-\\x0D]+")} AS l FROM documents),
