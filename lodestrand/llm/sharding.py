@@ -9,6 +9,8 @@ from .lineage import cut
 
 #: Blocks that each old shard is dealt into at least, and rows of a block aimed at; block sums, not documents, meet in the running totals.
 BLOCKS, BLOCK_ROWS = 1024, 100_000
+#: Names of repeated rows up to which they are broadcast.
+BROADCAST_ROWS = 200_000
 
 LOWEST = -(1 << 63)
 
@@ -116,7 +118,7 @@ def rewrite_affected(docs: DataFrame, placed: DataFrame, path: str, id_col: str
     """Writes the shards that gain or lose rows under ``path`` as shard=N folders, and returns their numbers; others keep their files.
 
     ``placed`` is what ``reshard`` returned for ``docs``. A row finds its place by id (null ids too), checksum and size; rows that agree in all
-    three take their places in any order, each its own. Columns of ``docs`` named shard or slot are written as shard_before and slot_before. Old
+    three take their places in any order, each its own; only they are numbered, so other rows are shuffled once. Columns of ``docs`` named shard or slot are written as shard_before and slot_before. Old
     shards that the new ones lack are among the numbers and have no rows. The write replaces only the folders that it makes."""
     moved = placed.where("shard <> old_shard")
     affected = sorted({x[0] for x in moved.select(F.explode(F.array("shard", "old_shard"))).distinct().collect()})  # shards, not rows
@@ -125,10 +127,23 @@ def rewrite_affected(docs: DataFrame, placed: DataFrame, path: str, id_col: str
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     key = [F.coalesce(F.col(id_col).cast("long"), F.lit(LOWEST)).alias("_id"), (F.octet_length(text).cast("long") + 1).alias("_size"), F.crc32(text.cast("binary")).alias("_crc")]
     names = ["_id", "_size", "_crc"]
-    twin = F.row_number().over(Window.partitionBy(*names).orderBy(F.lit(0))).alias("_twin")
     kept = [F.col(c).alias(f"{c}_before" if c in ("shard", "slot") else c) for c in docs.columns]
-    rows = docs.select(*kept, *key).select("*", twin)
-    place = placed.select(F.coalesce("doc_id", F.lit(LOWEST)).alias("_id"), F.col("size").alias("_size"), F.col("text_crc32").alias("_crc"), "shard", "slot").select("*", twin)
-    rows = rows.join(place.where(F.col("shard").isin(affected)), [*names, "_twin"]).drop(*names, "_twin")
+    rows = docs.select(*kept, *key)
+    place = placed.select(F.coalesce("doc_id", F.lit(LOWEST)).alias("_id"), F.col("size").alias("_size"), F.col("text_crc32").alias("_crc"), "shard", "slot")
+    twins = cut(place.groupBy(*names).agg(F.count("*").alias("n")).where("n > 1").select(*names))
+    n = twins.limit(BROADCAST_ROWS + 1).count()
+
+    def chosen(of: DataFrame) -> DataFrame:
+        return of.where(F.col("shard").isin(affected))
+
+    if not n:
+        rows = rows.join(chosen(place), names)
+    else:
+        some = F.broadcast(twins) if n <= BROADCAST_ROWS else twins
+        counted = F.row_number().over(Window.partitionBy(*names).orderBy(F.lit(0))).alias("_twin")
+        several = [of.join(some, names, "left_semi").select("*", counted) for of in (rows, place)]
+        single = rows.join(some, names, "left_anti").join(chosen(place), names)
+        rows = single.unionByName(several[0].join(chosen(several[1]), [*names, "_twin"]).drop("_twin"))
+    rows = rows.drop(*names)
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("shard").parquet(path)
     return affected
