@@ -76,41 +76,36 @@ def length_bound(a: Column, b: Column) -> Column:
     return F.try_divide(2.0 * F.least(a, b), a + b)
 
 
-def letters(key: Column) -> Column:
-    """The characters of a key, each with how often it has occurred so far: as a set they are its histogram."""
-    chars = F.array_sort(F.filter(F.split(key, ""), lambda c: c != ""))
-    return F.transform(chars, lambda c, i: F.concat(c, (i - F.array_position(chars, c)).cast("string")))
-
-
-def _letters_bound(a: Column, b: Column, lengths: Column) -> Column:
-    """The ratio if every character that both have were matched."""
-    return 2.0 * F.size(F.array_intersect(a, b)) / lengths
-
-
 def fuzzy_prune(queries: DataFrame, candidates: DataFrame, least: float, profile: TextProfile = LATIN) -> DataFrame:
     """(page_id, slot, query, text, match_key, pos): pairs whose lengths allow a ratio of ``least``."""
     long_enough = queries.where(F.length("query") >= profile.min_fuzzy_chars)
     return long_enough.join(candidates.where("match_key <> ''"), "page_id").where(length_bound(F.length("query"), F.length("match_key")) >= least)
 
 
-@F.pandas_udf(T.DoubleType())
-def _ratio(candidate: pd.Series, query: pd.Series) -> pd.Series:
-    out, matcher, last = [], SequenceMatcher(autojunk=False), None
-    for c, q in zip(candidate, query, strict=True):
-        if q != last:
-            matcher.set_seq2(q)
-            last = q
-        matcher.set_seq1(c)
-        out.append(matcher.ratio())
-    return pd.Series(out)
+def ratio_from(least: float):
+    """An Arrow function of (candidate key, query key): the ratio of their matching blocks, null below ``least``.
+
+    What the counts of single characters allow is looked at first; most pairs go no further."""
+
+    @F.pandas_udf(T.DoubleType())
+    def ratio(candidate: pd.Series, query: pd.Series) -> pd.Series:
+        out, matcher, last = [], SequenceMatcher(autojunk=False), None
+        for c, q in zip(candidate, query, strict=True):
+            if q != last:
+                matcher.set_seq2(q)
+                last = q
+            matcher.set_seq1(c)
+            found = matcher.ratio() if matcher.quick_ratio() >= least else 0.0
+            out.append(found if found >= least else None)
+        return pd.Series(out, dtype="float64")
+
+    return ratio
 
 
 def most_alike(queries: DataFrame, candidates: DataFrame, least: float, method: str, profile: TextProfile = LATIN) -> DataFrame:
-    """The candidate of the highest ratio of ``least`` or more, the first of equal ones. Both bounds are applied in the engine before the Arrow function;
-    histograms of characters are made once a query and once a candidate."""
-    pairs = fuzzy_prune(queries.withColumn("query_letters", letters(F.col("query"))), candidates.withColumn("key_letters", letters(F.col("match_key"))), least, profile)
-    pairs = pairs.where(_letters_bound(F.col("query_letters"), F.col("key_letters"), F.length("query") + F.length("match_key")) >= least)
-    rated = pairs.withColumn("ratio", _ratio("match_key", "query")).where(F.col("ratio") >= least)
+    """The candidate of the highest ratio of ``least`` or more, the first of equal ones. Lengths are compared in the engine, before the Arrow function."""
+    pairs = fuzzy_prune(queries, candidates, least, profile)
+    rated = pairs.withColumn("ratio", ratio_from(least)("match_key", "query")).where(F.col("ratio").isNotNull())
     return _result(first_by(rated, ID, F.desc("ratio"), F.col("pos")), F.col("text"), method, F.col("ratio"))
 
 
