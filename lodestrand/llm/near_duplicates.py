@@ -17,7 +17,7 @@ from .lineage import cut
 #: Retained values of a sketch, the longest inverted list whose members are all paired at once, and the leaders and lists by which longer ones are met first.
 K, LIST, LEADERS, LISTS = 32, 16, 4, 4
 #: Members of a long list on each side of a cell when what the leaders left apart is paired, values compared at once there, and the most values a member brings.
-BLOCK, COLUMNS, WIDE = 1024, 2048, 1024
+BLOCK, COLUMNS, WIDE = 1024, 2048, 2048
 #: Rows up to which the names of wanted texts are broadcast; above, the texts are shuffled.
 BROADCAST_ROWS = 200_000
 LOWEST = -(1 << 63)
