@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-UNKNOWN_TITLE = "(不明)"
+from ..profiles import UNKNOWN_TITLE
+
 FIELDS = ("title", "line2", "line3")
 #: The instruction that stands before personas and examples; only its wording is a fixed value.
 BASE_PROMPT = "Choose two sentences that stand on the page. Copy them; do not write, change or shorten text. Answer with JSON: title, line2, line3."

@@ -47,6 +47,14 @@ CHARSET_ALIASES = {
     "shift-jis": "cp932", "shift_jis": "cp932", "sjis": "cp932", "x-sjis": "cp932", "windows-31j": "cp932", "ms932": "cp932",
     "euc-jp": "euc_jp", "eucjp": "euc_jp", "x-euc-jp": "euc_jp", "iso-2022-jp": "iso2022_jp", "utf8": "utf-8", "utf-8": "utf-8", "ascii": "utf-8", "us-ascii": "utf-8",
 }
+UNKNOWN_TITLE = "(不明)"
+JA_TERMINATORS = "。．！？!?"
+JA_CLOSERS = "」』）\\)】〉》〕］\\]"
+JA_SOFT_BREAKS = "、，,；;："
+JA_SCRIPT = "\\x{3040}-\\x{309F}\\x{30A0}-\\x{30FF}\\x{4E00}-\\x{9FFF}々ー"
+JA_PRICE = "[0-9０-９][0-9０-９,，.．]*\\s*円"
+JA_PERCENT_OFF = "(?iu)[0-9０-９]+\\s*[%％]\\s*(off|オフ|引き?)"
+JA_POINTS = "(?iu)(ポイント|ｐｔ|pt)\\s*[0-9０-９]+\\s*倍"
 # End of the fixed values.
 
 
@@ -80,18 +88,18 @@ class TextProfile:
 
 JA = TextProfile(
     name="ja",
-    terminators="。．！？!?",
-    closers="」』）\\)】〉》〕］\\]",
-    soft_breaks="、，,；;：",
-    script="\\x{3040}-\\x{309F}\\x{30A0}-\\x{30FF}\\x{4E00}-\\x{9FFF}々ー",
+    terminators=JA_TERMINATORS,
+    closers=JA_CLOSERS,
+    soft_breaks=JA_SOFT_BREAKS,
+    script=JA_SCRIPT,
     noise=JA_NOISE,
     brackets=JA_BRACKETS,
     promo=JA_PROMO,
     appeal=JA_APPEAL,
     weak=JA_WEAK,
-    price="[0-9０-９][0-9０-９,，.．]*\\s*円",
-    percent_off="(?iu)[0-9０-９]+\\s*[%％]\\s*(off|オフ|引き?)",
-    points="(?iu)(ポイント|ｐｔ|pt)\\s*[0-9０-９]+\\s*倍",
+    price=JA_PRICE,
+    percent_off=JA_PERCENT_OFF,
+    points=JA_POINTS,
 )
 
 LATIN = TextProfile(

@@ -8,7 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.candidates import build_candidates, body_extract
+from ..lineage import kept
+from ..operators.candidates import body_extract, build_candidates
 from ..operators.feedback import KEEP, fold
 from ..profiles import LATIN, TextProfile
 from ..sources.crawl import PAGES
@@ -21,7 +22,7 @@ def stream_candidates(spark: SparkSession, source: str, target: str, checkpoint:
     pages = spark.readStream.schema(PAGES).option("pathGlobFilter", pattern).parquet(source)
 
     def one(batch: DataFrame, number: int) -> None:
-        build_candidates(body_extract(batch, profile), profile).write.mode("overwrite").parquet(f"{target}/batch={number}")
+        build_candidates(body_extract(batch, profile, kept), profile).write.mode("overwrite").parquet(f"{target}/batch={number}")
 
     pages.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
