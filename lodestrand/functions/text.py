@@ -15,6 +15,8 @@ from ..profiles import TextProfile
 
 #: Entities resolved by plain replacement; "&amp;" comes last, so that nothing is resolved twice.
 ENTITIES = (("&nbsp;", "\u00a0"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&middot;", "·"), ("&copy;", "©"), ("&amp;", "&"))
+#: The characters that a regular expression's \\s stands for with Unicode classes.
+WHITE_SPACE = "".join(map(chr, (*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 _COMMON = re.compile("&(nbsp|lt|gt|quot|#39|apos|middot|copy|amp);")
 
 
@@ -68,7 +70,7 @@ def clean_text(text: Column) -> Column:
 
 
 def trimmed(text: Column) -> Column:
-    return F.regexp_replace(text, "(?U)\\A\\s+|\\s+\\z", "")
+    return F.btrim(text, F.lit(WHITE_SPACE))
 
 
 def sentences_of_line(line: Column, profile: TextProfile) -> Column:
