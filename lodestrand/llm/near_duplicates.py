@@ -21,6 +21,8 @@ BLOCK, COLUMNS, WIDE = 1024, 2048, 2048
 #: Rows up to which the names of wanted texts are broadcast; above, the texts are shuffled.
 BROADCAST_ROWS = 200_000
 LOWEST = -(1 << 63)
+#: What names a shingle set, and copies of one from which it is a hot key.
+SET, HOT_COPIES = ["set_a", "set_b", "n"], 1000
 #: A pair goes on to the exact comparison if its estimate is at most so far below the threshold (four standard errors at K = 32).
 SLACK = 0.25
 #: The same for the wide sketches of sets of more than ``WIDE`` values.
@@ -314,10 +316,11 @@ def classes(docs: DataFrame, words: int = 5, percent: int = 80, k: int = K, id_c
     component_id is null where no row of the class has an id. An empty table gives an empty result; other columns are left out."""
     rows = cut(sketches(docs, words, k, id_col, text_col).withColumn("row", F.monotonically_increasing_id()))
     linked = rows.where("n > 0")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")).alias("lead")
-    same = linked.groupBy("set_a", "set_b", "n").agg(F.min("row").alias("node"), first)
-    members = cut(linked.select("row", "doc_id", "text_hash", "n", "set_a", "set_b").join(same, ["set_a", "set_b", "n"]).select("row", "doc_id", "text_hash", "n", "node", "lead"))
-    nodes = members.where("row = node").select("node", "doc_id", "text_hash", "lead")
+    of_node = F.min(F.struct("row", "doc_id", "text_hash")).alias("first")
+    lead = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")).alias("lead")
+    same = linked.groupBy(*SET).agg(of_node, lead, F.count("*").alias("copies"))
+    same = cut(same.select(*SET, F.col("first.row").alias("node"), F.col("first.doc_id").alias("doc_id"), F.col("first.text_hash").alias("text_hash"), "lead", "copies"))
+    nodes = same.select("node", "doc_id", "text_hash", "lead")
     reps = linked.join(nodes.select(F.col("node").alias("row")), "row", "left_semi").select(F.col("row").alias("node"), "n", "sketch")
     lowest = percent / 100 - SLACK
     lists = rare_lists(reps, lowest)
@@ -344,6 +347,18 @@ def classes(docs: DataFrame, words: int = 5, percent: int = 80, k: int = K, id_c
         found = components(links.unionByName(rest.where("sure").select("a", "b")).unionByName(confirmed(maybe, texts, words, percent)))
     named = found.join(nodes.select("node", "lead"), "node")
     moved = named.select("node", "component").join(named.groupBy("component").agg(F.min("lead").alias("class_lead")), "component").select("node", "class_lead")
-    lead = F.coalesce("class_lead", "lead")
-    out = members.join(moved, "node", "left").select("doc_id", "text_hash", F.col("n").alias("n_shingles"), lead["doc_id"].alias("component_id"), (lead["row"] == F.col("row")).alias("leading"))
+    led = cut(same.join(moved, "node", "left").select(*SET, F.coalesce("class_lead", "lead").alias("lead"), "copies"))
+    out = of_sets(linked.select("row", "doc_id", "text_hash", *SET), led)
+    out = out.select("doc_id", "text_hash", F.col("n").alias("n_shingles"), F.col("lead.doc_id").alias("component_id"), (F.col("lead.row") == F.col("row")).alias("leading"))
     return out.unionByName(rows.where("n = 0").select("doc_id", "text_hash", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(True).alias("leading")))
+
+
+def of_sets(rows: DataFrame, sets: DataFrame) -> DataFrame:
+    """``rows`` with the columns of their set in ``sets``. Sets of very many copies are few and are broadcast, so that no task gets all rows of one."""
+    hot = sets.where(F.col("copies") >= HOT_COPIES)
+    n = hot.limit(BROADCAST_ROWS + 1).count()
+    if not 0 < n <= BROADCAST_ROWS:
+        return rows.join(sets, SET)
+    many = rows.join(F.broadcast(hot), SET)
+    few = rows.join(F.broadcast(hot.select(*SET)), SET, "left_anti").join(sets.where(F.col("copies") < HOT_COPIES), SET)
+    return many.unionByName(few)

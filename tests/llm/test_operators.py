@@ -251,6 +251,7 @@ def brute_classes(rows, n, percent):
 
 def test_near_duplicates(spark, mixed, monkeypatch):
     monkeypatch.setattr(near_duplicates, "LIST", 4)
+    monkeypatch.setattr(near_duplicates, "HOT_COPIES", 3)
     rng = random.Random(6)
     base = [rng.choices("abcdefghijklmnopqrstuvwxyz", k=80) for _ in range(3)]
     rows = list(mixed)
