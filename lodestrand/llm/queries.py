@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontamination, near_duplicates, quality, repeats, secret_scan, sharding, toxicity, winnowing
+from . import bpe, decontamination, divergence, hard_negatives, near_duplicates, quality, repeats, secret_scan, sharding, toxicity, winnowing
 from .lineage import cut, folder
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -146,6 +146,17 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(secret_scan.joined(F.col("base")), 256).alias("base_sha256"), spans.alias("spans"))
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Anchors are the rows whose id is divisible by 100; labels move on by one where it is divisible by 7."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = hard_negatives.quantised(table(spark, sf_dir, "embeddings"), "vec_id", label, "embedding")
+    return hard_negatives.mine(rows, F.col("id") % 100 == 0)
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_run_length_index": op2_run_length_index,
@@ -157,6 +168,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": op8_quality,
     "op9_flow_resharding": op9_flow_resharding,
     "op10_secret_scan": op10_secret_scan,
+    "op12_hard_negatives": op12_hard_negatives,
+    "op13_source_divergence": op13_source_divergence,
 }
 
 
@@ -245,9 +258,40 @@ SELECT doc_id, ifnull(n_assign, 0) AS n_assign, ifnull(n_access, 0) AS n_access,
 FROM t LEFT JOIN b USING (doc_id) LEFT JOIN a USING (doc_id)"""
 
 
+_NEGATIVES_SQL = """
+WITH v AS (SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q
+ FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.id AS anchor_id, b.id, a.label = b.label AS same, list_inner_product(a.q, b.q)::BIGINT AS score FROM v a JOIN v b ON a.id % 100 = 0 AND a.id <> b.id),
+p AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5),
+n AS (SELECT anchor_id, positive_id, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id)::INTEGER AS rank, id AS negative_id, positive_score, score AS negative_score
+ FROM p JOIN s USING (anchor_id) WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score)
+SELECT * FROM n WHERE rank <= 10"""
+
+_DIVERGENCE_SQL = f"""
+WITH d AS (SELECT ifnull(lang, '') AS lang, ifnull(source, '') AS source, row_number() OVER () AS r, {_words_sql("[^\x00-\x40\x5B-\x60\x7B-\x7F]+")} AS l FROM documents),
+w AS (SELECT lang, source, r, unnest(l) AS t FROM d),
+k AS (SELECT lang, t FROM (SELECT DISTINCT lang, r, t FROM w) GROUP BY lang, t HAVING count(*) >= {divergence.MIN_DOCS}),
+v AS (SELECT lang, count(*) AS v FROM k GROUP BY lang),
+g AS (SELECT DISTINCT lang, source FROM d),
+c AS (SELECT lang, source, t, count(*) AS n FROM w SEMI JOIN k USING (lang, t) GROUP BY lang, source, t),
+gn AS (SELECT lang, source, sum(n)::BIGINT AS s FROM c GROUP BY lang, source),
+ln AS (SELECT lang, sum(s)::BIGINT AS s FROM gn GROUP BY lang),
+p AS (SELECT lang, source, t, ifnull(n, 0) AS n, (1 + (1000000000::HUGEINT * (ifnull(n, 0) + 1)) // (ifnull(s, 0) + v))::BIGINT AS p
+ FROM g JOIN k USING (lang) JOIN v USING (lang) LEFT JOIN c USING (lang, source, t) LEFT JOIN gn USING (lang, source)),
+q AS (SELECT lang, t, (1 + (1000000000::HUGEINT * (sum(n)::BIGINT + 1)) // (s + v))::BIGINT AS q FROM c JOIN ln USING (lang) JOIN v USING (lang) GROUP BY lang, t, s, v),
+apart AS (SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // b.p)::BIGINT AS value FROM p a JOIN p b USING (lang, t) WHERE a.source <> b.source GROUP BY a.lang, a.source, b.source),
+pairs AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, ifnull(value, 0) AS value
+ FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN apart x ON x.lang = a.lang AND x.source = a.source AND x.item = b.source),
+terms AS (SELECT lang, source, 'term' AS part, t AS item, ((p - q) * (p - q)) // q AS value FROM p JOIN q USING (lang, t) WHERE n > 0 AND p > q),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INTEGER AS rank FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms))
+SELECT * FROM ranked WHERE part = 'pair' OR rank <= {divergence.TOP}"""
+
+
 ORACLE_SQL: dict[str, str] = {
     "op2_run_length_index": _REPEATS_SQL,
     "op3_decontamination": _PHRASES_SQL,
     "op6_bottom_k": _CLASSES_SQL,
     "op10_secret_scan": _secrets_sql(),
+    "op12_hard_negatives": _NEGATIVES_SQL,
+    "op13_source_divergence": _DIVERGENCE_SQL,
 }
