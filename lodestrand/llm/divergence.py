@@ -161,11 +161,11 @@ def _shares(counts: np.ndarray, totals: np.ndarray) -> np.ndarray:
     return 1 + SCALE * (counts + 1) // totals[:, None]
 
 
-def _compared(top: int):
+def _compared(top: int, width: int):
     def compare(rows: pd.DataFrame) -> pd.DataFrame:
         """Sums of a block of ordinals for each pair of sources, and the block's best terms of each source."""
         heads = rows[rows["ordinal"] < 0].sort_values("source")
-        sources, v, base, width = heads["source"].to_numpy(), int(heads["v"].iloc[0]), int(heads["base"].iloc[0]), int(heads["width"].iloc[0])
+        sources, v, base = heads["source"].to_numpy(), int(heads["v"].iloc[0]), int(heads["block"].iloc[0]) * width
         counts = np.zeros((len(sources), max(0, min(width, v - base))), np.int64)
         body = rows[rows["ordinal"] >= 0]
         counts[np.searchsorted(sources, body["source"].to_numpy()), body["ordinal"].to_numpy() - base] = body["n"].to_numpy()
@@ -200,12 +200,13 @@ def audit(docs: DataFrame, min_docs: int = MIN_DOCS, top: int = TOP, limit: int
     groups = counts.groupBy("lang", "source").agg(F.sum("n").alias("n"))
     size = terms.groupBy("lang").agg(F.count("*").alias("v"))
     langs = groups.groupBy("lang").agg(F.sum("n").alias("lang_n"), F.count("*").alias("n_groups")).join(size, "lang", "left").fillna(0, ["v"])
-    langs = langs.withColumn("width", F.greatest(F.lit(1), F.floor(F.lit(cells) / F.col("n_groups"))).cast("long"))
-    blocks = F.sequence(F.lit(0).cast("long"), F.greatest(F.lit(0), F.ceil(F.col("v") / F.col("width")) - 1).cast("long"))
-    heads = groups.join(langs, "lang").select("lang", F.explode(blocks).alias("block"), "source", F.lit(-1).cast("long").alias("ordinal"), "n", "v", "lang_n", "width")
-    body = counts.where("ordinal >= 0").join(langs, "lang").select("lang", F.floor(F.col("ordinal") / F.col("width")).alias("block"), "source", "ordinal", "n", "v", "lang_n", "width")
-    dealt = heads.unionByName(body).withColumn("base", F.col("block") * F.col("width"))
-    found = written(dealt.groupBy("lang", "block").applyInPandas(_compared(top), "lang string, source string, part string, item string, value long, ordinal long"))
+    width = max(1, cells // (langs.agg(F.max("n_groups")).first()[0] or 1))  # one width for all languages, so counts find their block without a join
+    blocks = F.sequence(F.lit(0).cast("long"), F.greatest(F.lit(0), F.ceil(F.col("v") / width) - 1).cast("long"))
+    heads = groups.join(langs, "lang").select("lang", F.explode(blocks).alias("block"), "source", F.lit(-1).cast("long").alias("ordinal"), "n", "v", "lang_n")
+    none = F.lit(None).cast("long")
+    body = counts.where("ordinal >= 0").select("lang", F.floor(F.col("ordinal") / width).alias("block"), "source", "ordinal", "n", none.alias("v"), none.alias("lang_n"))
+    dealt = heads.unionByName(body)
+    found = written(dealt.groupBy("lang", "block").applyInPandas(_compared(top, width), "lang string, source string, part string, item string, value long, ordinal long"))
     pairs = found.where("part = 'pair'").groupBy("lang", "source", "part", "item").agg(F.sum("value").alias("value"))
     in_order = Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")
     pairs = pairs.withColumn("rank", F.row_number().over(in_order))

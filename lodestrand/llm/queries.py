@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontamination, divergence, hard_negatives, near_duplicates, quality, repeats, secret_scan, sharding, toxicity, winnowing
+from . import boilerplate, bpe, decontamination, divergence, hard_negatives, near_duplicates, quality, repeats, secret_scan, sharding, toxicity, winnowing
 from .lineage import cut, folder
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -146,6 +146,10 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(secret_scan.joined(F.col("base")), 256).alias("base_sha256"), spans.alias("spans"))
 
 
+def op11_host_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return boilerplate.main_text(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Anchors are the rows whose id is divisible by 100; labels move on by one where it is divisible by 7."""
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
@@ -168,6 +172,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": op8_quality,
     "op9_flow_resharding": op9_flow_resharding,
     "op10_secret_scan": op10_secret_scan,
+    "op11_host_suffix_array": op11_host_suffix_array,
     "op12_hard_negatives": op12_hard_negatives,
     "op13_source_divergence": op13_source_divergence,
 }
@@ -258,6 +263,14 @@ SELECT doc_id, ifnull(n_assign, 0) AS n_assign, ifnull(n_access, 0) AS n_access,
 FROM t LEFT JOIN b USING (doc_id) LEFT JOIN a USING (doc_id)"""
 
 
+#: Says where the article stands on the given pages, whose markup names it; pages without such markup are tested against brute force.
+_MAIN_TEXT_SQL = """
+WITH a AS (SELECT page_id, url, regexp_split_to_array(regexp_extract(ifnull(html, ''), '(?s)<article>(.*?)</article>', 1), '</?(?:h1|p)>') AS parts FROM pages),
+b AS (SELECT page_id, url, list_transform(parts, lambda x: regexp_replace(x, '<[^>]*>', '', 'g')) AS parts FROM a),
+c AS (SELECT page_id, url, list_transform(parts, lambda x: replace(regexp_replace(replace(replace(x, '&quot;', '"'), '&middot;', '·'), '&amp;?', '&', 'g'), '&copy;', '©')) AS parts FROM b),
+d AS (SELECT page_id, url, array_to_string(list_filter(list_transform(parts, lambda x: trim(regexp_replace(x, '\\s+', ' ', 'g'))), lambda x: x <> ''), chr(10)) AS text FROM c)
+SELECT page_id, url, text, length(text) AS n_chars FROM d"""
+
 _NEGATIVES_SQL = """
 WITH v AS (SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q
  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
@@ -292,6 +305,7 @@ ORACLE_SQL: dict[str, str] = {
     "op3_decontamination": _PHRASES_SQL,
     "op6_bottom_k": _CLASSES_SQL,
     "op10_secret_scan": _secrets_sql(),
+    "op11_host_suffix_array": _MAIN_TEXT_SQL,
     "op12_hard_negatives": _NEGATIVES_SQL,
     "op13_source_divergence": _DIVERGENCE_SQL,
 }
