@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -12,9 +13,14 @@ from pyspark.sql import types as T
 from ..profiles import BLOCK_TAGS, NOISE_HINTS, NOISE_ROLES, NOISE_TAGS, PRODUCT_TYPES
 from .text import contains_any, unescape
 
-#: Elements whose content is no markup, and comments, are blanked before tokens are cut.
-RAW = "(?is)<!--.*?-->|<(?:script)\\b.*?</script\\s*>|<(?:style)\\b.*?</style\\s*>|<(?:noscript)\\b.*?</noscript\\s*>|<(?:template)\\b.*?</template\\s*>|<(?:textarea)\\b.*?</textarea\\s*>"
-TOKEN = "<[^>]*>|[^<]+"
+#: Elements whose content is no markup, and comments, are blanked before tokens are cut; one that is never closed ends with the page.
+RAW = "(?is)<!--.*?(?:-->|\\z)" + "".join(f"|<{t}\\b.*?(?:</{t}\\s*>|\\z)" for t in ("script", "style", "noscript", "template", "textarea"))
+#: The inside of a tag up to its end: a > within a quoted value, which stands behind an equals sign, doesn't end it. Possessive, so the engine's stack stays
+#: flat and a tag of any length is read once.
+INSIDE = "(?:[^>=]++|=\\s*+(?:\"[^\"]*+\"|'[^']*+')|=)*+"
+#: Tags, declarations and the like, and text, which a < that begins no tag belongs to.
+TOKEN = f"</?[a-zA-Z]{INSIDE}(?:>|\\z)|<[!?/][^>]*+(?:>|\\z)|(?:[^<]++|<(?![a-zA-Z/!?]))++"
+TAG = f"</?[a-zA-Z]{INSIDE}>|<[!?/][^>]*+>"
 VOID_TAGS = ("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr")
 #: An opening one of these ends a line too, for pages that leave out the end tags.
 IMPLIED_ENDS = ("p", "li", "tr", "td", "th", "dt", "dd")
@@ -35,7 +41,7 @@ def html_tokens(pages: DataFrame) -> DataFrame:
     kind = (
         F.when(F.col("token").rlike("^</[a-zA-Z]"), "close")
         .when(F.col("token").rlike("^<[a-zA-Z]"), F.when(tag.isin(*VOID_TAGS) | F.col("token").rlike("/>$"), "void").otherwise("open"))
-        .when(F.col("token").rlike("^<"), "void")
+        .when(F.col("token").rlike("^<[!?/]"), "void")
         .otherwise("text")
     )
     return cut.select("page_id", "pos", kind.alias("kind"), tag.alias("tag"), "token")
@@ -130,7 +136,7 @@ def each_unescaped(texts: Column) -> Column:
 
 def meta_contents(html: Column, attribute_name: str, value: str) -> Column:
     """The content of each meta tag whose attribute has the value, white space collapsed, empty ones left out."""
-    tags = F.filter(F.regexp_extract_all(html, F.lit("(?is)<meta\\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>"), F.lit(0)), lambda t: F.lower(attribute(t, attribute_name)) == value)
+    tags = F.filter(F.regexp_extract_all(html, F.lit(f"(?i)<meta\\b{INSIDE}>"), F.lit(0)), lambda t: F.lower(attribute(t, attribute_name)) == value)
     contents = each_unescaped(F.transform(tags, lambda t: attribute(t, "content")))
     return F.filter(F.transform(contents, _collapsed), lambda c: c != "")
 
@@ -139,9 +145,12 @@ def meta_descriptions(html: Column) -> Column:
     return F.array_distinct(F.concat(meta_contents(html, "property", "og:description"), meta_contents(html, "name", "description"), meta_contents(html, "name", "twitter:description")))
 
 
+#: A product type's name, behind any path or fragment of an address.
+_PRODUCT = re.compile(rf"(?:.*[/#])?\s*(?:{'|'.join(PRODUCT_TYPES)})\s*", re.I | re.S)
+
+
 def _is_product(kind: object) -> bool:
-    kinds = kind if isinstance(kind, list) else [kind]
-    return any(isinstance(k, str) and k.split("/")[-1].split("#")[-1].strip().lower() in PRODUCT_TYPES for k in kinds)
+    return any(isinstance(k, str) and _PRODUCT.fullmatch(k) for k in (kind if isinstance(kind, list) else (kind,)))
 
 
 def _name_text(value: object) -> str:
@@ -184,13 +193,13 @@ def jsonld_product_name(html: Column) -> Column:
 def page_title(html: Column) -> Column:
     """struct<title, source>: JSON-LD product, og:title by property, by name, the title element, the first h1; empty ones fall to the next."""
     bare = F.regexp_replace(html, RAW, " ")
-    tagless = lambda t: _collapsed(unescape(F.regexp_replace(t, "<[^>]*>", " ")))
+    tagless = lambda t: _collapsed(unescape(F.regexp_replace(t, TAG, " ")))
     found = [
         (jsonld_product_name(html), "json-ld"),
         (F.get(meta_contents(html, "property", "og:title"), 0), "og:title"),
         (F.get(meta_contents(html, "name", "og:title"), 0), "og:title"),
-        (tagless(F.regexp_extract(bare, "(?is)<title\\b[^>]*>(.*?)</title>", 1)), "title"),
-        (tagless(F.regexp_extract(bare, "(?is)<h1\\b[^>]*>(.*?)</h1>", 1)), "h1"),
+        (tagless(F.regexp_extract(bare, f"(?is)<title\\b{INSIDE}>(.*?)</title>", 1)), "title"),
+        (tagless(F.regexp_extract(bare, f"(?is)<h1\\b{INSIDE}>(.*?)</h1>", 1)), "h1"),
     ]
     structs = [F.when(F.coalesce(t, F.lit("")) != "", F.struct(t.alias("title"), F.lit(s).alias("source"))) for t, s in found]
     return F.coalesce(*structs, F.struct(F.lit("").alias("title"), F.lit("").alias("source")))

@@ -76,9 +76,9 @@ def rich_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise("")
     )
     second = F.when(n % 2 == 0, F.lit("First text here, of it.")).otherwise(F.concat(F.lit("Bob's other text "), n.cast("string"), F.lit(" of the page.")))
-    about = F.concat(F.lit('<meta property="og:description" content="First  text here, of it."><meta name="description" content="'), second, F.lit('">'))
+    about = F.concat(F.lit('<meta data-x="1>0" property="og:description" content="First  text here, of it."><meta name="description" content="'), second, F.lit('">'))
     head = F.concat(F.lit("<head>"), title, about)
-    body = F.lit('<body><div role="banner"><div><p>Role text stands here.</p></div></div><div class="x ad-box"><div>Hint text.</div></div><div class=sidebar>Bare hint.</div><div data-id="header"><p>No hint at all.</p></div>')
+    body = F.lit('<body><div role="banner"><div><p>Role text stands here.</p></div></div><div class="x ad-box"><div>Hint text.</div></div><div class=sidebar>Bare hint.</div><div data-id="header"><p>No hint at all.</p></div><div data-x="a>b <i>" title=\'c > d\'><p title=don\'t>Signs of the quotes.</p></div><p>Of 5 < 6 and << the rest of it.</p>')
     html = F.regexp_replace(F.regexp_replace("html", "<head>", ""), "(?i)<body[^>]*>", "")
     return pages(spark, sf_dir).select("page_id", "url", F.concat(F.lit("<html>"), head, F.lit("</head>"), body, html).alias("html"))
 
@@ -86,8 +86,8 @@ def rich_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 RICH = """rich AS (SELECT page_id, url, '<html><head>' || CASE page_id % 4 WHEN 1 THEN '<meta property="og:title" content=" Shop ' || page_id || ' &amp; more caf&eacute; ">'
  WHEN 2 THEN '<script type="application/ld+json">{"@graph":[{"@type":"Brand","name":"No"},{"@type":["Thing","http://schema.org/Product"],"brand":{"@type":"Brand","name":"B"},"name":"Item ' || page_id || '"}]}</script>'
  WHEN 3 THEN '<script type="application/ld+json">{"@type":"Product","name":</script>' ELSE '' END
- || '<meta property="og:description" content="First  text here, of it."><meta name="description" content="' || CASE WHEN page_id % 2 = 0 THEN 'First text here, of it.' ELSE 'Bob''s other text ' || page_id || ' of the page.' END || '"></head>'
- || '<body><div role="banner"><div><p>Role text stands here.</p></div></div><div class="x ad-box"><div>Hint text.</div></div><div class=sidebar>Bare hint.</div><div data-id="header"><p>No hint at all.</p></div>'
+ || '<meta data-x="1>0" property="og:description" content="First  text here, of it."><meta name="description" content="' || CASE WHEN page_id % 2 = 0 THEN 'First text here, of it.' ELSE 'Bob''s other text ' || page_id || ' of the page.' END || '"></head>'
+ || '<body><div role="banner"><div><p>Role text stands here.</p></div></div><div class="x ad-box"><div>Hint text.</div></div><div class=sidebar>Bare hint.</div><div data-id="header"><p>No hint at all.</p></div><div data-x="a>b <i>" title=''c > d''><p title=don''t>Signs of the quotes.</p></div><p>Of 5 < 6 and << the rest of it.</p>'
  || regexp_replace(regexp_replace(html, '<head>', '', 'g'), '(?i)<body[^>]*>', '', 'g') AS html FROM pages)"""
 RICH_TOKENS = f"{RICH}, {O.TOKENS.replace('FROM pages', 'FROM rich')}"
 

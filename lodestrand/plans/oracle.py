@@ -9,13 +9,14 @@ from ..sources.crawl import BLOCKED_V4, HTML_TYPES, _v4
 
 P = LATIN
 # The SQL has its own patterns, so that a wrong one in the operators shows.
-RAW = "(?is)<!--.*?-->" + "".join(f"|<(?:{t})\\b.*?</{t}\\s*>" for t in ("script", "style", "noscript", "template", "textarea"))
-TOKEN = "<[^>]*>|[^<]+"
-VOID_TAGS = ("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr")
-IMPLIED_ENDS = ("p", "li", "tr", "td", "th", "dt", "dd")
+RAW = "(?is)<!--.*?(?:-->|$)" + "".join(f"|<{t}[\\s/>].*?(?:</{t}[\\s]*>|$)" for t in ("textarea", "template", "noscript", "style", "script"))
+# Alternatives in order of preference: a value in quotes, then any other character of the tag.
+TOKEN = """(?s)</?[A-Za-z](?:=\\s*"[^"]*"|=\\s*'[^']*'|[^>])*(?:>|$)|<[/?!][^>]*(?:>|$)|(?:[^<]|<(?:[^<A-Za-z/?!]|$))+"""
+VOID_TAGS = tuple("wbr track source meta link input img hr embed col br base area".split())
+IMPLIED_ENDS = tuple("dd dt th td tr li p".split())
 ENTITIES = {"nbsp": " ", "lt": "<", "gt": ">", "quot": '"', "#39": "'", "apos": "'", "middot": "·", "copy": "©", "eacute": "é", "#233": "é", "amp": "&"}
-META = """(?is)<meta\\b(?:[^>"']|"[^"]*"|'[^']*')*>"""
-ATTRIBUTE = """[\\s/]+[^\\s"'<>/=]+(?:\\s*=\\s*(?:"[^"]*"|'[^']*'|[^\\s"'>][^\\s>]*))?"""
+# An attribute with its name and its value, with quotes, as groups.
+NAMED = """[\\s/]+([^\\s"'<>/=]+)(?:\\s*=\\s*("[^"]*"|'[^']*'|[^\\s"'>][^\\s>]*))?"""
 
 
 def lit(s: str) -> str:
@@ -135,18 +136,17 @@ def renamed_steps(source: str, group: str) -> str:
 
 
 def attribute(token: str, name: str) -> str:
-    """From all attributes of the tag the first of that name, without its name and quotes."""
-    blanks = "' /' || chr(9) || chr(10) || chr(13)"
-    named = f"list_filter(regexp_extract_all({token}, {lit(ATTRIBUTE)}), lambda a: lower(trim(regexp_replace(a, '(?s)=.*$', ''), {blanks})) = {lit(name)})[1]"
-    value = f"regexp_extract(ifnull({named}, ''), {lit('(?s)=\\s*(.*)$')}, 1)"
-    return f"regexp_replace({value}, {lit('(?s)^"(.*)"$|^' + chr(39) + '(.*)' + chr(39) + '$')}, {lit('\\1\\2')})"
+    """Names and values of the tag as two lists; the value at the place of the name, without its quotes."""
+    names = f"list_transform(regexp_extract_all({token}, {lit(NAMED)}, 1), lambda a: lower(a))"
+    value = f"ifnull(regexp_extract_all({token}, {lit(NAMED)}, 2)[list_position({names}, {lit(name)})], '')"
+    return f"CASE WHEN left({value}, 1) IN ('\"', {lit(chr(39))}) THEN {value}[2:-2] ELSE {value} END"
 
 
 TOKENS = f"""
-toklist AS (SELECT page_id, regexp_extract_all({replaced('html', RAW, ' ')}, {lit(TOKEN)}) AS l FROM pages),
-rawtok AS (SELECT page_id, unnest(l) AS token, generate_subscripts(l, 1) - 1 AS pos FROM toklist),
+toklist AS (SELECT page_id, regexp_extract_all(replace(replace({replaced('html', RAW, ' ')}, '<<', chr(1) || '<'), '<<', chr(1) || '<'), {lit(TOKEN)}) AS l FROM pages),
+rawtok AS (SELECT page_id, replace(unnest(l), chr(1), '<') AS token, generate_subscripts(l, 1) - 1 AS pos FROM toklist),
 tagtok AS (SELECT *, lower(regexp_extract(token, '^</?([a-zA-Z][a-zA-Z0-9]*)', 1)) AS tag FROM rawtok),
-tokens AS (SELECT page_id, pos, tag, token, CASE WHEN regexp_matches(token, '^</[a-zA-Z]') THEN 'close' WHEN regexp_matches(token, '^<[a-zA-Z]') THEN CASE WHEN tag IN {among(VOID_TAGS)} OR regexp_matches(token, '/>$') THEN 'void' ELSE 'open' END WHEN starts_with(token, '<') THEN 'void' ELSE 'text' END AS kind FROM tagtok)"""
+tokens AS (SELECT page_id, pos, tag, token, CASE WHEN regexp_matches(token, '^</[a-zA-Z]') THEN 'close' WHEN regexp_matches(token, '^<[a-zA-Z]') THEN CASE WHEN tag IN {among(VOID_TAGS)} OR regexp_matches(token, '/>$') THEN 'void' ELSE 'open' END WHEN token[1] = '<' AND token[2] IN ('!', '?', '/') THEN 'void' ELSE 'text' END AS kind FROM tagtok)"""
 
 BY_TAG = f"tag IN {among(NOISE_TAGS)}"
 BY_ROLE = f"lower({attribute('token', 'role')}) IN {among(NOISE_ROLES)}"
@@ -185,7 +185,7 @@ def score(text: str, pos: str) -> str:
 
 
 def meta(attr: str, value: str, html: str = "html") -> str:
-    tags = f"list_filter(regexp_extract_all({html}, {lit(META)}), lambda t: lower({attribute('t', attr)}) = {lit(value)})"
+    tags = f"list_filter(regexp_extract_all({html}, {lit(TOKEN)}), lambda t: lower(t[1:5]) = '<meta' AND lower({attribute('t', attr)}) = {lit(value)})"
     content = replaced(unescaped(attribute("t", "content")), "\\s+", " ")
     return f"list_filter(list_transform({tags}, lambda t: trim({content})), lambda c: c <> '')"
 

@@ -106,9 +106,9 @@ def feedback_load(s, d):
 
 # HTML
 
-@query("html_tokens", f"WITH {O.TOKENS} SELECT page_id, pos, kind, tag, token FROM tokens")
+@query("html_tokens", f"WITH {N.RICH_TOKENS} SELECT page_id, pos, kind, tag, token FROM tokens")
 def html_tokens(s, d):
-    return H.html_tokens(N.pages(s, d)).withColumn("pos", F.col("pos").cast("long"))
+    return H.html_tokens(N.rich_pages(s, d)).withColumn("pos", F.col("pos").cast("long"))
 
 
 def _kept(tokens: DataFrame) -> DataFrame:

@@ -58,3 +58,39 @@ def test_bodies_in_one_pass(spark):
     assert got[0].density.split() == ["long", "text"] * 5
     assert "only a link" in got[0].full and "short" in got[0].full and "gone" not in got[0].full
     assert (got[2].container, got[2].full) == ("open", "open")
+
+
+@pytest.mark.parametrize(
+    "odd",
+    [
+        "<meta " + "x" * 1_000_000 + ">",
+        "<meta " + "x=y " * 250_000 + ">",
+        "<meta " + 'x="y" ' * 170_000 + ">",
+        '<div title="' + "y" * 1_000_000 + "'>",
+        "<div title=don't " + "<" * 100_000 + ">",
+        "<div " + "=" * 1_000_000 + ">",
+        "<" * 1_000_000,
+        "<h1 " + "'" * 999_999 + ">",
+        "<!--" * 100_000 + "-->",
+        "<script>" * 50_000 + "</script>",
+    ],
+)
+def test_very_long_tags(spark, odd):
+    """One odd page gives its row, and the others theirs."""
+    page = f'<html><head><title>Of the page</title><meta name="description" content="About."></head><body>{odd}<p>Body text.</p></body></html>'
+    pages = spark.createDataFrame([(1, page), (2, "<title>Plain</title><p>Other.</p>")], "page_id long, html string")
+    heads = {r.page_id: (r.t.title, list(r.d)) for r in pages.select("page_id", H.page_title(F.col("html")).alias("t"), H.meta_descriptions(F.col("html")).alias("d")).collect()}
+    assert heads == {1: ("Of the page", ["About."]), 2: ("Plain", [])}
+    texts = {r.page_id: r.text for r in H.block_text(H.without(H.html_tokens(pages), H.by_tag, H.by_role, H.by_hint)).collect()}
+    assert "Other." in texts[2] and "Of the page" in texts[1]
+
+
+def test_signs_in_quotes(spark):
+    html = """<div data-x="a>b" title='c > "d"' id=e>f</div><p title=don't>5 < 6 > 4</p><br/><a href = "x>y">z</a"""
+    tokens = [(r.kind, r.tag, r.token) for r in H.html_tokens(spark.createDataFrame([(1, html)], "page_id long, html string")).orderBy("pos").collect()]
+    assert tokens == [
+        ("open", "div", """<div data-x="a>b" title='c > "d"' id=e>"""), ("text", "", "f"), ("close", "div", "</div>"), ("open", "p", "<p title=don't>"), ("text", "", "5 < 6 > 4"),
+        ("close", "p", "</p>"), ("void", "br", "<br/>"), ("open", "a", '<a href = "x>y">'), ("text", "", "z"), ("close", "a", "</a"),
+    ]
+    about = """<meta data-x="1>0" content='a > "b"' name=description><meta name="description" content=bare>"""
+    assert spark.createDataFrame([(about,)], "html string").select(H.meta_descriptions(F.col("html"))).first()[0] == ['a > "b"', "bare"]
