@@ -21,7 +21,7 @@ MIN_DOCS, TOP, SCALE = 3, 200, 1_000_000_000
 #: Transducers that one pass over the texts may broadcast; larger vocabularies take several passes, each for its own prefixes.
 BROADCAST_BYTES = 64 << 20
 #: Cells (sources x ordinals) of a block of counts.
-CELLS = 1 << 20
+CELLS = 1 << 16
 
 
 def _term_strings(flat: np.ndarray, first: np.ndarray, end: np.ndarray) -> pa.Array:
