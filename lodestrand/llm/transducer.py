@@ -61,6 +61,23 @@ def build(terms: Sequence[bytes]) -> dict[str, bytes]:
     }
 
 
+def _slots(keys: np.ndarray, shift: int) -> np.ndarray:
+    return (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(shift)).astype(np.int64)
+
+
+def _hash_table(keys: np.ndarray) -> tuple[np.ndarray, int]:
+    """(places of keys by slot, shift): open addressing, a quarter full at most. A key that finds its slot taken goes to the next one."""
+    bits = max(4, int(4 * len(keys)).bit_length())
+    table, shift = np.full(1 << bits, -1, np.int64), 64 - bits
+    left, slot = np.arange(len(keys)), _slots(keys, shift)
+    while len(left):
+        free = table[slot[left]] < 0
+        table[slot[left[free]]] = left[free]
+        left = left[table[slot[left]] != left]
+        slot[left] = (slot[left] + 1) & ((1 << bits) - 1)
+    return table, shift
+
+
 class Vocabulary:
     """Transducers of many prefixes and languages as one table of transitions, which whole arrays of words walk at once."""
 
@@ -81,6 +98,18 @@ class Vocabulary:
         joined = lambda parts, kind: np.concatenate(parts) if parts else np.empty(0, kind)
         self.keys, self.targets, self.outs = joined(keys, np.int64), joined(targets, np.int64), joined(outs, np.int64)
         self.finals = joined(finals, np.uint8).astype(bool)
+        self.table, self.shift = _hash_table(self.keys)
+
+    def _transitions(self, key: np.ndarray) -> np.ndarray:
+        """The place of each key among the transitions, -1 for those that aren't there."""
+        slot = _slots(key, self.shift)
+        found = self.table[slot]
+        other = np.flatnonzero((found >= 0) & (self.keys[found] != key)) if len(self.keys) else np.empty(0, np.int64)
+        while len(other):
+            slot[other] = (slot[other] + 1) & (len(self.table) - 1)
+            found[other] = self.table[slot[other]]
+            other = other[(found[other] >= 0) & (self.keys[found[other]] != key[other])]
+        return found
 
     def ordinals(self, lang: np.ndarray, flat: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
         """The ordinal of each word flat[first:end], A-Z lower-cased, in its language (a number of ``langs``, -1 for others), or -1 for words that aren't kept."""
@@ -95,9 +124,8 @@ class Vocabulary:
         walking = np.flatnonzero((state >= 0) & (size > 2))
         at = 2
         while len(walking):
-            key = state[walking] << 8 | LOWER[flat[first[walking] + at]]
-            found = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-            hit = self.keys[found] == key if len(self.keys) else np.zeros(len(key), bool)
+            found = self._transitions(state[walking] << 8 | LOWER[flat[first[walking] + at]])
+            hit = found >= 0
             state[walking[~hit]] = -1
             walking, found = walking[hit], found[hit]
             state[walking] = self.targets[found]
