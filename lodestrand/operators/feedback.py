@@ -8,6 +8,7 @@ from itertools import groupby
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..lineage import kept
 from ..sources.crawl import first_by
 
 KEEP, PROMPT_EXAMPLES, PRESETS, PROMPT_CHARS, NAME_CHARS = 10, 6, 5, 400, 40
@@ -32,46 +33,94 @@ def feedback_recent(log: DataFrame, keep: int = KEEP) -> DataFrame:
 
 def fold(events: list[tuple[str, str, str]], kept: list[tuple[str, str]], keep: int) -> list[tuple[str, str]]:
     """A ring of (key, id), oldest first, after (op, key, id) events in order: an addition moves its key to the end, the oldest beyond ``keep`` are
-    gone for good, a deletion removes its key."""
+    gone for good, a deletion removes its key, a toggle deletes a key that the ring holds and adds any other."""
     for op, key, event in events:
-        kept = [k for k in kept if k[0] != key]
-        if op == "add":
-            kept = [*kept, (key, event)][-keep:] if keep else []
+        left = [k for k in kept if k[0] != key]
+        adds = op == "add" or op == "toggle" and len(left) == len(kept)
+        kept = [*left, (key, event)][-keep:] if adds and keep else left
     return kept
 
 
+def _in_order() -> Column:
+    """Time, then id, nulls last; equal rows of both by operation and key."""
+    return F.struct(F.col("ts").isNull().alias("no_ts"), "ts", F.col("id").isNull().alias("no_id"), "id", "op", "key")
+
+
+def _followed(events: DataFrame) -> DataFrame:
+    """``events`` of stretches (owner, key, op, at, stretch) with the operation on the same key before each (before_op, before_at), null for a key's first.
+
+    A stretch hands on the last operation of each key only; so a window holds the events of a key in one stretch, or one row of each stretch."""
+    last = events.groupBy("owner", "key", "stretch").agg(F.max(F.struct("at", "op")).alias("last"))
+    earlier = F.lag("last").over(Window.partitionBy("owner", "key").orderBy("stretch"))
+    handed = last.withColumn("earlier", earlier).where("earlier is not null").select("owner", "key", F.col("earlier.op").alias("op"), F.col("earlier.at").alias("at"), "stretch", F.lit(True).alias("handed"))
+    both = events.select("owner", "key", "op", "at", "stretch", F.lit(False).alias("handed")).unionByName(handed)
+    before = Window.partitionBy("owner", "key", "stretch").orderBy("at")
+    return both.select("*", F.lag("op").over(before).alias("before_op"), F.lag("at").over(before).alias("before_at")).where("not handed").drop("handed")
+
+
 def feedback_ring(log: DataFrame, keep: int = KEEP) -> DataFrame:
-    """(owner, key, id, recency) of the ring buffer with deletions. Evicted entries must not come back, so an owner's events are folded in order:
-    Spark sorts them, with spill, and a task folds batch by batch, holding the ring of one owner."""
+    """(owner, key, id, recency) of the ring buffer with deletions; an entry that was pushed out doesn't come back when others are deleted.
+
+    The ring can hold the newest ``keep`` keys only whose last operation is an addition. Such a key was pushed out if at some time since its addition
+    ``keep`` other keys stood behind it. That number moves by one with an addition of a key that doesn't stand there or the deletion of one that does, so
+    it is a running sum of steps, and its peak is the largest of (sum of earlier stretches + peak within a stretch): stretches of an owner's events are
+    summed up by different tasks and their summaries put together, one row for each stretch. No task holds an owner, or a key, of any size."""
+    stretches = log.select("owner", "key", "id", "op", _in_order().alias("at")).where(F.col("op").isin("add", "delete"))
+    stretches = kept(stretches.repartitionByRange("owner", "at").withColumn("stretch", F.spark_partition_id()))
+    last = stretches.groupBy("owner", "key").agg(F.max(F.struct("at", "op", "id")).alias("last")).where("last.op = 'add'")
+    newest = Window.partitionBy("owner").orderBy(F.desc("last.at"))
+    held = last.withColumn("place", F.row_number().over(newest)).where(F.col("place") <= keep)
+    held = kept(held.select(F.struct("owner").alias("of"), "owner", "key", F.col("last.id").alias("id"), F.col("last.at").alias("since"), "place"))  # a null owner is an owner, too
+    steps = _followed(stretches).withColumn("of", F.struct("owner")).drop("owner", "key").join(held.select("of", "place", "since"), "of").where("at > since")
+    behind = (F.col("before_op") == "add") & (F.col("before_at") > F.col("since"))
+    behind = F.coalesce(behind, F.lit(False))
+    step = F.when((F.col("op") == "add") & ~behind, 1).when((F.col("op") == "delete") & behind, -1)
+    steps = steps.withColumn("step", step).where("step is not null")
+    running = F.sum("step").over(Window.partitionBy("of", "place", "stretch").orderBy("at").rowsBetween(Window.unboundedPreceding, 0))
+    summed = steps.withColumn("running", running).groupBy("of", "place", "stretch").agg(F.sum("step").alias("total"), F.max("running").alias("peak"))
+    earlier = F.coalesce(F.sum("total").over(Window.partitionBy("of", "place").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    gone = summed.withColumn("peak", earlier + F.col("peak")).groupBy("of", "place").agg(F.max("peak").alias("peak")).where(F.col("peak") >= keep)
+    left = held.join(gone.select("of", "place"), ["of", "place"], "left_anti")
+    recency = F.row_number().over(Window.partitionBy("of").orderBy("place"))
+    return left.select("owner", "key", "id", recency.alias("recency"))
+
+
+def feedback_toggle(log: DataFrame, builtin: DataFrame | None = None, keep: int = KEEP) -> DataFrame:
+    """(owner, key, id, recency) of the ring after toggles: one of a key that the ring holds deletes it, one of any other key adds it. Keys of ``builtin`` stay as they are.
+
+    What a toggle does depends on what was pushed out before it, so an owner's toggles are folded in order: Spark sorts them, with spill, and a task folds
+    batch by batch, holding the ring of one owner."""
     import pyarrow as pa
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def ring(owner: str | None, kept: list[tuple[str, str]]) -> pa.RecordBatch:
-            newest = kept[::-1]
-            rows = [pa.array([owner] * len(kept), pa.string()), pa.array([k for k, _ in newest], pa.string()), pa.array([i for _, i in newest], pa.string())]
-            return pa.RecordBatch.from_arrays([*rows, pa.array(range(1, len(kept) + 1), pa.int32())], ["owner", "key", "id", "recency"])
+        def ring(owner: str | None, held: list[tuple[str, str]]) -> pa.RecordBatch:
+            newest = held[::-1]
+            rows = [pa.array([owner] * len(held), pa.string()), pa.array([k for k, _ in newest], pa.string()), pa.array([i for _, i in newest], pa.string())]
+            return pa.RecordBatch.from_arrays([*rows, pa.array(range(1, len(held) + 1), pa.int32())], ["owner", "key", "id", "recency"])
 
-        owner, kept, begun = None, [], False
+        owner, held, begun = None, [], False
         for batch in batches:
-            owners, keys, ids, ops = (batch.column(n).to_pylist() for n in ("owner", "key", "id", "op"))
-            for o, rows in groupby(zip(owners, ops, keys, ids, strict=True), lambda r: r[0]):
+            owners, keys, ids = (batch.column(n).to_pylist() for n in ("owner", "key", "id"))
+            for o, rows in groupby(zip(owners, keys, ids, strict=True), lambda r: r[0]):
                 if begun and o != owner:
-                    yield ring(owner, kept)
-                    kept = []
+                    yield ring(owner, held)
+                    held = []
                 owner, begun = o, True
-                kept = fold([r[1:] for r in rows], kept, keep)
+                held = fold([("toggle", k, i) for _, k, i in rows], held, keep)
         if begun:
-            yield ring(owner, kept)
+            yield ring(owner, held)
 
-    ordered = log.select("owner", "key", "id", "ts", "op").repartition("owner").sortWithinPartitions("owner", F.asc_nulls_last("ts"), F.asc_nulls_last("id"))
-    return ordered.select("owner", "key", "id", "op").mapInArrow(run, "owner string, key string, id string, recency int")
+    own = log if builtin is None else log.join(builtin.select("key").distinct(), "key", "left_anti")
+    ordered = own.select("owner", "key", "id", "ts").repartition("owner").sortWithinPartitions("owner", F.asc_nulls_last("ts"), F.asc_nulls_last("id"), "key")
+    return ordered.select("owner", "key", "id").mapInArrow(run, "owner string, key string, id string, recency int")
 
 
-def feedback_list(recent: DataFrame, builtin: DataFrame) -> DataFrame:
-    """(owner, place, key, builtin): an owner's entries newest first, then the fixed ones (position, key) for each owner."""
+def feedback_list(recent: DataFrame, builtin: tuple[str, ...]) -> DataFrame:
+    """(owner, place, key, builtin): an owner's entries newest first, then the fixed ones of every owner in their order."""
     own = recent.select("owner", F.lit(0).alias("part"), F.col("recency").alias("n"), "key", F.lit(False).alias("builtin"))
-    fixed = recent.select("owner").distinct().crossJoin(F.broadcast(builtin)).select("owner", F.lit(1).alias("part"), F.col("position").alias("n"), "key", F.lit(True).alias("builtin"))
-    both = own.unionByName(fixed)
+    each = F.posexplode(F.array(*map(F.lit, builtin))).alias("n", "key")
+    fixed = recent.select("owner").distinct().select("owner", each).select("owner", F.lit(1).alias("part"), "n", "key", F.lit(True).alias("builtin"))
+    both = own.unionByName(fixed) if builtin else own
     return both.select("owner", F.row_number().over(Window.partitionBy("owner").orderBy("part", "n")).alias("place"), "key", "builtin")
 
 
@@ -79,11 +128,6 @@ def prompt_examples(listed: DataFrame, limit: int = PROMPT_EXAMPLES) -> DataFram
     return listed.where(F.col("place") <= max(limit, 0))
 
 
-def feedback_toggle(log: DataFrame) -> DataFrame:
-    """(owner, key, n_toggles) of keys that an odd number of toggles leaves in place; for logs short enough that nothing is evicted."""
-    return log.groupBy("owner", "key").agg(F.count("*").alias("n_toggles")).where("n_toggles % 2 = 1")
-
-
 def feedback_delete(entries: DataFrame, deletes: DataFrame) -> DataFrame:
     """(id, kept, outcome) of every entry and every deletion asked for: fixed entries stay, and ids that aren't there are not found."""
     asked = deletes.select("id").distinct().withColumn("asked", F.lit(True))

@@ -138,3 +138,17 @@ def log_of(e: DataFrame, deletes: bool = False) -> DataFrame:
 
 
 LOG = "log AS (SELECT lpad(event_id::VARCHAR, 12, '0') AS id, event_type AS owner, 'u' || user_id AS key, ts, 'add' AS op FROM events)"
+
+
+def ring_sql(op: str, source: str) -> str:
+    """CTEs of ``ring``: each owner's ring after every event in turn, from the events of ``source``, where ``op`` gives add, delete or toggle."""
+    drop = "list_filter(kept, lambda x: x.key <> e.key)"
+    add = f"list_append({drop}, {{'key': e.key, 'id': e.id}})[-10:]"
+    return f"""numbered AS (SELECT owner, key, id, {op} AS op, row_number() OVER (PARTITION BY owner ORDER BY ts, id) AS n FROM {source}),
+folded AS (SELECT owner, 0::BIGINT AS n, []::STRUCT(key VARCHAR, id VARCHAR)[] AS kept FROM numbered WHERE n = 1
+ UNION ALL SELECT f.owner, e.n, CASE WHEN op = 'delete' OR op = 'toggle' AND len({drop}) < len(kept) THEN {drop} ELSE {add} END FROM folded f JOIN numbered e ON e.owner = f.owner AND e.n = f.n + 1),
+final AS (SELECT owner, list_reverse(arg_max(kept, n)) AS kept FROM folded GROUP BY owner),
+ring AS (SELECT owner, unnest(kept).key AS key, unnest(kept).id AS id, generate_subscripts(kept, 1)::INTEGER AS recency FROM final)"""
+
+
+DELETES = "CASE WHEN id::BIGINT % 17 = 0 THEN 'delete' ELSE 'add' END"

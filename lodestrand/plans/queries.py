@@ -510,14 +510,16 @@ def feedback_recent(s, d):
     return recent(s, d)
 
 
-@query("feedback_ring")
+_RING = f"WITH RECURSIVE {N.LOG}, {N.ring_sql(N.DELETES, 'log')} SELECT owner, key, id, recency FROM ring"
+
+
+@query("feedback_ring", _RING)
 def feedback_ring(s, d):
     return B.feedback_ring(N.feedback_log(s, d, deletes=True))
 
 
 def listed(s, d):
-    fixed = s.createDataFrame([(1, "fixed-1"), (2, "fixed-2")], "position long, key string")
-    return B.feedback_list(recent(s, d), fixed).withColumn("place", F.col("place").cast("long"))
+    return B.feedback_list(recent(s, d), ("fixed-1", "fixed-2")).withColumn("place", F.col("place").cast("long"))
 
 
 @query("feedback_list", f"{_LISTED} SELECT * FROM listed")
@@ -530,9 +532,11 @@ def prompt_examples(s, d):
     return B.prompt_examples(listed(s, d))
 
 
-@query("feedback_toggle", f"WITH {N.LOG} SELECT owner, key, count(*) AS n_toggles FROM log GROUP BY owner, key HAVING count(*) % 2 = 1")
+@query("feedback_toggle", f"WITH RECURSIVE {N.LOG}, few AS (SELECT * REPLACE ('u' || (substr(key, 2)::BIGINT % 23) AS key) FROM log), own AS (SELECT * FROM few WHERE key <> 'u7'), {N.ring_sql("'toggle'", 'own')} SELECT owner, key, id, recency FROM ring")
 def feedback_toggle(s, d):
-    return B.feedback_toggle(N.feedback_log(s, d))
+    """Of 23 keys, more than a ring holds, so that many a toggle comes after its key was pushed out; one is a fixed entry."""
+    few = F.concat(F.lit("u"), (F.substring("key", 2, 20).cast("long") % 23).cast("string"))
+    return B.feedback_toggle(N.feedback_log(s, d).withColumn("key", few), s.createDataFrame([("u7",)], "key string"))
 
 
 @query("feedback_delete", "SELECT event_id::VARCHAR AS id, CASE WHEN event_id % 10 = 0 AND event_id % 3 = 0 THEN 'protected' WHEN event_id % 3 = 0 THEN 'deleted' ELSE 'kept' END AS outcome, event_id % 3 <> 0 OR event_id % 10 = 0 AS kept FROM events UNION ALL SELECT 'x' || event_id, 'not_found', false FROM events WHERE event_id % 100 = 7")
@@ -702,7 +706,7 @@ def stream_candidates(s, d):
     return s.read.parquet(f"{out}/rows").select("page_id", F.col("pos").cast("long").alias("pos"), "text", "match_key")
 
 
-@query("stream_feedback")
+@query("stream_feedback", _RING)
 def stream_feedback(s, d):
     from ..streaming import jobs
 

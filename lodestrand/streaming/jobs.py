@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..lineage import kept
 from ..operators.candidates import body_extract, build_candidates
@@ -27,35 +30,64 @@ def stream_candidates(spark: SparkSession, source: str, target: str, checkpoint:
     pages.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
-STATE = "keys array<string>, ids array<string>"
 RING = "owner string, key string, id string, recency int"
+_PENDING = T.StructType([T.StructField(n, T.LongType() if n == "at" else T.StringType()) for n in ("at", "id", "op", "key")])
+_HELD = T.StructType([T.StructField("key", T.StringType()), T.StructField("id", T.StringType())])
 
 
-def ring_updates(events: DataFrame, keep: int = KEEP) -> DataFrame:
-    """The ring buffer of each owner after every micro-batch, from a stream of (owner, key, id, ts, op). State is at most ``keep`` entries an owner.
+class Ring(StatefulProcessor):
+    """An owner's ring in event time. State is the ring as of the watermark, at most ``keep`` entries, and the events after it.
 
-    Within a batch events are folded in time order; batches are taken as they come, as an evicted entry must not return."""
+    Events may come in any order while they are within the watermark's delay: what the ring holds after a batch is the fold of all events so far in time
+    order. Events older than the watermark are late and left out. Frames are read one at a time, and only events behind the watermark are kept."""
 
-    def run(key: tuple[str], frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(frames)).sort_values(["ts", "id"])
-        kept = list(zip(*state.get, strict=True)) if state.exists else []
-        kept = fold(list(zip(rows["op"], rows["key"], rows["id"], strict=True)), kept, keep)
-        state.update(([k for k, _ in kept], [i for _, i in kept]))
-        yield pd.DataFrame([(key[0], k, i, n) for n, (k, i) in enumerate(reversed(kept), 1)], columns=["owner", "key", "id", "recency"])
+    def __init__(self, keep: int):
+        self.keep = keep
 
-    return events.select("owner", "key", "id", "ts", "op").groupBy("owner").applyInPandasWithState(run, RING, STATE, "update", "NoTimeout")
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.ring, self.pending = handle.getListState("ring", _HELD), handle.getListState("pending", _PENDING)
 
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        reached = timerValues.getCurrentWatermarkInMs() * 1000
+        events = list(self.pending.get())
+        for frame in rows:
+            at = frame["ts"].astype("datetime64[us]").astype("int64")
+            fresh = at > reached if reached > 0 else at == at
+            events += list(zip(at[fresh].tolist(), frame["id"][fresh], frame["op"][fresh], frame["key"][fresh], strict=True))
+        events.sort(key=lambda e: (e[0], e[1]))
+        ripe = bisect_right(events, reached, key=lambda e: e[0]) if reached > 0 else 0
+        settled = fold([(e[2], e[3], e[1]) for e in events[:ripe]], [tuple(x) for x in self.ring.get()], self.keep)
+        self.ring.put(settled) if settled else self.ring.clear()
+        self.pending.put(events[ripe:]) if ripe < len(events) else self.pending.clear()
+        now = fold([(e[2], e[3], e[1]) for e in events[ripe:]], settled, self.keep)
+        yield pd.DataFrame([(key[0], k, i, n) for n, (k, i) in enumerate(reversed(now), 1)] or [(key[0], None, None, 0)], columns=["owner", "key", "id", "recency"])
 
-def stream_feedback(events: DataFrame, target: str, checkpoint: str, keep: int = KEEP) -> None:
-    """Writes each batch's rings under ``target``; the last batch in which an owner occurs has its present ring."""
+    def close(self) -> None:
+        pass
+
+
+def ring_updates(events: DataFrame, keep: int = KEEP, delay: str = "1 hour") -> DataFrame:
+    """The ring of each owner after every micro-batch in which it has events, from a stream of (owner, key, id, ts, op); a row of recency 0 says that it is empty.
+
+    ``delay`` is how late an event may come; it also bounds the events that state holds."""
+    timed = events.select("owner", "key", "id", F.col("ts").cast("timestamp").alias("ts"), "op").withWatermark("ts", delay)
+    return timed.groupBy("owner").transformWithStateInPandas(Ring(keep), RING, "Update", "EventTime")
+
+
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def stream_feedback(events: DataFrame, target: str, checkpoint: str, keep: int = KEEP, delay: str = "1 hour") -> None:
+    """Writes each batch's rings under ``target``; the last batch in which an owner occurs has its present ring. State lies in RocksDB, so it may exceed memory."""
 
     def one(batch: DataFrame, number: int) -> None:
         batch.withColumn("batch_no", F.lit(number)).write.mode("overwrite").parquet(f"{target}/batch={number}")
 
-    ring_updates(events, keep).writeStream.outputMode("update").foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    ring_updates(events, keep, delay).writeStream.outputMode("update").foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
 def present_rings(spark: SparkSession, target: str) -> DataFrame:
     rows = spark.read.parquet(target)
     last = rows.groupBy("owner").agg(F.max("batch_no").alias("batch_no"))
-    return rows.join(last, ["owner", "batch_no"]).select("owner", "key", "id", "recency")
+    return rows.join(last, ["owner", "batch_no"]).where("recency > 0").select("owner", "key", "id", "recency")
