@@ -6,6 +6,7 @@ import html
 import re
 import unicodedata
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -17,6 +18,7 @@ from ..profiles import TextProfile
 ENTITIES = (("&nbsp;", "\u00a0"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&middot;", "·"), ("&copy;", "©"), ("&amp;", "&"))
 #: The characters that a regular expression's \\s stands for with Unicode classes.
 WHITE_SPACE = "".join(map(chr, (*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
+_BLANKS = np.array([*map(ord, WHITE_SPACE), 0x1C, 0x1D, 0x1E, 0x1F], np.uint32)
 _COMMON = re.compile("&(nbsp|lt|gt|quot|#39|apos|middot|copy|amp);")
 
 
@@ -149,6 +151,46 @@ def match_key(text: Column) -> Column:
     return F.lower(F.regexp_replace(F.coalesce(nfkc(F.when(~plain, text)), text), "(?U)\\s", ""))
 
 
+#: Characters that may join the one before them in the compatibility form of a whole text, and those whose own form has a blank in it.
+_BLANK_FORMS = "".join(f"\\x{{{c:X}}}" for c in range(0xA0, 0xFFFF) if not 0xD800 <= c < 0xE000 and not chr(c).isspace() and " " in unicodedata.normalize("NFKC", chr(c)))
+COMPOSING = f"[{_BLANK_FORMS}" + "\\p{M}\\x{FF9E}\\x{FF9F}\\x{1160}-\\x{11FF}\\x{3131}-\\x{318E}\\x{FFA0}-\\x{FFDC}]"
+
+
+def _folded(text: str) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """(places of the characters that aren't white space, number of each among the distinct ones, their compatibility forms in lower case)."""
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    solid = np.flatnonzero(~np.isin(points, _BLANKS))
+    distinct, number = np.unique(points[solid], return_inverse=True)
+    return solid, number, [unicodedata.normalize("NFKC", chr(c)).lower() for c in distinct]
+
+
+@F.pandas_udf(T.StringType())
+def _folded_text(text: pd.Series) -> pd.Series:
+    def one(t: str) -> str:
+        _, number, forms = _folded(t)
+        return "".join([forms[k] for k in number])
+
+    return text.map(one, na_action="ignore")
+
+
+def folded_key(text: Column) -> Column:
+    """As ``match_key``, each character folded by itself, so that places in it stand for characters of the text. Only texts in which characters may join differ."""
+    return F.coalesce(_folded_text(F.when(text.rlike(COMPOSING), text)), match_key(text))
+
+
+@F.pandas_udf(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("size", T.IntegerType())]))
+def span_of(text: pd.Series, at: pd.Series, size: pd.Series) -> pd.DataFrame:
+    """The characters of the text that ``size`` characters of its folded key from ``at`` on come from."""
+    starts, sizes = [], []
+    for t, a, n in zip(text, at, size, strict=True):
+        solid, number, forms = _folded(t)
+        ends = np.cumsum(np.array([len(f) for f in forms], np.int64)[number])
+        first, last = solid[np.searchsorted(ends, [a, a + n - 1], "right")]
+        starts.append(first)
+        sizes.append(last - first + 1)
+    return pd.DataFrame({"start": starts, "size": sizes}).astype("int32")
+
+
 def score_sentence(sentence: Column, position: Column, profile: TextProfile) -> Column:
     n = F.length(sentence)
     length = F.when(n.between(15, 80), 3.0).when(n < 15, (15 - n) * -0.2).otherwise((n - 80) * -0.05)

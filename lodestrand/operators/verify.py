@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import unicodedata
 from difflib import SequenceMatcher
 
 import pandas as pd
@@ -33,34 +32,17 @@ def match_exact(queries: DataFrame, candidates: DataFrame) -> DataFrame:
     return _result(first_by(met, ID, F.col("pos")), F.col("text"), "exact", 1.0)
 
 
-@F.pandas_udf(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("size", T.IntegerType())]))
-def _span(source: pd.Series, query: pd.Series) -> pd.DataFrame:
-    """Where the query's key stands in the source, in the source's characters; null where it doesn't."""
-    out = []
-    for text, key in zip(source, query, strict=True):
-        if not text or not key:
-            out.append((None, None))
-            continue
-        chars, origin = [], []
-        for at, c in enumerate(text):
-            if not c.isspace():
-                folded = unicodedata.normalize("NFKC", c).lower()
-                chars.append(folded)
-                origin += [at] * len(folded)
-        found = "".join(chars).find(key)
-        out.append((origin[found], origin[found + len(key) - 1] - origin[found] + 1) if found >= 0 else (None, None))
-    return pd.DataFrame(out, columns=["start", "size"]).astype("Int32")
-
-
 def with_keys(sources: DataFrame) -> DataFrame:
-    """``sources`` with source_key, once a page, before proposals multiply it."""
-    return sources if "source_key" in sources.columns else sources.withColumn("source_key", X.match_key(F.col("source_text")))
+    """``sources`` with source_key and source_folded, once a page, before proposals multiply it."""
+    if "source_key" in sources.columns:
+        return sources
+    return sources.withColumn("source_key", X.match_key(F.col("source_text"))).withColumn("source_folded", X.folded_key(F.col("source_text")))
 
 
 def match_contained_slice(queries: DataFrame, sources: DataFrame) -> DataFrame:
     """The stretch of the page's source text that has the proposal's key; only pages whose key holds it reach the Arrow function."""
-    met = queries.where("query <> ''").join(with_keys(sources), "page_id").where(F.contains("source_key", F.col("query")))
-    found = met.withColumn("span", _span("source_text", "query")).where("span.start is not null")
+    met = queries.where("query <> ''").join(with_keys(sources), "page_id").withColumn("at", F.instr(F.col("source_folded"), F.col("query")) - 1).where("at >= 0")
+    found = met.withColumn("span", X.span_of(F.col("source_text"), F.col("at"), F.length("query")))
     text = X.trimmed(F.substring(F.col("source_text"), F.col("span.start") + 1, F.col("span.size")))
     return _result(found.withColumn("slice", text).where("slice <> ''"), F.col("slice"), "contained", 1.0)
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import html as H
 from ..functions import text as X
 from ..operators import candidates as C
+from ..operators import containment as T
 from ..operators import feedback as B
 from ..operators import interchange as I
 from ..operators import results as R
@@ -307,6 +308,19 @@ def match_contained_slice(s, d):
     return V.match_contained_slice(q, t).select("page_id", "slot", "text")
 
 
+@query("contained_items", f"""WITH d AS (SELECT doc_id, text, {O.key('text')} AS k FROM documents), b AS (SELECT item_id, {O.key('text')} AS q FROM benchmark WHERE {O.key('text')} <> ''
+ UNION ALL SELECT -1 - item_id, {O.key('text[1:40]')} FROM benchmark WHERE {O.key('text[1:40]')} <> ''),
+hit AS (SELECT doc_id, item_id, text, instr(k, q) AS p, length(q) AS n FROM d JOIN b ON contains(k, q)),
+solid AS (SELECT *, list_filter(range(1, length(text) + 1), lambda i: trim(text[i], ' ' || chr(9) || chr(10) || chr(13)) <> '') AS s FROM hit)
+SELECT doc_id, item_id, p - 1 AS "at", s[p] - 1 AS start, s[p + n - 1] - s[p] + 1 AS size FROM solid""")
+def contained_items(s, d):
+    """Every document against every benchmark item, and against the head of each."""
+    items = N.table(s, d, "benchmark")
+    heads = items.select((-1 - F.col("item_id")).alias("item_id"), F.substring("text", 1, 40).alias("text"))
+    found = T.contained(doc(s, d), items.select("item_id", "text").unionByName(heads))
+    return found.select("doc_id", "item_id", *(F.col(c).cast("long").alias(c) for c in ("at", "start", "size")))
+
+
 @query("match_contained_candidate", f"{WITH_P}, {_HOLDS} SELECT page_id, slot, text FROM holds")
 def match_contained_candidate(s, d):
     q, c, _ = verified(s, d)
