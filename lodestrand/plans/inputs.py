@@ -33,22 +33,32 @@ def odd_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     rest = F.regexp_replace(u, "^https?://", "")
     odd = (
         F.when(k == 0, u).when(k == 1, F.concat(F.lit("  "), u, F.lit(" "))).when(k == 2, F.concat(F.lit("ftp://"), rest)).when(k == 3, rest)
-        .when(k == 4, F.lit("http:///path")).when(k == 5, F.lit("   ")).when(k == 6, F.concat(u, F.repeat(F.lit("x"), F.lit(2100)))).when(k == 7, F.upper(u)).otherwise(u)
+        .when(k == 4, F.lit("http:///path")).when(k == 5, F.lit("   ")).when(k == 6, F.concat(u, F.repeat(F.lit("x"), F.lit(2100)))).when(k == 7, F.upper(u)).otherwise(F.concat(F.lit("http://me@[2001:DB8::"), F.col("page_id").cast("string"), F.lit("]:8080/x")))
     )
     return pages(spark, sf_dir).select("page_id", odd.alias("url"))
 
 
 ODD_URLS = """odd AS (SELECT page_id, CASE page_id % 9 WHEN 1 THEN '  ' || url || ' ' WHEN 2 THEN 'ftp://' || regexp_replace(url, '^https?://', '') WHEN 3 THEN regexp_replace(url, '^https?://', '')
- WHEN 4 THEN 'http:///path' WHEN 5 THEN '   ' WHEN 6 THEN url || repeat('x', 2100) WHEN 7 THEN upper(url) ELSE url END AS url FROM pages)"""
+ WHEN 4 THEN 'http:///path' WHEN 5 THEN '   ' WHEN 6 THEN url || repeat('x', 2100) WHEN 7 THEN upper(url) WHEN 8 THEN 'http://me@[2001:DB8::' || page_id || ']:8080/x' ELSE url END AS url FROM pages)"""
+
+
+#: Addresses by page_id: what stands before the page's number, what behind it, and whether they are not public.
+ADDRESS_KINDS = (
+    ("10.0.3.", "", True), ("192.168.1.", "", True), ("93.184.216.", "", False), ("127.0.0.", "", True), ("169.254.7.", "", True), ("172.20.5.", "", True), ("8.8.4.", "", False),
+    ("192.0.0.1", "", True), ("::ffff:10.1.2.", "", True), ("::ffff:93.184.216.", "", True), ("0:0:0:0:0:0:0:", "", True), ("2001:db8::", "", True), ("64:ff9b:1::", "", True),
+    ("FE80::", "%eth0", True), ("fd00:1:2:3::", ":9", True), ("2600:1f18::", "", False), ("2001:20::", "", False), ("2001:2::", "", True), ("2a00:1450:4001:", "::1", False), ("::", "", True),
+    ("93.184.216.0", "", False), ("1::2::", "", False), ("not an address ", "", False), ("3fff::", "", True), ("100.64.0.", "", False), ("255.1.1.", "", True), ("192.88.99.", "", False),
+)
 
 
 def addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = F.col("page_id")
-    some = F.concat(F.element_at(F.array(*map(F.lit, ("10.0.3.", "192.168.1.", "93.184.216.", "127.0.0.", "169.254.7.", "172.20.5.", "8.8.4."))), (n % 7 + 1).cast("int")), (n % 250).cast("string"))
+    n, of = F.col("page_id"), len(ADDRESS_KINDS)
+    pick = lambda k: F.element_at(F.array(*(F.lit(x[k]) for x in ADDRESS_KINDS)), (n % of + 1).cast("int"))
+    some = F.concat(pick(0), (n % 50 + 11).cast("string"), pick(1))
     return pages(spark, sf_dir).select("page_id", F.array(F.concat(F.lit("93.184.1."), (n % 200).cast("string")), some).alias("addresses"))
 
 
-ADDRESSES = "addr AS (SELECT page_id, ['10.0.3.', '192.168.1.', '93.184.216.', '127.0.0.', '169.254.7.', '172.20.5.', '8.8.4.'][page_id % 7 + 1] || (page_id % 250)::VARCHAR AS a FROM pages)"
+ADDRESSES = f"addr AS (SELECT page_id, {[int(x[2]) for x in ADDRESS_KINDS]}[page_id % {len(ADDRESS_KINDS)} + 1] = 1 AS private FROM pages)"
 
 
 def crawl(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 
 from ..profiles import BLOCK_TAGS, CHARSET_ALIASES, LATIN, NOISE_HINTS, NOISE_ROLES, NOISE_TAGS
-from ..sources.crawl import BLOCKED_V4, HTML_TYPES, _v4
+from ..sources.crawl import HTML_TYPES
 
 P = LATIN
 # The SQL has its own patterns, so that a wrong one in the operators shows.
@@ -191,7 +191,7 @@ def meta(attr: str, value: str, html: str = "html") -> str:
 
 
 def host(u: str) -> str:
-    return f"regexp_extract({u}, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1)"
+    return f"regexp_extract({u}, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?(\\[.*?\\]|[^/?#:]+)', 1)"
 
 
 def url_problem(u: str) -> str:
@@ -199,11 +199,5 @@ def url_problem(u: str) -> str:
     return f"CASE WHEN {u} = '' THEN 'empty' WHEN length({u}) > 2048 THEN 'too_long' WHEN {scheme} NOT IN ('http', 'https') THEN 'scheme' WHEN {host(u)} = '' THEN 'no_host' END"
 
 
-def blocked(a: str) -> str:
-    number = " + ".join(f"split_part({a}, '.', {i + 1})::BIGINT * {1 << (24 - 8 * i)}" for i in range(4))
-    v4 = " OR ".join(f"({number}) BETWEEN {_v4(x)} AND {_v4(x) + (1 << (32 - bits)) - 1}" for x, bits in BLOCKED_V4)
-    return f"({v4})"
-
-
 TYPES = HTML_TYPES
 ALIASES = CHARSET_ALIASES

@@ -62,12 +62,12 @@ def url_validate(s, d):
     return N.odd_urls(s, d).select("page_id", S.url_problem(F.col("url")).alias("problem"))
 
 
-@query("url_host", f"SELECT page_id, lower({O.host('url')}) AS host FROM pages")
+@query("url_host", f"WITH {N.ODD_URLS} SELECT page_id, CASE WHEN {O.host('trim(url)')} = '' THEN url ELSE lower({O.host('trim(url)')}) END AS host FROM odd")
 def url_host(s, d):
-    return N.pages(s, d).select("page_id", S.url_host(F.col("url")).alias("host"))
+    return N.odd_urls(s, d).select("page_id", S.url_host(F.col("url")).alias("host"))
 
 
-@query("private_address_flag", f"WITH {N.ADDRESSES} SELECT page_id, {O.blocked('a')} AS private FROM addr")
+@query("private_address_flag", f"WITH {N.ADDRESSES} SELECT page_id, private FROM addr")
 def private_address_flag(s, d):
     return N.addresses(s, d).select("page_id", S.private_address_flag(F.col("addresses")).alias("private"))
 
