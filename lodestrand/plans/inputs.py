@@ -47,7 +47,7 @@ ADDRESS_KINDS = (
     ("10.0.3.", "", True), ("192.168.1.", "", True), ("93.184.216.", "", False), ("127.0.0.", "", True), ("169.254.7.", "", True), ("172.20.5.", "", True), ("8.8.4.", "", False),
     ("192.0.0.1", "", True), ("::ffff:10.1.2.", "", True), ("::ffff:93.184.216.", "", True), ("0:0:0:0:0:0:0:", "", True), ("2001:db8::", "", True), ("64:ff9b:1::", "", True),
     ("FE80::", "%eth0", True), ("fd00:1:2:3::", ":9", True), ("2600:1f18::", "", False), ("2001:20::", "", False), ("2001:2::", "", True), ("2a00:1450:4001:", "::1", False), ("::", "", True),
-    ("93.184.216.0", "", False), ("1::2::", "", False), ("not an address ", "", False), ("3fff::", "", True), ("100.64.0.", "", False), ("255.1.1.", "", True), ("192.88.99.", "", False),
+    ("93.184.216.0", "", False), ("1::2::", "", False), ("not an address ", "", False), ("3ffe::", "", False), ("100.64.0.", "", False), ("255.1.1.", "", True), ("192.88.99.", "", False),
 )
 
 
