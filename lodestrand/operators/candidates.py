@@ -19,21 +19,29 @@ def dedupe_sentences(rows: DataFrame, group: str = "page_id", text: str = "text"
     return first_by(keyed, [group, "match_key"], F.col(pos))
 
 
+def usable_pieces(sources: DataFrame, profile: TextProfile = LATIN, group: str = "page_id") -> DataFrame:
+    """(group, source_no, sent_no, piece_no, text) of the sentences of (group, source_no, raw) that may be candidates. Affixes go before long sentences are
+    cut; length and noise are judged on the pieces."""
+    cleaned = sources.where("raw is not null").select(group, "source_no", X.clean_text(F.col("raw")).alias("clean"))
+    sentences = cleaned.select(group, "source_no", F.posexplode(X.split_sentences(F.col("clean"), profile)).alias("sent_no", "sentence"))
+    bare = sentences.withColumn("bare", X.strip_promo_affixes(F.col("sentence"), profile))  # empty ones fall to the least length
+    pieces = bare.select(group, "source_no", "sent_no", F.posexplode(X.split_long(F.col("bare"), profile)).alias("piece_no", "text"))
+    return pieces.where((F.length("text") >= profile.min_chars) & ~X.is_noise(F.col("text"), profile))
+
+
+def placed(pieces: DataFrame, profile: TextProfile = LATIN, group: str = "page_id") -> DataFrame:
+    """(group, pos, text, match_key): the first piece of each key, in order from 0, at most ``limit`` a group."""
+    unique = dedupe_sentences(pieces.withColumn("at", F.struct("source_no", "sent_no", "piece_no")), group, "text", "at")
+    ranked = unique.withColumn("pos", F.row_number().over(Window.partitionBy(group).orderBy("at")) - 1)
+    return ranked.where(F.col("pos") < profile.limit).select(group, "pos", "text", "match_key")
+
+
 def build_candidates(texts: DataFrame, profile: TextProfile = LATIN, group: str = "page_id", descriptions: str | None = None, body: str = "body") -> DataFrame:
     """(group, pos, text, match_key): usable sentences of the descriptions, then of the body, from 0; at most ``limit`` a group.
 
-    Affixes go before long sentences are cut; length and noise are judged on the pieces; equal keys keep the first. All but the match key of
-    non-ASCII text stays in the engine; the shuffles are on the group and its key."""
+    Equal keys keep the first. All but the match key of non-ASCII text stays in the engine; the shuffles are on the group and its key."""
     parts = F.array(F.col(body)) if descriptions is None else F.concat(F.coalesce(F.col(descriptions), F.array().cast("array<string>")), F.array(F.col(body)))
-    sources = texts.select(group, F.posexplode(parts).alias("source_no", "raw")).where("raw is not null")
-    cleaned = sources.select(group, "source_no", X.clean_text(F.col("raw")).alias("clean"))
-    sentences = cleaned.select(group, "source_no", F.posexplode(X.split_sentences(F.col("clean"), profile)).alias("sent_no", "sentence"))
-    bare = sentences.withColumn("bare", X.strip_promo_affixes(F.col("sentence"), profile))  # empty ones fall to the least length
-    pieces = bare.select(group, "source_no", "sent_no", F.posexplode(X.split_long(F.col("bare"), profile)).alias("piece_no", "text"))
-    usable = pieces.where((F.length("text") >= profile.min_chars) & ~X.is_noise(F.col("text"), profile)).withColumn("at", F.struct("source_no", "sent_no", "piece_no"))
-    unique = dedupe_sentences(usable, group, "text", "at")
-    placed = unique.withColumn("pos", F.row_number().over(Window.partitionBy(group).orderBy("at")) - 1).where(F.col("pos") < profile.limit)
-    return placed.select(group, "pos", "text", "match_key")
+    return placed(usable_pieces(texts.select(group, F.posexplode(parts).alias("source_no", "raw")), profile, group), profile, group)
 
 
 def bodies(pages: DataFrame) -> DataFrame:
@@ -63,30 +71,52 @@ def bodies(pages: DataFrame) -> DataFrame:
 EXTRACTORS = ("container", "density", "full")
 
 
-def body_extract(pages: DataFrame, profile: TextProfile = LATIN, keep=lambda df: df) -> DataFrame:
-    """(page_id, extractor, n_candidates, body): the first extractor with three usable candidates, else the most candidates, then the longest text.
+#: Where a body's pieces stand among those of the descriptions.
+LAST_SOURCE = 1 << 30
 
-    Candidates of the other extractors are counted only where the first has fewer than three. ``keep`` may write the bodies, which both steps read."""
-    found = keep(bodies(pages))
 
-    def counted(names: tuple[str, ...], of: DataFrame) -> DataFrame:
-        texts = F.array(*(F.struct(F.lit(EXTRACTORS.index(k)).alias("prio"), F.lit(k).alias("extractor"), F.col(k).alias("text")) for k in names))
-        rows = of.select("page_id", F.explode(F.filter(texts, lambda t: t["text"] != "")).alias("t")).select("page_id", "t.*", F.concat_ws(":", "page_id", "t.prio").alias("of"))
-        n = build_candidates(rows.select("of", F.col("text").alias("body")), profile, "of").groupBy("of").agg(F.count("*").alias("n"))
-        return rows.join(n, "of", "left").select("page_id", "prio", "extractor", "text", F.coalesce("n", F.lit(0)).alias("n"))
+def _chosen(found: DataFrame, profile: TextProfile, keep) -> tuple[DataFrame, DataFrame]:
+    """((page_id, extractor, n_candidates, body), pieces of the chosen bodies) of ``bodies``.
+
+    Pieces of the other extractors are made only where the first has fewer than three candidates."""
 
-    first = keep(counted(EXTRACTORS[:1], found))
+    def counted(names: tuple[str, ...], of: DataFrame) -> tuple[DataFrame, DataFrame]:
+        texts = F.array(*(F.struct(F.lit(EXTRACTORS.index(k)).alias("prio"), F.lit(k).alias("extractor"), F.col(k).alias("text")) for k in names))
+        rows = of.select("page_id", F.explode(F.filter(texts, lambda t: t["text"] != "")).alias("t")).select("page_id", "t.*")
+        sources = rows.select(F.struct("page_id", "prio").alias("of"), F.lit(LAST_SOURCE).alias("source_no"), F.col("text").alias("raw"))
+        pieces = keep(usable_pieces(sources, profile, "of"))
+        keys = pieces.select("of", X.match_key(F.col("text")).alias("match_key")).where("match_key <> ''").distinct()
+        n = keys.groupBy("of").agg(F.least(F.count("*"), F.lit(profile.limit)).alias("n")).select("of.*", "n")
+        return rows.join(n, ["page_id", "prio"], "left").withColumn("n", F.coalesce("n", F.lit(0))), pieces.select("of.*", "source_no", "sent_no", "piece_no", "text")
+
+    first, pieces = counted(EXTRACTORS[:1], found)
+    first = keep(first)
     settled = first.where(F.col("n") >= ENOUGH)
-    others = counted(EXTRACTORS[1:], found.join(settled.select("page_id"), "page_id", "left_anti"))
+    others, more = counted(EXTRACTORS[1:], found.join(settled.select("page_id"), "page_id", "left_anti"))
     enough = F.col("n") >= ENOUGH
     best = first_by(first.unionByName(others), ["page_id"], F.desc(enough), F.when(enough, F.col("prio")), F.desc("n"), F.desc(F.length("text")), F.col("prio"))
-    return best.select("page_id", "extractor", F.col("n").alias("n_candidates"), F.col("text").alias("body"))
+    best = keep(best)
+    of_best = pieces.unionByName(more).join(best.select("page_id", "prio"), ["page_id", "prio"], "left_semi").drop("prio")
+    return best.select("page_id", "extractor", F.col("n").alias("n_candidates"), F.col("text").alias("body")), of_best
 
 
-def parse_page(pages: DataFrame, profile: TextProfile = LATIN, keep=lambda df: df) -> DataFrame:
-    """(page_id, title, title_source, extractor, body, descriptions, error_code): a page without a body is in error unless it has a description."""
+def body_extract(pages: DataFrame, profile: TextProfile = LATIN, keep=lambda df: df) -> DataFrame:
+    """(page_id, extractor, n_candidates, body): the first extractor with three usable candidates, else the most candidates, then the longest text.
+    ``keep`` may write what several steps read."""
+    return _chosen(keep(bodies(pages)), profile, keep)[0]
+
+
+def parsed_candidates(pages: DataFrame, profile: TextProfile = LATIN, keep=lambda df: df) -> tuple[DataFrame, DataFrame]:
+    """(``parse_page`` of the pages, their candidates): descriptions first, then the chosen body, whose sentences are cut once for the gate and the candidates."""
+    chosen, pieces = _chosen(keep(bodies(pages)), profile, keep)
+    parsed = keep(_with_head(pages, chosen))
+    about = parsed.select("page_id", F.posexplode("descriptions").alias("source_no", "raw"))
+    return parsed, placed(usable_pieces(about, profile).unionByName(pieces), profile)
+
+
+def _with_head(pages: DataFrame, chosen: DataFrame) -> DataFrame:
     head = pages.select("page_id", H.page_title(F.col("html")).alias("t"), H.meta_descriptions(F.col("html")).alias("descriptions"))
-    joined = head.join(body_extract(pages, profile, keep), "page_id", "left")
+    joined = head.join(chosen, "page_id", "left")
     failed = F.col("body").isNull() & (F.size("descriptions") == 0)
     return joined.select(
         "page_id", F.col("t.title").alias("title"), F.col("t.source").alias("title_source"), F.coalesce("extractor", F.lit("none")).alias("extractor"),
@@ -94,6 +124,11 @@ def parse_page(pages: DataFrame, profile: TextProfile = LATIN, keep=lambda df: d
     )
 
 
+def parse_page(pages: DataFrame, profile: TextProfile = LATIN, keep=lambda df: df) -> DataFrame:
+    """(page_id, title, title_source, extractor, body, descriptions, error_code): a page without a body is in error unless it has a description."""
+    return _with_head(pages, body_extract(pages, profile, keep))
+
+
 def source_text(parsed: DataFrame) -> DataFrame:
     """(page_id, source_text): cleaned descriptions and body, once cleaned, joined by line feeds."""
     stripped = F.transform(F.concat("descriptions", F.array("body")), X.without_tags)

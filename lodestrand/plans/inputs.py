@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import html as H
+from ..functions.text import clean_text
 from ..operators.candidates import build_candidates
 from . import oracle as O
 
@@ -107,33 +108,35 @@ def full_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return build_candidates(full_texts(spark, sf_dir).withColumnRenamed("text", "body"))
+    return candidates_of(full_texts(spark, sf_dir))
+
+
+def candidates_of(texts: DataFrame) -> DataFrame:
+    return build_candidates(texts.withColumnRenamed("text", "body"))
 
 
 def proposals(found: DataFrame) -> DataFrame:
-    """(page_id, slot, text): for each slot a candidate of the page, as it is, spelled otherwise, in part, with more behind it, or something else."""
+    """(page_id, slot, text): for each slot a candidate of the page, as it is, spelled otherwise, in part, with more behind it, something else, or with letters in each other's place."""
     n = found.groupBy("page_id").agg(F.count("*").alias("n"))
     slots = F.explode(F.array(*(F.struct(F.lit(s).alias("slot"), F.lit(k).alias("k")) for k, s in enumerate(("title", "line2", "line3"))))).alias("s")
-    wanted = n.select("page_id", "n", slots).select("page_id", F.col("s.slot").alias("slot"), ((F.col("page_id") + F.col("s.k")) % F.col("n")).alias("pos"), ((F.col("page_id") + F.col("s.k")) % 5).alias("kind"))
+    wanted = n.select("page_id", "n", slots).select("page_id", F.col("s.slot").alias("slot"), ((F.col("page_id") + F.col("s.k")) % F.col("n")).alias("pos"), ((F.col("page_id") + F.col("s.k")) % 6).alias("kind"))
     t = F.col("text")
     text = (
         F.when(F.col("kind") == 0, t).when(F.col("kind") == 1, F.concat(F.lit("  "), F.regexp_replace(F.upper(F.replace(t, F.lit("ß"), F.lit("ss"))), " ", "  "))).when(F.col("kind") == 2, F.substring(t, 3, 9))
-        .when(F.col("kind") == 3, F.concat(t, F.lit(" and more words"))).otherwise("zzz qqq nothing of the kind 123")
+        .when(F.col("kind") == 3, F.concat(t, F.lit(" and more words"))).when(F.col("kind") == 5, F.translate(t, "ei", "ie")).otherwise("zzz qqq nothing of the kind 123")
     )
     return wanted.join(found, ["page_id", "pos"]).select("page_id", "slot", text.alias("text"))
 
 
 PROPOSALS = f"""pcount AS (SELECT page_id, count(*) AS n FROM candidates GROUP BY page_id),
-pslots AS (SELECT page_id, slot, (page_id + k) % n AS pos, (page_id + k) % 5 AS kind FROM pcount, (VALUES ('title', 0), ('line2', 1), ('line3', 2)) s(slot, k)),
-proposals AS (SELECT page_id, slot, CASE kind WHEN 0 THEN text WHEN 1 THEN '  ' || replace(upper(replace(text, 'ß', 'ss')), ' ', '  ') WHEN 2 THEN text[3:11] WHEN 3 THEN text || ' and more words' ELSE 'zzz qqq nothing of the kind 123' END AS text FROM pslots JOIN candidates USING (page_id, pos)),
+pslots AS (SELECT page_id, slot, (page_id + k) % n AS pos, (page_id + k) % 6 AS kind FROM pcount, (VALUES ('title', 0), ('line2', 1), ('line3', 2)) s(slot, k)),
+proposals AS (SELECT page_id, slot, CASE kind WHEN 0 THEN text WHEN 1 THEN '  ' || replace(upper(replace(text, 'ß', 'ss')), ' ', '  ') WHEN 2 THEN text[3:11] WHEN 3 THEN text || ' and more words' WHEN 5 THEN translate(text, 'ei', 'ie') ELSE 'zzz qqq nothing of the kind 123' END AS text FROM pslots JOIN candidates USING (page_id, pos)),
 queries AS (SELECT page_id, slot, text AS proposal, {O.key("text")} AS query FROM proposals)"""
 SOURCES = f"sources AS (SELECT page_id, {O.cleaned('text')} AS source_text FROM fulltext)"
 
 
-def source_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from ..functions.text import clean_text
-
-    return full_texts(spark, sf_dir).select("page_id", clean_text(F.col("text")).alias("source_text"))
+def sources_of(texts: DataFrame) -> DataFrame:
+    return texts.select("page_id", clean_text(F.col("text")).alias("source_text"))
 
 
 def feedback_log(spark: SparkSession, sf_dir: str, deletes: bool = False) -> DataFrame:

@@ -201,3 +201,22 @@ def url_problem(u: str) -> str:
 
 TYPES = HTML_TYPES
 ALIASES = CHARSET_ALIASES
+
+
+def alike(name: str, queries: str, candidates: str, least: float) -> str:
+    """CTEs of ``name`` (page_id, slot, text, ratio): of each query the candidate of the highest ratio of matching blocks, of ``least`` or more, the first of equals.
+
+    Blocks by recursion: of a segment of both texts the longest common stretch, the leftmost of equals, then what lies on either side of it."""
+    common = "ifnull(list_position(list_transform(range(0, least(ahi - i, bhi - j)), lambda x: a[i + x] <> b[j + x]), true) - 1, least(ahi - i, bhi - j))"
+    begins = "a[i] = b[j] AND (i = alo OR j = blo OR a[i - 1] <> b[j - 1])"
+    longest = f"list_min(flatten(list_transform(range(alo, ahi), lambda i: list_transform(list_filter(range(blo, bhi), lambda j: {begins}), lambda j: {{'k': -{common}, 'i': i, 'j': j}}))))"
+    shared = "list_sum(list_transform(list_distinct(a), lambda c: least(len(list_filter(a, lambda x: x = c)), len(list_filter(b, lambda x: x = c)))))"
+    return f"""{name}_all AS (SELECT q.page_id, slot, pos, c.text, string_split(match_key, '') AS a, string_split(query, '') AS b FROM {queries} q JOIN {candidates} c ON q.page_id = c.page_id
+ WHERE length(query) >= {P.min_fuzzy_chars} AND match_key <> '' AND 2.0 * least(length(query), length(match_key)) / (length(query) + length(match_key)) >= {least}),
+{name}_pairs AS MATERIALIZED (SELECT *, row_number() OVER () AS id FROM {name}_all WHERE 2.0 * {shared} / (len(a) + len(b)) >= {least}),
+{name}_seg AS (SELECT id, 1::BIGINT AS alo, len(a)::BIGINT + 1 AS ahi, 1::BIGINT AS blo, len(b)::BIGINT + 1 AS bhi, 0::BIGINT AS hit FROM {name}_pairs
+ UNION ALL SELECT id, n.alo, n.ahi, n.blo, n.bhi, n.hit FROM (SELECT id, unnest([{{'alo': alo, 'ahi': m.i, 'blo': blo, 'bhi': m.j, 'hit': -m.k}}, {{'alo': m.i - m.k, 'ahi': ahi, 'blo': m.j - m.k, 'bhi': bhi, 'hit': 0}}]) AS n
+ FROM (SELECT id, alo, ahi, blo, bhi, {longest} AS m FROM {name}_seg JOIN {name}_pairs USING (id) WHERE alo < ahi AND blo < bhi) WHERE m IS NOT NULL)),
+{name}_hits AS (SELECT id, sum(hit) AS hits FROM {name}_seg GROUP BY id),
+{name}_rated AS (SELECT page_id, slot, pos, text, 2.0::DOUBLE * hits / (len(a) + len(b)) AS ratio FROM {name}_pairs JOIN {name}_hits USING (id)),
+{name} AS (SELECT page_id, slot, text, ratio FROM {name}_rated WHERE ratio >= {least} QUALIFY row_number() OVER (PARTITION BY page_id, slot ORDER BY ratio DESC, pos) = 1)"""

@@ -232,14 +232,26 @@ def found(s, d):
     return N.candidates(s, d).withColumn("pos", F.col("pos").cast("long"))
 
 
-@query("build_candidates", f"{CHAIN} SELECT page_id, pos, text, match_key FROM candidates")
+_SAID = f"""{_BODIES.replace('FROM pages', 'FROM rich').replace('WITH RECURSIVE', f'WITH RECURSIVE {N.RICH}, ', 1)},
+said AS (SELECT page_id, list_distinct(list_concat({O.meta('property', 'og:description')}, {O.meta('name', 'description')})) AS l, {O.meta('property', 'og:description')} AS og FROM rich),
+src2 AS (SELECT page_id, generate_subscripts(l, 1) AS source_no, unnest(list_concat(og, list_filter(l, lambda x: NOT list_contains(og, x)))) AS raw FROM said UNION ALL SELECT page_id, 1000, body FROM chosen), {O.renamed_steps('src2', 'page_id')}"""
+
+
+@query("build_candidates", f"{_SAID} SELECT page_id, pos, text, match_key FROM candidates2")
 def build_candidates(s, d):
+    """Of descriptions first, then of the body that the extractors' gate chose."""
+    return C.parsed_candidates(N.rich_pages(s, d), keep=kept)[1].withColumn("pos", F.col("pos").cast("long"))
+
+
+@query("body_candidates", f"{CHAIN} SELECT page_id, pos, text, match_key FROM candidates")
+def body_candidates(s, d):
+    """Of all text of a page."""
     return found(s, d)
 
 
-@query("candidates_or_error", f"{CHAIN} SELECT page_id, count(pos) AS n_candidates, CASE WHEN count(pos) = 0 THEN 'content_extraction_error' END AS error_code FROM pages LEFT JOIN candidates USING (page_id) GROUP BY page_id")
+@query("candidates_or_error", f"{_SAID} SELECT page_id, count(pos) AS n_candidates, CASE WHEN count(pos) = 0 THEN 'content_extraction_error' END AS error_code FROM pages LEFT JOIN candidates2 USING (page_id) GROUP BY page_id")
 def candidates_or_error(s, d):
-    return C.candidates_or_error(N.pages(s, d), found(s, d))
+    return C.candidates_or_error(N.pages(s, d), build_candidates(s, d))
 
 
 @query("source_text", f"WITH {O.FULL}, dsc AS (SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 'First text here, of it.' ELSE 'First text here, of it.' || chr(10) || 'Bob''s other text ' || page_id || ' of the page.' END AS x FROM pages) SELECT page_id, x || chr(10) || {O.cleaned('text')} AS source_text FROM fulltext JOIN dsc USING (page_id)")
@@ -282,9 +294,15 @@ def pick_best(s, d):
 
 # Verification
 
+def parsed(s, d):
+    """(candidates, sources with keys) of the pages' texts, which are read and cut once."""
+    texts = kept(N.full_texts(s, d))
+    return kept(N.candidates_of(texts)), kept(V.with_keys(N.sources_of(texts)))
+
+
 def verified(s, d):
-    c = kept(found(s, d))
-    return kept(V.keyed(N.proposals(c))), c, kept(V.with_keys(N.source_texts(s, d)))
+    c, t = parsed(s, d)
+    return kept(V.keyed(N.proposals(c))), c, t
 
 
 _EXACT = "exact AS (SELECT q.page_id, slot, arg_min(text, pos) AS text FROM queries q JOIN candidates c ON q.page_id = c.page_id AND query = match_key GROUP BY ALL)"
@@ -292,8 +310,11 @@ _SLICE = f"""hits AS (SELECT q.page_id, slot, query, source_text, instr({O.key('
 place AS (SELECT page_id, slot, hit, length(query) AS n, source_text, list_filter(range(1, length(source_text) + 1), lambda i: trim(source_text[i], ' ' || chr(10) || chr(9)) <> '') AS solid FROM hits),
 slice AS (SELECT page_id, slot, {O.trimmed('source_text[solid[hit]:solid[hit + n - 1]]')} AS text FROM place)"""
 _HOLDS = "holds AS (SELECT q.page_id, slot, arg_max(text, length(match_key) * 1000 - pos) AS text FROM queries q JOIN candidates c ON q.page_id = c.page_id AND contains(query, match_key) WHERE query <> '' GROUP BY ALL)"
-_RESOLVED = f"""{WITH_P}, {_EXACT}, {_SLICE}, {_HOLDS}, resolved AS (SELECT q.page_id, q.slot, coalesce(e.text, s.text, h.text, '') AS text, CASE WHEN e.text IS NOT NULL THEN 'exact' WHEN coalesce(s.text, h.text) IS NOT NULL THEN 'contained' ELSE 'none' END AS method
+_STRICT = f"""{WITH_P}, {_EXACT}, {_SLICE}, {_HOLDS}, strict AS (SELECT q.page_id, q.slot, query, coalesce(e.text, s.text, h.text, '') AS text, CASE WHEN e.text IS NOT NULL THEN 'exact' WHEN coalesce(s.text, h.text) IS NOT NULL THEN 'contained' ELSE 'none' END AS method
  FROM queries q LEFT JOIN exact e USING (page_id, slot) LEFT JOIN slice s USING (page_id, slot) LEFT JOIN holds h USING (page_id, slot))"""
+_RESOLVED_EXACT = f"{_STRICT}, resolved AS (SELECT page_id, slot, text, method FROM strict)"
+_RESOLVED = f"""{_STRICT}, open AS (SELECT page_id, slot, query FROM strict WHERE method = 'none'), {O.alike("fuzzy", "open", "candidates", LATIN.min_ratio)},
+resolved AS (SELECT s.page_id, s.slot, query, CASE WHEN method <> 'none' THEN s.text ELSE ifnull(f.text, '') END AS text, CASE WHEN method <> 'none' THEN method WHEN f.text IS NOT NULL THEN 'fuzzy' ELSE 'none' END AS method FROM strict s LEFT JOIN fuzzy f USING (page_id, slot))"""
 
 
 @query("match_exact", f"{WITH_P}, {_EXACT} SELECT page_id, slot, text FROM exact")
@@ -333,96 +354,97 @@ def fuzzy_prune(s, d):
     return V.fuzzy_prune(q, c, 0.75).select(q.page_id, "slot", "pos")
 
 
-@query("match_fuzzy")
+@query("match_fuzzy", f"{WITH_P}, {O.alike('fuzzy', 'queries', 'candidates', LATIN.min_ratio)} SELECT page_id, slot, text, 'fuzzy' AS method, ratio FROM fuzzy")
 def match_fuzzy(s, d):
     q, c, _ = verified(s, d)
     return V.most_alike(q, c, LATIN.min_ratio, "fuzzy")
 
 
-@query("match_nearest")
+@query("match_nearest", f"{WITH_P}, others AS (SELECT * FROM candidates WHERE pos <> page_id % 3), {O.alike('nearest', 'queries', 'others', LATIN.fallback_ratio)} SELECT page_id, slot, text, 'nearest' AS method, ratio FROM nearest")
 def match_nearest(s, d):
     q, c, _ = verified(s, d)
     return V.most_alike(q, c.where("pos <> page_id % 3"), LATIN.fallback_ratio, "nearest")
 
 
-@query("resolve", f"{_RESOLVED} SELECT page_id, slot, text, method FROM resolved")
-def resolve(s, d):
+# Each of the following is the whole cascade; the queries named _exact leave the fuzzy and nearest steps out.
+
+def resolve(s, d, fuzzy: bool = True):
     q, c, t = verified(s, d)
-    return V.resolve(q, c, t, fuzzy=False).select("page_id", "slot", "text", "method")
+    return V.resolve(q, c, t, fuzzy=fuzzy)
 
 
-@query("resolve_fuzzy")
-def resolve_fuzzy(s, d):
-    q, c, t = verified(s, d)
-    return V.resolve(q, c, t)
+_BEST_SCORED = f"scored AS (SELECT *, {O.score('text', 'pos')} AS score FROM candidates), best AS (SELECT page_id, text AS best FROM scored QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY score DESC, pos) = 1)"
+_FIRST_EXACT = f""", {_BEST_SCORED}, second AS (SELECT page_id, CASE WHEN method <> 'none' THEN text ELSE best END AS line2, CASE WHEN method <> 'none' THEN method ELSE 'unverified' END AS method2
+ FROM resolved LEFT JOIN best USING (page_id) WHERE slot = 'line2')"""
+_FIRST = f""", {_BEST_SCORED}, open2 AS (SELECT page_id, slot, query FROM resolved WHERE slot = 'line2' AND method = 'none'), {O.alike("near2", "open2", "candidates", LATIN.fallback_ratio)},
+second AS (SELECT r.page_id, CASE WHEN method <> 'none' THEN r.text ELSE coalesce(n.text, best) END AS line2, CASE WHEN method <> 'none' THEN method WHEN n.text IS NOT NULL THEN 'nearest' ELSE 'unverified' END AS method2
+ FROM resolved r LEFT JOIN best USING (page_id) LEFT JOIN near2 n USING (page_id, slot) WHERE slot = 'line2')"""
+_THIRD = f"r.method <> 'none' AND {O.key('r.text')} <> {O.key('s.line2')}"
+_ALLOWED = f"allowed AS (SELECT c.* FROM scored c JOIN second s ON c.page_id = s.page_id WHERE match_key <> {O.key('line2')}), best3 AS (SELECT page_id, text AS best FROM allowed QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY score DESC, pos) = 1)"
+_PAIR_EXACT = f"""{_RESOLVED_EXACT}{_FIRST_EXACT}, {_ALLOWED}, third AS (SELECT r.page_id, CASE WHEN {_THIRD} THEN r.text ELSE ifnull(b.best, '') END AS line3, CASE WHEN {_THIRD} THEN r.method WHEN b.best IS NOT NULL THEN 'unverified' ELSE 'none' END AS method3
+ FROM resolved r JOIN second s ON r.page_id = s.page_id LEFT JOIN best3 b ON b.page_id = r.page_id WHERE r.slot = 'line3')"""
+_PAIR = f"""{_RESOLVED}{_FIRST}, {_ALLOWED}, open3 AS (SELECT r.page_id, r.slot, r.query FROM resolved r JOIN second s ON r.page_id = s.page_id WHERE r.slot = 'line3' AND NOT ({_THIRD})), {O.alike("near3", "open3", "allowed", LATIN.fallback_ratio)},
+third AS (SELECT r.page_id, CASE WHEN {_THIRD} THEN r.text ELSE coalesce(n.text, b.best, '') END AS line3, CASE WHEN {_THIRD} THEN r.method WHEN n.text IS NOT NULL THEN 'nearest' WHEN b.best IS NOT NULL THEN 'unverified' ELSE 'none' END AS method3
+ FROM resolved r JOIN second s ON r.page_id = s.page_id LEFT JOIN best3 b ON b.page_id = r.page_id LEFT JOIN near3 n ON n.page_id = r.page_id WHERE r.slot = 'line3')"""
 
 
-_FIRST = """, scored AS (SELECT *, %s AS score FROM candidates), second AS (SELECT page_id, CASE WHEN method <> 'none' THEN text ELSE b.best END AS line2, CASE WHEN method <> 'none' THEN method ELSE 'unverified' END AS method2
- FROM resolved LEFT JOIN (SELECT page_id, arg_min(text, -score * 1000 + pos * 1e-6) AS best FROM (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY score DESC, pos) = 1) GROUP BY page_id) b USING (page_id) WHERE slot = 'line2')""" % O.score("text", "pos")
-_PAIR = f"""{_RESOLVED}{_FIRST}, allowed AS (SELECT c.* FROM scored c JOIN second s ON c.page_id = s.page_id WHERE match_key <> {O.key('line2')}), third AS (
- SELECT r.page_id, CASE WHEN r.method <> 'none' AND {O.key('r.text')} <> {O.key('s.line2')} THEN r.text ELSE ifnull(b.best, '') END AS line3, CASE WHEN r.method <> 'none' AND {O.key('r.text')} <> {O.key('s.line2')} THEN r.method WHEN b.best IS NOT NULL THEN 'unverified' ELSE 'none' END AS method3
- FROM resolved r JOIN second s ON r.page_id = s.page_id LEFT JOIN (SELECT page_id, text AS best FROM allowed QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY score DESC, pos) = 1) b ON b.page_id = r.page_id WHERE r.slot = 'line3')"""
+def both_ways(name: str, sql: str, f) -> None:
+    """Registers the whole cascade under ``name`` (and its earlier name ``name``_fuzzy) and the one without similarity as ``name``_exact; ``sql`` has places
+    for the steps of either."""
+    whole = {"resolved": _RESOLVED, "first": _RESOLVED + _FIRST, "pair": _PAIR}
+    strict = {"resolved": _RESOLVED_EXACT, "first": _RESOLVED_EXACT + _FIRST_EXACT, "pair": _PAIR_EXACT}
+    for suffix, steps, fuzzy in (("", whole, True), ("_fuzzy", whole, True), ("_exact", strict, False)):
+        text = sql
+        for k, v in steps.items():
+            text = text.replace(f"<{k}>", v)
+        query(name + suffix, text)(lambda s, d, fuzzy=fuzzy: f(s, d, fuzzy))
 
 
-@query("resolve_line", f"{_RESOLVED}{_FIRST} SELECT page_id, line2 AS text, method2 AS method FROM second")
-def resolve_line(s, d):
-    q, c, t = verified(s, d)
-    return V.resolve_line(q.where("slot = 'line2'"), c, t, c.select("page_id", "match_key").where("1 = 0"), fuzzy=False).select("page_id", "text", "method")
+both_ways("resolve", "<resolved> SELECT page_id, slot, text, method FROM resolved", lambda s, d, fuzzy: resolve(s, d, fuzzy).select("page_id", "slot", "text", "method"))
 
 
-@query("resolve_line_fuzzy")
-def resolve_line_fuzzy(s, d):
-    q, c, t = verified(s, d)
-    return V.resolve_line(q.where("slot = 'line2'"), c, t, c.select("page_id", "match_key").where("1 = 0")).select("page_id", "text", "method")
+@query("resolve_fuzzy", f"{_RESOLVED} SELECT r.page_id, r.slot, r.text, r.method, CASE r.method WHEN 'fuzzy' THEN ratio WHEN 'none' THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END AS ratio FROM resolved r LEFT JOIN fuzzy USING (page_id, slot)")
+def resolve_fuzzy(s, d):
+    """``resolve`` with its ratios."""
+    return resolve(s, d)
 
 
-def pairs(s, d, fuzzy: bool = False):
+def lines(s, d, fuzzy: bool):
     q, c, t = verified(s, d)
-    return V.resolve_pair(q, c, t, fuzzy=fuzzy)
+    return V.resolve_line(q.where("slot = 'line2'"), c, t, c.select("page_id", "match_key").where("1 = 0"), fuzzy=fuzzy).select("page_id", "text", "method")
 
 
-@query("resolve_pair_fuzzy")
-def resolve_pair_fuzzy(s, d):
-    return pairs(s, d, True)
+both_ways("resolve_line", "<first> SELECT page_id, line2 AS text, method2 AS method FROM second", lines)
 
 
-@query("resolve_pair", f"{_PAIR} SELECT page_id, line2, method2, line3, method3 FROM second JOIN third USING (page_id)")
-def resolve_pair(s, d):
-    return pairs(s, d)
+both_ways("resolve_pair", "<pair> SELECT page_id, line2, method2, line3, method3 FROM second JOIN third USING (page_id)", lambda s, d, fuzzy: V.resolve_pair(*verified(s, d), fuzzy=fuzzy))
 
 
-@query("resolve_title", f"{_RESOLVED} SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 'T' || page_id ELSE text END AS title FROM resolved WHERE slot = 'title'")
-def resolve_title(s, d, fuzzy: bool = False):
-    c = kept(found(s, d))
-    titles = c.select("page_id").distinct().select("page_id", F.when(F.col("page_id") % 2 == 0, F.concat(F.lit("T"), F.col("page_id").cast("string"))).otherwise("").alias("title"))
-    return V.resolve_title(titles, N.proposals(c), c, N.source_texts(s, d), fuzzy=fuzzy)
+def titles(s, d, fuzzy: bool):
+    c, t = parsed(s, d)
+    own = c.select("page_id").distinct().select("page_id", F.when(F.col("page_id") % 2 == 0, F.concat(F.lit("T"), F.col("page_id").cast("string"))).otherwise("").alias("title"))
+    return V.resolve_title(own, N.proposals(c), c, t, fuzzy=fuzzy)
 
 
-@query("resolve_title_fuzzy")
-def resolve_title_fuzzy(s, d):
-    return resolve_title(s, d, True)
+both_ways("resolve_title", "<resolved> SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 'T' || page_id ELSE text END AS title FROM resolved WHERE slot = 'title'", titles)
 
 
-@query("verbatim_audit", f"{_PAIR} SELECT sum((line2 <> '')::INT + (line3 <> '')::INT)::BIGINT AS n_lines, 0 AS n_violations FROM second JOIN third USING (page_id)")
-def verbatim_audit(s, d, fuzzy: bool = False):
-    p = kept(pairs(s, d, fuzzy))
-    lines = p.select("page_id", F.explode(F.array("line2", "line3")).alias("text"))
-    return V.verbatim_audit(lines, N.source_texts(s, d))
+def audit(s, d, fuzzy: bool):
+    q, c, t = verified(s, d)
+    found = kept(V.resolve_pair(q, c, t, fuzzy=fuzzy))
+    return V.verbatim_audit(found.select("page_id", F.explode(F.array("line2", "line3")).alias("text")), t)
 
 
-@query("verbatim_audit_fuzzy")
-def verbatim_audit_fuzzy(s, d):
-    return verbatim_audit(s, d, True)
+both_ways("verbatim_audit", f"<pair>, said AS (SELECT page_id, line2 AS text FROM second UNION ALL SELECT page_id, line3 FROM third) SELECT count(*) AS n_lines, count(*) FILTER (NOT contains({O.key('source_text')}, {O.key('text')})) AS n_violations FROM said JOIN sources USING (page_id) WHERE text <> ''", audit)
 
 
-@query("mark_chosen", f"{_PAIR} SELECT c.page_id, pos, {O.replaced('text', '\\s')} IN ({O.replaced('line2', '\\s')}, {O.replaced('line3', '\\s')}) AND text <> '' AS chosen FROM candidates c JOIN second USING (page_id) JOIN third USING (page_id)")
-def mark_chosen(s, d, fuzzy: bool = False):
-    return V.mark_chosen(found(s, d), pairs(s, d, fuzzy).select("page_id", F.explode(F.array("line2", "line3")).alias("text")))
+def marks(s, d, fuzzy: bool):
+    q, c, t = verified(s, d)
+    chosen = V.resolve_pair(q, c, t, fuzzy=fuzzy).select("page_id", F.explode(F.array("line2", "line3")).alias("text"))
+    return V.mark_chosen(c.withColumn("pos", F.col("pos").cast("long")), chosen)
 
 
-@query("mark_chosen_fuzzy")
-def mark_chosen_fuzzy(s, d):
-    return mark_chosen(s, d, True)
+both_ways("mark_chosen", f"<pair> SELECT c.page_id, pos, {O.replaced('text', '\s')} IN ({O.replaced('line2', '\s')}, {O.replaced('line3', '\s')}) AND text <> '' AS chosen FROM candidates c JOIN second USING (page_id) JOIN third USING (page_id)", marks)
 
 
 # Interchange
@@ -599,12 +621,16 @@ def feedback_validate(s, d):
 
 # Results
 
-def outcomes(s, d):
+def outcomes_of(s, d, candidates: DataFrame) -> DataFrame:
     crawl = N.crawl(s, d).select("page_id", "url", S.crawl_error(F.col("status"), F.col("content_type"), F.col("html"), F.col("timed_out")).alias("crawl_error"))
-    counts = C.candidates_or_error(N.pages(s, d), found(s, d)).withColumnRenamed("error_code", "content_error")
+    counts = C.candidates_or_error(N.pages(s, d), candidates).withColumnRenamed("error_code", "content_error")
     return R.error_isolation(crawl.join(counts, "page_id"), "crawl_error", "content_error")
 
 
+def outcomes(s, d):
+    return outcomes_of(s, d, found(s, d))
+
+
 _OUTCOME = f"{CHAIN}, cnt AS (SELECT page_id, url, count(pos) AS n FROM pages LEFT JOIN candidates USING (page_id) GROUP BY ALL), outcomes AS (SELECT page_id, url, n AS n_candidates, coalesce({N.CRAWL_ERROR}, CASE WHEN n = 0 THEN 'content_extraction_error' END) AS error_code FROM cnt)"
 
 
@@ -613,23 +639,14 @@ def error_isolation(s, d):
     return outcomes(s, d).select("page_id", "n_candidates", "error_code")
 
 
-def assembled(s, d, fuzzy: bool = False):
-    lines = pairs(s, d, fuzzy).select("page_id", "line2", "line3")
-    done = outcomes(s, d).join(lines, "page_id", "left").select("url", F.concat(F.lit("T"), F.col("page_id").cast("string")).alias("title"), "line2", "line3", "error_code")
+def assembled(s, d, fuzzy: bool):
+    q, c, t = verified(s, d)
+    done = outcomes_of(s, d, c).join(V.resolve_pair(q, c, t, fuzzy=fuzzy).select("page_id", "line2", "line3"), "page_id", "left")
+    done = done.select("url", F.concat(F.lit("T"), F.col("page_id").cast("string")).alias("title"), "line2", "line3", "error_code")
     return R.assemble_results(S.url_list_explode(N.requests(s, d)).withColumn("ordinal", F.col("ordinal").cast("long")), done)
 
 
-_ASSEMBLED = f"{_PAIR}, cnt AS (SELECT page_id, url, count(pos) AS n FROM pages LEFT JOIN candidates USING (page_id) GROUP BY ALL), assembled AS (SELECT r.request_id, r.ordinal, r.url, CASE WHEN e IS NULL THEN 'T' || page_id ELSE '' END AS title, CASE WHEN e IS NULL THEN ifnull(line2, '') ELSE '' END AS line2, CASE WHEN e IS NULL THEN ifnull(line3, '') ELSE '' END AS line3, e AS error_code FROM ({N.REQUEST_URLS}) r JOIN (SELECT page_id, url, coalesce({N.CRAWL_ERROR}, CASE WHEN n = 0 THEN 'content_extraction_error' END) AS e FROM cnt) USING (url) LEFT JOIN second USING (page_id) LEFT JOIN third USING (page_id))"
-
-
-@query("results", f"{_ASSEMBLED} SELECT * FROM assembled")
-def results(s, d):
-    return assembled(s, d)
-
-
-@query("results_fuzzy")
-def results_fuzzy(s, d):
-    return assembled(s, d, True)
+both_ways("results", f"<pair>, cnt AS (SELECT page_id, url, count(pos) AS n FROM pages LEFT JOIN candidates USING (page_id) GROUP BY ALL), assembled AS (SELECT r.request_id, r.ordinal, r.url, CASE WHEN e IS NULL THEN 'T' || page_id ELSE '' END AS title, CASE WHEN e IS NULL THEN ifnull(line2, '') ELSE '' END AS line2, CASE WHEN e IS NULL THEN ifnull(line3, '') ELSE '' END AS line3, e AS error_code FROM ({N.REQUEST_URLS}) r JOIN (SELECT page_id, url, coalesce({N.CRAWL_ERROR}, CASE WHEN n = 0 THEN 'content_extraction_error' END) AS e FROM cnt) USING (url) LEFT JOIN second USING (page_id) LEFT JOIN third USING (page_id)) SELECT * FROM assembled", assembled)
 
 
 def whole_results(s, d) -> DataFrame:
@@ -668,24 +685,9 @@ def outcome_summary(s, d):
     return R.outcome_summary(outcomes(s, d))
 
 
-@query("outcome_breakdown", f"{_PAIR} SELECT 'method2' AS dimension, method2 AS value, count(*) AS n FROM second GROUP BY method2 UNION ALL SELECT 'method3', method3, count(*) FROM third GROUP BY method3")
-def outcome_breakdown(s, d):
-    return R.outcome_breakdown(pairs(s, d), "method2", "method3")
-
-
-@query("outcome_breakdown_fuzzy")
-def outcome_breakdown_fuzzy(s, d):
-    return R.outcome_breakdown(pairs(s, d, True), "method2", "method3")
-
-
-@query("match_label", f"{_RESOLVED} SELECT page_id, slot, CASE method WHEN 'none' THEN 'none' ELSE 'verbatim' END AS label FROM resolved")
-def match_label(s, d):
-    return resolve(s, d).select("page_id", "slot", R.match_label(F.col("method")).alias("label"))
-
-
-@query("match_label_fuzzy")
-def match_label_fuzzy(s, d):
-    return resolve_fuzzy(s, d).select("page_id", "slot", R.match_label(F.col("method")).alias("label"))
+both_ways("outcome_breakdown", "<pair> SELECT 'method2' AS dimension, method2 AS value, count(*) AS n FROM second GROUP BY method2 UNION ALL SELECT 'method3', method3, count(*) FROM third GROUP BY method3", lambda s, d, fuzzy: R.outcome_breakdown(V.resolve_pair(*verified(s, d), fuzzy=fuzzy), "method2", "method3"))
+_LABEL = "CASE WHEN method IN ('exact', 'contained') THEN 'verbatim' WHEN method = 'fuzzy' THEN 'rewritten' WHEN method = 'unverified' THEN 'chosen by score' ELSE method END"
+both_ways("match_label", f"<resolved> SELECT page_id, slot, {_LABEL} AS label FROM resolved", lambda s, d, fuzzy: resolve(s, d, fuzzy).select("page_id", "slot", R.match_label(F.col("method")).alias("label")))
 
 
 @query("stage_timings", """SELECT event_type AS stage, count(*) AS n, round(avg(value), 6) AS avg_ms, max(value) AS max_ms, quantile_disc(value, 0.5) AS median_ms, quantile_disc(value, 0.95) AS p95_ms,
@@ -710,13 +712,13 @@ def stream_of(s: SparkSession, d: str, name: str) -> tuple[str, str]:
     return (d, f"{name}.parquet") if one.endswith(f"/{name}.parquet") else (f"{d}/{name}.parquet", "*.parquet")
 
 
-@query("stream_candidates", f"{_BODIES}, src2 AS (SELECT page_id, 0 AS source_no, body AS raw FROM chosen), {O.renamed_steps('src2', 'page_id')} SELECT page_id, pos, text, match_key FROM candidates2")
+@query("stream_candidates", f"{_SAID} SELECT page_id, pos, text, match_key FROM candidates2")
 def stream_candidates(s, d):
     from ..streaming import jobs
 
     out = scratch(s, "candidates")
-    folder, pattern = stream_of(s, d, "pages")
-    jobs.stream_candidates(s, folder, f"{out}/rows", f"{out}/state", pattern=pattern)
+    N.rich_pages(s, d).write.parquet(f"{out}/pages")
+    jobs.stream_candidates(s, f"{out}/pages", f"{out}/rows", f"{out}/state")
     return s.read.parquet(f"{out}/rows").select("page_id", F.col("pos").cast("long").alias("pos"), "text", "match_key")
 
 

@@ -12,20 +12,20 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..lineage import kept
-from ..operators.candidates import body_extract, build_candidates
+from ..operators.candidates import parsed_candidates
 from ..operators.feedback import KEEP, fold
 from ..profiles import LATIN, TextProfile
 from ..sources.crawl import PAGES
 
 
 def stream_candidates(spark: SparkSession, source: str, target: str, checkpoint: str, profile: TextProfile = LATIN, pattern: str = "*.parquet") -> None:
-    """Candidates of pages in new files under ``source``, appended under ``target`` by batch: a batch that runs again replaces its own folder.
+    """Candidates, of descriptions first, of pages in new files under ``source``, appended under ``target`` by batch: a batch that runs again replaces its own folder.
 
     A page's windows need the whole page, which lies in one file row, so each micro-batch is a batch job of its own."""
     pages = spark.readStream.schema(PAGES).option("pathGlobFilter", pattern).parquet(source)
 
     def one(batch: DataFrame, number: int) -> None:
-        build_candidates(body_extract(batch, profile, kept), profile).write.mode("overwrite").parquet(f"{target}/batch={number}")
+        parsed_candidates(batch, profile, kept)[1].write.mode("overwrite").parquet(f"{target}/batch={number}")
 
     pages.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
