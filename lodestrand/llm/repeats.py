@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .buffers import flat_utf8, mix, powers, sliding_min
 from .lineage import cut, written
-from .run_length_index import RunLengthIndex
+from .run_length_index import RunLengthIndex, laid_out
 
 #: Bytes of the repeats looked for, and of an anchor.
 WIDTH, ANCHOR = 100, 20
@@ -113,20 +113,68 @@ def _texts_cut(rows: DataFrame, places: DataFrame, width: int) -> DataFrame:
     return joined.mapInArrow(run, "anchor long, key long, tie long, start long, body binary")
 
 
-def _repeated_inside(bodies: list[bytes], keys: np.ndarray, starts: np.ndarray, width: int) -> Iterator[tuple[int, int, int]]:
-    """(fragment, first window, windows) that occur in an earlier fragment or earlier in the text of the same one; fragments are in (key, start) order."""
-    index = RunLengthIndex(bodies, width)
-    who, start, earliest = index.stream()
-    owner = np.searchsorted(index.starts, earliest, "right") - 1
-    own = keys[who], starts[who] + start
-    other = keys[owner], starts[owner] + earliest - index.starts[owner]
-    late = (other[0] < own[0]) | ((other[0] == own[0]) & (other[1] < own[1]))
-    who, start = who[late], start[late]
-    order = np.lexsort((start, who))
-    who, start = who[order], start[order]
-    heads = np.flatnonzero(np.concatenate(([True], (np.diff(who) != 0) | (np.diff(start) != 1)))) if len(who) else np.empty(0, np.int64)
-    long = np.diff(np.concatenate((heads, [len(who)])))
-    yield from zip(who[heads].tolist(), start[heads].tolist(), long.tolist(), strict=True)
+def anchor_places(flat: np.ndarray, ends: np.ndarray, anchors: np.ndarray, width: int, anchor: int = ANCHOR) -> np.ndarray:
+    """Where in each fragment its anchor stands: the rightmost place in its first window of the k-gram with that hash."""
+    grams = np.zeros(len(flat), np.int64)
+    for a in range(0, len(flat) - anchor + 1, PIECE):
+        piece = flat[a : a + PIECE + anchor - 1].astype(np.uint64) + np.uint64(1)
+        total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(piece * _RISE[: len(piece)], dtype=np.uint64)))
+        n = len(piece) - anchor + 1
+        grams[a : a + n] = mix((total[anchor:] - total[:n]) * _FALL[:n]).view(np.int64)
+    place = np.zeros(len(anchors), np.int64)
+    for offset in range(width - anchor + 1):
+        place = np.where(grams[ends[:-1] + offset] == anchors, offset, place)
+    return place
+
+
+def _repeated_inside(anchors: np.ndarray, bodies: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(ends, marks): of the windows of all fragments in order, those of fragment k at ends[k]:ends[k + 1], which ones an earlier fragment of the anchor has.
+
+    Fragments lie in text order. In round t those of one anchor whose ranks differ in bit t and agree in all higher ones meet: the earlier half is indexed,
+    the later half is streamed, and a window is marked if the matching statistic at its start is a whole window. Every two fragments of an anchor meet
+    in one round. Halves of different anchors and ranks share an index: the first byte of the anchor, which every window holds at the same place as
+    its equals do, is put by a symbol of their own. Fragments all of whose windows are marked needn't be indexed any more: each window has an earlier one."""
+    sizes = np.fromiter(map(len, bodies), np.int64, len(bodies))
+    ends = np.concatenate(([0], np.cumsum(sizes)))
+    flat = np.frombuffer(b"".join(bodies), np.uint8)
+    symbols = flat.astype(np.int64)
+    tagged = ends[:-1] + anchor_places(flat, ends, anchors, width)
+    windows = sizes - width + 1
+    window_ends = np.concatenate(([0], np.cumsum(windows)))
+    marks = np.zeros(int(window_ends[-1]), bool)
+    order = np.argsort(anchors, kind="stable")
+    new = np.concatenate(([True], anchors[order][1:] != anchors[order][:-1]))
+    group = np.cumsum(new) - 1
+    rank = np.arange(len(order)) - np.flatnonzero(new)[group]
+    count = np.bincount(group)[group]
+    for t in range(int(count.max() - 1).bit_length()):
+        half, pair = rank >> t & 1, group << 32 | rank >> (t + 1)
+        met = (rank >> t | 1) << t < count  # the pair's later half isn't empty
+        unmarked = np.add.reduceat(~marks, window_ends[:-1])[order] > 0
+        early, late = np.flatnonzero(met & (half == 0) & unmarked), np.flatnonzero((half == 1) & unmarked)
+        early = early[np.isin(pair[early], pair[late])]
+        late = late[np.isin(pair[late], pair[early])]
+        if not len(late):
+            continue
+        names = np.unique(pair[late])
+
+        def taken(rows: np.ndarray, names=names, pair=pair) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            who = order[rows]
+            own = np.concatenate(([0], np.cumsum(sizes[who])))
+            at = np.arange(own[-1]) + np.repeat(ends[who] - own[:-1], sizes[who])
+            part = symbols[at]
+            part[tagged[who] - ends[who] + own[:-1]] = 256 + np.searchsorted(names, pair[rows])
+            return who, own, part
+
+        _, own, part = taken(early)
+        text = laid_out(part, own)
+        index = RunLengthIndex(text)
+        who, own, part = taken(late)
+        long = index.statistics(part, own, text) >= width
+        n = windows[who]
+        inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        marks[np.repeat(window_ends[who], n) + inner] |= long[np.repeat(own[:-1], n) + inner]
+    return window_ends, marks
 
 
 def _indexed(fragments: DataFrame, width: int) -> DataFrame:
@@ -139,12 +187,16 @@ def _indexed(fragments: DataFrame, width: int) -> DataFrame:
         size = 0
 
         def marks() -> pa.RecordBatch:
-            rows = sorted(held, key=lambda r: r[1:4])
-            key, tie, start = (np.array([r[i] for r in rows], np.int64) for i in (1, 2, 3))
-            text = np.cumsum(np.concatenate(([0], (key[1:] != key[:-1]) | (tie[1:] != tie[:-1]))))  # texts in their order
-            found = list(_repeated_inside([r[4] for r in rows], text, start, width))
-            who, first, windows = (np.array(x, np.int64) for x in zip(*found, strict=True)) if found else (np.empty(0, np.int64),) * 3
-            return pa.RecordBatch.from_arrays([pa.array(x) for x in (key[who], tie[who], start[who] + first, windows)], ["key", "tie", "start", "windows"])
+            rows = sorted({r[:4]: r for r in held}.values(), key=lambda r: r[1:4])  # a document given twice is one
+            anchor, key, tie, start = (np.array([r[i] for r in rows], np.int64) for i in range(4))
+            ends, found = _repeated_inside(anchor, [r[4] for r in rows], width)
+            head = found.copy()
+            head[1:] &= ~found[:-1]
+            head[ends[:-1]] |= found[ends[:-1]]
+            first = np.flatnonzero(head)
+            who = np.searchsorted(ends, first, "right") - 1
+            stops = np.flatnonzero(np.concatenate((found[:-1] & head[1:] | found[:-1] & ~found[1:], found[-1:])))
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in (key[who], tie[who], start[who] + first - ends[who], stops - first + 1)], ["key", "tie", "start", "windows"])
 
         for batch in batches:
             for row in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):

@@ -1,12 +1,13 @@
-"""A run-compressed Burrows-Wheeler index of a few megabytes of fragments, for windows of a fixed length."""
+"""A run-compressed Burrows-Wheeler index of short texts, and matching statistics of other texts streamed through it."""
 
 from __future__ import annotations
 
 import numpy as np
 
-
 #: Arrays up to 2**PLACES long are sorted as (key, place) packed in one number, which is much faster than sorting places by key.
 PLACES = 21
+#: Symbols that are compared at a time.
+CHUNK = 16
 
 
 def _order(keys: np.ndarray, limit: int) -> np.ndarray:
@@ -25,68 +26,100 @@ def _ranks(keys: np.ndarray, limit: int) -> np.ndarray:
     return new
 
 
+def laid_out(symbols: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Texts end to end, each followed by an end mark (-1): text k, symbols[ends[k]:ends[k + 1]], begins at ends[k] + k."""
+    out = np.full(len(symbols) + len(ends) - 1, -1, np.int64)
+    out[np.arange(len(symbols)) + np.repeat(np.arange(len(ends) - 1), np.diff(ends))] = symbols
+    return out
+
+
 class RunLengthIndex:
-    """Fragments, each followed by an end mark, sorted by their next ``width`` symbols, ties in text order.
+    """The runs of the transform of some texts, each run with the text places of its first and last row. Nothing else is kept: no text, no suffix array.
 
-    What is kept: the runs of the transform (symbol, first row, occurrences before it), the first rows of classes of suffixes that agree in
-    ``width`` symbols, and for each class the sampled text position of its first row, which is its earliest occurrence."""
+    End marks differ, in the order of the texts, so all suffixes do; they are sorted once, by doubling, and forgotten."""
 
-    def __init__(self, fragments: list[bytes], width: int):
-        self.width = width
-        sizes = self.sizes = np.fromiter(map(len, fragments), np.int64, len(fragments))
-        self.starts = np.cumsum(sizes + 1) - sizes - 1
-        text = np.zeros(int((sizes + 1).sum()), np.int64)
-        text[np.arange(int(sizes.sum())) + np.repeat(np.arange(len(fragments)), sizes)] = np.frombuffer(b"".join(fragments), np.uint8).astype(np.int64) + 1
+    def __init__(self, text: np.ndarray):
+        """``text``: what ``laid_out`` gives, of at least one text."""
         n = self.n = len(text)
-        after = np.concatenate((text, np.zeros(width + 8, np.int64)))
-        length = min(4, width)
-        packed = np.zeros(n, np.int64)
-        for j in range(length):  # symbols of nine bits
-            packed = (packed << 9) | after[j : j + n]
-        rank = _ranks(packed, 1 << (9 * length))
-        while length < width:
-            step = min(length, width - length)
-            shifted = np.concatenate((rank[step:] + 1, np.zeros(min(step, n), np.int64)))
-            rank, length = _ranks(rank * (n + 2) + shifted, (n + 2) ** 2), length + step
-        order = _order(rank, n)
-        ordered = rank[order]
-        self.class_rows = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
-        self.class_first = order[self.class_rows]
-        self.class_at = np.repeat(np.arange(len(self.class_rows), dtype=np.int32), np.diff(np.append(self.class_rows, n)))
+        marks = text < 0
+        rank = _ranks(np.where(marks, np.cumsum(marks), text + marks.sum() + 1), int(text.max(initial=0) + marks.sum()) + 2)
+        depth = 1
+        while rank.max() + 1 < n:
+            shifted = np.zeros(n, np.int64)
+            shifted[: n - depth] = rank[depth:] + 1
+            rank, depth = _ranks(rank * (n + 2) + shifted, (n + 2) ** 2), 2 * depth
+        order = np.empty(n, np.int64)
+        order[rank] = np.arange(n)
         last = text[order - 1]  # before the first symbol stands the last end mark
         heads = np.flatnonzero(np.concatenate(([True], last[1:] != last[:-1])))
-        symbol, long = last[heads], np.diff(np.concatenate((heads, [n])))
-        by = np.lexsort((heads, symbol))
-        self.run_keys = symbol[by] * (n + 1) + heads[by]
-        self.run_rows, self.run_long, self.run_symbol = heads[by], long[by], symbol[by]
-        before = np.cumsum(self.run_long) - self.run_long  # this is C[symbol] + occurrences of the symbol in earlier rows
-        self.run_before = before
-        self.first_of = np.concatenate(([0], np.cumsum(np.bincount(text, minlength=257))))
-        self.text = text.astype(np.int16)
-        #: The class of each fragment's last window, where its backward walk enters; -1 if it is shorter than a window.
-        self.entry = np.where(sizes >= width, rank[self.starts + np.maximum(sizes - width, 0)], -1)
-
-    def step(self, symbol: np.ndarray, row: np.ndarray) -> np.ndarray:
-        """C[symbol] + occurrences of ``symbol`` in the rows before ``row``: where a backward step leads."""
-        at = np.searchsorted(self.run_keys, symbol * (self.n + 1) + row, "left") - 1
-        safe = np.maximum(at, 0)
-        inside = self.run_before[safe] + np.minimum(row - self.run_rows[safe], self.run_long[safe])
-        return np.where((at >= 0) & (self.run_symbol[safe] == symbol), inside, self.first_of[symbol])
-
-    def stream(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(fragment, window start, earliest text position) for each window of ``width`` bytes of the indexed fragments.
-
-        The fragments run backwards side by side, each from the class of its last window. A step takes one more symbol in front: its matching
-        statistic stays full, as the index has the fragment itself, and the class of the new interval forgets the symbol behind the window."""
-        who = np.flatnonzero(self.entry >= 0)
-        at, start = self.entry[who], self.sizes[who] - self.width
-        out = [(who, start, self.class_first[at])]
-        while True:
-            more = start > 0
-            who, at, start = who[more], at[more], start[more] - 1
-            if not len(who):
-                break
-            row = self.step(self.text[self.starts[who] + start].astype(np.int64), self.class_rows[at])
-            at = self.class_at[row]
-            out.append((who, start, self.class_first[at]))
-        return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+        ends = np.append(heads[1:], n) - 1
+        #: Runs by row, and by symbol and row; the sum of lengths before a run in the latter order is where its first row leads.
+        self.row_heads, self.row_symbols = heads, last[heads]
+        by = np.lexsort((heads, last[heads]))
+        self.symbol, self.head, self.end = last[heads[by]], heads[by], ends[by]
+        self.keys = (self.symbol + 1) * n + self.head
+        long = self.end - self.head + 1
+        self.leads = np.cumsum(long) - long
+        self.head_place, self.end_place = order[self.head], order[self.end]
+
+    @property
+    def runs(self) -> int:
+        return len(self.head)
+
+    @property
+    def bytes(self) -> int:
+        return sum(x.nbytes for x in (self.row_heads, self.row_symbols, self.symbol, self.head, self.end, self.keys, self.leads, self.head_place, self.end_place))
+
+    def statistics(self, symbols: np.ndarray, ends: np.ndarray, text: np.ndarray) -> np.ndarray:
+        """For each place of the texts in ``symbols`` how long the longest match is that begins there and stands in an indexed text.
+
+        The texts run backwards, side by side. Each holds a row whose suffix matches as far as any does, and that suffix's place. If the row's run has the
+        next symbol, the row is mapped and the match grows by one. If not, the nearest rows that have it, the end of a run above and the head of one
+        below, are the only ones that can match longest; their places are sampled, and how far either matches is read off ``text`` (``laid_out``), the
+        one use that is made of it."""
+        out = np.zeros(len(symbols), np.int64)
+        who = np.flatnonzero(np.diff(ends) > 0)
+        at = ends[who + 1] - 1
+        top = len(self.row_heads) - 1
+        row = np.full(len(who), self.n - 1)
+        place, length = np.full(len(who), self.end_place[np.argmax(self.end)]), np.zeros(len(who), np.int64)
+        while len(who):
+            c = symbols[at]
+            same = self.row_symbols[np.minimum(np.searchsorted(self.row_heads, row, "right") - 1, top)] == c
+            run = np.searchsorted(self.keys, (c + 1) * self.n + row, "right") - 1  # the run of the symbol that holds the row or is the last one above it
+            above = (run >= 0) & (self.symbol[np.maximum(run, 0)] == c)
+            other = np.flatnonzero(~same)
+            if len(other):
+                up, down = run[other], np.minimum(run[other] + 1, self.runs - 1)
+                has_up, has_down = above[other], (run[other] + 1 < self.runs) & (self.symbol[down] == c[other])
+                up = np.maximum(up, 0)
+                matched = [self._matched(symbols, at[other] + 1, text, x, np.where(held, length[other], 0)) for x, held in ((self.end_place[up], has_up), (self.head_place[down], has_down))]
+                lower = has_down & (~has_up | (matched[1] > matched[0]))
+                none = ~has_up & ~has_down
+                run[other] = np.where(lower, down, up)
+                row[other] = np.where(none, row[other], np.where(lower, self.head[down], self.end[up]))
+                place[other] = np.where(none, place[other], np.where(lower, self.head_place[down], self.end_place[up]))
+                length[other] = np.where(none, -1, np.where(lower, matched[1], matched[0]))
+                same[other] = ~none
+            row = np.where(same, self.leads[np.maximum(run, 0)] + row - self.head[np.maximum(run, 0)], row)
+            place = np.where(same, place - 1, place)
+            length += 1
+            out[at] = length
+            more = at > ends[who]
+            who, at, row, place, length = who[more], at[more] - 1, row[more], place[more], length[more]
+        return out
+
+    @staticmethod
+    def _matched(symbols: np.ndarray, at: np.ndarray, text: np.ndarray, place: np.ndarray, most: np.ndarray) -> np.ndarray:
+        """How many symbols from ``at`` on equal the text's from ``place`` on, up to ``most``."""
+        done = np.zeros(len(at), np.int64)
+        left = np.flatnonzero(most > 0)
+        steps = np.arange(CHUNK)
+        while len(left):
+            a, b = at[left] + done[left], place[left] + done[left]
+            equal = symbols[np.minimum(a[:, None] + steps, len(symbols) - 1)] == text[np.minimum(b[:, None] + steps, len(text) - 1)]
+            equal &= done[left][:, None] + steps < most[left][:, None]
+            n = np.where(equal.all(axis=1), CHUNK, np.argmin(equal, axis=1))
+            done[left] += n
+            left = left[n == CHUNK]
+        return done

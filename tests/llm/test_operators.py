@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from lodestrand.llm import bpe, components, decontamination, near_duplicates, pu, quality, queries, repeats, secret_scan, sharding, toxicity, winnowing
 from lodestrand.llm.buffers import flat_utf8
-from lodestrand.llm.run_length_index import RunLengthIndex
+from lodestrand.llm.run_length_index import RunLengthIndex, laid_out
 
 from ..compare import difference
 
@@ -171,17 +171,53 @@ def test_fragments_that_share_a_window_agree_on_a_side():
     assert met > 100
 
 
+def laid(fragments):
+    return np.frombuffer(b"".join(fragments), np.uint8).astype(np.int64), np.concatenate(([0], np.cumsum([len(f) for f in fragments])))
+
+
 def test_run_length_index():
+    """Matching statistics of streamed texts, from runs and samples, against a search in every indexed text."""
     rng = random.Random(3)
-    for _ in range(60):
-        width = rng.choice([1, 3, 5, 8, 12])
-        fragments = [bytes(rng.choices(b"ab\xff", k=rng.randint(0, 40))) for _ in range(rng.randint(1, 8))]
-        index, first = RunLengthIndex(fragments, width), {}
-        for f, s in zip(fragments, index.starts.tolist(), strict=True):
-            for i in range(len(f) - width + 1):
-                first.setdefault(f[i : i + width], s + i)
-        got = {(a, b): c for a, b, c in zip(*(x.tolist() for x in index.stream()), strict=True)}
-        assert got == {(k, i): first[f[i : i + width]] for k, f in enumerate(fragments) for i in range(len(f) - width + 1)}
+    for _ in range(80):
+        letters = rng.choice([b"ab", b"ab\xff", b"a", b"abcdefgh\x00"])
+        some = lambda n: [bytes(rng.choices(letters, k=rng.randint(0, 40))) for _ in range(n)]
+        indexed, streamed = some(rng.randint(1, 8)), some(rng.randint(1, 6)) + [b"zz"]
+        text = laid_out(*laid(indexed))
+        index = RunLengthIndex(text)
+        assert not [k for k, x in vars(index).items() if isinstance(x, np.ndarray) and len(x) != index.runs]  # nothing is as long as the text
+        symbols, ends = laid(streamed)
+        want = [max(k for k in range(len(f) - i + 1) if any(f[i : i + k] in x for x in indexed)) for f in streamed for i in range(len(f))]
+        assert index.statistics(symbols, ends, text).tolist() == want
+
+
+def test_runs_of_copies():
+    rng = random.Random(1)
+    one = bytes(rng.choices(b"abcdefgh ", k=150))
+    copies = RunLengthIndex(laid_out(*laid([one] * 300)))
+    other = RunLengthIndex(laid_out(*laid([bytes(rng.choices(b"abcdefgh ", k=150)) for _ in range(300)])))
+    assert copies.n == other.n and copies.runs < 160 and other.runs > 30_000 and copies.bytes < other.bytes / 200
+
+
+def test_windows_of_earlier_fragments():
+    """Every round and tag against sets of windows, with fragments cut by their anchors from shared and edited passages."""
+    rng = random.Random(12)
+    passages = [bytes(rng.choices(b"abcd ", k=260)) for _ in range(4)]
+    rows = []
+    for _ in range(120):
+        p = bytearray(rng.choice(passages))
+        for _ in range(rng.randint(0, 4)):
+            p[rng.randrange(len(p))] = 120
+        data = np.frombuffer(bytes(p[rng.randrange(80) :]), np.uint8)
+        anchor, _, start, windows, _, _ = repeats.fragments_of(data)
+        rows += [(a, bytes(data[s : s + w + 99])) for a, s, w in zip(anchor.tolist(), start.tolist(), windows.tolist())]
+    ends, marks = repeats._repeated_inside(np.array([a for a, _ in rows]), [b for _, b in rows], 100)
+    seen, want = set(), []
+    for _, body in rows:
+        own = [body[i : i + 100] for i in range(len(body) - 99)]
+        want += [w in seen for w in own]
+        seen |= set(own)
+    assert marks.tolist() == want and 0 < sum(want) < len(want)
+    assert ends.tolist() == np.cumsum([0] + [len(b) - 99 for _, b in rows]).tolist()
 
 
 def brute_phrases(docs, items, width=13):
