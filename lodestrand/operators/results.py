@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..lineage import kept
 from ..profiles import LATIN, TextProfile
+from ..sources.crawl import first_by
 from . import candidates as C
 from . import verify as V
 
@@ -54,13 +55,39 @@ def error_isolation(pages: DataFrame, *errors: str) -> DataFrame:
     return pages.withColumn("error_code", F.coalesce(*errors)).drop(*(e for e in errors if e != "error_code"))
 
 
-def assemble_results(request_urls: DataFrame, results: DataFrame) -> DataFrame:
-    """A row for each (request_id, ordinal), duplicates too; what was computed once for a url is joined back, its meta too, and lines of failed rows are empty."""
-    joined = request_urls.join(results, "url", "left")
+def page_times(timings: DataFrame) -> DataFrame:
+    """(page_id, fetch_ms, extract_ms, llm_ms, total_ms) from (page_id, stage, ms); the total is the sum of what was measured unless it was measured itself."""
+    of = lambda stage: F.sum(F.when(F.col("stage") == stage, F.col("ms")))
+    rows = timings.groupBy("page_id").agg(*(of(k).alias(f"{k}_ms") for k in ("fetch", "extract", "llm")), of("total").alias("whole"), F.sum(F.when(F.col("stage") != "total", F.col("ms"))).alias("parts"))
+    return rows.select("page_id", "fetch_ms", "extract_ms", "llm_ms", F.coalesce("whole", "parts").alias("total_ms"))
+
+
+def request_meta(personas: DataFrame, routed: DataFrame, routes: DataFrame, examples: DataFrame) -> DataFrame:
+    """(request_id, persona_applied, example_count, llm_model, llm_model_id, llm_model_label): what holds for all of a request's results, from (request_id,
+    persona_applied), (request_id, route), (model_id, model, label) and (request_id, example_count)."""
+    named = routes.select(F.col("model_id").alias("route"), F.col("model").alias("llm_model"), F.col("label").alias("llm_model_label"))
+    asked = personas.select("request_id", "persona_applied").join(routed, "request_id", "full").join(examples, "request_id", "full").join(named, "route", "left")
+    return asked.select("request_id", "persona_applied", F.coalesce("example_count", F.lit(0)).alias("example_count"), "llm_model", F.col("route").alias("llm_model_id"), "llm_model_label")
+
+
+def assemble_results(request_urls: DataFrame, results: DataFrame, requests: DataFrame | None = None) -> DataFrame:
+    """A row for each (request_id, ordinal), duplicates too; what was computed once for a url is joined back, its meta too, and lines of failed rows are empty.
+
+    Of several results of one url a good one is taken, the least by title and lines. ``requests`` (of ``request_meta``) fills the fields that a request decides."""
+    one = first_by(results, ["url"], F.col("error_code").isNotNull(), F.col("title"), F.col("line2"), F.col("line3"))
+    joined = request_urls.join(one, "url", "left")
     error = F.coalesce("error_code", F.when(F.col("title").isNull() & F.col("line2").isNull(), "internal_error"))
     line = lambda c: F.when(error.isNull(), F.coalesce(c, F.lit(""))).otherwise("")
-    meta = ["meta"] if "meta" in results.columns else []
-    return joined.select("request_id", "ordinal", "url", *(line(F.col(c)).alias(c) for c in ("title", "line2", "line3")), error.alias("error_code"), *meta)
+    columns = ["request_id", "ordinal", "url", *(line(F.col(c)).alias(c) for c in ("title", "line2", "line3")), error.alias("error_code")]
+    if "meta" not in results.columns:
+        return joined.select(*columns)
+    meta = F.coalesce("meta", meta_of(one.drop(*META)))
+    if requests is not None:
+        decided = [c for c in requests.columns if c in META]
+        joined = joined.join(requests, "request_id", "left")
+        for c in decided:
+            meta = meta.withField(c, F.col(c).cast(META[c]))
+    return joined.select(*columns, meta.alias("meta"))
 
 
 def outcome_summary(results: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -454,14 +455,23 @@ def _requests(s, d):
     return e.select(F.col("event_id").alias("request_id"), F.col("event_type").alias("owner"), F.when(k == 0, F.lit(None)).when(k == 1, F.lit("")).otherwise(F.concat(F.lit("as "), F.col("user_id").cast("string"))).alias("persona_prompt"))
 
 
-@query("resolve_persona", """WITH st AS (SELECT event_type AS owner, CASE WHEN event_type < 'l' THEN 'saved ' || event_type ELSE '' END AS active FROM events GROUP BY event_type)
-SELECT event_id AS request_id, CASE event_id % 3 WHEN 0 THEN nullif(active, '') WHEN 2 THEN 'as ' || user_id END AS persona, CASE event_id % 3 WHEN 0 THEN active <> '' WHEN 1 THEN false ELSE true END AS persona_applied FROM events JOIN st ON owner = event_type""")
+_PERSONA_SQL = """WITH st AS (SELECT event_type AS owner, CASE WHEN event_type < 'l' THEN 'saved ' || event_type ELSE '' END AS active FROM events GROUP BY event_type)
+SELECT event_id AS request_id, CASE event_id % 3 WHEN 0 THEN nullif(active, '') WHEN 2 THEN 'as ' || user_id END AS persona, CASE event_id % 3 WHEN 0 THEN active <> '' WHEN 1 THEN false ELSE true END AS persona_applied FROM events JOIN st ON owner = event_type"""
+
+
+def _settings(s, d):
+    return N.table(s, d, "events").select(F.col("event_type").alias("owner")).distinct().withColumn("active_prompt", F.when(F.col("owner") < "l", F.concat(F.lit("saved "), "owner")).otherwise(""))
+
+
+@query("resolve_persona", _PERSONA_SQL)
 def resolve_persona(s, d):
-    settings = N.table(s, d, "events").select(F.col("event_type").alias("owner")).distinct().withColumn("active_prompt", F.when(F.col("owner") < "l", F.concat(F.lit("saved "), "owner")).otherwise(""))
-    return I.resolve_persona(_requests(s, d), settings)
+    return I.resolve_persona(_requests(s, d), _settings(s, d))
+
+
+_ROUTE_SQL = "SELECT event_id AS request_id, CASE user_id % 4 WHEN 0 THEN 'small' WHEN 1 THEN CASE WHEN event_id % 2 = 0 THEN 'large' ELSE 'small' END WHEN 2 THEN 'base' ELSE 'base' END AS route FROM events"
 
 
-@query("resolve_route", "SELECT event_id AS request_id, CASE user_id % 4 WHEN 0 THEN 'small' WHEN 1 THEN CASE WHEN event_id % 2 = 0 THEN 'large' ELSE 'small' END WHEN 2 THEN 'base' ELSE 'base' END AS route FROM events")
+@query("resolve_route", _ROUTE_SQL)
 def resolve_route(s, d):
     k = F.col("user_id") % 4
     asked = N.table(s, d, "events").select(
@@ -649,34 +659,72 @@ def assembled(s, d, fuzzy: bool):
 both_ways("results", f"<pair>, cnt AS (SELECT page_id, url, count(pos) AS n FROM pages LEFT JOIN candidates USING (page_id) GROUP BY ALL), assembled AS (SELECT r.request_id, r.ordinal, r.url, CASE WHEN e IS NULL THEN 'T' || page_id ELSE '' END AS title, CASE WHEN e IS NULL THEN ifnull(line2, '') ELSE '' END AS line2, CASE WHEN e IS NULL THEN ifnull(line3, '') ELSE '' END AS line3, e AS error_code FROM ({N.REQUEST_URLS}) r JOIN (SELECT page_id, url, coalesce({N.CRAWL_ERROR}, CASE WHEN n = 0 THEN 'content_extraction_error' END) AS e FROM cnt) USING (url) LEFT JOIN second USING (page_id) LEFT JOIN third USING (page_id)) SELECT * FROM assembled", assembled)
 
 
-def whole_results(s, d) -> DataFrame:
-    """Results of fetched pages end to end, and errors of those that weren't fetched."""
+def page_results(s, d) -> DataFrame:
+    """Results of fetched pages end to end with their meta, and errors of those that weren't fetched."""
+    n = F.col("page_id")
     crawl = N.crawl(s, d)
     problem = S.crawl_error(F.col("status"), F.col("content_type"), F.col("html"), F.col("timed_out"))
-    crawl = crawl.select("page_id", "url", F.col("status").alias("http_status"), problem.alias("crawl_error"))
-    fetched = crawl.where("crawl_error is null").select("page_id", "http_status").join(N.rich_pages(s, d).select("page_id", "html"), "page_id")
+    crawl = kept(crawl.select("page_id", "url", F.col("status").alias("http_status"), problem.alias("crawl_error")))
+    stages = F.array(*(F.struct(F.lit(k).alias("stage"), ms.cast("double").alias("ms")) for k, ms in (("fetch", n % 100 + 0.5), ("extract", n % 40), ("llm", 100 + n % 7))))
+    times = R.page_times(crawl.select("page_id", F.explode(stages).alias("t")).select("page_id", "t.*"))
+    fetched = crawl.where("crawl_error is null").select("page_id", "http_status").join(N.rich_pages(s, d).select("page_id", "html"), "page_id").join(times, "page_id")
     done = R.page_results(fetched, N.proposals)
-    return crawl.select("page_id", "url", "crawl_error").join(done, "page_id", "left").withColumn("error_code", F.coalesce("crawl_error", "error_code")).drop("crawl_error")
+    failed = R.meta_of(crawl.select("http_status"))
+    rows = crawl.join(done, "page_id", "left").withColumn("error_code", F.coalesce("crawl_error", "error_code"))
+    return rows.select("page_id", "url", "title", "line2", "line3", "error_code", F.coalesce("meta", failed).alias("meta"))
 
 
-@query("assemble_results")
-def assemble_results(s, d):
+def whole_results(s, d) -> DataFrame:
+    """A row for each url of each request; request k asks as event k does, and shows the examples of its owner."""
     urls = S.url_list_explode(N.requests(s, d)).withColumn("ordinal", F.col("ordinal").cast("long"))
-    return R.assemble_results(urls, whole_results(s, d).drop("page_id"))
+    asks = _requests(s, d).join(urls.select("request_id").distinct(), "request_id", "left_semi")
+    shown = prompt_examples(s, d).groupBy("owner").agg(F.count("*").alias("example_count"))
+    routes = s.createDataFrame([("base", "base-1", "Base"), ("small", "small-2", "Small"), ("large", "large-3", "Large")], "model_id string, model string, label string")
+    routed = resolve_route(s, d).join(asks.select("request_id"), "request_id", "left_semi")
+    requests = R.request_meta(I.resolve_persona(asks, _settings(s, d)), routed, routes, asks.join(shown, "owner").select("request_id", "example_count"))
+    return R.assemble_results(urls, page_results(s, d).drop("page_id"), requests)
+
+
+_OWN_SOURCES = f"sources AS (SELECT page_id, array_to_string(list_append(list_transform(list_concat(og, list_filter(l, lambda x: NOT list_contains(og, x))), lambda x: {O.cleaned('x')}), {O.cleaned("ifnull(body, '')")}), chr(10)) AS source_text FROM said LEFT JOIN chosen USING (page_id))"
+_DONE = f"""{_SAID}{re.sub(r'\bcandidates\b', 'candidates2', _PAIR[len(CHAIN):]).replace(N.SOURCES, _OWN_SOURCES)}, {_TITLE}, listed2 AS (SELECT page_id, count(*) AS n, md5(string_agg(text, chr(10) ORDER BY pos)) AS texts FROM candidates2 GROUP BY page_id),
+done AS (SELECT page_id, url, [200, 200, 200, 404, 500][page_id % 5 + 1] AS http_status, ce, coalesce(ce, CASE WHEN n IS NULL THEN 'content_extraction_error' END) AS e, title, title_source, line2, line3, method2, method3, extractor, n, texts
+ FROM (SELECT page_id, url, {N.CRAWL_ERROR} AS ce FROM pages) JOIN titles USING (page_id) LEFT JOIN chosen USING (page_id) LEFT JOIN listed2 USING (page_id) LEFT JOIN second USING (page_id) LEFT JOIN third USING (page_id)),
+{_LISTED.removeprefix('WITH ')}, shown AS (SELECT owner, count(*) AS example_count FROM listed WHERE place <= 6 GROUP BY owner), ({{persona}}), ({{route}})"""
+_DONE = _DONE.replace("({persona})", f"asked AS ({_PERSONA_SQL})").replace("({route})", f"routed AS ({_ROUTE_SQL})")
+_ROWS = f"""{_DONE}, result AS (SELECT r.request_id, r.ordinal, r.url, CASE WHEN e IS NULL THEN title ELSE '' END AS title, CASE WHEN e IS NULL THEN ifnull(line2, '') ELSE '' END AS line2, CASE WHEN e IS NULL THEN ifnull(line3, '') ELSE '' END AS line3, e AS error_code,
+ CASE WHEN ce IS NULL THEN page_id % 100 + 0.5 END::DOUBLE AS fetch_ms, CASE WHEN ce IS NULL THEN page_id % 40 END::DOUBLE AS extract_ms, CASE WHEN ce IS NULL THEN 100 + page_id % 7 END::DOUBLE AS llm_ms,
+ CASE WHEN ce IS NULL THEN page_id % 100 + 0.5 + page_id % 40 + 100 + page_id % 7 END::DOUBLE AS total_ms, http_status, CASE WHEN ce IS NULL THEN ifnull(extractor, 'none') END AS extractor, CASE WHEN ce IS NULL THEN ifnull(n, 0) END AS candidate_count,
+ CASE WHEN ce IS NULL THEN texts END AS candidates_md5, CASE WHEN ce IS NULL THEN nullif(title_source, '') END AS title_source, CASE WHEN ce IS NULL THEN method2 END AS line2_match, CASE WHEN ce IS NULL THEN method3 END AS line3_match,
+ persona_applied, CASE WHEN v.event_id IS NOT NULL THEN ifnull(example_count, 0) END AS example_count, route AS llm_model_id, CASE route WHEN 'base' THEN 'base-1' WHEN 'small' THEN 'small-2' WHEN 'large' THEN 'large-3' END AS llm_model, upper(route[1]) || route[2:] AS llm_model_label
+ FROM ({N.REQUEST_URLS}) r JOIN done USING (url) LEFT JOIN events v ON v.event_id = r.request_id LEFT JOIN asked a ON a.request_id = r.request_id LEFT JOIN routed o ON o.request_id = r.request_id LEFT JOIN shown w ON w.owner = v.event_type)"""
+
+
+def _flat(rows: DataFrame) -> DataFrame:
+    """Meta as columns, the list of candidates as a digest."""
+    flat = rows.select(*(c for c in rows.columns if c != "meta"), "meta.*").withColumn("candidate_count", F.col("candidate_count").cast("long")).withColumn("example_count", F.col("example_count").cast("long"))
+    return flat.withColumn("candidates_md5", F.when(F.size("candidates") > 0, F.md5(F.array_join("candidates", "\n")))).drop("candidates")
+
+
+@query("assemble_results", f"{_ROWS} SELECT * FROM result")
+def assemble_results(s, d):
+    return _flat(whole_results(s, d))
+
+
+_DIMENSIONS = ("error_code", "extractor", "title_source", "line2_match", "line3_match")
 
 
-@query("result_breakdown")
+@query("result_breakdown", f"{_ROWS} SELECT dimension, value, count(*) AS n FROM ({' UNION ALL '.join(f"SELECT '{x}' AS dimension, ifnull({x}, '') AS value FROM result" for x in _DIMENSIONS)}) GROUP BY dimension, value")
 def result_breakdown(s, d):
     """Counts of results by error, extractor, source of the title and how each line was found."""
-    rows = whole_results(s, d).select("error_code", "meta.extractor", "meta.title_source", "meta.line2_match", "meta.line3_match")
+    rows = whole_results(s, d).select("error_code", *(f"meta.{x}" for x in _DIMENSIONS[1:]))
     return R.outcome_breakdown(rows, *rows.columns)
 
 
-@query("write_results")
+@query("write_results", f"{_ROWS} SELECT error_code IS NOT NULL AS failed, request_id, ordinal, url, title, line2, line3, error_code FROM result")
 def write_results(s, d):
     """What the sink holds: results, failures in their own folder."""
     path = scratch(s, "results")
-    S.write_results(assemble_results(s, d), path)
+    S.write_results(whole_results(s, d), path)
     return s.read.parquet(path).select(F.col("failed").cast("boolean").alias("failed"), "request_id", "ordinal", "url", "title", "line2", "line3", "error_code")
 
 

@@ -118,7 +118,7 @@ def test_resolve_pair(spark, tables):
 
 
 def test_results_end_to_end(spark):
-    rows = Q.QUERIES["assemble_results"](spark, SMALL).collect()
+    rows = Q.whole_results(spark, SMALL).collect()
     assert len(rows) == spark.read.parquet(f"{SMALL}/pages.parquet").count()
     assert len(rows[0].meta.asDict()) == 16
     good = [r for r in rows if r.error_code is None]
