@@ -19,6 +19,7 @@ from ..operators import verify as V
 from ..lineage import folder, kept
 from ..profiles import LATIN
 from ..sources import crawl as S
+from ..sources import state as A
 from . import inputs as N
 from . import oracle as O
 
@@ -779,3 +780,35 @@ def stream_feedback(s, d):
     events = s.readStream.schema(N.table(s, d, "events").schema).option("pathGlobFilter", pattern).parquet(folder)
     jobs.stream_feedback(N.log_of(events, deletes=True), f"{out}/rows", f"{out}/state")
     return jobs.present_rings(s, f"{out}/rows")
+
+
+@query("stream_results", f"{_OUTCOME} SELECT o.error_code IS NOT NULL AS failed, request_id, ordinal, r.url, CASE WHEN o.error_code IS NULL THEN 'T' || page_id ELSE '' END AS title, o.error_code FROM ({N.REQUEST_URLS}) r JOIN outcomes o USING (url)")
+def stream_results(s, d):
+    """Requests come file by file; the last batch runs twice, as after a loss between its write and its commit."""
+    from ..streaming import jobs
+
+    out = scratch(s, "requests")
+    N.requests(s, d).repartition(3).write.parquet(f"{out}/in")
+    done = kept(outcomes(s, d).select("url", F.concat(F.lit("T"), F.col("page_id").cast("string")).alias("title"), F.lit("").alias("line2"), F.lit("").alias("line3"), "error_code"))
+    stream = s.readStream.schema("request_id long, urls string").option("maxFilesPerTrigger", 1).parquet(f"{out}/in")
+    jobs.stream_results(stream, lambda: done, f"{out}/rows", f"{out}/state")
+    rows = s.read.parquet(f"{out}/rows")
+    return rows.select(F.col("failed").cast("boolean").alias("failed"), "request_id", F.col("ordinal").cast("long").alias("ordinal"), "url", "title", "error_code")
+
+
+@query("state_files", """SELECT role AS file, count(*) AS n_examples, count(*) FILTER (line2 = 'p0') AS n_old, max(t) AS last FROM (SELECT role, turn, 'c' || conv_id || '-' || turn AS t, CASE WHEN turn % 2 = 0 THEN role ELSE 'p0' END AS line2 FROM conversations) GROUP BY role
+ UNION ALL SELECT 'bad', 0, 0, NULL""")
+def state_files(s, d):
+    """A state file for each role, old and new examples mixed, and one file that is cut off."""
+    c, out = N.table(s, d, "conversations"), scratch(s, "state")
+    title = F.concat(F.lit('{"title":"c'), F.col("conv_id").cast("string"), F.lit("-"), F.col("turn").cast("string"), F.lit('",'))
+    item = F.concat(title, F.when(F.col("turn") % 2 == 0, F.concat(F.lit('"line2":"'), "role", F.lit('"}'))).otherwise('"catchphrase_parts":["p0","p1"]}'))
+    whole = F.concat(F.lit('{"version":1,"active_prompt":"'), "role", F.lit('","examples":['), F.array_join(F.collect_list("item"), ","), F.lit("]}"))
+    files = c.select("role", item.alias("item")).groupBy("role").agg(whole.alias("value"))
+    files = files.unionByName(s.createDataFrame([("bad", '{"examples":[{"title"')], "role string, value string"))
+    files.write.partitionBy("role").option("lineSep", " ").text(out)
+    read = A.state_files(s, out)
+    name = F.regexp_extract("file", "role=([^/]*)", 1).alias("file")
+    found = A.examples_of(read).groupBy("file").agg(F.count("*").alias("n_examples"), F.count_if(F.col("line2") == "p0").alias("n_old"), F.max("title").alias("last"))
+    bad = read.where("quarantined").select("file", F.lit(0).cast("long").alias("n_examples"), F.lit(0).cast("long").alias("n_old"), F.lit(None).cast("string").alias("last"))
+    return found.unionByName(bad).withColumn("file", name)

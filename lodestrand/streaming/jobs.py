@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from bisect import bisect_right
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -15,7 +15,8 @@ from ..lineage import kept
 from ..operators.candidates import parsed_candidates
 from ..operators.feedback import KEEP, fold
 from ..profiles import LATIN, TextProfile
-from ..sources.crawl import PAGES
+from ..operators.results import assemble_results
+from ..sources.crawl import PAGES, url_list_explode, write_results
 
 
 def stream_candidates(spark: SparkSession, source: str, target: str, checkpoint: str, profile: TextProfile = LATIN, pattern: str = "*.parquet") -> None:
@@ -91,3 +92,15 @@ def present_rings(spark: SparkSession, target: str) -> DataFrame:
     rows = spark.read.parquet(target)
     last = rows.groupBy("owner").agg(F.max("batch_no").alias("batch_no"))
     return rows.join(last, ["owner", "batch_no"]).where("recency > 0").select("owner", "key", "id", "recency")
+
+
+def stream_results(requests: DataFrame, results: Callable[[], DataFrame], target: str, checkpoint: str) -> None:
+    """Results of a stream of (request_id, urls) under ``target``, in a folder for each batch, failures apart in each.
+
+    A row for each url of a request with its ordinal, joined with what ``results`` gives at the time of the batch (url, title, line2, line3, error_code). A batch
+    that runs again, as after a loss between its write and its commit, replaces its own folder, so that each result stands once."""
+
+    def one(batch: DataFrame, number: int) -> None:
+        write_results(assemble_results(url_list_explode(batch), results()), f"{target}/batch={number}")
+
+    requests.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
