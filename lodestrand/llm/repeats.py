@@ -158,19 +158,20 @@ def _repeated_inside(anchors: np.ndarray, bodies: list[bytes], width: int) -> tu
             continue
         names = np.unique(pair[late])
 
-        def taken(rows: np.ndarray, names=names, pair=pair) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        def taken(rows: np.ndarray, names=names, pair=pair) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
             who = order[rows]
             own = np.concatenate(([0], np.cumsum(sizes[who])))
             at = np.arange(own[-1]) + np.repeat(ends[who] - own[:-1], sizes[who])
             part = symbols[at]
-            part[tagged[who] - ends[who] + own[:-1]] = 256 + np.searchsorted(names, pair[rows])
-            return who, own, part
+            tags = tagged[who] - ends[who] + own[:-1]
+            part[tags] = 256 + np.searchsorted(names, pair[rows])
+            return who, own, part, tags
 
-        _, own, part = taken(early)
+        _, own, part, _ = taken(early)
         text = laid_out(part, own)
         index = RunLengthIndex(text)
-        who, own, part = taken(late)
-        long = index.statistics(part, own, text) >= width
+        who, own, part, tags = taken(late)
+        long = index.statistics(part, own, text, width, tags) >= width
         n = windows[who]
         inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
         marks[np.repeat(window_ends[who], n) + inner] |= long[np.repeat(own[:-1], n) + inner]

@@ -70,9 +70,12 @@ class RunLengthIndex:
     def bytes(self) -> int:
         return sum(x.nbytes for x in (self.row_heads, self.row_symbols, self.symbol, self.head, self.end, self.keys, self.leads, self.head_place, self.end_place))
 
-    def statistics(self, symbols: np.ndarray, ends: np.ndarray, text: np.ndarray) -> np.ndarray:
+    def statistics(self, symbols: np.ndarray, ends: np.ndarray, text: np.ndarray, least: int = 0, pivots: np.ndarray | None = None) -> np.ndarray:
         """For each place of the texts in ``symbols`` how long the longest match is that begins there and stands in an indexed text.
 
+        With ``pivots``, a place in each text, only matches of ``least`` symbols or more that begin at or before it and hold it are asked for; other places
+        may get 0. A text is done once its match ends too far left for that: matches that begin further left end no further right.
+
         The texts run backwards, side by side. Each holds a row whose suffix matches as far as any does, and that suffix's place. If the row's run has the
         next symbol, the row is mapped and the match grows by one. If not, the nearest rows that have it, the end of a run above and the head of one
         below, are the only ones that can match longest; their places are sampled, and how far either matches is read off ``text`` (``laid_out``), the
@@ -106,6 +109,8 @@ class RunLengthIndex:
             length += 1
             out[at] = length
             more = at > ends[who]
+            if pivots is not None:
+                more &= (at > pivots[who]) | (at + length - ends[who] >= least)
             who, at, row, place, length = who[more], at[more] - 1, row[more], place[more], length[more]
         return out
 
