@@ -6,6 +6,8 @@ from collections import defaultdict
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from lodestrand.llm import boilerplate, page_blocks, queries
 
 PAGES = "page_id long, url string, html string, host string, row long, blocks string, text string, shard int"
@@ -130,3 +132,16 @@ def test_nulls_repeats_and_nothing(spark):
 def test_query_columns(spark):
     rows = queries.op11_host_suffix_array(spark, "/root/testdata/sf0.001")
     assert rows.dtypes == [("page_id", "bigint"), ("url", "string"), ("text", "string"), ("n_chars", "bigint")]
+
+
+def test_pages_whose_markup_is_hidden(spark):
+    """Without article, nav and footer elements and class names no block of an article is lost, copied articles included, and most of the rest goes."""
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    html = F.col("html")
+    for a, b in (("<article>", '<div class="m">'), ("<nav>", '<div class="n">'), ("<footer>", '<div class="f">'), ('class="ad"', 'class="s"'), ("</article>", "</div>"), ("</nav>", "</div>"), ("</footer>", "</div>")):
+        html = F.replace(html, F.lit(a), F.lit(b))
+    largest = pages.groupBy(F.regexp_extract("url", "//([^/]*)", 1).alias("host")).count().orderBy(F.desc("count")).first().host
+    pages = pages.where(F.contains("url", F.lit(f"//{largest}/")))
+    shown = {r.page_id: r.text.split("\n") for r in boilerplate.main_text(pages).collect()}
+    hidden = {r.page_id: r.text.split("\n") for r in boilerplate.main_text(pages.withColumn("html", html)).collect()}
+    assert len(shown) > 20 and all(set(shown[k]) <= set(hidden[k]) for k in shown)
