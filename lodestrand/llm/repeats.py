@@ -137,7 +137,7 @@ def _repeated_inside(anchors: np.ndarray, bodies: list[bytes], width: int) -> tu
     sizes = np.fromiter(map(len, bodies), np.int64, len(bodies))
     ends = np.concatenate(([0], np.cumsum(sizes)))
     flat = np.frombuffer(b"".join(bodies), np.uint8)
-    symbols = flat.astype(np.int64)
+    symbols = flat.astype(np.int32)
     tagged = ends[:-1] + anchor_places(flat, ends, anchors, width)
     windows = sizes - width + 1
     window_ends = np.concatenate(([0], np.cumsum(windows)))

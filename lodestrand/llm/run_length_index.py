@@ -28,7 +28,7 @@ def _ranks(keys: np.ndarray, limit: int) -> np.ndarray:
 
 def laid_out(symbols: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Texts end to end, each followed by an end mark (-1): text k, symbols[ends[k]:ends[k + 1]], begins at ends[k] + k."""
-    out = np.full(len(symbols) + len(ends) - 1, -1, np.int64)
+    out = np.full(len(symbols) + len(ends) - 1, -1, symbols.dtype)
     out[np.arange(len(symbols)) + np.repeat(np.arange(len(ends) - 1), np.diff(ends))] = symbols
     return out
 
@@ -41,6 +41,7 @@ class RunLengthIndex:
     def __init__(self, text: np.ndarray):
         """``text``: what ``laid_out`` gives, of at least one text."""
         n = self.n = len(text)
+        text = text.astype(np.int64)
         marks = text < 0
         rank = _ranks(np.where(marks, np.cumsum(marks), text + marks.sum() + 1), int(text.max(initial=0) + marks.sum()) + 2)
         depth = 1
@@ -53,8 +54,7 @@ class RunLengthIndex:
         last = text[order - 1]  # before the first symbol stands the last end mark
         heads = np.flatnonzero(np.concatenate(([True], last[1:] != last[:-1])))
         ends = np.append(heads[1:], n) - 1
-        #: Runs by row, and by symbol and row; the sum of lengths before a run in the latter order is where its first row leads.
-        self.row_heads, self.row_symbols = heads, last[heads]
+        #: Runs by symbol and row; the sum of lengths before a run is where its first row leads.
         by = np.lexsort((heads, last[heads]))
         self.symbol, self.head, self.end = last[heads[by]], heads[by], ends[by]
         self.keys = (self.symbol + 1) * n + self.head
@@ -68,7 +68,7 @@ class RunLengthIndex:
 
     @property
     def bytes(self) -> int:
-        return sum(x.nbytes for x in (self.row_heads, self.row_symbols, self.symbol, self.head, self.end, self.keys, self.leads, self.head_place, self.end_place))
+        return sum(x.nbytes for x in (self.symbol, self.head, self.end, self.keys, self.leads, self.head_place, self.end_place))
 
     def statistics(self, symbols: np.ndarray, ends: np.ndarray, text: np.ndarray, least: int = 0, pivots: np.ndarray | None = None) -> np.ndarray:
         """For each place of the texts in ``symbols`` how long the longest match is that begins there and stands in an indexed text.
@@ -83,20 +83,21 @@ class RunLengthIndex:
         out = np.zeros(len(symbols), np.int64)
         who = np.flatnonzero(np.diff(ends) > 0)
         at = ends[who + 1] - 1
-        top = len(self.row_heads) - 1
         row = np.full(len(who), self.n - 1)
         place, length = np.full(len(who), self.end_place[np.argmax(self.end)]), np.zeros(len(who), np.int64)
         while len(who):
-            c = symbols[at]
-            same = self.row_symbols[np.minimum(np.searchsorted(self.row_heads, row, "right") - 1, top)] == c
+            c = symbols[at].astype(np.int64)
             run = np.searchsorted(self.keys, (c + 1) * self.n + row, "right") - 1  # the run of the symbol that holds the row or is the last one above it
             above = (run >= 0) & (self.symbol[np.maximum(run, 0)] == c)
+            same = above & (self.end[np.maximum(run, 0)] >= row)
             other = np.flatnonzero(~same)
             if len(other):
                 up, down = run[other], np.minimum(run[other] + 1, self.runs - 1)
                 has_up, has_down = above[other], (run[other] + 1 < self.runs) & (self.symbol[down] == c[other])
                 up = np.maximum(up, 0)
-                matched = [self._matched(symbols, at[other] + 1, text, x, np.where(held, length[other], 0)) for x, held in ((self.end_place[up], has_up), (self.head_place[down], has_down))]
+                both = np.concatenate((self.end_place[up], self.head_place[down]))
+                most = np.concatenate((np.where(has_up, length[other], 0), np.where(has_down, length[other], 0)))
+                matched = self._matched(symbols, np.tile(at[other] + 1, 2), text, both, most).reshape(2, -1)
                 lower = has_down & (~has_up | (matched[1] > matched[0]))
                 none = ~has_up & ~has_down
                 run[other] = np.where(lower, down, up)
