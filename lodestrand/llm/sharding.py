@@ -118,18 +118,28 @@ def rewrite_affected(docs: DataFrame, placed: DataFrame, path: str, id_col: str
     """Writes the shards that gain or lose rows under ``path`` as shard=N folders, and returns their numbers; others keep their files.
 
     ``placed`` is what ``reshard`` returned for ``docs``. A row finds its place by id (null ids too), checksum and size; rows that agree in all
-    three take their places in any order, each its own; only they are numbered, so other rows are shuffled once. Columns of ``docs`` named shard or slot are written as shard_before and slot_before. Old
+    three take their places in the order of their texts' digests and other columns, each its own; only they are numbered, so other rows are shuffled once. Columns of
+    ``docs`` named shard or slot are written as shard_before and slot_before (with one more _before where these are taken). Old
     shards that the new ones lack are among the numbers and have no rows. The write replaces only the folders that it makes."""
     moved = placed.where("shard <> old_shard")
     affected = sorted({x[0] for x in moved.select(F.explode(F.array("shard", "old_shard"))).distinct().collect()})  # shards, not rows
     if not affected:
         return []
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    key = [F.coalesce(F.col(id_col).cast("long"), F.lit(LOWEST)).alias("_id"), (F.octet_length(text).cast("long") + 1).alias("_size"), F.crc32(text.cast("binary")).alias("_crc")]
-    names = ["_id", "_size", "_crc"]
-    kept = [F.col(c).alias(f"{c}_before" if c in ("shard", "slot") else c) for c in docs.columns]
-    rows = docs.select(*kept, *key)
-    place = placed.select(F.coalesce("doc_id", F.lit(LOWEST)).alias("_id"), F.col("size").alias("_size"), F.col("text_crc32").alias("_crc"), "shard", "slot")
+    taken = {c.lower() for c in docs.columns} | {"shard", "slot"}
+
+    def free(name: str, more: str) -> str:
+        while name.lower() in taken:
+            name += more
+        taken.add(name.lower())
+        return name
+
+    names = [free(c, "_") for c in ("_id", "_size", "_crc")]
+    twin, order = free("_twin", "_"), free("_order", "_")
+    key = [F.coalesce(F.col(id_col).cast("long"), F.lit(LOWEST)).alias(names[0]), (F.octet_length(text).cast("long") + 1).alias(names[1]), F.crc32(text.cast("binary")).alias(names[2])]
+    kept = [F.col(c).alias(free(f"{c}_before", "_before") if c.lower() in ("shard", "slot") else c) for c in docs.columns]
+    rows = docs.select(*kept, *key, F.struct(F.sha2(text.cast("binary"), 256), F.xxhash64(*docs.columns)).alias(order))
+    place = placed.select(F.coalesce("doc_id", F.lit(LOWEST)).alias(names[0]), F.col("size").alias(names[1]), F.col("text_crc32").alias(names[2]), "shard", "slot")
     twins = cut(place.groupBy(*names).agg(F.count("*").alias("n")).where("n > 1").select(*names))
     n = twins.limit(BROADCAST_ROWS + 1).count()
 
@@ -137,13 +147,13 @@ def rewrite_affected(docs: DataFrame, placed: DataFrame, path: str, id_col: str
         return of.where(F.col("shard").isin(affected))
 
     if not n:
-        rows = rows.join(chosen(place), names)
+        rows = rows.join(chosen(place), names).drop(order)
     else:
         some = F.broadcast(twins) if n <= BROADCAST_ROWS else twins
-        counted = F.row_number().over(Window.partitionBy(*names).orderBy(F.lit(0))).alias("_twin")
-        several = [of.join(some, names, "left_semi").select("*", counted) for of in (rows, place)]
+        counted = lambda *by: F.row_number().over(Window.partitionBy(*names).orderBy(*by)).alias(twin)  # noqa: E731  in an order that a second attempt finds again
+        several = [of.join(some, names, "left_semi").select("*", counted(*by)) for of, by in ((rows, (order,)), (place, ("shard", "slot")))]
         single = rows.join(some, names, "left_anti").join(chosen(place), names)
-        rows = single.unionByName(several[0].join(chosen(several[1]), [*names, "_twin"]).drop("_twin"))
+        rows = single.unionByName(several[0].join(chosen(several[1]), [*names, twin]).drop(twin)).drop(order)
     rows = rows.drop(*names)
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("shard").parquet(path)
     return affected

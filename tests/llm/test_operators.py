@@ -429,6 +429,22 @@ def test_rewrite_affected(spark, tmp_path):
     assert sharding.rewrite_affected(docs, sharding.reshard(docs, F.lit(0), 1), str(tmp_path / "none")) == []
 
 
+def test_rewrite_affected_with_our_names(spark, tmp_path):
+    """Columns named as the operator's own; and rows that agree in id, size and checksum but not in text keep a place each."""
+    a, b = "plumless", "buckeroo"  # of one CRC-32
+    assert zlib.crc32(a.encode()) == zlib.crc32(b.encode())
+    rows = [(1, a, 7, 8, "x", 9, 1), (1, b, 7, 8, "y", 9, 2), (2, "else", 7, 8, "z", 9, 3), (None, None, 7, 8, None, 9, 4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, shard int, shard_before int, _id string, Slot int, _twin int")
+    placed = sharding.reshard(docs, F.lit(0), 3)
+    affected = sharding.rewrite_affected(docs, placed, str(tmp_path / "out"))
+    back = spark.read.parquet(str(tmp_path / "out"))
+    assert set(back.columns) == {"doc_id", "text", "shard", "slot", "shard_before", "shard_before_before", "_id", "Slot_before", "_twin"}
+    want = sorted((r.shard, r.slot) for r in placed.collect() if r.shard in affected)
+    got = back.collect()
+    assert sorted((r.shard, r.slot) for r in got) == want and len({r._twin for r in got}) == len(got)
+    assert {(r._twin, r.text, r["_id"]) for r in got} <= {(r[6], r[1], r[4]) for r in rows}
+
+
 def test_resharding_query(spark):
     path = "/root/testdata/sf0.001"
     docs = {r.doc_id: r.text or "" for r in queries.table(spark, path, "documents").collect()}
