@@ -145,7 +145,7 @@ def coerce_fields(parsed: DataFrame, fields: tuple[str, ...] = FIELDS) -> DataFr
 
     def one(i: int, name: str) -> Column:
         path, of = f"$.{name}", F.get("kinds", i)
-        listed = X.trimmed(F.array_join(F.transform(F.try_variant_get(value, path, "array<string>"), X.trimmed), " "))
+        listed = X.trimmed(F.array_join(F.transform(F.try_variant_get(value, path, "array<string>"), lambda x: F.coalesce(X.trimmed(x), F.lit(""))), " "))
         truth = F.when(F.try_variant_get(value, path, "boolean"), "True").otherwise("False")
         native = F.when(of == "VOID", "").when(of == "BOOLEAN", truth).when(of == "ARRAY<STRING>", listed).otherwise(X.trimmed(F.try_variant_get(value, path, "string")))
         return F.coalesce(F.when(plain, native), F.col(f"other.{name}"), F.lit("")).alias(name)

@@ -50,7 +50,7 @@ def line(value):
 
 
 def random_response(rng):
-    values = ['"a"', '" b\\u3000"', "null", "true", "false", "12", "-0", "1.50", "1e5", "NaN", "-Infinity", '["x"," y "]', '["x",["y",null," "],true]', "[]", "{}", '{"q":[1,"z"]}', '"{in}"', '"\\"}"', "[1,2]", "[null]", "123456789012345678901234567890"]
+    values = ['"a"', '" b\\u3000"', "null", "true", "false", "12", "-0", "1.50", "1e5", "NaN", "-Infinity", '["x"," y "]', '["x",["y",null," "],true]', "[]", "{}", '{"q":[1,"z"]}', '"{in}"', '"\\"}"', "[1,2]", "[null]", '["p",null," q "]', "123456789012345678901234567890"]
     field = lambda: f'"{rng.choice(["title", "line2", "line3", "x"])}"{rng.choice([":", " : "])}{rng.choice(values)}'
     body = "{" + rng.choice([",", ", ", ",\n"]).join(field() for _ in range(rng.randint(0, 5))) + "}"
     if rng.random() < 0.3:

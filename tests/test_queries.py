@@ -12,7 +12,11 @@ from .compare import difference
 SMALL = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", sorted(Q.SQL))
+#: Earlier names of other keys; the same functions and SQL.
+ALIASES = {n for n in Q.SQL if n.endswith("_fuzzy") and n != "resolve_fuzzy"}
+
+
+@pytest.mark.parametrize("name", sorted(set(Q.SQL) - ALIASES))
 def test_same_as_sql(spark, name):
     assert difference(spark, Q.QUERIES[name], Q.SQL[name], SMALL) == ""
 
