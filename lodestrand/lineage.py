@@ -20,8 +20,27 @@ def folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+#: Folders that this process wrote and ``release`` may remove.
+MADE: list[str] = []
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A folder of its own below the checkpoint folder, for the driver and all executors."""
+    MADE.append(f"{folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}")
+    return MADE[-1]
+
+
+def release(spark: SparkSession) -> int:
+    """Removes the tables that this process has written between its steps, for long sessions; frames that still read them can't be used any more."""
+    n = len(MADE)
+    while MADE:
+        path = spark._jvm.org.apache.hadoop.fs.Path(MADE.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return n
+
+
 def kept(df: DataFrame) -> DataFrame:
     """``df`` computed once and written to the checkpoint folder, as a Parquet table: a fraction of a checkpoint's size, and read by column."""
-    path = f"{folder(df.sparkSession).rstrip('/')}/kept-{uuid.uuid4().hex}"
+    path = new_folder(df.sparkSession, "kept")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

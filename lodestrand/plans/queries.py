@@ -16,7 +16,7 @@ from ..operators import feedback as B
 from ..operators import interchange as I
 from ..operators import results as R
 from ..operators import verify as V
-from ..lineage import folder, kept
+from ..lineage import kept, new_folder
 from ..profiles import LATIN
 from ..sources import crawl as S
 from ..sources import state as A
@@ -748,11 +748,7 @@ def stage_timings(s, d):
 
 # Streams
 
-def scratch(s: SparkSession, name: str) -> str:
-    """A new folder where both the driver and the executors can write."""
-    import uuid
-
-    return f"{folder(s).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+scratch = new_folder
 
 
 def stream_of(s: SparkSession, d: str, name: str) -> tuple[str, str]:

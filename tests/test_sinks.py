@@ -56,3 +56,15 @@ def test_batch_lost_before_its_commit(spark, tmp_path, monkeypatch):
     assert sorted((r.request_id, r.ordinal) for r in rows) == [(k, n) for k in range(6) for n in range(3)]
     assert all((str(r.failed).lower() == "true") == (r.error_code is not None) for r in rows) and sum(r.error_code is not None for r in rows) == 6
     assert {(r.title, r.line2) for r in rows if r.request_id == 2 and r.error_code is None} == {("T2", "x")}
+
+
+def test_release(spark):
+    from lodestrand import lineage
+
+    lineage.release(spark)
+    table = lineage.kept(spark.range(5).toDF("n"))
+    path = lineage.MADE[-1]
+    assert table.count() == 5 and spark.read.parquet(path).count() == 5
+    assert lineage.release(spark) == 1 and lineage.MADE == []
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        spark.read.parquet(path)
