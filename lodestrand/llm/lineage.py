@@ -2,22 +2,9 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
+from pyspark.sql import DataFrame
 
-from pyspark.sql import DataFrame, SparkSession
-
-
-def folder(spark: SparkSession) -> str:
-    """The session's checkpoint folder: the one that is set, else spark.checkpoint.dir, else - in local mode, as in tests - a temporary one."""
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        named = context.getConf().get("spark.checkpoint.dir")
-        if not named and not re.fullmatch(r"local(\[.*\])?", context.master):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="lodestrand-checkpoint-"))
-    return context.getCheckpointDir()
+from ..lineage import folder, new_folder
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -31,7 +18,7 @@ def written(df: DataFrame) -> DataFrame:
 
     Spark removes the write's shuffle files when it ends: nothing else reads them."""
     spark = df.sparkSession
-    path, setting = f"{folder(spark).rstrip('/')}/table-{uuid.uuid4().hex}", "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    path, setting = new_folder(spark, "table"), "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
     before = spark.conf.get(setting, None)
     spark.conf.set(setting, "true")
     try:

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..lineage import new_folder
 from . import boilerplate, bpe, decontamination, divergence, hard_negatives, near_duplicates, quality, repeats, secret_scan, sharding, toxicity, winnowing
-from .lineage import cut, folder
+from .lineage import cut
 
 TOKENIZER = "byte_bpe_50k.json"
 TOKEN_LIMIT = 1024
@@ -124,7 +124,7 @@ def op9_flow_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     old = F.pmod(F.crc32(F.coalesce("source", F.lit("")).cast("binary")), F.lit(8)).cast("int")
     law = "bytes"
     placed = cut(sharding.reshard(docs, old, law=law))
-    path = f"{folder(spark).rstrip('/')}/shards-{uuid.uuid4().hex}"
+    path = new_folder(spark, "shards")
     affected = sharding.rewrite_affected(docs, placed, path)
     out = placed.where(~F.col("shard").isin(affected)).select("doc_id", "size", "text_crc32", "shard", "slot")
     if affected and placed.where(F.col("shard").isin(affected)).limit(1).count():
