@@ -446,7 +446,7 @@ def marks(s, d, fuzzy: bool):
     return V.mark_chosen(c.withColumn("pos", F.col("pos").cast("long")), chosen)
 
 
-both_ways("mark_chosen", f"<pair> SELECT c.page_id, pos, {O.replaced('text', '\s')} IN ({O.replaced('line2', '\s')}, {O.replaced('line3', '\s')}) AND text <> '' AS chosen FROM candidates c JOIN second USING (page_id) JOIN third USING (page_id)", marks)
+both_ways("mark_chosen", f"<pair> SELECT c.page_id, pos, {O.replaced('text', '\\s')} IN ({O.replaced('line2', '\\s')}, {O.replaced('line3', '\\s')}) AND text <> '' AS chosen FROM candidates c JOIN second USING (page_id) JOIN third USING (page_id)", marks)
 
 
 # Interchange
