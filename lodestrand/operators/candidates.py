@@ -109,9 +109,8 @@ def body_extract(pages: DataFrame, profile: TextProfile = LATIN, keep=lambda df:
 def parsed_candidates(pages: DataFrame, profile: TextProfile = LATIN, keep=lambda df: df) -> tuple[DataFrame, DataFrame]:
     """(``parse_page`` of the pages, their candidates): descriptions first, then the chosen body, whose sentences are cut once for the gate and the candidates."""
     chosen, pieces = _chosen(keep(bodies(pages)), profile, keep)
-    parsed = keep(_with_head(pages, chosen))
-    about = parsed.select("page_id", F.posexplode("descriptions").alias("source_no", "raw"))
-    return parsed, placed(usable_pieces(about, profile).unionByName(pieces), profile)
+    about = pages.select("page_id", F.posexplode(H.meta_descriptions(F.col("html"))).alias("source_no", "raw"))
+    return _with_head(pages, chosen), placed(usable_pieces(about, profile).unionByName(pieces), profile)
 
 
 def _with_head(pages: DataFrame, chosen: DataFrame) -> DataFrame:

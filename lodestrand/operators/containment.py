@@ -34,7 +34,7 @@ def contained(documents: DataFrame, items: DataFrame) -> DataFrame:
     Each document gives one block of k characters in k, and only those that equal a gram of some item are kept. Their counts say which k neighbouring
     grams of an item are rarest; exactly one of these meets a block at each place where the item stands, so the join makes a row for each such place and
     few others, which the comparison of the whole text drops. Texts are joined by id with the few documents that have a place."""
-    keyed = documents.where("text is not null").select("doc_id", "text", X.folded_key(F.col("text")).alias("doc_key"))
+    keyed = documents.where("text is not null").select("doc_id", X.folded_key(F.col("text")).alias("doc_key"))
     grams = kept(_grams(items.where("text is not null").select("item_id", X.match_key(F.col("text")).alias("key"))))
     sizes = sorted(r.k for r in grams.select("k").distinct().collect())
     if not sizes:
@@ -52,7 +52,7 @@ def contained(documents: DataFrame, items: DataFrame) -> DataFrame:
     base = phases.where(fits).groupBy("item_id", "key").agg(F.min(F.struct("cost", "offset")).alias("best")).select("item_id", "key", F.col("best.offset").alias("base"))
     chosen = counted.join(base, ["item_id", "key"]).where((F.col("offset") >= F.col("base")) & (F.col("offset") < F.col("base") + F.col("k")) & (F.col("n_blocks") > 0))
     places = chosen.join(laid, ["k", "gram"]).select("doc_id", "item_id", "key", (F.col("place") - F.col("offset")).alias("at")).where("at >= 0")
-    met = places.join(keyed, "doc_id").where(F.substring(F.col("doc_key"), F.col("at") + 1, F.length("key")) == F.col("key"))
+    met = places.join(documents.select("doc_id", "text"), "doc_id").withColumn("doc_key", X.folded_key(F.col("text"))).where(F.substring(F.col("doc_key"), F.col("at") + 1, F.length("key")) == F.col("key"))
     first = met.groupBy("doc_id", "item_id", "key").agg(F.min(F.struct("at", "text")).alias("m")).select("doc_id", "item_id", "key", "m.*")
     span = X.span_of(F.col("text"), F.col("at"), F.length("key"))
     return first.select("doc_id", "item_id", "at", span.alias("s")).select("doc_id", "item_id", "at", "s.start", "s.size")

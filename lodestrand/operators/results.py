@@ -33,8 +33,7 @@ def page_results(pages: DataFrame, propose: Callable[[DataFrame], DataFrame], pr
 
     Each page is parsed, its candidates are built, descriptions first, ``propose`` gives lines for them (page_id, slot, text), as an external chooser
     does, and what it gives is resolved to text that stands on the page. A page that can't be parsed or has no candidates is a row with an error."""
-    parsed, found = C.parsed_candidates(pages, profile, kept)
-    found = kept(found)
+    parsed, found = map(kept, C.parsed_candidates(pages, profile, kept))
     sources = kept(V.with_keys(C.source_text(parsed)))
     proposals = kept(propose(found))
     lines = V.resolve_pair(V.keyed(proposals), found, sources, profile)
