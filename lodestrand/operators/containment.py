@@ -52,7 +52,10 @@ def contained(documents: DataFrame, items: DataFrame) -> DataFrame:
     base = phases.where(fits).groupBy("item_id", "key").agg(F.min(F.struct("cost", "offset")).alias("best")).select("item_id", "key", F.col("best.offset").alias("base"))
     chosen = counted.join(base, ["item_id", "key"]).where((F.col("offset") >= F.col("base")) & (F.col("offset") < F.col("base") + F.col("k")) & (F.col("n_blocks") > 0))
     places = chosen.join(laid, ["k", "gram"]).select("doc_id", "item_id", "key", (F.col("place") - F.col("offset")).alias("at")).where("at >= 0")
-    met = places.join(documents.select("doc_id", "text"), "doc_id").withColumn("doc_key", X.folded_key(F.col("text"))).where(F.substring(F.col("doc_key"), F.col("at") + 1, F.length("key")) == F.col("key"))
+    places = kept(places)
+    few = documents.select("doc_id", "text").join(places.select("doc_id").distinct(), "doc_id", "left_semi")
+    few = kept(few.withColumn("doc_key", X.folded_key(F.col("text"))))  # a key for each document, however many places it has
+    met = places.join(few, "doc_id").where(F.substring(F.col("doc_key"), F.col("at") + 1, F.length("key")) == F.col("key"))
     first = met.groupBy("doc_id", "item_id", "key").agg(F.min(F.struct("at", "text")).alias("m")).select("doc_id", "item_id", "key", "m.*")
     span = X.span_of(F.col("text"), F.col("at"), F.length("key"))
     return first.select("doc_id", "item_id", "at", span.alias("s")).select("doc_id", "item_id", "at", "s.start", "s.size")
