@@ -38,3 +38,16 @@ def test_batches_of_pages_are_bounded(spark):
     assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").rstrip("b")) <= N.BATCH_BYTES
     largest = F.pandas_udf(lambda t: pd.Series([int(t.str.len().sum())] * len(t)), "long")
     assert spark.range(0, 4000, 1, 1).select(F.repeat(F.lit("x"), F.lit(2000)).alias("t")).select(largest("t").alias("n")).agg(F.max("n")).first()[0] < 2 * N.BATCH_BYTES
+
+
+def test_bound_of_batches_however_it_is_spelled(spark):
+    """Before, a bound with a unit raised an error."""
+    bound = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(bound)
+    try:
+        for said, held in (("64m", N.BATCH_BYTES), ("1g", N.BATCH_BYTES), ("67108864", N.BATCH_BYTES), ("67108864b", N.BATCH_BYTES), ("1MB", 1 << 20), ("100k", 100 << 10), ("100", 100)):
+            spark.conf.set(bound, said)
+            N.pages(spark, "/root/testdata/sf0.001")
+            assert N.bytes_of(spark.conf.get(bound)) == held
+    finally:
+        spark.conf.set(bound, before)
