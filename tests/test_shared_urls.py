@@ -26,7 +26,7 @@ def shared(spark, tmp_path_factory) -> str:
     return str(path)
 
 
-@pytest.mark.parametrize("name", ["assemble_results", "results_exact", "stream_results"])
+@pytest.mark.parametrize("name", ["assemble_results", "results_exact", "results_fuzzy", "stream_results"])
 def test_same_as_sql(spark, shared, name):
     assert connection(shared).execute(f"SELECT count(*) FROM ({Q.SQL[name]})").fetchone()[0] == 3 * 3 + 2 * 2 + 2 * 2 + 1
     assert difference(spark, Q.QUERIES[name], Q.SQL[name], shared) == ""
